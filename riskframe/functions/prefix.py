@@ -171,3 +171,23 @@ def rank_rows(
         .withColumn(output, (F.col("_offset") + F.col("_local")).cast("bigint"))
         .drop("_local", "_offset")
     )
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], order_range: str, output: str = "tie_rank") -> DataFrame:
+    """Rank 1..N along ``order`` per key, worked inside (key, order_range) groups."""
+    keys = list(keys)
+    cells = df.groupBy(*keys, order_range).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy(order_range).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(*keys, order_range, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, order_range).orderBy(*order)
+    return (
+        df.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, [*keys, order_range])
+        .withColumn(output, (F.col("_offset") + F.col("_local")).cast("bigint"))
+        .drop("_local", "_offset")
+    )
+
+
+def hash_range(digest: Column) -> Column:
+    """Range number of a hex digest: its first three digits, so 4096 even ranges."""
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")

@@ -15,8 +15,8 @@ g AS (SELECT step, n, pos, row_number() OVER (ORDER BY step) AS i, sum(n) OVER (
 
 @query(
     "t01_nearest_boundary",
-    f"""WITH {TX}, {GRID}, b AS (SELECT arg_min(i, (abs(cum - total * 0.7::DOUBLE), i)) AS at FROM g WHERE i BETWEEN 1 AND k - 2)
-SELECT i AS position, step AS last_time, cum::BIGINT AS cum_rows FROM g, b WHERE i = at""",
+    f"""WITH {TX}, {GRID}, b AS (SELECT arg_min(i, (abs(cum - total * 0.7::DOUBLE), i)) AS pick FROM g WHERE i BETWEEN 1 AND k - 2)
+SELECT i AS position, step AS last_time, cum::BIGINT AS cum_rows FROM g, b WHERE i = pick""",
 )
 def _(spark, d):
     return S.nearest_boundary(tx(spark, d), "step", 0.7, 1, 2)

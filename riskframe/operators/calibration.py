@@ -283,13 +283,16 @@ def evaluate_branch(
     score: str,
     raw: str,
     label: str,
-    method: str,
     fn_cost: float = 100.0,
     fp_cost: float = 1.0,
     capacity: float = 0.03,
-    ties: bool = False,
+    tie_methods: Sequence[str] = ("Isotonic",),
 ) -> DataFrame:
-    """One calibration branch: threshold on validation, report on test, reliability on both."""
+    """Calibration branches end to end: threshold on validation, report on test, reliability on both.
+
+    The rows carry their ``method`` as one of the keys, so all methods share each pass. Tie fields
+    are null for methods outside ``tie_methods``.
+    """
     keys = list(keys)
     chosen = optimize_threshold(validation, keys, score, label, fn_cost, fp_cost, max_alert_rate=capacity)
     report = confusion(apply_threshold(test, score, chosen, keys), keys, label, F.col("alert") == 1)
@@ -298,6 +301,8 @@ def evaluate_branch(
         {"capacity_deviation": F.col("alert_rate") - F.lit(capacity), "capacity_deviation_abs": F.abs(F.col("alert_rate") - F.lit(capacity))}
     )
     val_decided = apply_threshold(validation, score, chosen, keys)
+    ties = tie_statistics(test, keys, score)
+    fields = ("unique_outputs", "tied_rows", "tie_fraction", "largest_tie")
     parts = [
         chosen.select(*keys, "threshold", safe_divide(F.col("alerts"), F.col("rows")).alias("validation_alert_rate"), F.col("cost").alias("validation_cost")),
         operating_points(validation, keys, score, label).groupBy(*keys).agg(F.count("*").alias("threshold_candidates")),
@@ -308,55 +313,45 @@ def evaluate_branch(
         ),
         average_precision(test, keys, raw, label).select(*keys, F.col("ap").alias("raw_ap")),
         quantile_columns(test, keys, score, {"score_p99": 0.99, "score_p999": 0.999}),
+        ties.select(*keys, *[F.when(F.col("method").isin(*tie_methods), F.col(c)).alias(c) for c in fields]),
     ]
     for name, rows in (("val", validation), ("test", test)):
         for how in ("uniform", "quantile"):
             parts.append(ece(rows, keys, score, label, how).select(*keys, F.col("ece").alias(f"{name}_ece_{how}")))
-    if ties:
-        parts.append(tie_statistics(test, keys, score).select(*keys, "unique_outputs", "tied_rows", "tie_fraction", "largest_tie"))
     for part in parts:
         out = out.join(part, keys)
-    if not ties:
-        out = out.withColumns(
-            {"unique_outputs": F.lit(None).cast("bigint"), "tied_rows": F.lit(None).cast("bigint"),
-             "tie_fraction": F.lit(None).cast("double"), "largest_tie": F.lit(None).cast("bigint")}
-        )
-    return out.withColumn("method", F.lit(method))
+    return out
 
 
 def compare_decisions(
-    validation: DataFrame, test: DataFrame, results: DataFrame, keys: Sequence[str], methods: dict[str, str], baseline: str
+    validation: DataFrame, test: DataFrame, results: DataFrame, keys: Sequence[str], score: str, identity: str, baseline: str
 ) -> DataFrame:
     """Each method against the uncalibrated one: rank correlation, overlap and metric changes.
 
-    ``methods`` maps a method name to its score column; ``results`` holds one row per (keys, method).
+    ``validation`` and ``test`` are long by ``method``; ``results`` holds one row per (keys, method).
     """
     keys = list(keys)
-    base_col = methods[baseline]
-    base = results.where(F.col("method") == baseline)
-    cut = lambda m: results.where(F.col("method") == m).select(*keys, "threshold")
+    both = [*keys, "method"]
     out = None
-    for m, column in methods.items():
-        if m == baseline:
-            continue
-        sides = []
-        for name, rows in (("validation", validation), ("test", test)):
-            a = apply_threshold(rows, base_col, cut(baseline), keys).withColumnRenamed("alert", "_a")
-            both = apply_threshold(a, column, cut(m), keys).withColumnRenamed("alert", "_b")
-            j = jaccard(both, keys, "_a", "_b")
-            sides.append(j.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("jaccard", "disagreements", "disagreement_rate")]))
-        new, old = results.where(F.col("method") == m).alias("n"), base.alias("o")
-        on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys]
-        change = new.join(old, on).select(
-            *[F.col(f"n.{k}").alias(k) for k in keys],
-            F.lit(f"{m} vs {baseline}").alias("comparison"),
-            *[(F.col(f"n.{c}") - F.col(f"o.{c}")).alias(f"{c}_difference") for c in ("recall", "fp", "fn", "business_cost", "alert_rate", "calibrated_ap")],
-        )
-        part = change.join(spearman(validation, keys, base_col, column), keys)
-        for s in sides:
-            part = part.join(s, keys)
-        out = part if out is None else out.unionByName(part)
-    return out
+    for name, rows in (("validation", validation), ("test", test)):
+        decided = apply_threshold(rows, score, results, both)
+        old = decided.where(F.col("method") == baseline).select(*keys, identity, F.col("alert").alias("_a"), F.col(score).alias("_sa"))
+        new = decided.where(F.col("method") != baseline).select(*both, identity, F.col("alert").alias("_b"), F.col(score).alias("_sb"))
+        paired = new.join(old, [*keys, identity])
+        side = jaccard(paired, both, "_a", "_b")
+        side = side.select(*both, *[F.col(c).alias(f"{name}_{c}") for c in ("jaccard", "disagreements", "disagreement_rate")])
+        if name == "validation":
+            side = side.join(spearman(paired, both, "_sa", "_sb"), both)
+        out = side if out is None else out.join(side, both)
+    fields = ("recall", "fp", "fn", "business_cost", "alert_rate", "calibrated_ap")
+    base = results.where(F.col("method") == baseline).select(*keys, *[F.col(c).alias(f"_old_{c}") for c in fields])
+    change = results.where(F.col("method") != baseline).join(base, keys)
+    change = change.select(*both, *[(F.col(c) - F.col(f"_old_{c}")).alias(f"{c}_difference") for c in fields])
+    return (
+        change.join(out, both)
+        .withColumn("comparison", F.concat(F.col("method"), F.lit(f" vs {baseline}")))
+        .drop("method")
+    )
 
 
 def compare_reliability(results: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:

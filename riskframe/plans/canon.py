@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.scalars import clip_score, hash_draw, platt_score
 from riskframe.operators.splits import apply_boundaries, rolling_boundaries
+from riskframe.session import scratch_path
 
 # Models and the score bonus their positives get; seeds; calibration coefficients.
 MODELS = {"P0": 0, "PH": 150, "PHW": 300, "PP": 220}
@@ -148,13 +149,34 @@ def scored(rows: DataFrame, models: dict[str, int] | None = None, seeds=SEEDS) -
     )
 
 
-def ledger(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
+_STORED: dict[tuple[str, ...], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a derived table once per session to the shared folder, then read it from there.
+
+    A ledger is scanned by many operators; the written table cuts its lineage, survives lost
+    executors, and gives each scan column pruning and pushdown.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path, compression="zstd")
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def build_ledger(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
     rows = tx(spark, sf_dir)
     placed = apply_boundaries(rows, folds(rows)).where(F.col("split") == split)
     kept = placed.select("fold", "id", F.col("step").alias("time"), "amount_cents", "label")
     return scored(kept).select("fold", "seed", "model", "id", "time", "amount_cents", "label", "raw", "clipped", "platt")
 
 
+def ledger(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
+    return stored(spark, sf_dir, f"ledger_{split}", lambda: build_ledger(spark, sf_dir, split))
+
+
 def _ledger_sql(split: str) -> str:
     models = ", ".join(f"('{m}', {b})" for m, b in MODELS.items())
     seeds = ", ".join(f"({s})" for s in SEEDS)

@@ -10,6 +10,7 @@ from riskframe.operators import decisions as D
 from riskframe.operators import metrics as M
 from riskframe.plans.canon import LEDGER, LEDGER_BOTH, LEDGER_VALIDATION, SHOP, TX, ledger, shop, tx
 from riskframe.plans.registry import query
+from riskframe.session import shared_dir
 
 K = ["fold", "seed", "model"]
 KS = "fold, seed, model"
@@ -428,7 +429,7 @@ def quantile_bins_sql(score, source, name="qb", keys=KS):
     on = " AND ".join(f"l.{k.strip()} = e.{k.strip()}" for k in keys.split(","))
     own = ", ".join(f"l.{k.strip()}" for k in keys.split(","))
     return f"""{name}_e AS (SELECT {keys}, list_sort(list_distinct(quantile_cont({score}, [{probs}]))) AS ed FROM {source} GROUP BY {keys}),
-{name} AS (SELECT {own}, least(len(list_filter(ed, x -> x <= {score})), len(ed) - 1) - 1 AS bin_id, any_value(ed) AS ed, count(*) AS sample_count,
+{name} AS (SELECT {own}, least(len(list_filter(ed, lambda x: x <= {score})), len(ed) - 1) - 1 AS bin_id, any_value(ed) AS ed, count(*) AS sample_count,
     sum(label)::BIGINT AS positive_count, avg({score}) AS mean_predicted, avg(label) AS observed_rate
   FROM {source} l JOIN {name}_e e ON {on} GROUP BY ALL)"""
 
@@ -511,14 +512,15 @@ METHODS = {"Uncalibrated": "raw", "Platt": "platt", "Stepped": "ps"}
 
 
 def _branches(spark, d):
-    val, test = (_coarse(ledger(spark, d, s)).where("model = 'PH'") for s in ("validation", "test"))
-    parts = [
-        C.evaluate_branch(val, test, K, column, "raw", "label", m, ties=m == "Stepped") for m, column in METHODS.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return val, test, out
+    """Long validation and test rows by method, and the small result grid cut from its lineage."""
+    sides = []
+    for split in ("validation", "test"):
+        rows = _coarse(ledger(spark, d, split)).where("model = 'PH'").select(*K, "id", "label", "raw", "platt", "ps")
+        entries = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("score")) for m, c in METHODS.items()])
+        sides.append(rows.withColumn("_m", F.explode(entries)).select(*K, "id", "label", "raw", "_m.method", "_m.score"))
+    shared_dir(spark)
+    grid = C.evaluate_branch(*sides, [*K, "method"], "score", "raw", "label", tie_methods=["Stepped"])
+    return sides[0], sides[1], grid.checkpoint()
 
 
 def _branch_sql():
@@ -606,7 +608,7 @@ FROM br n JOIN br o ON o.fold = n.fold AND o.seed = n.seed AND o.model = n.model
 @query("c10_compare_decisions", f"WITH {BRANCHES} {_compare_sql()}")
 def _(spark, d):
     val, test, results = _branches(spark, d)
-    return rounded(C.compare_decisions(val, test, results, K, METHODS, "Uncalibrated"))
+    return rounded(C.compare_decisions(val, test, results, K, "score", "id", "Uncalibrated"))
 
 
 PAIRS = [("Platt", "Uncalibrated"), ("Stepped", "Uncalibrated"), ("Stepped", "Platt")]

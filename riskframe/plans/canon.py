@@ -17,6 +17,7 @@ from riskframe.session import scratch_path
 
 # Models and the score bonus their positives get; seeds; calibration coefficients.
 MODELS = {"P0": 0, "PH": 150, "PHW": 300, "PP": 220}
+SECOND = {"S0": 0, "SH": 120, "SHW": 260}
 SEEDS = (42, 43, 44)
 PLATT = (0.8, -0.3)
 FOLDS = (3, 0.4, 0.1, 0.1)
@@ -166,30 +167,37 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_STORED[key])
 
 
-def build_ledger(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
-    rows = tx(spark, sf_dir)
+def build_ledger(spark: SparkSession, sf_dir: str, split: str = "test", models=None, positive: str = "error") -> DataFrame:
+    rows = tx(spark, sf_dir).withColumn("label", (F.col("type") == positive).cast("int"))
     placed = apply_boundaries(rows, folds(rows)).where(F.col("split") == split)
     kept = placed.select("fold", "id", F.col("step").alias("time"), "amount_cents", "label")
-    return scored(kept).select("fold", "seed", "model", "id", "time", "amount_cents", "label", "raw", "clipped", "platt")
+    return scored(kept, models).select("fold", "seed", "model", "id", "time", "amount_cents", "label", "raw", "clipped", "platt")
 
 
 def ledger(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
     return stored(spark, sf_dir, f"ledger_{split}", lambda: build_ledger(spark, sf_dir, split))
 
 
-def _ledger_sql(split: str) -> str:
-    models = ", ".join(f"('{m}', {b})" for m, b in MODELS.items())
+def second_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a second study: another target and other models on the same windows."""
+    return stored(spark, sf_dir, "ledger_second", lambda: build_ledger(spark, sf_dir, "test", SECOND, "purchase"))
+
+
+def _ledger_sql(split: str, source: dict[str, int] | None = None, name: str | None = None, positive: str = "error") -> str:
+    models = ", ".join(f"('{m}', {b})" for m, b in (source or MODELS).items())
+    name = name or ("ledger" if split == "test" else "led_" + split)
     seeds = ", ".join(f"({s})" for s in SEEDS)
-    return f"""led0 AS (SELECT fold, seed, model, id, step AS time, amount_cents, label,
+    return f"""{name}_0 AS (SELECT fold, seed, model, id, step AS time, amount_cents, CAST(type = '{positive}' AS INTEGER) AS label,
     least(1000, greatest(0, ('0x' || substr(sha256(concat_ws('|', model, seed, id)), 1, 8))::BIGINT % 1100 - 80
-      + label * bonus)) / 1000::DOUBLE AS raw
+      + CAST(type = '{positive}' AS INTEGER) * bonus)) / 1000::DOUBLE AS raw
   FROM tx JOIN bounds ON split = '{split}' AND step BETWEEN start_time AND end_time,
     (VALUES {models}) m(model, bonus), (VALUES {seeds}) s(seed)),
-{"ledger" if split == "test" else "led_" + split} AS (SELECT *, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw)) AS clipped,
+{name} AS (SELECT *, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw)) AS clipped,
     1 / (1 + exp(-({PLATT[0]}::DOUBLE * ln(greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw))
-      / (1 - greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw)))) + {PLATT[1]}::DOUBLE))) AS platt FROM led0)"""
+      / (1 - greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw)))) + {PLATT[1]}::DOUBLE))) AS platt FROM {name}_0)"""
 
 
 LEDGER = f"{TX},\n{BOUNDS},\n{_ledger_sql('test')}"
 LEDGER_VALIDATION = f"{TX},\n{BOUNDS},\n{_ledger_sql('validation')}"
-LEDGER_BOTH = LEDGER + ",\n" + _ledger_sql("validation").replace("led0", "led1")
+LEDGER_BOTH = LEDGER + ",\n" + _ledger_sql("validation")
+LEDGER_TWO = LEDGER + ",\n" + _ledger_sql("test", SECOND, "second", "purchase")

@@ -342,14 +342,19 @@ def _(spark, d):
     return rounded(M.stage_metrics(M.melt_stages(ledger(spark, d)), [*K, "stage"], "score", "label"), 9)
 
 
-LEDGER_METRICS = f"""{profile_sql('raw', (0.03,))}, {curve_sql()}, rr AS (SELECT {KS}, {AP} AS pr_auc, {AUC} AS roc_auc FROM cv GROUP BY {KS}),
-lm AS (SELECT {KS}, rows, positives, alerts, tp, alerts - tp AS fp, positives - tp AS fn, rows - alerts - positives + tp AS tn,
+def ledger_metrics_sql(source="ledger", p=""):
+    """CTEs ending in ``{p}lm``: one row of test metrics per (fold, seed, model)."""
+    return f"""{profile_sql('raw', (0.03,), KS, source, p + 'pf')}, {curve_sql('raw', source, p + 'cv')}, {p}rr AS (SELECT {KS}, {AP} AS pr_auc, {AUC} AS roc_auc FROM {p}cv GROUP BY {KS}),
+{p}lm AS (SELECT {KS}, rows, positives, alerts, tp, alerts - tp AS fp, positives - tp AS fn, rows - alerts - positives + tp AS tn,
     tp::DOUBLE / alerts AS precision, coalesce(tp::DOUBLE / nullif(positives, 0), 0) AS recall,
     coalesce(2 * tp::DOUBLE / nullif(alerts + positives, 0), 0) AS f1, alerts::DOUBLE / rows AS alert_rate,
     alerts::DOUBLE / rows - 0.03 AS capacity_deviation, (alerts - tp + 100 * (positives - tp))::DOUBLE AS business_cost,
     100::DOUBLE * positives AS baseline_cost,
     coalesce((100::DOUBLE * positives - (alerts - tp + 100 * (positives - tp))) / nullif(100::DOUBLE * positives, 0), 0) AS cost_saving_rate,
-    pr_auc, roc_auc FROM pf JOIN rr USING ({KS}))"""
+    pr_auc, roc_auc FROM {p}pf JOIN {p}rr USING ({KS}))"""
+
+
+LEDGER_METRICS = ledger_metrics_sql()
 LM_DOUBLES = ("precision", "recall", "f1", "alert_rate", "capacity_deviation", "cost_saving_rate", "pr_auc", "roc_auc")
 
 

@@ -64,7 +64,7 @@ def _(spark, d):
     return T.read_labels_for_ids(tx(spark, d), allowed, "id", "label")
 
 
-@query("s05_write_features", f"WITH {TX} SELECT id, step, count(*) OVER (PARTITION BY recipient ORDER BY step RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING) AS count_24 FROM tx WHERE step > 600")
+@query("s05_write_features", f"WITH {TX} SELECT * FROM (SELECT id, step, count(*) OVER (PARTITION BY recipient ORDER BY step RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING) AS count_24 FROM tx) WHERE step > 600")
 def _(spark, d):
     path = scratch_path(spark, "features")
     T.write_features(H.past_count(tx(spark, d), ["recipient"], "step", 24).select("id", "step", "count_24"), path, "step")

@@ -110,9 +110,15 @@ def exact_cents(text: Column) -> Column:
 
 
 def std_from_moments(n: Column, total: Column, square: Column) -> Column:
-    """Sample deviation from exact integer moments, in money units; null below two rows."""
-    wide = n.cast("decimal(38,0)")
-    numerator = (wide * square - total.cast("decimal(38,0)") * total.cast("decimal(38,0)")).cast("double")
+    """Sample deviation from exact integer moments, in money units; null below two rows.
+
+    The numerator n*square - total^2 is taken in 64-bit integers where it fits and in 38-digit
+    decimals elsewhere; both are exact.
+    """
+    small = n.cast("double") * square.cast("double") < F.lit(4e18)
+    short = (n * F.when(small, square).cast("bigint") - F.when(small, total) * F.when(small, total)).cast("double")
+    wide = n.cast("decimal(38,0)") * square - total.cast("decimal(38,0)") * total.cast("decimal(38,0)")
+    numerator = F.when(small, short).otherwise(wide.cast("double"))
     denominator = n.cast("double") * (n - 1).cast("double")
     return F.when(n > 1, F.sqrt(F.try_divide(numerator, denominator)) / F.lit(100.0))
 

@@ -57,15 +57,21 @@ def range_windows(
     windows: Sequence[int],
     columns: Sequence[str] = ("n", "s", "ss", "mx"),
     span: int | None = None,
+    previous: bool = False,
 ) -> DataFrame:
-    """Window totals ``<c>_<w>`` over [t-w, t-1] for every bucket."""
+    """Window totals ``<c>_<w>`` over [t-w, t-1] for every bucket.
+
+    With ``previous`` the last strictly earlier time is added as ``prev_time`` from the same sorted
+    pass; only where it lies outside the copied buckets is it taken from the earlier ranges' maxima.
+    """
     if not windows or any(int(w) != w or w < 1 for w in windows):
         raise ValueError("windows must be positive integers")
+    entity = list(entity)
     width = max(windows)
     length = span or max(4 * width, 256)
     home = time_range(F.col(time), length)
     reach = time_range(F.col(time) + F.lit(width), length)
-    copied = buckets.withColumn("_home", home).withColumn("_range", F.explode(F.sequence(F.col("_home"), reach)))
+    copied = buckets.select(*entity, time, *columns, F.explode(F.sequence(home, reach)).alias("_range"))
     base = Window.partitionBy(*entity, "_range").orderBy(time)
     out = {}
     for w in windows:
@@ -73,7 +79,16 @@ def range_windows(
         for c in columns:
             value = F.max(c).over(frame) if c == "mx" else F.sum(c).over(frame)
             out[f"{c}_{w}"] = F.coalesce(value, F.lit(0)) if c == "n" else value
-    return copied.withColumns(out).where(F.col("_range") == F.col("_home")).drop("_range", "_home")
+    if previous:
+        out["_lag"] = F.lag(time).over(base)
+    made = copied.select(*entity, time, "_range", *[v.alias(k) for k, v in out.items()]).where(F.col("_range") == home)
+    if not previous:
+        return made.drop("_range")
+    last = buckets.groupBy(*entity, home.alias("_range")).agg(F.max(time).alias("_last"))
+    before = Window.partitionBy(*entity).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = last.select(*entity, "_range", F.max("_last").over(before).alias("_earlier"))
+    joined = made.join(earlier, [*entity, "_range"])
+    return joined.withColumn("prev_time", F.coalesce("_lag", "_earlier")).drop("_lag", "_earlier", "_range")
 
 
 def previous_time(buckets: DataFrame, entity: Sequence[str], time: str, span: int = 4096) -> DataFrame:
@@ -85,33 +100,43 @@ def previous_time(buckets: DataFrame, entity: Sequence[str], time: str, span: in
 
 
 def window_distinct(
-    pairs: DataFrame, entity: Sequence[str], other: Sequence[str], time: str, windows: Sequence[int], span: int = 4096
+    pairs: DataFrame,
+    entity: Sequence[str],
+    other: Sequence[str],
+    time: str,
+    windows: Sequence[int],
+    span: int = 4096,
+    unique: bool = False,
+    asks: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct ``other`` values in each window, as ``distinct_<w>`` per (entity, time).
 
+    ``unique`` says that ``pairs`` already holds one row per (entity, other, time); ``asks`` names
+    the (entity, time) points to answer, else those of ``pairs``.
+
     A value seen at t and next at u counts for times t+1 .. min(t+w, u). These stretches are
     disjoint per value, so the distinct count is a running sum of +1 at the start and -1 past the
     end: no growing sets.
     """
     entity, other = list(entity), list(other)
-    seen = pairs.select(*entity, *other, time).distinct()
+    seen = pairs.select(*entity, *other, time) if unique else pairs.select(*entity, *other, time).distinct()
     following = Window.partitionBy(*entity, *other).orderBy(time)
-    stretch = seen.withColumn("_next", F.lead(time).over(following))
     t, nxt = F.col(time).cast("bigint"), F.col("_next").cast("bigint")
     zero, one, minus = F.lit(0), F.lit(1), F.lit(-1)
-    marks = [
-        F.struct(t.alias("at"), F.lit(1).alias("ask"), *[zero.alias(f"d{w}") for w in windows]),
-        F.struct((t + 1).alias("at"), F.lit(0).alias("ask"), *[one.alias(f"d{w}") for w in windows]),
-    ]
+    marks = [F.struct((t + 1).alias("at"), *[one.alias(f"d{w}") for w in windows])]
     for w in windows:
         end = F.least(t + F.lit(w), F.coalesce(nxt, t + F.lit(w))) + 1
-        marks.append(
-            F.struct(end.alias("at"), F.lit(0).alias("ask"), *[(minus if v == w else zero).alias(f"d{v}") for v in windows])
-        )
+        marks.append(F.struct(end.alias("at"), *[(minus if v == w else zero).alias(f"d{v}") for v in windows]))
+    stretch = seen.withColumn("_next", F.lead(time).over(following))
+    moves = stretch.select(*entity, F.explode(F.array(*marks)).alias("m")).select(
+        *entity, "m.at", F.lit(0).alias("ask"), *[F.col(f"m.d{w}").alias(f"d{w}") for w in windows]
+    )
+    asked = asks if asks is not None else seen
+    asked = asked.select(*entity, t.alias("at"), F.lit(1).alias("ask"), *[zero.alias(f"d{w}") for w in windows])
     deltas = (
-        stretch.select(*entity, F.explode(F.array(*marks)).alias("m"))
-        .groupBy(*entity, F.col("m.at").alias("at"))
-        .agg(F.max("m.ask").alias("ask"), *[F.sum(f"m.d{w}").alias(f"d{w}") for w in windows])
+        moves.unionByName(asked)
+        .groupBy(*entity, "at")
+        .agg(F.max("ask").alias("ask"), *[F.sum(f"d{w}").alias(f"d{w}") for w in windows])
         .withColumn("_range", time_range(F.col("at"), span))
     )
     summed = running(deltas, entity, "at", "_range", sums=[f"d{w}" for w in windows])
@@ -169,6 +194,24 @@ def _attach(df: DataFrame, entity: Sequence[str], time: str, summary: DataFrame)
     return df.join(summary.drop(*clash), [*entity, time], "left")
 
 
+def _statistics(w: int) -> dict[str, Column]:
+    """Mean, max and deviation of one window from its totals."""
+    n, s = F.col(f"n_{w}"), F.col(f"s_{w}")
+    return {
+        f"mean_{w}": F.coalesce(F.try_divide(s.cast("double"), F.lit(100.0) * n), F.lit(0.0)),
+        f"max_{w}": F.coalesce(F.col(f"mx_{w}") / F.lit(100.0), F.lit(0.0)),
+        f"std_{w}": F.coalesce(std_from_moments(n, s, F.col(f"ss_{w}")), F.lit(0.0)),
+    }
+
+
+def _summarise(totals: DataFrame, keys: Sequence[str], windows: Sequence[int]) -> DataFrame:
+    """Counts and statistics per (entity, time), worked out before any row is joined to them."""
+    made = {}
+    for w in windows:
+        made.update(_statistics(w))
+    return totals.select(*keys, "prev_time", *[f"n_{w}" for w in windows], *[v.alias(k) for k, v in made.items()])
+
+
 def _history_table(df, entity, other, time, cents, windows, span):
     """One row per (entity, other, time) with every window total; rows are joined to it once."""
     entity, other = list(entity), list(other)
@@ -176,9 +219,9 @@ def _history_table(df, entity, other, time, cents, windows, span):
     buckets = pairs.groupBy(*entity, time).agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx")
     )
-    totals = range_windows(buckets, entity, time, windows, span=span)
-    totals = previous_time(totals, entity, time, span or 4096).drop("n", "s", "ss", "mx")
-    distinct = window_distinct(pairs, entity, other, time, windows, span or 4096)
+    totals = range_windows(buckets, entity, time, windows, span=span, previous=True)
+    totals = _summarise(totals, [*entity, time], windows)
+    distinct = window_distinct(pairs, entity, other, time, windows, span or 4096, unique=True, asks=buckets)
     pair_totals = range_windows(pairs.select(*entity, *other, time, F.col("n")), [*entity, *other], time, windows, ["n"], span)
     pair_totals = pair_totals.select(*entity, *other, time, *[F.col(f"n_{w}").alias(f"pair_{w}") for w in windows])
     return pair_totals.join(totals, [*entity, time]).join(distinct, [*entity, time])
@@ -207,18 +250,16 @@ def range_history_exact(
         "day_index": day_index(F.col(time)),
         "recency": F.coalesce(F.col(time) - F.col("prev_time"), F.lit(-1)).cast("int"),
     }
+    zero = F.lit(0.0)
     for w in windows:
-        n, s, ss = F.col(f"n_{w}"), F.col(f"s_{w}"), F.col(f"ss_{w}")
-        mean = F.coalesce(F.try_divide(s.cast("double"), F.lit(100.0) * n), F.lit(0.0))
-        out[f"count_{w}"] = F.coalesce(n, F.lit(0)).cast("bigint")
+        mean = F.coalesce(f"mean_{w}", zero)
+        out[f"count_{w}"] = F.coalesce(f"n_{w}", F.lit(0)).cast("bigint")
         out[f"mean_{w}"] = mean
-        out[f"max_{w}"] = F.coalesce(F.col(f"mx_{w}") / F.lit(100.0), F.lit(0.0))
-        out[f"std_{w}"] = F.coalesce(std_from_moments(n, s, ss), F.lit(0.0))
+        out[f"max_{w}"] = F.coalesce(f"max_{w}", zero)
+        out[f"std_{w}"] = F.coalesce(f"std_{w}", zero)
         out[f"distinct_{w}"] = F.coalesce(f"distinct_{w}", F.lit(0)).cast("bigint")
         out[f"pair_{w}"] = F.coalesce(f"pair_{w}", F.lit(0)).cast("bigint")
-        out[f"ratio_{w}"] = (
-            F.coalesce(ratio_offset(amount, mean), F.lit(0.0)) if ratio == "offset" else ratio_or_zero(amount, mean)
-        )
+        out[f"ratio_{w}"] = F.coalesce(ratio_offset(amount, mean), zero) if ratio == "offset" else ratio_or_zero(amount, mean)
     return joined.select(*df.columns, *[v.alias(k) for k, v in out.items()])
 
 
@@ -336,20 +377,21 @@ def merchant_history(
     buckets = pairs.groupBy(merchant, time).agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx")
     )
-    totals = range_windows(buckets, [merchant], time, used, span=span)
-    totals = previous_time(totals, [merchant], time, span or 4096).drop("n", "s", "ss", "mx")
-    table = totals.join(window_distinct(pairs, [merchant], [customer], time, used, span or 4096), [merchant, time])
+    totals = range_windows(buckets, [merchant], time, used, span=span, previous=True)
+    totals = _summarise(totals, [merchant, time], used)
+    distinct = window_distinct(pairs, [merchant], [customer], time, used, span or 4096, unique=True, asks=buckets)
+    table = totals.join(distinct, [merchant, time])
     joined = df.join(table, [merchant, time], "left")
     amount = F.col(cents) / F.lit(100.0)
     out = {}
+    zero = F.lit(0.0)
     for w, r in reach.items():
-        n = F.col(f"n_{r}")
-        mean = F.coalesce(F.try_divide(F.col(f"s_{r}").cast("double"), F.lit(100.0) * n), F.lit(0.0))
-        out[f"h{w}_count"] = F.coalesce(n, F.lit(0)).cast("bigint")
+        mean = F.coalesce(f"mean_{r}", zero)
+        out[f"h{w}_count"] = F.coalesce(f"n_{r}", F.lit(0)).cast("bigint")
         out[f"h{w}_customers"] = F.coalesce(f"distinct_{r}", F.lit(0)).cast("bigint")
         out[f"h{w}_mean"] = mean
-        out[f"h{w}_max"] = F.coalesce(F.col(f"mx_{r}") / F.lit(100.0), F.lit(0.0))
-        out[f"h{w}_std"] = F.coalesce(std_from_moments(n, F.col(f"s_{r}"), F.col(f"ss_{r}")), F.lit(0.0))
+        out[f"h{w}_max"] = F.coalesce(f"max_{r}", zero)
+        out[f"h{w}_std"] = F.coalesce(f"std_{r}", zero)
         out[f"h{w}_ratio"] = ratio_or_zero(amount, mean)
     gap = F.col(time) - F.col("prev_time")
     if mode == "HS":

@@ -162,7 +162,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
-        build().write.parquet(path, compression="zstd")
+        files = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        build().repartition(files).write.parquet(path, compression="zstd")
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

@@ -15,6 +15,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SMALL_ROWS = 100_000
+
+
+def settle(small: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A per-group table (cut-offs, thresholds, positions), worked out once and size-checked.
+
+    Joining rows to it on a few group keys would otherwise shuffle all rows onto those keys. Up to
+    ``limit`` rows it becomes a local table that is broadcast; a larger one is handed back as it
+    was and joined by shuffle.
+    """
+    rows = small.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return small
+    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+
+
 def default_ranges(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 

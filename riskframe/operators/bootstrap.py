@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.prefix import running, value_edges, with_range
+from riskframe.functions.prefix import running, settle, value_edges, with_range
 from riskframe.functions.scalars import hash_draw, review_slots, safe_divide
 from riskframe.operators.splits import time_grid
 
@@ -71,7 +71,7 @@ def draw_fingerprint(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_position(df: DataFrame, positions: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
-    return df.join(positions.drop("groups"), [*keys, time])
+    return df.join(settle(positions.drop("groups")), [*keys, time])
 
 
 def population(df: DataFrame, mult: DataFrame, draw_keys: Sequence[str], keys: Sequence[str], label: str) -> DataFrame:

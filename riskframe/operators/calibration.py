@@ -15,6 +15,7 @@ from riskframe.functions.prefix import (
     ordered_quantiles,
     quantile_columns,
     running,
+    settle,
     value_edges,
     with_range,
 )
@@ -75,8 +76,8 @@ def reliability_bins(df: DataFrame, keys: Sequence[str], score: str, label: str,
     Bins are closed on the left, the last one on both sides. Uniform bins are all listed;
     quantile bins only where filled, after equal edges are merged.
     """
-    if bins < 2:
-        raise ValueError("at least two bins")
+    if bins < 2 or not keys:
+        raise ValueError("at least two bins and one key column")
     keys = list(keys)
     bounded = df.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))))
     levels = score_levels(bounded, keys, "_p", label)
@@ -88,7 +89,7 @@ def reliability_bins(df: DataFrame, keys: Sequence[str], score: str, label: str,
     elif method == "quantile":
         found = ordered_quantiles(bounded, keys, "_p", [i / bins for i in range(bins + 1)])
         cut = found.groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("_edges"))
-        joined = levels.join(cut, keys) if keys else levels.join(F.broadcast(cut))
+        joined = levels.join(settle(cut), keys)
         inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
         marked = joined.withColumn("bin_id", F.size(F.filter(inner, lambda e: e <= F.col("_p"))))
     else:
@@ -100,8 +101,7 @@ def reliability_bins(df: DataFrame, keys: Sequence[str], score: str, label: str,
         F.sum(F.col("_p") * F.col("n")).alias("_sum"),
     )
     if method == "uniform":
-        grid = summed.select(*keys).distinct() if keys else summed.agg(F.max("bin_id").alias("_any"))
-        grid = grid.withColumn("bin_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).drop("_any")
+        grid = summed.select(*keys).distinct().withColumn("bin_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
         summed = grid.join(summed, [*keys, "bin_id"], "left").withColumn("_edges", F.array(*[F.lit(e) for e in edges]))
     count = F.coalesce("sample_count", F.lit(0))
     upper = F.try_element_at("_edges", F.col("bin_id") + 2)
@@ -167,7 +167,7 @@ def tie_statistics(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
 def boundary_percentile(df: DataFrame, keys: Sequence[str], raw: str, selected: str) -> DataFrame:
     """Share of rows whose raw score is at most the lowest selected one; 1 if none is selected."""
     keys = list(keys)
-    low = df.where(F.col(selected) == 1).groupBy(*keys).agg(F.min(raw).alias("_low"))
+    low = settle(df.where(F.col(selected) == 1).groupBy(*keys).agg(F.min(raw).alias("_low")))
     under = (F.col(raw) <= F.col("_low")).cast("double")
     return df.join(low, keys, "left").groupBy(*keys).agg(F.coalesce(F.avg(under), F.lit(1.0)).alias("boundary_percentile"))
 
@@ -294,7 +294,7 @@ def evaluate_branch(
     are null for methods outside ``tie_methods``.
     """
     keys = list(keys)
-    chosen = optimize_threshold(validation, keys, score, label, fn_cost, fp_cost, max_alert_rate=capacity)
+    chosen = settle(optimize_threshold(validation, keys, score, label, fn_cost, fp_cost, max_alert_rate=capacity))
     report = confusion(apply_threshold(test, score, chosen, keys), keys, label, F.col("alert") == 1)
     kept = {k: v for k, v in rates(fn_cost, fp_cost).items() if k in ("precision", "recall", "f1", "alert_rate")}
     out = report.withColumns(kept).withColumns(cost_fields(fn_cost, fp_cost)).withColumns(

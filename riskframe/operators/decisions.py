@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.prefix import hash_range, rank_rows, rank_within, value_edges, with_range
+from riskframe.functions.prefix import hash_range, rank_rows, rank_within, settle, value_edges, with_range
 from riskframe.functions.scalars import hash_priority, review_slots, safe_divide
 from riskframe.operators.metrics import EPS, score_curve
 
@@ -107,7 +107,7 @@ def threshold_grid(
 
 def apply_threshold(df: DataFrame, score: str, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Alert where the score reaches the key's (possibly transferred) threshold."""
-    cut = thresholds.select(*keys, F.col("threshold").alias("_cut"))
+    cut = settle(thresholds.select(*keys, F.col("threshold").alias("_cut")))
     return df.join(cut, list(keys)).withColumn("alert", (F.col(score) >= F.col("_cut")).cast("int")).drop("_cut")
 
 
@@ -152,6 +152,7 @@ def capacity_profile(
     )
     if identity is None:
         return profile
+    profile = settle(profile)
     cut = profile.select(*keys, "q", F.col("boundary_score").alias(score), "remaining")
     members = _with_id_range(df, identity).join(cut, [*keys, score])
     ranked = rank_within(members, [*keys, "q"], [identity], "_id_range")
@@ -183,11 +184,13 @@ def fixed_capacity(
     keys = list(keys)
     ranged = _with_id_range(df, identity)
     if ranks:
-        slots = df.groupBy(*keys).agg(review_slots(F.count("*"), q).alias("_k"))
+        slots = settle(df.groupBy(*keys).agg(review_slots(F.count("*"), q).alias("_k")))
         out = rank_rows(ranged, keys, score, identity, "_id_range").join(slots, keys)
         return out.withColumn("selected", (F.col("score_rank") <= F.col("_k")).cast("int")).drop("_k", "_id_range")
-    cut = _boundary(df, keys, score, label, [q]).select(
-        *keys, F.col(score).alias("_cut"), (F.col("k") - F.col("before_n")).alias("_remaining")
+    cut = settle(
+        _boundary(df, keys, score, label, [q]).select(
+            *keys, F.col(score).alias("_cut"), (F.col("k") - F.col("before_n")).alias("_remaining")
+        )
     )
     return _resolve(ranged.join(cut, keys), keys, score, [identity], "_id_range").drop("_id_range")
 
@@ -206,8 +209,10 @@ def hash_priority_capacity(
     """As ``fixed_capacity``, with ties broken by a label-free hash of the id, then the id."""
     keys = list(keys)
     digest = df.withColumn("_digest", hash_priority(prefix, F.col(identity)))
-    cut = _boundary(df, keys, score, label, [q]).select(
-        *keys, F.col(score).alias("_cut"), (F.col("k") - F.col("before_n")).alias("_remaining")
+    cut = settle(
+        _boundary(df, keys, score, label, [q]).select(
+            *keys, F.col(score).alias("_cut"), (F.col("k") - F.col("before_n")).alias("_remaining")
+        )
     )
     ranged = digest.withColumn("_hash_range", hash_range(F.col("_digest"))).join(cut, keys)
     return _resolve(ranged, keys, score, ["_digest", identity], "_hash_range").drop("_digest", "_hash_range")
@@ -230,7 +235,7 @@ def priority_trials(
     so all models meet the same order.
     """
     keys = list(keys)
-    profile = capacity_profile(df, keys, score, label, qs)
+    profile = settle(capacity_profile(df, keys, score, label, qs))
     cut = profile.where(F.col("split_tie") == 1).select(*keys, "q", F.col("boundary_score").alias(score), "remaining")
     members = df.join(cut, [*keys, score]).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("trial"), *[F.col(c) for c in shared], F.col(identity)), 256)
@@ -254,15 +259,17 @@ def bayes_capacity(
         raise ValueError("threshold and capacity must lie in (0, 1]")
     keys = list(keys)
     share = Fraction(str(q))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn(
-        "_limit", F.call_function("div", F.col("_rows") * F.lit(share.numerator), F.lit(share.denominator).cast("bigint"))
+    sizes = settle(
+        df.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn(
+            "_limit", F.call_function("div", F.col("_rows") * F.lit(share.numerator), F.lit(share.denominator).cast("bigint"))
+        )
     )
     candidates = df.where(F.col(score) >= F.lit(threshold))
     curve = score_curve(candidates, keys, score, label).join(sizes, keys)
     ends = curve.where((F.col("before_n") < F.col("_limit")) & (F.col("_limit") < F.col("alerts")))
     cut = ends.select(*keys, F.col(score).alias("_cut"), (F.col("_limit") - F.col("before_n")).alias("_room"))
     exact = curve.where(F.col("alerts") <= F.col("_limit")).groupBy(*keys).agg(F.min(score).alias("_low"))
-    placed = candidates.join(cut, keys, "left").join(exact, keys, "left")
+    placed = candidates.join(settle(cut), keys, "left").join(settle(exact), keys, "left")
     tied = placed.where(F.col(score) == F.col("_cut"))
     ranked = rank_rows(_with_id_range(tied, identity), keys, raw, identity, "_id_range", "_rank")
     inside = ranked.where(F.col("_rank") <= F.col("_room")).select(*df.columns)

@@ -13,7 +13,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.prefix import quantile_columns, rank_within
+from riskframe.functions.prefix import quantile_columns, rank_within, settle
 from riskframe.functions.scalars import finite_or_null
 
 # Codes of missing and unknown categories, and the reserved missing marker.
@@ -30,8 +30,9 @@ def category_index(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def apply_index(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by its code; a small vocabulary is broadcast by the optimizer, a large one is not."""
+    """Replace each column by its code; a vocabulary is broadcast only while its checked size is small."""
     out = df
+    vocabulary = settle(vocabulary)
     for c in columns:
         words = vocabulary.where(F.col("feature") == c).select(F.col("value").alias(f"_{c}"), F.col("code").alias(f"_{c}_code"))
         out = out.withColumn(f"_{c}", F.col(c).cast("string")).join(words, f"_{c}", "left")

@@ -20,8 +20,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
-        # Small shuffles here feed expanding work (draws, trials), so keep their parallelism.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,7 +8,7 @@ integers over 1000, raised for positives, so that ties and both clipping bounds
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.scalars import clip_score, hash_draw, platt_score
@@ -27,12 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def since_start(ts: Column) -> Column:
+    """Whole seconds since 2024-01-01, whatever the session's time zone."""
+    return F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)
     return e.select(
         F.col("event_id").alias("id"),
-        (F.floor(seconds / F.lit(3600)) + 1).cast("int").alias("step"),
+        (F.floor(since_start(F.col("ts")) / F.lit(3600)) + 1).cast("int").alias("step"),
         F.col("user_id").alias("recipient"),
         F.get_json_object("props", "$.k").cast("bigint").alias("origin"),
         F.col("event_type").alias("type"),
@@ -56,7 +60,7 @@ def card(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("id"),
-        (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)).cast("bigint").alias("t"),
+        since_start(F.col("ts")).cast("bigint").alias("t"),
         F.col("user_id").alias("card1"),
         F.when(k % 10 != 0, k % 4).alias("card2"),
         F.when(k % 7 != 0, F.col("event_type")).alias("category"),

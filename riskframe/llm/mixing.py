@@ -8,7 +8,8 @@ source, so a source misses its target by less than the words of its one last doc
 
 The trades run as a reduction tree. Documents are dealt by a hash of their row into chunks of about
 ``CHUNK`` within their source, each chunk is folded to one undecided document, and these go up to
-the next level until one per source is left. No chunk grows with its source.
+the next level until one per source is left. No chunk grows with its source. A chunk is folded from
+long to short texts, so that long ones trade with their like and the last one is mostly short.
 
 Null sources form a source of their own, ordered last. Null texts and texts without a word have
 size 0 and take nothing. Rows that agree in id, source and size are decided together. An empty table
@@ -103,8 +104,8 @@ def mix_sources(
         c = counts.select(F.col("source").alias("s"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
         dealt = left.join(c, left["source"].eqNullSafe(c["s"])).drop("s").withColumn("tag", tag)
         dealt = dealt.withColumn("u", F.pmod(F.xxhash64("tag", F.lit(seed + 1)), F.lit(1 << 53)) / F.lit(float(1 << 53)))
-        item = F.struct("tag", "doc_id", "size", "m", "w", "p", "u")
-        folded = dealt.groupBy("source", F.pmod("tag", "chunks").alias("chunk")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+        item = F.struct("w", "tag", "doc_id", "size", "m", "p", "u")
+        folded = dealt.groupBy("source", F.pmod("tag", "chunks").alias("chunk")).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
         folded = stored(folded.select("source", F.expr(_TRADE).alias("r")), f"mix-level{level}")
         decided.append(folded.select("source", F.explode("r.done").alias("d")).select("source", "d.doc_id", "d.size", "d.m", "d.up"))
         left = folded.select("source", "r.doc_id", "r.size", "r.m", "r.w", "r.p")

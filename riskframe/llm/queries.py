@@ -6,8 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm.common import table
 from riskframe.llm.exact_dedup import duplicate_groups
+from riskframe.llm.html_text import extract_pages
 from riskframe.llm.mixing import mix_sources
+from riskframe.llm.pieces import token_digests
 from riskframe.llm.sharding import shard_documents
+from riskframe.llm.token_counts import token_counts
+
+
+def piece_model() -> str:
+    """Place of the vocabulary file; it is installed with the workers and never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +29,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -23,7 +41,11 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_exact_dedup, op8_kd_shards)}
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), piece_model())
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_kd_shards, op9_pieces)}
 
 ORACLES = {
     "op7_exact_dedup": """

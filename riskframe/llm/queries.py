@@ -10,6 +10,7 @@ from riskframe.llm.html_text import extract_pages
 from riskframe.llm.mixing import mix_sources
 from riskframe.llm.pieces import token_digests
 from riskframe.llm.sharding import shard_documents
+from riskframe.llm.simhash import near_duplicates
 from riskframe.llm.token_counts import token_counts
 
 
@@ -24,6 +25,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -45,7 +50,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_kd_shards, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op4_simhash, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_kd_shards, op9_pieces)}
 
 ORACLES = {
     "op7_exact_dedup": """

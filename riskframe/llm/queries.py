@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskframe.llm.common import table
 from riskframe.llm.exact_dedup import duplicate_groups
 from riskframe.llm.html_text import extract_pages
+from riskframe.llm.maxscore import top_k
 from riskframe.llm.mixing import mix_sources
 from riskframe.llm.pieces import token_digests
 from riskframe.llm.sharding import shard_documents
@@ -25,6 +26,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,9 +55,21 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op4_simhash, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_kd_shards, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_maxscore, op4_simhash, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_kd_shards, op9_pieces)}
 
 ORACLES = {
+    "op3_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskframe.llm.common import table
+from riskframe.llm.common import crc_fold, table
 from riskframe.llm.exact_dedup import duplicate_groups
 from riskframe.llm.html_text import extract_pages
 from riskframe.llm.maxscore import top_k
 from riskframe.llm.mixing import mix_sources
 from riskframe.llm.pieces import token_digests
+from riskframe.llm.quality import fit_quality, score_quality
 from riskframe.llm.sharding import shard_documents
 from riskframe.llm.simhash import near_duplicates
 from riskframe.llm.token_counts import token_counts
+from riskframe.llm.toxicity import fit_toxicity, flag_by_language, score_toxicity
 
 
 def piece_model() -> str:
@@ -26,6 +29,13 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = fit_quality(docs, table(spark, sf_dir, "labels"), learn=crc_fold("doc_id", 4) != 2)
+    scored = score_quality(docs.select("doc_id", "text"), net)
+    return scored.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -55,7 +65,15 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_maxscore, op4_simhash, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_kd_shards, op9_pieces)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_fold("doc_id", 5)
+    net, thresholds = fit_toxicity(docs, table(spark, sf_dir, "labels"), learn=fold.isin(2, 3, 4), calibrate=fold == 1)
+    scored = flag_by_language(score_toxicity(docs.select("doc_id", "text", "lang"), net), thresholds)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", predicted, "lang_threshold", "flagged")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality, op3_maxscore, op4_simhash, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_kd_shards, op9_pieces, op10_toxicity)}
 
 ORACLES = {
     "op3_maxscore": """

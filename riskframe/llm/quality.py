@@ -28,7 +28,7 @@ CHUNK, OVERLAP = 256, 64
 WIDTH, STRIDE = 8, 4
 FILTERS, HIDDEN = 16, 8
 PER_CLASS, FIT_BYTES = 2_000, 16_384
-EPOCHS, BATCH, RATE, SEED = 10, 32, 0.01, 11
+STEPS, BATCH, RATE, SEED = 1_100, 32, 0.01, 11
 _PLACES = (CHUNK - WIDTH) // STRIDE + 1
 _FLOOR = np.float32(-4.0)
 
@@ -134,25 +134,21 @@ class Network:
         return [d_table, d_best.sum(axis=0), d_w1, d_b1, d_w2, d_b2]
 
 
-def fit(texts: list[bytes], labels: list[int], share: float, seed: int = SEED, epochs: int = EPOCHS) -> Network:
-    """Adam over batches in a seeded order; the classes weigh as in the population (``share`` good)."""
+def fit(texts: list[bytes], labels: list[int], share: float, seed: int = SEED, steps: int = STEPS) -> Network:
+    """Adam in as many batches for any sample, in a seeded order; the classes weigh as in the population (``share`` good)."""
     net, rng = Network(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)).astype(np.float32)
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
-    t = 0
-    steps = epochs * -(-len(texts) // BATCH)
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            t += 1
-            rate = RATE * (1 - t / (steps + 1))
-            for w, g, m, v in zip(net.weights(), net.step([texts[i] for i in pick], y[pick], weight[pick]), first, second):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    order = np.concatenate([rng.permutation(len(texts)) for _ in range(-(-steps * BATCH // len(texts)))])
+    for t in range(1, steps + 1):
+        pick = order[(t - 1) * BATCH : t * BATCH]
+        rate = RATE * (1 - t / (steps + 1))
+        for w, g, m, v in zip(net.weights(), net.step([texts[i] for i in pick], y[pick], weight[pick]), first, second):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return net
 
 

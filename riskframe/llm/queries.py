@@ -67,7 +67,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_fold("doc_id", 5)
-    net, thresholds = fit_toxicity(docs, table(spark, sf_dir, "labels"), learn=fold.isin(2, 3, 4), calibrate=fold == 1)
+    net, thresholds = fit_toxicity(docs, table(spark, sf_dir, "labels"), learn=fold != 0)
     scored = flag_by_language(score_toxicity(docs.select("doc_id", "text", "lang"), net), thresholds)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", predicted, "lang_threshold", "flagged")

@@ -28,7 +28,11 @@ BUCKETS, DIM = 1 << 15, 12
 WIDTHS, PER_WIDTH = (1, 2, 3), 8
 FILTERS = len(WIDTHS) * PER_WIDTH
 PER_CLASS, FIT_BYTES = 1_500, 16_384
-EPOCHS, BATCH, RATE, SEED = 5, 16, 0.1, 5
+STEPS, BATCH, RATE, SEED = 600, 16, 0.1, 5
+#: Buckets met in fewer documents of the sample stay 0, so that no document is learned by its rare words.
+LEAST = 2
+#: One in so many documents of the sample is kept from the fit, for the thresholds.
+KEPT = 8
 #: Words whose filter parts one worker remembers; beyond it starts afresh.
 REMEMBERED = 400_000
 #: Words of texts that are scored together.
@@ -54,7 +58,7 @@ class Network:
 
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.embedding = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
+        self.embedding = (rng.standard_normal((BUCKETS, DIM)) * 0.05).astype(np.float32)
         self.filters = [(rng.standard_normal((w, DIM, PER_WIDTH)) * 0.4).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(FILTERS, np.float32)
         self.out = (rng.standard_normal(FILTERS) * 0.3).astype(np.float32)
@@ -157,8 +161,20 @@ class Network:
         return (places, sums), grads
 
 
-def fit(texts: list[str], labels: list[int], share: float, seed: int = SEED, epochs: int = EPOCHS) -> Network:
-    """Adagrad over batches in a seeded order; the classes weigh as in the population (``share`` toxic)."""
+def evidence(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Where the first dimension starts: by how many deviations a bucket's documents are more toxic than chance, damped."""
+    positive = np.zeros(BUCKETS)
+    total = np.zeros(BUCKETS)
+    for own, label in zip(rows, labels):
+        met = np.unique(own)
+        total[met] += 1
+        positive[met] += label
+    share = labels.mean()
+    return (np.clip((positive - total * share) / np.sqrt((total + 1) * share * (1 - share) + 1e-9), -8, 8) / 4).astype(np.float32)
+
+
+def fit(texts: list[str], labels: list[int], share: float, seed: int = SEED, steps: int = STEPS) -> Network:
+    """Adagrad in as many batches for any sample, in a seeded order; the classes weigh as in the population (``share`` toxic)."""
     net, rng = Network(seed), np.random.default_rng(seed)
     known: dict[bytes, list[int]] = {}
     rows = []
@@ -170,17 +186,22 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = SEED, epo
         rows.append(np.array([known[w] for w in own], np.int64).reshape(-1, 4))
     y = np.array(labels, np.float32)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)).astype(np.float32)
-    seen = [np.full_like(w, 1e-6) for w in net.weights()]
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            (places, sums), grads = net.step([rows[i] for i in pick], y[pick], weight[pick])
-            seen[0][places] += sums * sums
-            net.embedding[places] -= RATE * sums / np.sqrt(seen[0][places])
-            for w, g, s in zip(net.weights()[1:], grads, seen[1:]):
-                s += g * g
-                w -= RATE * g / np.sqrt(s)
+    held = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=BUCKETS) >= LEAST
+    net.embedding[~held] = 0
+    net.embedding[:, 0] = np.where(held, evidence(rows, y), 0)
+    for f in net.filters:
+        f[:, 0, :] = np.abs(f[:, 0, :])
+    seen = [np.full_like(w, 1e-2 if w is net.embedding else 1e-6) for w in net.weights()]
+    order = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-steps * BATCH // len(rows)))])
+    for t in range(steps):
+        pick = order[t * BATCH : (t + 1) * BATCH]
+        (places, sums), grads = net.step([rows[i] for i in pick], y[pick], weight[pick])
+        places, sums = places[held[places]], sums[held[places]]
+        seen[0][places] += sums * sums
+        net.embedding[places] -= RATE * sums / np.sqrt(seen[0][places])
+        for w, g, s in zip(net.weights()[1:], grads, seen[1:]):
+            s += g * g
+            w -= RATE * g / np.sqrt(s)
     return net
 
 
@@ -197,20 +218,20 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column, label_column: str = "toxic", per_class: int = PER_CLASS
+    docs: DataFrame, labels: DataFrame, learn: Column, label_column: str = "toxic", per_class: int = PER_CLASS
 ) -> tuple[Network | float, dict[str, float]]:
-    """Network (or a constant) fitted on labels that ``learn`` admits, and thresholds by language on those of ``calibrate``."""
+    """Network (or a constant) fitted on labels that ``learn`` admits, and thresholds by language on those kept from the fit."""
     known = labels.where(learn & F.col(label_column).isin(0, 1)).agg(F.count("*").alias("n"), F.avg(label_column).alias("share")).first()
     if not known["n"]:
         return 0.0, {}
-    rows = labelled_sample(docs, labels, label_column, learn, per_class, FIT_BYTES)
-    y = [r["label"] for r in rows]
-    if len(set(y)) < 2:
+    rows = labelled_sample(docs, labels, label_column, learn, per_class, FIT_BYTES, ("text", "lang"))
+    kept = [r for r in rows if zlib.crc32(b"kept %d" % r["k"]) % KEPT == 0]
+    used = [r for r in rows if zlib.crc32(b"kept %d" % r["k"]) % KEPT != 0]
+    if len({r["label"] for r in used}) < 2:
         return float(known["share"]), {}
-    net = fit([r["text"] for r in rows], y, float(known["share"]))
-    seen = labelled_sample(docs, labels, label_column, calibrate, per_class // 2, FIT_BYTES, ("text", "lang"))
-    scores, truth = net.scores([r["text"] for r in seen]), np.array([r["label"] for r in seen])
-    by = {lang: np.array([r["lang"] == lang for r in seen]) for lang in {r["lang"] for r in seen} if lang is not None}
+    net = fit([r["text"] for r in used], [r["label"] for r in used], float(known["share"]))
+    scores, truth = net.scores([r["text"] for r in kept]), np.array([r["label"] for r in kept], np.int64)
+    by = {lang: np.array([r["lang"] == lang for r in kept]) for lang in {r["lang"] for r in kept} if lang is not None}
     return net, {lang: best_threshold(scores[own], truth[own]) for lang, own in sorted(by.items())}
 
 

@@ -32,9 +32,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest doc_id."""
-    stays = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs["doc_id"] == stays["_stays"], "left_semi")
+    """Of near duplicates the document with the smallest doc_id (null ids stay only where a group has no other)."""
+    stays = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

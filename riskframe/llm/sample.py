@@ -26,6 +26,6 @@ def labelled_sample(
     order = F.xxhash64("k", F.lit(2))
     parts = [known.where(F.col("label") == y).orderBy(order, "k").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]).dropDuplicates(["k"]))
-    fit = docs.where(F.octet_length("text") <= max_bytes).join(chosen, F.col(id_column) == chosen["k"])
-    found = fit.select(*columns, "label", "k").limit(4 * per_class).collect()
+    fit = docs.where(F.octet_length("text") <= max_bytes).select(F.col(id_column).alias("k"), *columns)
+    found = fit.join(chosen, "k").limit(4 * per_class).collect()
     return sorted(found, key=lambda r: (r["k"], r["text"]))

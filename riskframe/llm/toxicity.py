@@ -207,7 +207,7 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = SEED, ste
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     """Threshold of the best F1; 0.5 without both classes."""
-    if labels.min(initial=1) == labels.max(initial=0):
+    if len(set(labels.tolist())) < 2:
         return 0.5
     order = np.argsort(-scores, kind="stable")
     hits = np.cumsum(labels[order])

@@ -14,21 +14,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import scratch_path
 
-SMALL_ROWS = 100_000
+def settle(table: DataFrame) -> DataFrame:
+    """A per-group table (cut-offs, thresholds, positions), worked out once and written to shared storage.
 
-
-def settle(small: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """A per-group table (cut-offs, thresholds, positions), worked out once and size-checked.
-
-    Joining rows to it on a few group keys would otherwise shuffle all rows onto those keys. Up to
-    ``limit`` rows it becomes a local table that is broadcast; a larger one is handed back as it
-    was and joined by shuffle.
+    Its readers do not repeat its work, and its files tell the optimizer its size in bytes: small
+    ones are broadcast by the session's threshold, larger ones are joined by shuffle, where adaptive
+    execution splits hot groups.
     """
-    rows = small.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return small
-    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+    path = scratch_path(table.sparkSession, "group")
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def default_ranges(df: DataFrame) -> int:

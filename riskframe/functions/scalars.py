@@ -51,8 +51,23 @@ def cast_matrix(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: finite_or_null(F.col(c).cast("float")) for c in columns})
 
 
+def defined(score: Column) -> Column:
+    """True for finite numbers; false, never null, for null, NaN and the infinities."""
+    return F.coalesce(~(F.isnan(score) | (F.abs(score) == F.lit(float("inf")))), F.lit(False))
+
+
+def checked_score(score: Column) -> Column:
+    """The score; an undefined one is an error, since no ranking or probability holds it."""
+    return F.when(defined(score), score).otherwise(F.raise_error(F.lit("undefined score: null, NaN or infinite")).cast("double"))
+
+
+def bounded(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """The score moved into [low, high]; undefined scores become null, never a bound."""
+    return F.when(defined(score), F.greatest(F.lit(low), F.least(F.lit(high), score)))
+
+
 def clip_score(score: Column, bound: float = CLIP) -> Column:
-    return F.greatest(F.lit(bound), F.least(F.lit(1.0 - bound), score))
+    return bounded(score, bound, 1.0 - bound)
 
 
 def logit(probability: Column) -> Column:

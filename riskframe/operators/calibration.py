@@ -19,7 +19,7 @@ from riskframe.functions.prefix import (
     value_edges,
     with_range,
 )
-from riskframe.functions.scalars import CLIP, clip_score, logit, platt_score, safe_divide
+from riskframe.functions.scalars import CLIP, bounded, clip_score, logit, platt_score, safe_divide
 from riskframe.operators.decisions import apply_threshold, bayes_capacity, operating_points, optimize_threshold
 from riskframe.operators.metrics import (
     EPS,
@@ -63,8 +63,7 @@ def isotonic_fit(df: DataFrame, score: str, label: str):
 
 def isotonic_apply(model, df: DataFrame, output: str = "isotonic") -> DataFrame:
     out = model.transform(df)
-    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("isotonic")))
-    return out.withColumn(output, bounded)
+    return out.withColumn(output, bounded(F.col("isotonic")))
 
 
 # ---- reliability -------------------------------------------------------------------------------
@@ -79,15 +78,15 @@ def reliability_bins(df: DataFrame, keys: Sequence[str], score: str, label: str,
     if bins < 2 or not keys:
         raise ValueError("at least two bins and one key column")
     keys = list(keys)
-    bounded = df.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))))
-    levels = score_levels(bounded, keys, "_p", label)
+    inside = df.withColumn("_p", bounded(F.col(score)))
+    levels = score_levels(inside, keys, "_p", label)
     if method == "uniform":
         step = 1.0 / bins
         edges = [i * step for i in range(bins)] + [1.0]
         index = sum(((F.col("_p") >= F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
         marked = levels.withColumns({"bin_id": index, "_edges": F.array(*[F.lit(e) for e in edges])})
     elif method == "quantile":
-        found = ordered_quantiles(bounded, keys, "_p", [i / bins for i in range(bins + 1)])
+        found = ordered_quantiles(inside, keys, "_p", [i / bins for i in range(bins + 1)])
         cut = found.groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("_edges"))
         joined = levels.join(settle(cut), keys)
         inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
@@ -138,15 +137,15 @@ def ece(df, keys, score, label, method: str = "uniform", bins: int = 10) -> Data
 def probability_metrics(df: DataFrame, keys: Sequence[str], score: str, label: str, ap: bool = True) -> DataFrame:
     """Brier score, log loss under one clip, and AP."""
     keys = list(keys)
-    bounded = df.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))))
-    levels = score_levels(bounded, keys, "_p", label)
+    inside = df.withColumn("_p", bounded(F.col(score)))
+    levels = score_levels(inside, keys, "_p", label)
     p, pos, neg = F.col("_p"), F.col("pos"), F.col("n") - F.col("pos")
     clipped = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))
     out = levels.groupBy(*keys).agg(
         (F.sum(pos * (1 - p) * (1 - p) + neg * p * p) / F.sum("n")).alias("brier"),
         (-F.sum(pos * F.ln(clipped) + neg * F.ln(1 - clipped)) / F.sum("n")).alias("log_loss"),
     )
-    return out.join(average_precision(bounded, keys, "_p", label), keys) if ap else out
+    return out.join(average_precision(inside, keys, "_p", label), keys) if ap else out
 
 
 def tie_statistics(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:

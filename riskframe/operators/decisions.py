@@ -1,4 +1,9 @@
-"""Alert decisions under cost and review capacity, exact down to the tie at the boundary."""
+"""Alert decisions under cost and review capacity, exact down to the tie at the boundary.
+
+Undefined scores (null, NaN, infinite): choosing a threshold or profiling a capacity raises an error.
+A decision on rows keeps such rows, never alerts on them, and gives them no part of the review budget;
+``invalid_scores`` counts them.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.prefix import hash_range, rank_rows, rank_within, settle, value_edges, with_range
-from riskframe.functions.scalars import hash_priority, review_slots, safe_divide
+from riskframe.functions.scalars import bounded, defined, hash_priority, review_slots, safe_divide
 from riskframe.operators.metrics import EPS, score_curve
 
 
 def operating_points(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """Every distinct threshold with its counts, and the point that alerts on nothing."""
     keys = list(keys)
-    bounded = df.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))))
-    curve = score_curve(bounded, keys, "_p", label)
+    curve = score_curve(df.withColumn("_p", bounded(F.col(score))), keys, "_p", label)
     cuts = curve.select(
         *keys, F.col("_p").alias("threshold"), "alerts", "tp", F.col("total_n").alias("rows"), F.col("total_pos").alias("positives")
     )
@@ -108,7 +112,13 @@ def threshold_grid(
 def apply_threshold(df: DataFrame, score: str, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Alert where the score reaches the key's (possibly transferred) threshold."""
     cut = settle(thresholds.select(*keys, F.col("threshold").alias("_cut")))
-    return df.join(cut, list(keys)).withColumn("alert", (F.col(score) >= F.col("_cut")).cast("int")).drop("_cut")
+    alert = (defined(F.col(score)) & (F.col(score) >= F.col("_cut"))).cast("int")
+    return df.join(cut, list(keys)).withColumn("alert", alert).drop("_cut")
+
+
+def invalid_scores(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """Rows, and rows with an undefined score, per key."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(~defined(F.col(score))).alias("invalid"))
 
 
 def _boundary(df: DataFrame, keys: Sequence[str], score: str, label: str, qs: Sequence[float]) -> DataFrame:
@@ -179,25 +189,32 @@ def fixed_capacity(
 ) -> DataFrame:
     """Select exactly ceil(qN) rows by score descending, id ascending.
 
-    Only the rows of the boundary tie are ranked, unless full ``score_rank`` is asked for.
+    Only the rows of the boundary tie are ranked, unless full ``score_rank`` is asked for. N counts
+    the rows with a defined score; the others come back unselected (and unranked).
     """
     keys = list(keys)
-    ranged = _with_id_range(df, identity)
+    valid = df.where(defined(F.col(score)))
     if ranks:
-        slots = settle(df.groupBy(*keys).agg(review_slots(F.count("*"), q).alias("_k")))
-        out = rank_rows(ranged, keys, score, identity, "_id_range").join(slots, keys)
-        return out.withColumn("selected", (F.col("score_rank") <= F.col("_k")).cast("int")).drop("_k", "_id_range")
-    cut = settle(
-        _boundary(df, keys, score, label, [q]).select(
-            *keys, F.col(score).alias("_cut"), (F.col("k") - F.col("before_n")).alias("_remaining")
-        )
-    )
-    return _resolve(ranged.join(cut, keys), keys, score, [identity], "_id_range").drop("_id_range")
+        slots = settle(valid.groupBy(*keys).agg(review_slots(F.count("*"), q).alias("_k")))
+        out = rank_rows(_with_id_range(valid, identity), keys, score, identity, "_id_range").join(slots, keys)
+        out = out.withColumn("selected", (F.col("score_rank") <= F.col("_k")).cast("int")).drop("_k", "_id_range")
+        rest = df.where(~defined(F.col(score)))
+        return out.unionByName(rest.withColumns({"score_rank": F.lit(None).cast("bigint"), "selected": F.lit(0)}))
+    ranged = _with_id_range(df, identity).join(_cut(valid, keys, score, label, q), keys, "left")
+    return _resolve(ranged, keys, score, [identity], "_id_range").drop("_id_range")
+
+
+def _cut(valid: DataFrame, keys, score, label, q) -> DataFrame:
+    """Per key the score in which the budget ends, and the rows it still takes there."""
+    ends = _boundary(valid, keys, score, label, [q])
+    return settle(ends.select(*keys, F.col(score).alias("_cut"), (F.col("k") - F.col("before_n")).alias("_remaining")))
 
 
 def _resolve(cutted: DataFrame, keys, score, order, order_range) -> DataFrame:
     """Rows above the cut are in; rows at the cut are ranked; the rest is out."""
-    flat = cutted.where(F.col(score) != F.col("_cut")).withColumn("selected", (F.col(score) > F.col("_cut")).cast("int"))
+    above = defined(F.col(score)) & (F.col(score) > F.col("_cut"))
+    flat = cutted.where(~F.col(score).eqNullSafe(F.col("_cut")) | F.col("_cut").isNull())
+    flat = flat.withColumn("selected", F.coalesce(above, F.lit(False)).cast("int"))
     tie = rank_within(cutted.where(F.col(score) == F.col("_cut")), keys, order, order_range)
     tie = tie.withColumn("selected", (F.col("tie_rank") <= F.col("_remaining")).cast("int")).drop("tie_rank")
     return flat.unionByName(tie).drop("_cut", "_remaining")
@@ -209,12 +226,8 @@ def hash_priority_capacity(
     """As ``fixed_capacity``, with ties broken by a label-free hash of the id, then the id."""
     keys = list(keys)
     digest = df.withColumn("_digest", hash_priority(prefix, F.col(identity)))
-    cut = settle(
-        _boundary(df, keys, score, label, [q]).select(
-            *keys, F.col(score).alias("_cut"), (F.col("k") - F.col("before_n")).alias("_remaining")
-        )
-    )
-    ranged = digest.withColumn("_hash_range", hash_range(F.col("_digest"))).join(cut, keys)
+    cut = _cut(df.where(defined(F.col(score))), keys, score, label, q)
+    ranged = digest.withColumn("_hash_range", hash_range(F.col("_digest"))).join(cut, keys, "left")
     return _resolve(ranged, keys, score, ["_digest", identity], "_hash_range").drop("_digest", "_hash_range")
 
 
@@ -264,7 +277,7 @@ def bayes_capacity(
             "_limit", F.call_function("div", F.col("_rows") * F.lit(share.numerator), F.lit(share.denominator).cast("bigint"))
         )
     )
-    candidates = df.where(F.col(score) >= F.lit(threshold))
+    candidates = df.where(defined(F.col(score)) & (F.col(score) >= F.lit(threshold)))
     curve = score_curve(candidates, keys, score, label).join(sizes, keys)
     ends = curve.where((F.col("before_n") < F.col("_limit")) & (F.col("_limit") < F.col("alerts")))
     cut = ends.select(*keys, F.col(score).alias("_cut"), (F.col("_limit") - F.col("before_n")).alias("_room"))
@@ -282,7 +295,7 @@ def bayes_summary(df: DataFrame, decided: DataFrame, keys: Sequence[str], score:
     """Candidate and final alert counts and whether the capacity bound."""
     return decided.groupBy(*keys).agg(
         F.count("*").alias("rows"),
-        F.sum((F.col(score) >= F.lit(threshold)).cast("bigint")).alias("candidates"),
+        F.count_if(defined(F.col(score)) & (F.col(score) >= F.lit(threshold))).alias("candidates"),
         F.sum(F.col("selected").cast("bigint")).alias("alerts"),
     ).withColumns(
         {

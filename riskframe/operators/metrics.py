@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.prefix import running, value_edges, with_range
-from riskframe.functions.scalars import CLIP, safe_divide
+from riskframe.functions.scalars import CLIP, checked_score, safe_divide
 
 # Fixed value: machine epsilon, the clip of the log loss.
 EPS = 2.220446049250313e-16
 
 
 def score_levels(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
-    return df.groupBy(*keys, score).agg(
+    """Rows and positives per (key, score). An undefined score is an error."""
+    return df.withColumn(score, checked_score(F.col(score))).groupBy(*keys, score).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
     )
 

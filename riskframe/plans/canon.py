@@ -157,17 +157,18 @@ def scored(rows: DataFrame, models: dict[str, int] | None = None, seeds=SEEDS) -
 _STORED: dict[tuple[str, ...], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build, spread: str | None = None) -> DataFrame:
     """Write a derived table once per session to the shared folder, then read it from there.
 
     A ledger is scanned by many operators; the written table cuts its lineage, survives lost
-    executors, and gives each scan column pruning and pushdown.
+    executors, and gives each scan column pruning and pushdown. ``spread`` deals the rows of a
+    ledger out by a column; small grids are written as they come.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
-        files = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        build().repartition(files).write.parquet(path, compression="zstd")
+        rows = build()
+        (rows.repartition(spread) if spread else rows).write.parquet(path, compression="zstd")
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
@@ -180,12 +181,12 @@ def build_ledger(spark: SparkSession, sf_dir: str, split: str = "test", models=N
 
 
 def ledger(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
-    return stored(spark, sf_dir, f"ledger_{split}", lambda: build_ledger(spark, sf_dir, split))
+    return stored(spark, sf_dir, f"ledger_{split}", lambda: build_ledger(spark, sf_dir, split), "id")
 
 
 def second_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of a second study: another target and other models on the same windows."""
-    return stored(spark, sf_dir, "ledger_second", lambda: build_ledger(spark, sf_dir, "test", SECOND, "purchase"))
+    return stored(spark, sf_dir, "ledger_second", lambda: build_ledger(spark, sf_dir, "test", SECOND, "purchase"), "id")
 
 
 def _ledger_sql(split: str, source: dict[str, int] | None = None, name: str | None = None, positive: str = "error") -> str:

@@ -111,6 +111,37 @@ def _(spark, d):
     return D.fixed_capacity(ledger(spark, d), K, "raw", "label", "id", 0.03, ranks=True).select(*K, "id", "score_rank", "selected")
 
 
+# A ledger in which some scores are missing and some are NaN, by a rule on the id.
+GAPS = """gaps AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN 'nan'::DOUBLE ELSE raw END AS raw) FROM ledger)"""
+WHOLE = "raw IS NOT NULL AND NOT isnan(raw)"
+
+
+def _gaps(spark, d):
+    raw = F.when(F.col("id") % 11 == 0, F.lit(None)).when(F.col("id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("raw"))
+    return ledger(spark, d).withColumn("raw", raw)
+
+
+@query(
+    "d04_invalid_scores",
+    f"""WITH {LEDGER}, {GAPS}, rk AS (SELECT *, row_number() OVER (PARTITION BY {KS} ORDER BY raw DESC, id) AS score_rank, count(*) OVER (PARTITION BY {KS}) AS n FROM gaps WHERE {WHOLE})
+SELECT {KS}, id, CAST(coalesce(score_rank <= {slots(0.03).replace("rows", "n")}, false) AS INTEGER) AS selected, count(*) OVER (PARTITION BY {KS}) AS rows, count(*) FILTER (NOT coalesce({WHOLE.replace("raw", "g.raw")}, false)) OVER (PARTITION BY {KS}) AS invalid
+FROM gaps g LEFT JOIN (SELECT {KS}, id, score_rank, n FROM rk) USING ({KS}, id)""",
+)
+def _(spark, d):
+    rows = _gaps(spark, d)
+    counts = D.invalid_scores(rows, K, "raw")
+    return D.fixed_capacity(rows, K, "raw", "label", "id", 0.03).select(*K, "id", "selected").join(counts, K)
+
+
+@query(
+    "d07_invalid_scores",
+    f"""WITH {LEDGER}, {GAPS}, rk AS (SELECT {KS}, id, row_number() OVER (PARTITION BY {KS} ORDER BY raw DESC, sha256('review-order|' || id), id) AS score_rank, count(*) OVER (PARTITION BY {KS}) AS n FROM gaps WHERE {WHOLE})
+SELECT {KS}, id, CAST(coalesce(score_rank <= {slots(0.03).replace("rows", "n")}, false) AS INTEGER) AS selected FROM gaps LEFT JOIN rk USING ({KS}, id)""",
+)
+def _(spark, d):
+    return D.hash_priority_capacity(_gaps(spark, d), K, "raw", "label", "id", 0.03).select(*K, "id", "selected")
+
+
 def profile_sql(score="raw", qs=(0.01, 0.03, 0.05), keys=KS, source="ledger", name="pf"):
     grid = ", ".join(f"({q}::DOUBLE, {slots(q).split('*')[1].split('+')[0].strip()}, {slots(q).split('//')[1].strip(') ')})" for q in qs)
     return f"""{curve_sql(score, source, name + '_c', keys)}, {name}_q(q, num, den) AS (VALUES {grid}),
@@ -744,6 +775,14 @@ def _(spark, d):
     return rows.select(*K, "id", "clipped", F.round(X.logit(F.col("clipped")), 6).alias("logit"), F.round("platt", 6).alias("platt"))
 
 
+@query(
+    "p07_clip_score_nulls",
+    f"""WITH {LEDGER}, {GAPS} SELECT {KS}, id, CASE WHEN {WHOLE} THEN greatest(1e-6, least(1 - 1e-6, raw)) END AS clipped, CAST(coalesce({WHOLE}, false) AS INTEGER) AS defined FROM gaps""",
+)
+def _(spark, d):
+    return _gaps(spark, d).select(*K, "id", X.clip_score(F.col("raw")).alias("clipped"), X.defined(F.col("raw")).cast("int").alias("defined"))
+
+
 @query(
     "p08_cast_matrix",
     """SELECT event_id, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value, CASE WHEN event_type <> 'error' THEN round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) END AS gap

@@ -115,3 +115,16 @@ def _(spark, d):
         spark, {"rows": (_scored(spark, d), "ts")}, lambda s: X.windowed_alerts(s["rows"], "ts", "label", "alert", "24 hours", "6 hours"), "sliding"
     )
     return out.withColumns({"start": F.unix_seconds("start"), "end": F.unix_seconds("end")})
+
+
+@query(
+    "x05_windowed_alerts_unlabelled",
+    f"""WITH {SCORED}, half AS (SELECT * REPLACE (CASE WHEN origin % 3 <> 0 THEN label END AS label) FROM sc)
+SELECT epoch(date_trunc('day', ts))::BIGINT AS start, epoch(date_trunc('day', ts))::BIGINT + 86400 AS "end", count(*) AS rows, sum(label)::BIGINT AS positives,
+  count(*) FILTER (raw >= 0.9) AS alerts, count(*) FILTER (raw >= 0.9 AND label = 1) AS captured FROM half GROUP BY ALL""",
+)
+def _(spark, d):
+    """Labels that have not come yet: their rows and alerts count."""
+    rows = _scored(spark, d).withColumn("label", F.when(F.col("origin") % 3 != 0, F.col("label")))
+    out = replay(spark, {"rows": (rows, "ts")}, lambda s: X.windowed_alerts(s["rows"], "ts", "label", "alert"), "unlabelled")
+    return out.withColumns({"start": F.unix_seconds("start"), "end": F.unix_seconds("end")})

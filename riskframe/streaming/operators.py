@@ -21,11 +21,14 @@ from riskframe.streaming.replay import HEARTBEATS, heartbeat, run_available
 
 
 def windowed_alerts(stream: DataFrame, time: str, label: str, alert: str, width: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Rows, positives, alerts and captured positives per tumbling or sliding window."""
+    """Rows (labelled or not), positives, alerts and captured positives per tumbling or sliding window.
+
+    Heartbeat rows, which only move the watermark, carry no alert and are not counted.
+    """
     w = F.window(time, width, slide) if slide else F.window(time, width)
     y, a = F.col(label).cast("bigint"), F.col(alert).cast("bigint")
     counted = stream.withWatermark(time, delay).groupBy(w.alias("w")).agg(
-        F.count(label).alias("rows"), F.sum(y).alias("positives"), F.sum(a).alias("alerts"), F.sum(y * a).alias("captured")
+        F.count(alert).alias("rows"), F.sum(y).alias("positives"), F.sum(a).alias("alerts"), F.sum(y * a).alias("captured")
     )
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows", "positives", "alerts", "captured")
 

@@ -10,22 +10,28 @@ from pyspark.sql import DataFrame
 FORBIDDEN = frozenset({"id", "source_row_id", "origin", "recipient", "label", "type_label", "step", "time", "fold", "split"})
 
 
+def tagged_features(windows: Sequence[int] = (1, 6, 24)) -> dict[str, str]:
+    """Every feature column and what it tells: the payment, its time, how often, how much, with whom."""
+    tells = {"count": "often", "distinct": "often", "mean": "much", "max": "much", "std": "much", "ratio": "much", "pair": "whom"}
+    windowed = {f"{name}_{w}": tag for tag in ("often", "much", "whom") for w in windows for name, t in tells.items() if t == tag}
+    return {"amount_cents": "payment", "hour_of_day": "time", "day_index": "time", "recency": "often", **windowed}
+
+
+#: Named sets by the tags they take.
+SET_TAGS = {
+    "base": {"payment"},
+    "calendar": {"payment", "time"},
+    "frequency": {"payment", "time", "often"},
+    "amount": {"payment", "time", "much"},
+    "full": {"payment", "time", "often", "much"},
+    "full_with_pair": {"payment", "time", "often", "much", "whom"},
+}
+
+
 def feature_sets(windows: Sequence[int] = (1, 6, 24)) -> dict[str, list[str]]:
-    """Ordered column lists, each adding one kind of history to the one before it."""
-    per = lambda *names: [f"{n}_{w}" for w in windows for n in names]
-    base = ["amount_cents"]
-    calendar = [*base, "hour_of_day", "day_index"]
-    frequency = [*calendar, "recency", *per("count", "distinct")]
-    amount = [*calendar, *per("mean", "max", "std", "ratio")]
-    full = [*frequency, *per("mean", "max", "std", "ratio")]
-    return {
-        "base": base,
-        "calendar": calendar,
-        "frequency": frequency,
-        "amount": amount,
-        "full": full,
-        "full_with_pair": [*full, *per("pair")],
-    }
+    """Column list of each named set."""
+    tagged = tagged_features(windows)
+    return {name: [c for c, tag in tagged.items() if tag in tags] for name, tags in SET_TAGS.items()}
 
 
 def entity_sets(raw: Sequence[str], prefixes: Sequence[str] = ("card", "combo")) -> dict[str, list[str]]:

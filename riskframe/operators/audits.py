@@ -170,7 +170,7 @@ def leakage_audit(features: DataFrame, granularities: dict[str, Sequence[str]],
     return out.unionByName(doubled.select(F.lit("ids_unique").alias("check"), F.lit("all").alias("prefix"), F.coalesce("v", F.lit(0)).alias("violations")))
 
 
-def invariance_audit(df: DataFrame, build: Callable[[DataFrame], DataFrame], identity: str, time: str, label: str, partitions: int = 7) -> DataFrame:
+def invariance_audit(df: DataFrame, build: Callable[[DataFrame], DataFrame], identity: str, time: str, label: str) -> DataFrame:
     """Rebuild features after a label flip, a reshuffle and a strictly later copy of the data.
 
     Features of the original rows must not change; counts of differing rows are returned.
@@ -182,7 +182,7 @@ def invariance_audit(df: DataFrame, build: Callable[[DataFrame], DataFrame], ide
     later = df.withColumns({time: (F.col(time) + F.lit(shift)).cast(dict(df.dtypes)[time]), identity: -F.col(identity) - 1})
     worlds = {
         "label_flip": df.withColumn(label, 1 - F.col(label)),
-        "shuffle": df.repartition(partitions, F.xxhash64(identity)),
+        "shuffle": df.repartition(F.xxhash64(identity)),
         "future_append": df.unionByName(later),
     }
     digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])

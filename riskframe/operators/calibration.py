@@ -19,7 +19,7 @@ from riskframe.functions.prefix import (
     value_edges,
     with_range,
 )
-from riskframe.functions.scalars import CLIP, bounded, clip_score, logit, platt_score, safe_divide
+from riskframe.functions.scalars import CLIP, bounded, checked_score, clip_score, expit, logit, platt_score, safe_divide
 from riskframe.operators.decisions import apply_threshold, bayes_capacity, operating_points, optimize_threshold
 from riskframe.operators.metrics import (
     EPS,
@@ -33,6 +33,9 @@ from riskframe.operators.metrics import (
 )
 
 
+#: Smallest slope of a logistic map: it keeps the order of scores.
+LEAST_SLOPE = 1e-6
+
 # ---- fitted maps -------------------------------------------------------------------------------
 
 
@@ -46,11 +49,47 @@ def platt_fit(df: DataFrame, score: str, label: str) -> tuple[float, float]:
     vectors = VectorAssembler(inputCols=["_z"], outputCol="_x").transform(rows)
     model = LogisticRegression(
         featuresCol="_x", labelCol="_y", weightCol="_w", regParam=0.0, standardization=False, maxIter=200, tol=1e-10,
-        lowerBoundsOnCoefficients=DenseMatrix(1, 1, [1e-6]),
+        lowerBoundsOnCoefficients=DenseMatrix(1, 1, [LEAST_SLOPE]),
     ).fit(vectors)
     return float(model.coefficients[0]), float(model.intercept)
 
 
+def platt_fit_cells(df: DataFrame, keys: Sequence[str], score: str, label: str, most: int = 30) -> DataFrame:
+    """Slope and intercept of ``platt_fit`` for every key at once: (keys, slope, intercept).
+
+    Newton steps on score levels: one grouped sum of the score equations per step serves all cells,
+    however many. A slope that would fall below its bound stays there and the intercept follows.
+    """
+    keys = list(keys)
+    z = logit(clip_score(checked_score(F.col(score))))
+    levels = settle(df.groupBy(*keys, z.alias("_z"), F.col(label).cast("double").alias("_y")).agg(F.count("*").cast("double").alias("_w")))
+    fit = settle(levels.select(*keys).distinct().withColumns({"slope": F.lit(0.0), "intercept": F.lit(0.0), "_step": F.lit(1.0)}))
+    p = expit(F.col("slope") * F.col("_z") + F.col("intercept"))
+    z, w = F.col("_z"), F.col("_w")
+    error, spread = w * (p - F.col("_y")), w * p * (1 - p)
+    terms = {"g0": error, "g1": error * z, "h00": spread, "h01": spread * z, "h11": spread * z * z}
+    g0, g1, h00, h01, h11 = (F.col(c) for c in terms)
+    det = h00 * h11 - h01 * h01
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    for _ in range(most):
+        sums = levels.join(fit, keys).groupBy(*keys, "slope", "intercept").agg(*[F.sum(v).alias(c) for c, v in terms.items()])
+        free = F.col("slope") - part(h00 * g1 - h01 * g0, det)
+        slope = F.greatest(F.lit(LEAST_SLOPE), free)
+        bound = F.col("intercept") - part(g0 + h01 * (slope - F.col("slope")), h00)
+        intercept = F.when(free >= LEAST_SLOPE, F.col("intercept") - part(h11 * g0 - h01 * g1, det)).otherwise(bound)
+        step = F.abs(slope - F.col("slope")) + F.abs(intercept - F.col("intercept"))
+        fit = settle(sums.select(*keys, slope.alias("slope"), intercept.alias("intercept"), step.alias("_step")))
+        if (fit.agg(F.max("_step")).first()[0] or 0.0) < 1e-10:
+            break
+    return fit.drop("_step")
+
+
+def platt_apply_cells(df: DataFrame, keys: Sequence[str], score: str, fitted: DataFrame, output: str = "platt") -> DataFrame:
+    """Calibrated score by the map of each row's key."""
+    value = expit(F.col("slope") * logit(clip_score(F.col(score))) + F.col("intercept"))
+    return df.join(fitted, list(keys)).withColumn(output, value).drop("slope", "intercept")
+
+
 def platt_apply(df: DataFrame, score: str, coefficients: tuple[float, float], output: str = "platt") -> DataFrame:
     return df.withColumn(output, platt_score(F.col(score), *coefficients))
 

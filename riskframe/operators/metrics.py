@@ -80,6 +80,13 @@ def confusion(df: DataFrame, keys: Sequence[str], label: str, decision: Column)
     )
 
 
+#: What ``rates`` returns.
+RATE_NAMES = (
+    "accuracy", "balanced_accuracy", "precision", "recall", "specificity", "false_positive_rate", "alert_rate",
+    "prevalence", "f1", "mcc", "business_cost", "cost_per_1000",
+)
+
+
 def rates(fn_cost: float = 10.0, fp_cost: float = 1.0) -> dict[str, Column]:
     """Every rate of a confusion table; a zero denominator gives zero."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskframe.operators.history import range_history_exact
 from riskframe.operators.splits import temporal_split
 from riskframe.plans import canon
-from riskframe.plans import q_audits, q_bootstrap, q_checks, q_effects, q_history, q_models, q_scores, q_splits, q_streaming  # noqa: F401
+from riskframe.plans import q_audits, q_bootstrap, q_checks, q_effects, q_faults, q_history, q_models, q_scores, q_splits, q_streaming  # noqa: F401
 from riskframe.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

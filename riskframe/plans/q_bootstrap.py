@@ -10,9 +10,9 @@ from riskframe.plans.canon import LEDGER, PLATT, SEEDS, ledger, stored
 from riskframe.plans.q_scores import AP, KS, LEDGER_METRICS, STAGES, K, curve_sql, rounded
 from riskframe.plans.registry import query
 
-REPS, SEED = 40, 20260926
+REPS, SEED = 40, 71
 E = [*K, "block_length", "replicate_id"]
-CONTRASTS = [("C01", "P0", "PH"), ("C02", "P0", "PHW"), ("C12", "PH", "PHW"), ("C23", "PH", "PP")]
+CONTRASTS = [("history", "P0", "PH"), ("windows", "PH", "PHW"), ("pairs", "PH", "PP"), ("history_windows", "P0", "PHW"), ("history_pairs", "P0", "PP")]
 METRICS = ["delta_ap", "delta_tp", "delta_recall", "cost_reduction"]
 
 
@@ -264,31 +264,31 @@ def _(spark, d):
 @query(
     "b15_family_difference",
     f"""WITH {DRAWS}, {reps_sql()}, {PAIRED}, {MEANS}, fam AS (SELECT a.fold, a.block_length, a.replicate_id, a.delta_ap AS a1, b.delta_ap AS b1, a.delta_tp::DOUBLE AS a2, b.delta_tp AS b2
-  FROM pc a JOIN sm b ON a.contrast = 'C01' AND a.seed = 42 AND b.contrast = 'C02' AND a.fold = b.fold AND a.block_length = b.block_length AND a.replicate_id = b.replicate_id),
+  FROM pc a JOIN sm b ON a.contrast = 'history' AND a.seed = 42 AND b.contrast = 'history_windows' AND a.fold = b.fold AND a.block_length = b.block_length AND a.replicate_id = b.replicate_id),
 lg AS (SELECT fold, 'delta_ap' AS metric, 'A' AS family, a1 AS value FROM fam UNION ALL SELECT fold, 'delta_ap', 'B', b1 FROM fam UNION ALL SELECT fold, 'delta_ap', 'A_minus_B', a1 - b1 FROM fam
   UNION ALL SELECT fold, 'delta_tp', 'A', a2 FROM fam UNION ALL SELECT fold, 'delta_tp', 'B', b2 FROM fam UNION ALL SELECT fold, 'delta_tp', 'A_minus_B', a2 - b2 FROM fam),
 {interval_sql('lg', 'fold, metric, family')} SELECT * FROM iv""",
 )
 def _(spark, d):
     keys = ["fold", "block_length", "replicate_id"]
-    a = _paired(spark, d).where("contrast = 'C01' AND seed = 42")
-    b = _seed_means(spark, d).where("contrast = 'C02'")
+    a = _paired(spark, d).where("contrast = 'history' AND seed = 42")
+    b = _seed_means(spark, d).where("contrast = 'history_windows'")
     long = B.family_difference(a, b, keys, ["delta_ap", "delta_tp"])
     return rounded(B.interval_summary(long, ["fold", "metric", "family"]))
 
 
 @query(
     "b16_stage_processing_effects",
-    f"""WITH {DRAWS}, st1 AS (SELECT * FROM ({STAGES[len('st AS ('):-1]}) WHERE seed = 42 AND model IN ('P0', 'PH')), {reps_sql('score', 'st1', 'rt', KS + ', stage')},
-ef AS (SELECT a.fold, a.stage, a.block_length, a.replicate_id, b.ap - a.ap AS v FROM rt a JOIN rt b ON a.model = 'P0' AND b.model = 'PH' AND a.fold = b.fold AND a.stage = b.stage
+    f"""WITH {DRAWS}, st1 AS (SELECT * FROM ({STAGES[len('st AS ('):-1]}) WHERE model IN ('P0', 'PH')), {reps_sql('score', 'st1', 'rt', KS + ', stage')},
+ef AS (SELECT a.fold, a.seed, a.stage, a.block_length, a.replicate_id, b.ap - a.ap AS v FROM rt a JOIN rt b ON a.model = 'P0' AND b.model = 'PH' AND a.fold = b.fold AND a.seed = b.seed AND a.stage = b.stage
     AND a.block_length = b.block_length AND a.replicate_id = b.replicate_id),
-wd AS (SELECT fold, replicate_id, max(v) FILTER (stage = 'raw') AS r, max(v) FILTER (stage = 'clipped') AS c, max(v) FILTER (stage = 'platt') AS p FROM ef GROUP BY ALL),
-lg AS (SELECT fold, 'clipped_minus_raw' AS processing, c - r AS value FROM wd UNION ALL SELECT fold, 'platt_minus_clipped', p - c FROM wd UNION ALL SELECT fold, 'platt_minus_raw', p - r FROM wd)
-SELECT fold, processing, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper, count(*) AS draws, count(value) AS valid
+wd AS (SELECT fold, seed, replicate_id, max(v) FILTER (stage = 'raw') AS r, max(v) FILTER (stage = 'clipped') AS c, max(v) FILTER (stage = 'platt') AS p FROM ef GROUP BY ALL),
+lg AS (SELECT fold, seed, 'clipped_minus_raw' AS processing, c - r AS value FROM wd UNION ALL SELECT fold, seed, 'platt_minus_clipped', p - c FROM wd UNION ALL SELECT fold, seed, 'platt_minus_raw', p - r FROM wd)
+SELECT fold, seed, processing, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper, count(*) AS draws, count(value) AS valid
 FROM lg GROUP BY ALL""",
 )
 def _(spark, d):
-    rows, mult = _world(spark, d, where="seed = 42 AND model IN ('P0', 'PH')")
+    rows, mult = _world(spark, d, where="model IN ('P0', 'PH')")
     long = M.melt_stages(rows)
     keys = [*K, "stage"]
     ap = B.positive_level_ap(long, mult, ["fold"], keys, "score", "label")
@@ -296,8 +296,8 @@ def _(spark, d):
     effect = ap.where("model = 'PH'").drop("model").join(base, ["fold", "seed", "stage", "block_length", "replicate_id"])
     effect = effect.withColumn("delta", F.col("ap") - F.col("_a"))
     out = B.stage_processing_effects(effect, ["fold", "seed", "block_length", "replicate_id"], "delta")
-    summary = B.interval_summary(out, ["fold", "processing"])
-    return rounded(summary.select("fold", "processing", "mean", "lower", "upper", "draws", "valid")).withColumns(
+    summary = B.interval_summary(out, ["fold", "seed", "processing"])
+    return rounded(summary.select("fold", "seed", "processing", "mean", "lower", "upper", "draws", "valid")).withColumns(
         {c: F.col(c) + F.lit(0.0) for c in ("mean", "lower", "upper")}
     )
 

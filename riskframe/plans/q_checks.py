@@ -29,7 +29,7 @@ def _csv(spark, d):
     rows = tx(spark, d).select(
         "id", "step", "type", (F.col("amount_cents") / 100).cast("decimal(20,2)").alias("amount"), "origin", "recipient", "label"
     )
-    rows.repartitionByRange(4, "id").sortWithinPartitions("id").drop("id").write.option("header", True).csv(path)
+    rows.repartitionByRange("id").sortWithinPartitions("id").drop("id").write.option("header", True).csv(path)
     return path
 
 
@@ -90,10 +90,10 @@ def _(spark, d):
     return rounded(T.read_ledger(spark, path))
 
 
-@query("s08_combine_checkpoints", f"WITH {LEDGER} SELECT {KS}, id, raw, CASE model WHEN 'P0' THEN 0 ELSE 1 END AS task FROM ledger WHERE model IN ('P0', 'PH')")
+@query("s08_combine_checkpoints", f"WITH {LEDGER} SELECT {KS}, id, raw, list_position({list(MODELS)}, model) - 1 AS task FROM ledger")
 def _(spark, d):
     paths = []
-    for m in ("P0", "PH"):
+    for m in MODELS:
         paths.append(scratch_path(spark, f"task-{m}"))
         ledger(spark, d).where(F.col("model") == m).select(*K, "id", "raw").write.parquet(paths[-1])
     return T.combine_checkpoints(spark, paths)
@@ -244,7 +244,7 @@ def _(spark, d):
 @query("v12_compare_exact", "SELECT 0::BIGINT AS violations")
 def _(spark, d):
     rows = H.range_history_exact(tx(spark, d), windows=(6,))
-    return V.compare_exact(rows, H.range_history_exact(tx(spark, d).repartition(5), windows=(6,), span=64))
+    return V.compare_exact(rows, H.range_history_exact(tx(spark, d).repartition("origin"), windows=(6,), span=64))
 
 
 @query(
@@ -383,12 +383,12 @@ def _(spark, d):
 
 @query(
     "j06_weighted_totals",
-    f"""WITH {DRAWS} SELECT fold, model, replicate_id, sum(mult)::BIGINT AS n, sum(mult * label)::BIGINT AS p FROM ledger JOIN tg USING (fold, time) JOIN mu USING (fold, pos) WHERE seed = 42 GROUP BY ALL""",
+    f"""WITH {DRAWS} SELECT {KS}, replicate_id, sum(mult)::BIGINT AS n, sum(mult * label)::BIGINT AS p FROM ledger JOIN tg USING (fold, time) JOIN mu USING (fold, pos) GROUP BY ALL""",
 )
 def _(spark, d):
-    rows, mult = _world(spark, d, where="seed = 42")
-    totals = rows.groupBy("fold", "model", "pos").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    return J.weighted_totals(totals, mult, ["fold", "pos"], ["fold", "model", "replicate_id"], ["n", "p"])
+    rows, mult = _world(spark, d)
+    totals = rows.groupBy(*K, "pos").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    return J.weighted_totals(totals, mult, ["fold", "pos"], [*K, "replicate_id"], ["n", "p"])
 
 
 @query(
@@ -403,10 +403,10 @@ def _(spark, d):
     return J.pivot_join(bounds, counts, ["fold"], "type", ["click", "error", "view"], "n")
 
 
-@query("j08_union_frames", f"WITH {LEDGER} SELECT {KS}, id FROM ledger WHERE seed IN (42, 43)")
+@query("j08_union_frames", f"WITH {LEDGER} SELECT {KS}, id FROM ledger")
 def _(spark, d):
     rows = ledger(spark, d).select(*K, "id")
-    return J.union_frames([rows.where("seed = 42"), rows.where("seed = 43").select("id", *K)])
+    return J.union_frames([rows.where(F.col("seed") == s).select(*(("id", *K) if s % 2 else (*K, "id"))) for s in SEEDS])
 
 
 @query(

@@ -233,7 +233,7 @@ def _(spark, d):
 
 
 SECOND_PAIRS = [("S01", "S0", "SH"), ("S02", "S0", "SHW"), ("S12", "SH", "SHW")]
-LINKS = [("C01", "S01"), ("C02", "S02"), ("C12", "S12")]
+LINKS = [("history", "S01"), ("history_windows", "S02"), ("windows", "S12")]
 FE2 = f"{LEDGER_TWO}, {LEDGER_METRICS}, {effects_sql(CONTRASTS)}, {summary_sql()}, {ledger_metrics_sql('second', 'z')}, {effects_sql(SECOND_PAIRS, 'zlm', 'zpe')}, {summary_sql('zpe', 'zfe')}"
 
 
@@ -245,12 +245,9 @@ def _second_effects(spark, d):
     "r14_replication_matrix",
     f"""WITH {FE2}, a AS (SELECT comparison, metric, count(*) FILTER (mean > 0) AS u, count(*) FILTER (mean < 0) AS dn, string_agg({SIGN.format('mean')}, '/' ORDER BY fold) AS sg FROM fe GROUP BY ALL),
 b AS (SELECT comparison, metric, count(*) FILTER (mean > 0) AS u, count(*) FILTER (mean < 0) AS dn, string_agg({SIGN.format('mean')}, '/' ORDER BY fold) AS sg FROM zfe GROUP BY ALL)
-SELECT a.comparison, b.comparison AS other, a.metric, a.sg AS first_signs, b.sg AS second_signs, CASE
-  WHEN a.u + a.dn = 0 OR b.u + b.dn = 0 THEN 'Dataset-Specific / Time-Dependent'
-  WHEN NOT (a.u > 0 AND a.dn > 0) AND NOT (b.u > 0 AND b.dn > 0) AND sign(a.u - a.dn) = sign(b.u - b.dn) THEN 'Replicated'
-  WHEN a.u > 0 AND a.dn > 0 AND b.u > 0 AND b.dn > 0 THEN 'Dataset-Specific / Time-Dependent'
-  WHEN sign(a.u - a.dn) = sign(b.u - b.dn) THEN 'Partially Replicated'
-  WHEN NOT (a.u > 0 AND a.dn > 0) THEN 'Not Replicated' ELSE 'Dataset-Specific / Time-Dependent' END AS classification
+SELECT a.comparison, b.comparison AS other, a.metric, a.sg AS first_signs, b.sg AS second_signs,
+  CASE WHEN a.u + a.dn = 0 OR b.u + b.dn = 0 THEN '{R.UNSETTLED}'
+    ELSE list_extract({list(R.VERDICTS)}, 1 + 4 * (a.u > 0 AND a.dn > 0)::INTEGER + 2 * (b.u > 0 AND b.dn > 0)::INTEGER + (sign(a.u - a.dn) = sign(b.u - b.dn))::INTEGER) END AS classification
 FROM (VALUES {", ".join(str(p) for p in LINKS)}) l(x, y) JOIN a ON a.comparison = x JOIN b ON b.comparison = y AND b.metric = a.metric""",
 )
 def _(spark, d):

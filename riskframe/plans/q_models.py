@@ -168,15 +168,11 @@ def _(spark, d):
 def _(spark, d):
     """Fit, calibrate on validation, choose thresholds there, report on test, for each cell."""
     rows = _graded(spark, d)
-    out = []
-    for (model,) in sorted(tuple(r) for r in rows.select("model").distinct().collect()):
-        cell = rows.where(F.col("model") == model)
-        coefficients = C.platt_fit(cell.where("split = 'validation'"), "raw", "label")
-        calibrated = C.platt_apply(cell, "raw", coefficients)
-        val, test = (calibrated.where(F.col("split") == s) for s in ("validation", "test"))
-        cuts = D.threshold_grid(val, K, "platt", "label", CAPS, COSTS)
-        out.append(R.scenario_results(test, cuts, K, "platt", "label"))
-    return rounded(out[0].unionByName(out[1]), 4)
+    fitted = C.platt_fit_cells(rows.where("split = 'validation'"), K, "raw", "label")
+    calibrated = C.platt_apply_cells(rows, K, "raw", fitted)
+    val, test = (calibrated.where(F.col("split") == s) for s in ("validation", "test"))
+    cuts = D.threshold_grid(val, K, "platt", "label", CAPS, COSTS)
+    return rounded(R.scenario_results(test, cuts, K, "platt", "label"), 4)
 
 
 @query(

@@ -442,10 +442,26 @@ def _(spark, d):
 
 @query("c01_platt")
 def _(spark, d):
-    val = ledger(spark, d, "validation").where("model = 'PH' AND seed = 42")
-    coefficients = C.platt_fit(val, "raw", "label")
-    test = C.platt_apply(ledger(spark, d).where("model = 'PH' AND seed = 42"), "raw", coefficients, "fitted")
-    return rounded(test.select("fold", "id", "raw", "fitted"), 4)
+    """Each cell is calibrated on its own fold's validation window."""
+    fitted = C.platt_fit_cells(ledger(spark, d, "validation"), K, "raw", "label")
+    return rounded(C.platt_apply_cells(ledger(spark, d), K, "raw", fitted, "fitted").select(*K, "id", "raw", "fitted"), 4)
+
+
+@query(
+    "c01_score_equations",
+    f"""WITH {LEDGER_VALIDATION} SELECT {KS}, count(*) AS rows, sum(label)::BIGINT AS positives, CAST(round(sum(label)) AS BIGINT) AS expected, 1 AS balanced FROM led_validation GROUP BY {KS}""",
+)
+def _(spark, d):
+    """A fitted map expects as many positives as there are, and leaves no slope in its errors unless the slope is at its bound."""
+    rows = ledger(spark, d, "validation")
+    fitted = C.platt_fit_cells(rows, K, "raw", "label")
+    out = C.platt_apply_cells(rows, K, "raw", fitted, "fitted").join(fitted.select(*K, "slope"), K)
+    z = X.logit(X.clip_score(F.col("raw")))
+    tilt = F.abs(F.sum((F.col("fitted") - F.col("label")) * z)) / F.count("*")
+    return out.groupBy(*K).agg(
+        F.count("*").alias("rows"), F.sum("label").alias("positives"), F.round(F.sum("fitted")).cast("bigint").alias("expected"),
+        ((tilt < 1e-6) | (F.max("slope") <= C.LEAST_SLOPE)).cast("int").alias("balanced"),
+    )
 
 
 @query(

@@ -17,15 +17,15 @@ def test_same_step_rows_do_not_see_each_other(spark):
     assert [r["count_1"] for r in out.orderBy("id").collect()] == [0, 1, 1, 0]
 
 
-def test_exact_cents_fixture(spark):
-    rows = [(0, 1, "X", "a", 1001, 0), (1, 1, "X", "b", 2003, 0), (2, 2, "X", "a", 3005, 0), (3, 2, "X", "c", 4007, 1), (4, 8, "X", "b", 5009, 0)]
-    out = H.range_history_exact(spark.createDataFrame(rows, SCHEMA), windows=(1, 6, 24)).orderBy("id").collect()
-    assert [r["count_1"] for r in out] == [0, 0, 2, 2, 0]
-    assert [r["count_6"] for r in out] == [0, 0, 2, 2, 2]
-    assert [r["distinct_24"] for r in out] == [0, 0, 2, 2, 3]
-    assert out[2]["mean_1"] == 15.02
-    assert [r["recency"] for r in out] == [-1, -1, 1, 1, 6]
-    assert [r["pair_1"] for r in out] == [0, 0, 1, 0, 0]
+def test_exact_cents_by_hand(spark):
+    rows = [(0, 3, "A", "u", 305, 0), (1, 3, "A", "v", 710, 1), (2, 4, "A", "v", 999, 0), (3, 4, "A", "w", 1, 0), (4, 4, "A", "u", 42, 0), (5, 12, "A", "w", 8, 1)]
+    out = H.range_history_exact(spark.createDataFrame(rows, SCHEMA), windows=(1, 9, 30)).orderBy("id").collect()
+    assert [r["count_1"] for r in out] == [0, 0, 2, 2, 2, 0]
+    assert [r["count_9"] for r in out] == [0, 0, 2, 2, 2, 5]
+    assert [r["distinct_30"] for r in out] == [0, 0, 2, 2, 2, 3]
+    assert out[3]["mean_1"] == 5.075 and out[5]["mean_9"] == pytest.approx(20.57 / 5)
+    assert [r["recency"] for r in out] == [-1, -1, 1, 1, 1, 8]
+    assert [r["pair_9"] for r in out] == [0, 0, 1, 0, 1, 1]
 
 
 def random_world(seed, n, hot=0.0):
@@ -78,26 +78,27 @@ def test_partitioning_label_and_later_rows_do_not_matter(spark):
 def test_card_entities(spark):
     schema = "id bigint, t bigint, card1 int, card2 double, category string, amount_cents bigint, label int"
     rows = [
-        (1, 100, 7, 1.0, "W", 1000, 0), (2, 200, 7, 1.0, "C", 2000, 0), (3, 300, 7, 1.0, "W", 3000, 1), (4, 300, 7, None, "W", 100, 0), (5, 50, 8, 2.0, None, 500, 0),
+        (11, 40, 3, 5.0, "P", 600, 0), (12, 90, 3, 5.0, "P", 1800, 1), (13, 130, 3, 5.0, "Q", 2700, 0), (14, 260, 3, 5.0, "P", 3400, 0),
+        (15, 260, 3, None, "R", 50, 0), (16, 10, 4, 6.0, None, 700, 1),
     ]
     out = {r["id"]: r for r in H.entity_history(spark.createDataFrame(rows, schema), ["card1", "card2"], "combo", span=64).collect()}
-    assert out[3]["combo_count"] == 2 and out[3]["combo_mean"] == 15.0
-    assert out[3]["combo_std"] == pytest.approx(statistics.stdev([10, 20]))
-    assert out[3]["combo_ratio"] == pytest.approx(30 / (15 + 1e-6))
-    assert out[3]["combo_distinct"] == 2 and out[3]["combo_recency"] == 100
-    assert out[4]["combo_available"] == 0 and out[4]["combo_count"] is None and out[4]["combo_has_history"] == 0
-    assert out[5]["combo_count"] == 0 and out[5]["combo_mean"] is None
+    assert out[14]["combo_count"] == 3 and out[14]["combo_mean"] == 17.0
+    assert out[14]["combo_std"] == pytest.approx(statistics.stdev([6, 18, 27]))
+    assert out[14]["combo_ratio"] == pytest.approx(34 / (17 + 1e-6))
+    assert out[14]["combo_distinct"] == 2 and out[14]["combo_recency"] == 130
+    assert out[15]["combo_available"] == 0 and out[15]["combo_count"] is None and out[15]["combo_has_history"] == 0
+    assert out[16]["combo_count"] == 0 and out[16]["combo_mean"] is None
 
 
 def test_merchant_modes(spark):
     schema = "id bigint, step int, merchant string, customer string, amount_cents bigint"
-    steps = [0, 0, 1, 2, 8, 31, 1, 2]
-    rows = [(i, s, "N" if i > 5 else "M", f"c{i % 3}", 100 * (i + 1)) for i, s in enumerate(steps)]
+    steps = [4, 4, 6, 9, 40, 5, 5]
+    rows = [(i, s, "N" if i > 4 else "M", f"c{i % 2}", 250 * (i + 1)) for i, s in enumerate(steps)]
     df = spark.createDataFrame(rows, schema)
     full = {r["id"]: r for r in H.merchant_history(df).collect()}
     short = {r["id"]: r for r in H.merchant_history(df, mode="HS").collect()}
-    assert full[5]["h1_count"] == 0 and full[5]["recency"] == 23 and full[5]["h30_count"] == 3
-    assert short[5]["recency"] == -1 and short[5]["recency_available"] == 0 and short[5]["h30_count"] == 0
+    assert full[4]["h1_count"] == 0 and full[4]["recency"] == 31 and full[4]["h30_count"] == 0 and full[3]["h7_count"] == 3
+    assert short[4]["recency"] == -1 and short[4]["recency_available"] == 0 and short[3]["recency"] == 3
     assert H.merchant_history(df, mode="H0").columns == df.columns
     with pytest.raises(ValueError):
         H.merchant_history(df, mode="XX")

@@ -10,7 +10,7 @@ from riskframe.sources import tables as T
 
 
 def test_row_split_is_within_one_step_of_its_target(spark):
-    sizes = [5, 10, 20, 30, 45, 60, 80, 100, 130, 160]
+    sizes = [40, 3, 55, 17, 90, 26, 71, 8, 64, 33, 12]
     df = spark.createDataFrame([(s,) for s, n in enumerate(sizes) for _ in range(n)], "step int")
     out = {r["split"]: r["count"] for r in S.temporal_split(df, train=0.6, validation=0.2, mode="row_fraction").groupBy("split").count().collect()}
     assert abs(out["train"] / sum(sizes) - 0.6) <= max(sizes) / sum(sizes)
@@ -26,6 +26,14 @@ def test_rolling_folds_grow_and_stay_ordered(spark):
     assert train == sorted(train) and len(set(train)) == 3
 
 
+def test_rows_outside_every_split_are_rejected(spark):
+    df = spark.range(30).select(F.col("id").cast("int").alias("step"))
+    ranges = {"train": (0, 9), "test": (10, 19)}
+    assert S.require_assigned(S.fixed_splits(df.where("step < 20"), ranges)).count() == 20
+    with pytest.raises(ValueError):
+        S.require_assigned(S.fixed_splits(df, ranges))
+
+
 def test_overlapping_boundaries_are_rejected(spark):
     bad = spark.createDataFrame([(1, "train", 0, 10), (1, "test", 10, 20)], "fold int, split string, start_time int, end_time int")
     with pytest.raises(ValueError):

@@ -119,17 +119,20 @@ def ordered_quantiles(
     column: str,
     probabilities: Sequence[float],
     ranges: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key: rows (keys, probability, value).
 
     ``percentile`` keeps every distinct value of a group in one task; here value counts are
     summed first and the two order statistics around each probability are read off the running
-    counts, so a group may be larger than any executor.
+    counts, so a group may be larger than any executor. ``weight`` names a column of row counts
+    where ``df`` is summed already.
     """
     keys = list(keys)
-    source = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
+    times = F.col(weight) if weight else F.lit(1).cast("bigint")
+    source = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"), times.alias("_t"))
     edges = value_edges(source, "_v", ranges)
-    counts = source.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    counts = source.groupBy(*keys, "_v").agg(F.sum("_t").alias("_n"))
     ranged = with_range(counts, "_v", edges, "_range")
     curve = running(ranged, keys, "_v", "_range", sums=["_n"], totals=True)
     asked = curve.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
@@ -148,10 +151,10 @@ def ordered_quantiles(
 
 
 def quantile_columns(
-    df: DataFrame, keys: Sequence[str], column: str, named: dict[str, float], ranges: int | None = None
+    df: DataFrame, keys: Sequence[str], column: str, named: dict[str, float], ranges: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """``ordered_quantiles`` laid out as one row per key with a column per name."""
-    long = ordered_quantiles(df, keys, column, sorted(set(named.values())), ranges)
+    long = ordered_quantiles(df, keys, column, sorted(set(named.values())), ranges, weight)
     return long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("probability") == float(p), F.col("value"))).alias(n) for n, p in named.items()]
     )

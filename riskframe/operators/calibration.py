@@ -22,6 +22,7 @@ from riskframe.functions.prefix import (
 from riskframe.functions.scalars import CLIP, bounded, checked_score, clip_score, expit, logit, platt_score, safe_divide
 from riskframe.operators.decisions import apply_threshold, bayes_capacity, operating_points, optimize_threshold
 from riskframe.operators.metrics import (
+    LEVELS,
     EPS,
     average_precision,
     confusion,
@@ -125,7 +126,7 @@ def reliability_bins(df: DataFrame, keys: Sequence[str], score: str, label: str,
         index = sum(((F.col("_p") >= F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
         marked = levels.withColumns({"bin_id": index, "_edges": F.array(*[F.lit(e) for e in edges])})
     elif method == "quantile":
-        found = ordered_quantiles(inside, keys, "_p", [i / bins for i in range(bins + 1)])
+        found = ordered_quantiles(inside, keys, "_p", [i / bins for i in range(bins + 1)], weight="n" if label == LEVELS else None)
         cut = found.groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("_edges"))
         joined = levels.join(settle(cut), keys)
         inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
@@ -187,8 +188,9 @@ def probability_metrics(df: DataFrame, keys: Sequence[str], score: str, label: s
     return out.join(average_precision(inside, keys, "_p", label), keys) if ap else out
 
 
-def tie_statistics(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    levels = df.groupBy(*keys, score).agg(F.count("*").alias("n"))
+def tie_statistics(df: DataFrame, keys: Sequence[str], score: str, label: str | None = None) -> DataFrame:
+    rows = F.sum("n") if label == LEVELS else F.count("*")
+    levels = df.groupBy(*keys, score).agg(rows.alias("n"))
     tied = F.when(F.col("n") > 1, F.col("n")).otherwise(0)
     return levels.groupBy(*keys).agg(
         F.count("*").alias("unique_outputs"),
@@ -328,34 +330,40 @@ def evaluate_branch(
 ) -> DataFrame:
     """Calibration branches end to end: threshold on validation, report on test, reliability on both.
 
-    The rows carry their ``method`` as one of the keys, so all methods share each pass. Tie fields
-    are null for methods outside ``tie_methods``.
+    The rows carry their ``method`` as one of the keys, so all methods share each pass. Each side is
+    summed to score levels once, and written; thresholds, confusion, Brier score, log loss, AP, bins,
+    quantiles and ties all read the levels. Tie fields are null for methods outside ``tie_methods``.
     """
     keys = list(keys)
-    chosen = settle(optimize_threshold(validation, keys, score, label, fn_cost, fp_cost, max_alert_rate=capacity))
-    report = confusion(apply_threshold(test, score, chosen, keys), keys, label, F.col("alert") == 1)
+    lv, lt = (settle(score_levels(rows, keys, score, label)) for rows in (validation, test))
+    chosen = settle(optimize_threshold(lv, keys, score, LEVELS, fn_cost, fp_cost, max_alert_rate=capacity))
+    decided = apply_threshold(lt, score, chosen, keys)
+    hit, pos, neg = F.col("alert") == 1, F.col("pos"), F.col("n") - F.col("pos")
+    cell = lambda rows, alert: F.coalesce(F.sum(F.when(alert, rows)), F.lit(0))
+    report = decided.groupBy(*keys).agg(
+        cell(neg, ~hit).alias("tn"), cell(neg, hit).alias("fp"), cell(pos, ~hit).alias("fn"), cell(pos, hit).alias("tp")
+    )
     kept = {k: v for k, v in rates(fn_cost, fp_cost).items() if k in ("precision", "recall", "f1", "alert_rate")}
     out = report.withColumns(kept).withColumns(cost_fields(fn_cost, fp_cost)).withColumns(
         {"capacity_deviation": F.col("alert_rate") - F.lit(capacity), "capacity_deviation_abs": F.abs(F.col("alert_rate") - F.lit(capacity))}
     )
-    val_decided = apply_threshold(validation, score, chosen, keys)
-    ties = tie_statistics(test, keys, score)
+    ties = tie_statistics(lt, keys, score, LEVELS)
     fields = ("unique_outputs", "tied_rows", "tie_fraction", "largest_tie")
     parts = [
         chosen.select(*keys, "threshold", safe_divide(F.col("alerts"), F.col("rows")).alias("validation_alert_rate"), F.col("cost").alias("validation_cost")),
-        operating_points(validation, keys, score, label).groupBy(*keys).agg(F.count("*").alias("threshold_candidates")),
-        boundary_percentile(val_decided, keys, raw, "alert"),
-        probability_metrics(validation, keys, score, label, ap=False).select(*keys, F.col("brier").alias("val_brier"), F.col("log_loss").alias("val_log_loss")),
-        probability_metrics(test, keys, score, label).select(
+        operating_points(lv, keys, score, LEVELS).groupBy(*keys).agg(F.count("*").alias("threshold_candidates")),
+        boundary_percentile(apply_threshold(validation, score, chosen, keys), keys, raw, "alert"),
+        probability_metrics(lv, keys, score, LEVELS, ap=False).select(*keys, F.col("brier").alias("val_brier"), F.col("log_loss").alias("val_log_loss")),
+        probability_metrics(lt, keys, score, LEVELS).select(
             *keys, F.col("brier").alias("test_brier"), F.col("log_loss").alias("test_log_loss"), F.col("ap").alias("calibrated_ap")
         ),
         average_precision(test, keys, raw, label).select(*keys, F.col("ap").alias("raw_ap")),
-        quantile_columns(test, keys, score, {"score_p99": 0.99, "score_p999": 0.999}),
+        quantile_columns(lt, keys, score, {"score_p99": 0.99, "score_p999": 0.999}, weight="n"),
         ties.select(*keys, *[F.when(F.col("method").isin(*tie_methods), F.col(c)).alias(c) for c in fields]),
     ]
-    for name, rows in (("val", validation), ("test", test)):
+    for name, rows in (("val", lv), ("test", lt)):
         for how in ("uniform", "quantile"):
-            parts.append(ece(rows, keys, score, label, how).select(*keys, F.col("ece").alias(f"{name}_ece_{how}")))
+            parts.append(ece(rows, keys, score, LEVELS, how).select(*keys, F.col("ece").alias(f"{name}_ece_{how}")))
     for part in parts:
         out = out.join(part, keys)
     return out

@@ -120,18 +120,25 @@ def window_distinct(
     """
     entity, other = list(entity), list(other)
     seen = pairs.select(*entity, *other, time) if unique else pairs.select(*entity, *other, time).distinct()
-    following = Window.partitionBy(*entity, *other).orderBy(time)
+    # A value's next sighting matters within the longest window only: each range also gets the sightings
+    # that close behind it, so a pair with a long history is worked on range by range.
+    reach = max(windows)
+    wide = max(span, reach)
+    place = time_range(F.col(time), wide)
+    near = F.col(time) - place * F.lit(wide) < F.lit(reach)
+    seen = seen.withColumn("_back", F.explode(F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    following = Window.partitionBy(*entity, *other, place - F.col("_back")).orderBy(time)
     t, nxt = F.col(time).cast("bigint"), F.col("_next").cast("bigint")
     zero, one, minus = F.lit(0), F.lit(1), F.lit(-1)
     marks = [F.struct((t + 1).alias("at"), *[one.alias(f"d{w}") for w in windows])]
     for w in windows:
         end = F.least(t + F.lit(w), F.coalesce(nxt, t + F.lit(w))) + 1
         marks.append(F.struct(end.alias("at"), *[(minus if v == w else zero).alias(f"d{v}") for v in windows]))
-    stretch = seen.withColumn("_next", F.lead(time).over(following))
+    stretch = seen.withColumn("_next", F.lead(time).over(following)).where(F.col("_back") == 0)
     moves = stretch.select(*entity, F.explode(F.array(*marks)).alias("m")).select(
         *entity, "m.at", F.lit(0).alias("ask"), *[F.col(f"m.d{w}").alias(f"d{w}") for w in windows]
     )
-    asked = asks if asks is not None else seen
+    asked = asks if asks is not None else seen.where(F.col("_back") == 0)
     asked = asked.select(*entity, t.alias("at"), F.lit(1).alias("ask"), *[zero.alias(f"d{w}") for w in windows])
     deltas = (
         moves.unionByName(asked)

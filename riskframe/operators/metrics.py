@@ -18,8 +18,14 @@ from riskframe.functions.scalars import CLIP, checked_score, safe_divide
 EPS = 2.220446049250313e-16
 
 
+#: In place of a label: the table holds score levels already, rows in ``n`` and positives in ``pos``.
+LEVELS = "@levels"
+
+
 def score_levels(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """Rows and positives per (key, score). An undefined score is an error."""
+    if label == LEVELS:
+        return df.groupBy(*keys, score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     return df.withColumn(score, checked_score(F.col(score))).groupBy(*keys, score).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
     )

@@ -324,12 +324,12 @@ def _(spark, d):
 
 @query(
     "b19_lag_diagnostics",
-    f"""WITH {DRAWS}, se AS (SELECT fold, pos, avg(label) AS x FROM ledger JOIN tg USING (fold, time) WHERE seed = 42 AND model = 'P0' GROUP BY ALL)
+    f"""WITH {DRAWS}, se AS (SELECT fold, pos, avg(label) AS x FROM ledger JOIN tg USING (fold, time) GROUP BY ALL)
 SELECT a.fold, k.lag, round(corr(a.x, b.x), 6) AS correlation, count(*) AS paired_groups FROM (VALUES (1), (3), (6)) k(lag), se a JOIN se b ON b.fold = a.fold AND b.pos = a.pos + k.lag
 GROUP BY ALL""",
 )
 def _(spark, d):
-    rows, _ = _world(spark, d, where="seed = 42 AND model = 'P0'")
+    rows, _ = _world(spark, d)
     return rounded(B.lag_diagnostics(rows, ["fold"], "label", [1, 3, 6]))
 
 

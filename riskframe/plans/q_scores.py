@@ -8,9 +8,8 @@ from riskframe.functions import scalars as X
 from riskframe.operators import calibration as C
 from riskframe.operators import decisions as D
 from riskframe.operators import metrics as M
-from riskframe.plans.canon import LEDGER, LEDGER_BOTH, LEDGER_VALIDATION, SHOP, TX, ledger, shop, tx
+from riskframe.plans.canon import LEDGER, LEDGER_BOTH, LEDGER_VALIDATION, SHOP, TX, ledger, shop, stored, tx
 from riskframe.plans.registry import query
-from riskframe.session import shared_dir
 
 K = ["fold", "seed", "model"]
 KS = "fold, seed, model"
@@ -564,15 +563,14 @@ METHODS = {"Uncalibrated": "raw", "Platt": "platt", "Stepped": "ps"}
 
 
 def _branches(spark, d):
-    """Long validation and test rows by method, and the small result grid cut from its lineage."""
+    """Long validation and test rows by method, and the result grid, evaluated once and written."""
     sides = []
     for split in ("validation", "test"):
-        rows = _coarse(ledger(spark, d, split)).where("model = 'PH'").select(*K, "id", "label", "raw", "platt", "ps")
+        rows = _coarse(ledger(spark, d, split)).select(*K, "id", "label", "raw", "platt", "ps")
         entries = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("score")) for m, c in METHODS.items()])
         sides.append(rows.withColumn("_m", F.explode(entries)).select(*K, "id", "label", "raw", "_m.method", "_m.score"))
-    shared_dir(spark)
-    grid = C.evaluate_branch(*sides, [*K, "method"], "score", "raw", "label", tie_methods=["Stepped"])
-    return sides[0], sides[1], grid.checkpoint()
+    grid = lambda: C.evaluate_branch(*sides, [*K, "method"], "score", "raw", "label", tie_methods=["Stepped"])
+    return sides[0], sides[1], stored(spark, d, "branches", grid)
 
 
 def _branch_sql():
@@ -614,8 +612,8 @@ FROM {t}_cf cf JOIN (SELECT {KS}, threshold, cost, alerts::DOUBLE / rows AS valr
   JOIN {t}_bp bp USING ({KS}) JOIN {t}_pv pv USING ({KS}) JOIN {t}_ptm ptm USING ({KS}) JOIN {t}_ap ap USING ({KS}) JOIN {t}_rap rap USING ({KS})
   JOIN {t}_q q USING ({KS}) JOIN {t}_ub_v_e uv USING ({KS}) JOIN {t}_qv qv USING ({KS}) JOIN {t}_ub_t_e ut USING ({KS}) JOIN {t}_qt qt USING ({KS})
   JOIN {t}_ti ti USING ({KS})""")
-    return f"""{LEDGER_BOTH}, v1 AS (SELECT *, round(raw, 1) AS ps FROM led_validation WHERE model = 'PH'),
-t1 AS (SELECT *, round(raw, 1) AS ps FROM ledger WHERE model = 'PH'), {", ".join(ctes)}, br AS ({" UNION ALL BY NAME ".join(union)})"""
+    return f"""{LEDGER_BOTH}, v1 AS (SELECT *, round(raw, 1) AS ps FROM led_validation),
+t1 AS (SELECT *, round(raw, 1) AS ps FROM ledger), {", ".join(ctes)}, br AS ({" UNION ALL BY NAME ".join(union)})"""
 
 
 BRANCHES = _branch_sql()
@@ -626,9 +624,9 @@ BRANCH_DOUBLES = (
 ).split()
 
 
-@query("c17_evaluate_branch", f"WITH {BRANCHES} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in BRANCH_DOUBLES)}) FROM br")
+@query("c17_evaluate_branch", f"WITH {BRANCHES} SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in BRANCH_DOUBLES)}) FROM br")
 def _(spark, d):
-    return rounded(_branches(spark, d)[2])
+    return rounded(_branches(spark, d)[2], 9)
 
 
 def _compare_sql():

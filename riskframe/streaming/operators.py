@@ -62,6 +62,9 @@ def report(table: DataFrame, fn_cost: float = 10.0, fp_cost: float = 1.0) -> Dat
     return table.withColumns(rates(fn_cost, fp_cost))
 
 
+#: How far closed buckets of one batch may lie behind those of the batch before.
+BUCKET_DELAY = "1 day"
+
 # ---- drift -------------------------------------------------------------------------------------
 
 DRIFT_STATE = "fast double, slow double, alpha double, seen bigint"
@@ -80,14 +83,21 @@ def cost_buckets(stream: DataFrame, key: str, time: str, label: str, score: str,
     return counted.where(F.col("_known").isNotNull()).select("key", F.col("w.start").alias("start"), "rows", "cost")
 
 
-def drift_monitor(buckets: DataFrame, fast: float = 0.3, slow: float = 0.03, tolerance: float = 0.5, warmup: int = 8) -> DataFrame:
+def drift_monitor(
+    buckets: DataFrame, fast: float = 0.3, slow: float = 0.03, tolerance: float = 0.5, warmup: int = 8, idle_days: int = 90
+) -> DataFrame:
     """Flag keys whose recent cost departs from its long-run level.
 
     Two exponentially weighted means per key; on a departure the blend weight jumps, then decays to
-    its floor. ``buckets`` must be closed (key, start) sums.
+    its floor. ``buckets`` must be closed (key, start) sums. The state of a key without a bucket for
+    ``idle_days`` is dropped; a key that returns later starts anew.
     """
+    idle = idle_days * 86_400_000
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values("start")
         f, s, alpha, seen = state.get if state.exists else (0.0, 0.0, ALPHA_FLOOR, 0)
         out = []
@@ -99,9 +109,11 @@ def drift_monitor(buckets: DataFrame, fast: float = 0.3, slow: float = 0.03, tol
             alpha = DRIFT_ALPHA if drifted else max(ALPHA_FLOOR, alpha * ALPHA_DECAY)
             out.append((key[0], start, n, x, f, s, alpha, int(drifted)))
         state.update((f, s, alpha, seen))
+        state.setTimeoutTimestamp(max(int(rows["start"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle)
         yield pd.DataFrame(out, columns=["key", "start", "rows", "mean_cost", "fast", "slow", "alpha", "drift"])
 
-    return buckets.groupBy("key").applyInPandasWithState(step, DRIFT_OUTPUT, DRIFT_STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = buckets.withWatermark("start", BUCKET_DELAY)
+    return timed.groupBy("key").applyInPandasWithState(step, DRIFT_OUTPUT, DRIFT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- incremental history -----------------------------------------------------------------------
@@ -142,13 +154,19 @@ HISTORY_STATE = "hours array<bigint>, n array<bigint>, s array<bigint>, ss array
 def streaming_history(buckets: DataFrame, windows: Sequence[int] = (1, 6, 24)) -> DataFrame:
     """Partial history per (entity, shard, step): emit from strictly earlier steps, then update.
 
-    State holds one bucket per step and the last step of each ``other`` inside the widest window.
+    State holds one bucket per step and the last step of each ``other`` inside the widest window. When
+    the watermark has passed an entity's last step by the widest window, a timer clears both and
+    leaves the last step alone, which recency still needs.
     """
     reach = max(windows)
+    hour_ms = 3_600_000
     columns = [c.split()[0] for c in _partial_schema(windows).split(", ")]
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         entity, shard = key
+        if state.hasTimedOut:
+            state.update(([], [], [], [], [], [], [], state.get[-1]))
+            return
         if state.exists:
             hours, n, s, ss, mx, others, seen, last = state.get
             sums = {h: (a, b, int(c), d) for h, a, b, c, d in zip(hours, n, s, ss, mx)}
@@ -182,14 +200,17 @@ def streaming_history(buckets: DataFrame, windows: Sequence[int] = (1, 6, 24)) -
                 list(latest), list(latest.values()), last,
             )
         )
+        over = (int(rows["hour"].max()) + reach + 1) * hour_ms
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + hour_ms))
         frame = pd.DataFrame(out, columns=columns)
         for c in columns:
             if not c.startswith("ss_"):
                 frame[c] = frame[c].astype("Int64")
         yield frame
 
-    return buckets.groupBy("entity", "shard").applyInPandasWithState(
-        step, _partial_schema(windows), HISTORY_STATE, "append", GroupStateTimeout.NoTimeout
+    timed = buckets.withColumn("at", F.timestamp_seconds(F.col("hour") * 3600)).withWatermark("at", BUCKET_DELAY)
+    return timed.groupBy("entity", "shard").applyInPandasWithState(
+        step, _partial_schema(windows), HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -134,10 +134,10 @@ def importance_rank(model: PipelineModel, encoded: DataFrame) -> DataFrame:
     return table.select("feature", "gain", (F.col("gain") / F.lit(total)).alias("share"), F.rank().over(Window.orderBy(F.desc("gain"))).alias("gain_rank"))
 
 
-def failure_cases(df: DataFrame, score_column: str, label: str, identity: str, k: int = 200) -> DataFrame:
-    """The k largest absolute errors (a top-k report), ids breaking ties."""
+def failure_cases(df: DataFrame, score_column: str, label: str, ties: Sequence[str], k: int = 200) -> DataFrame:
+    """The k largest absolute errors (a top-k report), ``ties`` (an id and its cell) breaking ties."""
     gap = F.abs(F.col(label) - F.col(score_column))
-    return df.withColumn("absolute_error", gap).orderBy(F.desc("absolute_error"), identity).limit(k)
+    return df.withColumn("absolute_error", gap).orderBy(F.desc("absolute_error"), *ties).limit(k)
 
 
 def balanced_sample(df: DataFrame, n: int, label: str, identity: str, seed: int = 42) -> DataFrame:

@@ -11,10 +11,11 @@ from riskframe.operators import decisions as D
 from riskframe.operators import effects as R
 from riskframe.operators import encode as N
 from riskframe.operators import history as H
+from riskframe.operators import joins as J
 from riskframe.operators import metrics as M
 from riskframe.operators import models as Z
 from riskframe.operators import splits as S
-from riskframe.plans.canon import LEDGER, TX, folds, ledger, stored, tx
+from riskframe.plans.canon import BOUNDS, FOLDS, LEDGER, SEEDS, TX, folds, ledger, stored, tx
 from riskframe.plans.q_effects import CAPS, COSTS, SC, SCENARIO, scenarios
 from riskframe.plans.q_scores import AP, KS, K, curve_sql, profile_sql, rounded
 from riskframe.plans.registry import query
@@ -127,7 +128,7 @@ SCHEMES = {"base": {"numeric": ["amount_cents", "hour_of_day"], "categorical": [
 def _featured(spark, d):
     def build():
         rows = H.range_history_exact(tx(spark, d), windows=(24,))
-        return S.apply_boundaries(rows, folds(tx(spark, d))).where("fold = 1").drop("type")
+        return S.apply_boundaries(rows, folds(tx(spark, d))).drop("type")
 
     return stored(spark, d, "featured", build)
 
@@ -137,42 +138,80 @@ def _trees(train, label, seed, **options):
 
 
 def _graded(spark, d):
-    return stored(spark, d, "graded", lambda: Z.run_grid(_featured(spark, d), SCHEMES, [42], "label", "id", _trees))
+    return stored(spark, d, "graded", lambda: Z.run_grid(_featured(spark, d), SCHEMES, SEEDS, "label", "id", _trees, range(1, FOLDS[0] + 1)))
+
+
+def _each_fold(spark, d, fit):
+    """``fit(train, test)`` of every fold, in one table."""
+    rows, out = _featured(spark, d), []
+    for fold in range(1, FOLDS[0] + 1):
+        train, test = (rows.where((F.col("fold") == fold) & (F.col("split") == s)) for s in ("train", "test"))
+        out.append(fit(train, test).withColumn("fold", F.lit(fold)))
+    return J.union_frames(out)
 
 
 @query("m01_fit_gbt")
 def _(spark, d):
-    rows = _featured(spark, d)
-    model = _trees(rows.where("split = 'train'"), "label", 42, **SCHEMES["history"])
-    return rounded(Z.score(model, rows.where("split = 'test'")).select("id", "raw"), 6)
+    fit = lambda train, test: Z.score(_trees(train, "label", 42, **SCHEMES["history"]), test).select("id", "raw")
+    return rounded(_each_fold(spark, d, fit), 6)
 
 
 @query("m02_fit_logistic")
 def _(spark, d):
-    rows = _featured(spark, d)
-    fit = Z.fit_logistic(rows.where("split = 'train'"), NUMERIC, [], "label", 2.0)
-    out = Z.score(fit.model, rows.where("split = 'test'"))
-    return rounded(out.select("id", "raw", F.lit(int(fit.converged)).alias("converged"), F.lit(len(fit.attempts)).alias("attempts")), 4)
+    def fit(train, test):
+        found = Z.fit_logistic(train, NUMERIC, [], "label", 2.0)
+        return Z.score(found.model, test).select("id", "raw", F.lit(int(found.converged)).alias("converged"), F.lit(len(found.attempts)).alias("attempts"))
+
+    return rounded(_each_fold(spark, d, fit), 4)
+
+
+def _margins(train, test):
+    model = Z.fit_logistic(train, ["amount_cents", "hour_of_day"], [], "label").model
+    return Z.score(model, Z.score(model, test, "probability_score"), "margin", margin=True)
 
 
 @query("m03_score_margin")
 def _(spark, d):
-    rows = _featured(spark, d)
-    fit = Z.fit_logistic(rows.where("split = 'train'"), ["amount_cents", "hour_of_day"], [], "label")
-    test = rows.where("split = 'test'")
-    both = Z.score(fit.model, Z.score(fit.model, test, "probability_score"), "margin", margin=True)
-    return rounded(both.select("id", "probability_score", "margin"), 4)
+    return rounded(_each_fold(spark, d, lambda train, test: _margins(train, test).select("id", "probability_score", "margin")), 4)
 
 
-@query("m04_run_grid")
+@query(
+    "m03_margin_is_logit",
+    f"""WITH {TX}, {BOUNDS} SELECT fold, id, 1 AS agrees FROM tx JOIN bounds ON split = 'test' AND step BETWEEN start_time AND end_time""",
+)
 def _(spark, d):
+    """The margin of every scored row is the logit of its probability."""
+    gap = F.abs(F.ln(F.col("probability_score") / (1 - F.col("probability_score"))) - F.col("margin"))
+    agrees = (gap <= 1e-6 * (1 + F.abs(F.col("margin")))).cast("int").alias("agrees")
+    return _each_fold(spark, d, lambda train, test: _margins(train, test).select("id", agrees))
+
+
+@query(
+    "m04_grid_identities",
+    f"""WITH {TX}, {BOUNDS}, n AS (SELECT fold, count(*) AS rows, sum(CAST(type = 'error' AS INTEGER))::BIGINT AS positives FROM (SELECT fold, id, type FROM tx JOIN bounds ON split = 'test' AND step BETWEEN start_time AND end_time) GROUP BY fold)
+SELECT fold, seed, model, cap, fn_cost, rows, positives, 1 AS cells_add_up, 1 AS costs_add_up FROM n, (VALUES {", ".join(f"({s})" for s in SEEDS)}) s(seed), (VALUES {", ".join(f"('{m}')" for m in SCHEMES)}) m(model),
+  (VALUES {", ".join(f"({c}::DOUBLE)" for c in CAPS)}) c(cap), (VALUES {", ".join(f"({a}::DOUBLE)" for a, _ in COSTS)}) f(fn_cost)""",
+)
+def _(spark, d):
+    """Every cell of the grid reports all of its rows, and costs that follow from its confusion table."""
+    cells = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    adds = F.abs(F.col("business_cost") - F.col("fn") * F.col("fn_cost") - F.col("fp") * F.col("fp_cost")) < 1e-6
+    return _grid(spark, d).select(*K, "cap", "fn_cost", "rows", "positives", (cells == F.col("rows")).cast("int").alias("cells_add_up"), adds.cast("int").alias("costs_add_up"))
+
+
+def _grid(spark, d):
     """Fit, calibrate on validation, choose thresholds there, report on test, for each cell."""
     rows = _graded(spark, d)
     fitted = C.platt_fit_cells(rows.where("split = 'validation'"), K, "raw", "label")
     calibrated = C.platt_apply_cells(rows, K, "raw", fitted)
     val, test = (calibrated.where(F.col("split") == s) for s in ("validation", "test"))
     cuts = D.threshold_grid(val, K, "platt", "label", CAPS, COSTS)
-    return rounded(R.scenario_results(test, cuts, K, "platt", "label"), 4)
+    return R.scenario_results(test, cuts, K, "platt", "label")
+
+
+@query("m04_run_grid")
+def _(spark, d):
+    return rounded(_grid(spark, d), 4)
 
 
 @query(
@@ -195,23 +234,41 @@ def _(spark, d):
     return Z.select_by_validation(scenarios(spark, d), SCENARIO, "model", "business_cost")
 
 
-@query("m07_importance_rank")
-def _(spark, d):
-    train = _featured(spark, d).where("split = 'train'")
+def _importance(train, _):
     model = _trees(train, "label", 42, **SCHEMES["history"])
-    encoded = train
     for stage in model.stages[:-1]:
-        encoded = stage.transform(encoded)
-    return rounded(Z.importance_rank(model, encoded), 4)
+        train = stage.transform(train)
+    return Z.importance_rank(model, train)
+
+
+@query("m07_importance_rank")
+def _(spark, d):
+    return rounded(_each_fold(spark, d, _importance), 4)
+
+
+@query(
+    "m07_importance_identities",
+    f"""SELECT fold, {len(NUMERIC)}::BIGINT AS features, 1 AS shares_add_up, 1 AS ranks_agree FROM (VALUES (1), (2), (3)) f(fold) WHERE (SELECT count(*) FROM events) > 0""",
+)
+def _(spark, d):
+    """Shares add up to one, and a rank is one more than the number of larger gains."""
+    found = _each_fold(spark, d, _importance)
+    larger = found.select(F.col("fold").alias("_f"), F.col("gain").alias("_g"))
+    ranked = found.join(larger, (F.col("_f") == F.col("fold")) & (F.col("_g") > F.col("gain")), "left")
+    ranked = ranked.groupBy("fold", "feature", "share", "gain_rank").agg(F.count("_g").alias("above"))
+    return ranked.groupBy("fold").agg(
+        F.count("*").alias("features"), (F.abs(F.sum("share") - 1) < 1e-9).cast("int").alias("shares_add_up"),
+        F.bool_and(F.col("gain_rank") == F.col("above") + 1).cast("int").alias("ranks_agree"),
+    )
 
 
 @query(
     "m08_failure_cases",
-    f"""WITH {LEDGER} SELECT fold, id, label, raw, round(abs(label - raw), 6) AS absolute_error FROM ledger WHERE seed = 42 AND model = 'PH' ORDER BY abs(label - raw) DESC, id, fold LIMIT 200""",
+    f"""WITH {LEDGER} SELECT {KS}, id, label, raw, round(abs(label - raw), 6) AS absolute_error FROM ledger ORDER BY abs(label - raw) DESC, id, {KS} LIMIT 200""",
 )
 def _(spark, d):
-    rows = ledger(spark, d).where("seed = 42 AND model = 'PH'").select("fold", "id", "label", "raw")
-    return rounded(Z.failure_cases(rows, "raw", "label", "id", 200))
+    rows = ledger(spark, d).select(*K, "id", "label", "raw")
+    return rounded(Z.failure_cases(rows, "raw", "label", ["id", *K], 200))
 
 
 @query(

@@ -176,7 +176,8 @@ def main_text(html: str | None) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
-    parser.close()
+    if not parser.rawdata.startswith("<!--"):  # a comment that never ends hides the rest of the page
+        parser.close()
     parser.flush()
     if not parser.lines:
         return ""

@@ -114,7 +114,7 @@ def test_page_lines_and_smoothing():
     assert smooth([5.0] * 7) == pytest.approx([5.0] * 7) and smooth([0.0, 0.0, 9.0, 0.0, 0.0])[2] < 9
     lines = [("x" * n, 1, ()) for n in (3, 4, 3, 200, 180, 220, 4, 3)]
     assert set(content_lines(lines)) >= {3, 4, 5} and not {0, 7} & set(content_lines(lines))
-    assert [main_text(h) for h in (None, "", "bare words", "<p>a<p>b", "<nav>only</nav>", "<p>open <b>tag")] == ["", "", "bare words", "a\nb", "", "open tag"]
+    assert [main_text(h) for h in (None, "", "bare words", "<p>a<p>b", "<nav>only</nav>", "<p>open <b>tag", "<p>a</p><!-- b <p>c", "<p>a<script>b")] == ["", "", "bare words", "a\nb", "", "open tag", "a", "a"]
 
 
 def test_pages_of_rows(spark):

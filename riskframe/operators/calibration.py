@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseMatrix
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from riskframe.functions.prefix import (
     value_edges,
     with_range,
 )
-from riskframe.functions.scalars import CLIP, bounded, checked_score, clip_score, expit, logit, platt_score, safe_divide
+from riskframe.functions.scalars import CLIP, bounded, checked_score, clip_score, defined, expit, logit, platt_score, safe_divide
 from riskframe.operators.decisions import apply_threshold, bayes_capacity, operating_points, optimize_threshold
 from riskframe.operators.metrics import (
     LEVELS,
@@ -95,15 +95,62 @@ def platt_apply(df: DataFrame, score: str, coefficients: tuple[float, float], ou
     return df.withColumn(output, platt_score(F.col(score), *coefficients))
 
 
-def isotonic_fit(df: DataFrame, score: str, label: str):
-    """Isotonic map fitted on score levels (mean label, weighted by rows)."""
-    levels = df.groupBy(score).agg(F.avg(label).alias("_y"), F.count("*").cast("double").alias("_w"))
-    return IsotonicRegression(featuresCol=score, labelCol="_y", weightCol="_w", predictionCol="isotonic").fit(levels)
+def _pool(blocks: pd.DataFrame) -> list[list]:
+    """(low, high, n, pos) of pooled neighbours whose rates did not rise; compared as integers."""
+    pooled: list[list] = []
+    for low, high, n, pos in zip(*(blocks[c].tolist() for c in ("low", "high", "n", "pos"))):
+        while pooled and pooled[-1][3] * n >= pos * pooled[-1][2]:
+            low, _, before_n, before_pos = pooled.pop()
+            n, pos = n + before_n, pos + before_pos
+        pooled.append([low, high, n, pos])
+    return pooled
 
 
-def isotonic_apply(model, df: DataFrame, output: str = "isotonic") -> DataFrame:
-    out = model.transform(df)
-    return out.withColumn(output, bounded(F.col("isotonic")))
+def isotonic_fit(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """Isotonic map of every key at once: its blocks as rows (keys, block, low, high, isotonic, next_low, next_isotonic).
+
+    Neighbours may be pooled in any order, so the written score levels are pooled inside
+    (key, range) first and only the blocks left there meet per key.
+    """
+    keys = list(keys)
+    levels = settle(score_levels(df, keys, score, label))
+    ranged = with_range(levels, score, value_edges(levels, score), "_range")
+    typed = ranged.select(*keys, "_range", F.col(score).cast("double").alias("low"), F.col(score).cast("double").alias("high"), "n", "pos")
+    kinds = ", ".join(f"`{k}` {typed.schema[k].dataType.simpleString()}" for k in keys)
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_pool(part.sort_values("low")), columns=["low", "high", "n", "pos"])
+        return out.assign(**{k: part[k].iloc[0] for k in keys})
+
+    def across(part: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_pool(part.sort_values("low")), columns=["low", "high", "n", "pos"])
+        out = out.assign(**{k: part[k].iloc[0] for k in keys}, block=range(1, len(out) + 1), isotonic=out["pos"] / out["n"])
+        return out.assign(next_low=out["low"].shift(-1), next_isotonic=out["isotonic"].shift(-1)).drop(columns=["n", "pos"])
+
+    pooled = typed.groupBy(*keys, "_range").applyInPandas(inside, f"low double, high double, n bigint, pos bigint, {kinds}")
+    fitted = pooled.groupBy(*keys).applyInPandas(
+        across, f"low double, high double, {kinds}, block bigint, isotonic double, next_low double, next_isotonic double"
+    )
+    return settle(fitted.select(*keys, "block", "low", "high", "isotonic", "next_low", "next_isotonic"))
+
+
+def isotonic_apply(df: DataFrame, keys: Sequence[str], score: str, fitted: DataFrame, output: str = "isotonic") -> DataFrame:
+    """Calibrated score by the map of each row's key: a block's rate, linear between blocks, level beyond the ends.
+
+    Null where the score is undefined or the key has no map. The block of a score is the running
+    count of block starts over written levels, so no key is worked out in one task.
+    """
+    keys = list(keys)
+    asked = df.where(defined(F.col(score))).select(*keys, F.col(score).cast("double").alias("_x")).distinct()
+    marks = asked.select(*keys, "_x", F.lit(0).alias("_start")).unionByName(fitted.select(*keys, F.col("low").alias("_x"), F.lit(1).alias("_start")))
+    marks = settle(marks.groupBy(*keys, "_x").agg(F.sum("_start").alias("_start")))
+    placed = running(with_range(marks, "_x", value_edges(marks, "_x"), "_range"), keys, "_x", "_range", sums=["_start"])
+    placed = placed.select(*keys, "_x", F.greatest(F.lit(1), F.col("before__start") + F.col("_start")).alias("block"))
+    slope = (F.col("next_isotonic") - F.col("isotonic")) / (F.col("next_low") - F.col("high"))
+    value = F.when((F.col("_x") > F.col("high")) & F.col("next_low").isNotNull(), F.col("isotonic") + slope * (F.col("_x") - F.col("high")))
+    mapped = placed.join(fitted, [*keys, "block"]).select(*keys, F.col("_x").alias("_score"), bounded(value.otherwise(F.col("isotonic"))).alias("_value"))
+    rows = df.withColumn("_score", F.col(score).cast("double"))
+    return rows.join(settle(mapped), [*keys, "_score"], "left").withColumn(output, F.col("_value")).drop("_score", "_value")
 
 
 # ---- reliability -------------------------------------------------------------------------------

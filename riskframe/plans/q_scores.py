@@ -434,11 +434,20 @@ SELECT fold, id, raw, round(greatest(0, least(1, isotonic)), 6) AS isotonic
 FROM led_validation JOIN lv USING (fold) JOIN iso USING (fold, i) WHERE model = 'PH' AND seed = 42 AND raw = x AND fold = 1""",
 )
 def _(spark, d):
+    """The cell that the quadratic SQL can hold against ``c02_isotonic_cells``."""
     rows = ledger(spark, d, "validation").where("model = 'PH' AND seed = 42 AND fold = 1")
-    out = C.isotonic_apply(C.isotonic_fit(rows, "raw", "label"), rows)
+    out = C.isotonic_apply(rows, K, "raw", C.isotonic_fit(rows, K, "raw", "label"))
     return rounded(out.select("fold", "id", "raw", "isotonic"))
 
 
+@query("c02_isotonic_cells")
+def _(spark, d):
+    """Every (fold, seed, model) cell, each with its own map."""
+    rows = ledger(spark, d, "validation")
+    out = C.isotonic_apply(rows, K, "raw", C.isotonic_fit(rows, K, "raw", "label"))
+    return rounded(out.select(*K, "id", "raw", "isotonic"))
+
+
 @query("c01_platt")
 def _(spark, d):
     """Each cell is calibrated on its own fold's validation window."""

@@ -15,7 +15,7 @@ from riskframe.llm.quality import fit_quality, score_quality
 from riskframe.llm.sharding import shard_documents
 from riskframe.llm.simhash import near_duplicates
 from riskframe.llm.token_counts import token_counts
-from riskframe.llm.toxicity import fit_toxicity, flag_by_language, score_toxicity
+from riskframe.llm.toxicity import fit_network, flag_by_language, language_thresholds, scores_only
 
 
 def piece_model() -> str:
@@ -67,8 +67,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_fold("doc_id", 5)
-    net, thresholds = fit_toxicity(docs, table(spark, sf_dir, "labels"), learn=fold != 0)
-    scored = flag_by_language(score_toxicity(docs.select("doc_id", "text", "lang"), net), thresholds)
+    labels = table(spark, sf_dir, "labels")
+    net, used = fit_network(docs, labels, learn=fold != 0)
+    rows = scores_only(docs, net)
+    thresholds = {} if isinstance(net, float) else language_thresholds(rows, labels, fold != 0, used)
+    scored = flag_by_language(rows, thresholds)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", predicted, "lang_threshold", "flagged")
 

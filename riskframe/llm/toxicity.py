@@ -4,7 +4,7 @@ A word (ASCII lower case, outer punctuation off) is the sum of hashed embeddings
 first 4, 5 and 6 characters, so that inflected and unseen forms share weights. Filters of 1, 2 and 3
 words slide over the whole text and are max-pooled; a logistic unit combines them. Any passage can
 decide, however long the document. Scores see the text only. Per language, a threshold with the best
-F1 is calibrated on labelled documents that were not used for the fit.
+F1 is calibrated on all labelled documents that were not used for the fit, at the true class shares.
 
 The fit uses a bounded sample (``PER_CLASS`` documents of each class, whole texts of at most
 ``FIT_BYTES``), weighted back to the classes' shares. The network has a fixed size and is broadcast;
@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.prefix import running, settle, value_edges, with_range
+from riskframe.llm.common import stored
 from riskframe.llm.sample import labelled_sample
 
 BUCKETS, DIM = 1 << 15, 12
@@ -31,7 +33,7 @@ PER_CLASS, FIT_BYTES = 1_500, 16_384
 STEPS, BATCH, RATE, SEED = 600, 16, 0.1, 5
 #: Buckets met in fewer documents of the sample stay 0, so that no document is learned by its rare words.
 LEAST = 2
-#: One in so many documents of the sample is kept from the fit, for the thresholds.
+#: One in so many documents of the sample is kept from the fit, so that thresholds see both classes however few they are.
 KEPT = 8
 #: Words whose filter parts one worker remembers; beyond it starts afresh.
 REMEMBERED = 400_000
@@ -206,7 +208,7 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = SEED, ste
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Threshold of the best F1; 0.5 without both classes."""
+    """Threshold of the best F1; 0.5 without both classes. ``language_thresholds`` finds it for tables."""
     if len(set(labels.tolist())) < 2:
         return 0.5
     order = np.argsort(-scores, kind="stable")
@@ -217,22 +219,65 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((scores[order[k]] + below) / 2)
 
 
-def fit_toxicity(
+def fit_network(
     docs: DataFrame, labels: DataFrame, learn: Column, label_column: str = "toxic", per_class: int = PER_CLASS
-) -> tuple[Network | float, dict[str, float]]:
-    """Network (or a constant) fitted on labels that ``learn`` admits, and thresholds by language on those kept from the fit."""
+) -> tuple[Network | float, list[int]]:
+    """Network (or a constant) fitted on labels that ``learn`` admits, and the ids that were used for it."""
     known = labels.where(learn & F.col(label_column).isin(0, 1)).agg(F.count("*").alias("n"), F.avg(label_column).alias("share")).first()
     if not known["n"]:
-        return 0.0, {}
-    rows = labelled_sample(docs, labels, label_column, learn, per_class, FIT_BYTES, ("text", "lang"))
-    kept = [r for r in rows if zlib.crc32(b"kept %d" % r["k"]) % KEPT == 0]
+        return 0.0, []
+    rows = labelled_sample(docs, labels, label_column, learn, per_class, FIT_BYTES)
     used = [r for r in rows if zlib.crc32(b"kept %d" % r["k"]) % KEPT != 0]
     if len({r["label"] for r in used}) < 2:
-        return float(known["share"]), {}
+        return float(known["share"]), []
     net = fit([r["text"] for r in used], [r["label"] for r in used], float(known["share"]))
-    scores, truth = net.scores([r["text"] for r in kept]), np.array([r["label"] for r in kept], np.int64)
-    by = {lang: np.array([r["lang"] == lang for r in kept]) for lang in {r["lang"] for r in kept} if lang is not None}
-    return net, {lang: best_threshold(scores[own], truth[own]) for lang, own in sorted(by.items())}
+    return net, sorted({r["k"] for r in used})
+
+
+def language_thresholds(scored: DataFrame, labels: DataFrame, learn: Column, used: list[int], label_column: str = "toxic") -> dict[str, float]:
+    """Cut of the best F1 by language, over every admitted labelled row of ``scored`` that was not ``used`` for the fit.
+
+    The fit takes other shares of the classes and of short documents, so the rows it left stand for
+    all admitted rows of their language, class and size. Counts of score levels are summed along
+    ranges; only one cut a language comes to the driver. No entry where one class has no row left.
+    """
+    known = labels.where(learn & F.col(label_column).isin(0, 1)).select(F.col("doc_id").alias("k"), F.col(label_column).cast("int").alias("label")).distinct()
+    ids = scored.sparkSession.createDataFrame([(k,) for k in used], "k long").withColumn("used", F.lit(True))
+    own = scored.where(F.col("lang").isNotNull()).select(F.col("doc_id").alias("k"), "lang", "score", "short")
+    rows = own.join(known, "k").join(F.broadcast(ids), "k", "left")
+    rows = stored(rows.select("lang", "score", "short", "label", F.col("used").isNull().alias("free")), "toxicity-labelled")
+    parts = {f"n{y}{int(s)}": (F.col("label") == y) & (F.col("short") == s) for y in (0, 1) for s in (False, True)}
+    whole = settle(rows.groupBy("lang").agg(*[F.count_if(c).alias(f"all_{n}") for n, c in parts.items()]))
+    levels = settle(rows.where("free").groupBy("lang", "score").agg(*[F.count_if(c).alias(n) for n, c in parts.items()]))
+    ranged = with_range(levels, "score", value_edges(levels, "score"), "_range")
+    curve = running(ranged, ["lang"], "score", "_range", sums=list(parts), descending=True, totals=True).join(whole, "lang")
+
+    def total(prefix: str, reached: bool) -> Column:
+        """Admitted rows that the levels so far (or all levels) stand for."""
+        names = [n for n in parts if n.startswith(prefix)]
+        seen = {n: F.col(f"before_{n}") + F.col(n) if reached else F.col(f"total_{n}") for n in names}
+        return sum((F.coalesce(F.try_divide(seen[n] * F.col(f"all_{n}"), F.col(f"total_{n}")), F.lit(0.0)) for n in names), F.lit(0.0))
+
+    f1 = 2 * total("n1", True) / (total("n", True) + total("n1", False))
+    both = (total("n1", False) > 0) & (total("n0", False) > 0)
+    best = settle(curve.where(both).groupBy("lang").agg(F.max(F.struct(f1.alias("f1"), "score"))["score"].alias("cut")))
+    below = F.max(F.when(F.col("score") < F.col("cut"), F.col("score")))
+    cuts = levels.join(best, "lang").groupBy("lang", "cut").agg(below.alias("below")).collect()
+    return {r["lang"]: (r["cut"] + (r["below"] or 0.0)) / 2 for r in sorted(cuts, key=lambda r: r["lang"])}
+
+
+def scores_only(docs: DataFrame, net: Network | float) -> DataFrame:
+    """doc_id, lang, score and whether the fit could take the text, written once."""
+    short = F.coalesce(F.octet_length("text") <= FIT_BYTES, F.lit(False))
+    return stored(score_toxicity(docs.select("doc_id", "text", "lang"), net).select("doc_id", "lang", "score", short.alias("short")), "toxicity-scores")
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, learn: Column, label_column: str = "toxic", per_class: int = PER_CLASS
+) -> tuple[Network | float, dict[str, float]]:
+    """Network (or a constant) fitted on labels that ``learn`` admits, and thresholds by language on all others that it admits."""
+    net, used = fit_network(docs, labels, learn, label_column, per_class)
+    return net, {} if isinstance(net, float) else language_thresholds(scores_only(docs, net), labels, learn, used, label_column)
 
 
 def score_toxicity(docs: DataFrame, net: Network | float, text_column: str = "text", output: str = "score") -> DataFrame:

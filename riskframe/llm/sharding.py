@@ -12,8 +12,9 @@ bin holds one group or a ten-thousandth of the node. Rows get their shard from t
 expression. Slots number the rows of a shard from 0: rows are dealt to buckets of a bounded size by
 a hash of their id, numbered there, and moved up by the rows of the buckets before.
 
-A group of over one shard's fair part stays whole: its shard is then as large as the group, and the
-others share the rest. Null texts count as empty (8 bytes); null metadata as the smallest value.
+A group of over one shard's fair part stays whole and has a shard of its own, which is then as large
+as the group; the tree cuts the rest into the other shards, and no side of a cut gets more shards than
+it has groups. Null texts count as empty (8 bytes); null metadata as the smallest value.
 Repeated rows count each. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -44,10 +45,10 @@ def _choose(nodes: dict[int, dict], cuts: list[tuple[int, int, int, int, int]])
     return under(0)
 
 
-def _quantiles(groups: DataFrame, wanted: dict[int, tuple[int, float, int, int]]) -> dict[int, tuple[int, float]]:
-    """Per node (dimension, bytes wanted on the left, lowest key, highest key): the cut key and the bytes up to it."""
-    found: dict[int, tuple[int, float]] = {}
-    open_ = {n: {"dim": d, "want": w, "lo": lo, "hi": hi, "before": 0.0, "tol": None} for n, (d, w, lo, hi) in wanted.items()}
+def _quantiles(groups: DataFrame, wanted: dict[int, tuple[int, float, int, int]]) -> dict[int, tuple[int, float, int]]:
+    """Per node (dimension, bytes wanted on the left, lowest key, highest key): the cut key, the bytes and the groups up to it."""
+    found: dict[int, tuple[int, float, int]] = {}
+    open_ = {n: {"dim": d, "want": w, "lo": lo, "hi": hi, "before": 0.0, "passed": 0, "tol": None} for n, (d, w, lo, hi) in wanted.items()}
     while open_:
         key = lo = step = None
         for n, s in open_.items():
@@ -62,27 +63,27 @@ def _quantiles(groups: DataFrame, wanted: dict[int, tuple[int, float, int, int]]
             groups.select("node", "bytes", key.alias("bin"), lo.alias("key"))
             .where("bin IS NOT NULL")
             .groupBy("node", "bin")
-            .agg(F.sum("bytes").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+            .agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
             .collect()
         )
         by: dict[int, list] = {}
         for r in sums:
             by.setdefault(r["node"], []).append(r)
         for n in list(open_):
-            s, before = open_[n], open_[n]["before"]
+            s, before, passed = open_[n], open_[n]["before"], open_[n]["passed"]
             rows = sorted(by[n], key=lambda r: r["bin"])
             s["tol"] = s["tol"] or sum(r["bytes"] for r in rows) / 10_000
             last = s["lo"] - 1
             for r in rows:
                 if before + r["bytes"] >= s["want"] or r is rows[-1]:
                     break
-                before, last = before + r["bytes"], r["hi"]
+                before, passed, last = before + r["bytes"], passed + r["n"], r["hi"]
             if r["lo"] == r["hi"] or r["bytes"] <= s["tol"]:
                 over = abs(before + r["bytes"] - s["want"]) < abs(s["want"] - before)
-                found[n] = (r["hi"], before + r["bytes"]) if over or before == 0 else (last, before)
+                found[n] = (r["hi"], before + r["bytes"], passed + r["n"]) if over or before == 0 else (last, before, passed)
                 del open_[n]
             else:
-                s.update(lo=r["lo"], hi=r["hi"], before=before)
+                s.update(lo=r["lo"], hi=r["hi"], before=before, passed=passed)
     return found
 
 
@@ -103,12 +104,12 @@ def grow_tree(groups: DataFrame, dims: int, shards: int) -> tuple[list[tuple[int
             d = max(range(dims), key=lambda d: ((r[f"max{d}"] >> 32) - (r[f"min{d}"] >> 32), -d))
             wanted[n] = (d, r["bytes"] * (fill[n] // 2) / fill[n], r[f"min{d}"], r[f"max{d}"])
         if wanted:
-            for n, (key, left) in _quantiles(now, wanted).items():
+            for n, (key, left, count) in _quantiles(now, wanted).items():
                 k, share = fill.pop(n), left / stats[n]["bytes"]
                 if key >= wanted[n][3]:
                     fill[n] = -k
                     continue
-                kl = min(k - 1, max(1, round(k * share)))
+                kl = min(k - 1, count, max(1, k - (stats[n]["n"] - count), round(k * share)))
                 cuts.append((n, wanted[n][0], key, fresh, fresh + 1))
                 fill[fresh], fill[fresh + 1] = kl, k - kl
                 fresh += 2
@@ -119,6 +120,17 @@ def grow_tree(groups: DataFrame, dims: int, shards: int) -> tuple[list[tuple[int
     return cuts, leaves
 
 
+def oversized(groups: DataFrame, shards: int) -> list[bytearray]:
+    """The groups (fewer than ``shards``) that are larger than a fair part of what they and smaller groups hold."""
+    rest, found = groups.agg(F.sum("bytes")).first()[0] or 0, []
+    for r in groups.select("content", "bytes").orderBy(F.desc("bytes"), "content").limit(shards).collect():
+        if r["bytes"] * (shards - len(found)) <= rest:
+            break
+        found.append(r["content"])
+        rest -= r["bytes"]
+    return found
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int = 24,
@@ -161,9 +173,13 @@ def shard_documents(
         return (scaled * F.lit(1 << 32) + tie).alias(f"k{d}")
 
     keyed = groups.select("content", "bytes", *[key(d) for d in range(dims)])
-    cuts, leaves = grow_tree(keyed, dims, shards)
+    own = oversized(groups, shards)
+    small = keyed.where(~F.col("content").isin([F.lit(c) for c in own])) if own else keyed
+    cuts, leaves = grow_tree(small, dims, shards - len(own))
     leaf = _choose({}, cuts)
-    number = F.element_at(F.create_map(*[F.lit(x) for kv in leaves.items() for x in kv]), leaf)
+    number = F.element_at(F.create_map(*[F.lit(x) for kv in leaves.items() for x in (kv[0], kv[1] + len(own))]), leaf)
+    for i, content in enumerate(own):
+        number = F.when(F.col("content") == F.lit(content), F.lit(i)).otherwise(number)
     placed = rows.select("doc_id", "size", "text_crc32", "content").join(keyed.select("content", number.alias("shard")), "content").drop("content")
     return with_slots(placed, shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm.centroids import cluster_vectors
 from riskframe.llm.common import crc_fold, table
 from riskframe.llm.exact_dedup import duplicate_groups
 from riskframe.llm.html_text import extract_pages
+from riskframe.llm.lattice_lm import score_texts
 from riskframe.llm.maxscore import top_k
 from riskframe.llm.mixing import mix_sources
 from riskframe.llm.pieces import token_digests
 from riskframe.llm.quality import fit_quality, score_quality
+from riskframe.llm.rounds_sql import centroids_sql, codes_sql
 from riskframe.llm.sharding import shard_documents
 from riskframe.llm.simhash import near_duplicates
 from riskframe.llm.token_counts import token_counts
 from riskframe.llm.toxicity import fit_network, flag_by_language, language_thresholds, scores_only
+from riskframe.llm.vector_codes import compress_vectors
 
 
 def piece_model() -> str:
@@ -76,7 +80,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", predicted, "lang_threshold", "flagged")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality, op3_maxscore, op4_simhash, op5_mix_sources, op6_token_counts, op7_exact_dedup, op8_kd_shards, op9_pieces, op10_toxicity)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = compress_vectors(table(spark, sf_dir, "embeddings"), parts=8, k=16, rounds=6, scale=4096.0)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_fold("doc_id", 10)
+    scored = score_texts(table(spark, sf_dir, "documents"), piece_model(), learn=fold != 0)
+    figures = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
+    return scored.select("doc_id", (fold == 0).alias("held_out"), *figures)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64.0, width=64, salt="1")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_text,
+        op2_quality,
+        op3_maxscore,
+        op4_simhash,
+        op5_mix_sources,
+        op6_token_counts,
+        op7_exact_dedup,
+        op8_kd_shards,
+        op9_pieces,
+        op10_toxicity,
+        op11_vector_codes,
+        op12_lattice_lm,
+        op13_centroids,
+    )
+}
 
 ORACLES = {
     "op3_maxscore": """
@@ -96,4 +133,6 @@ ORACLES = {
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256 FROM t JOIN g ON t.text = g.text
     """,
+    "op11_vector_codes": codes_sql(parts=8, k=16, rounds=6, scale=4096),
+    "op13_centroids": centroids_sql(k=16, rounds=3, scale=64, width=64, salt="1"),
 }

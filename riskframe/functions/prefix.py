@@ -32,18 +32,27 @@ def default_ranges(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Edges found before, by session, plan, and count; at most ``_REMEMBERED`` of them.
+_EDGES: dict[tuple, list[float]] = {}
+_REMEMBERED = 256
+
+
 def value_edges(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
     """Inner edges of about equally filled ranges: one column-pruned scan with a sketch.
 
-    Edges only steer how work is spread; any edges give the same results.
+    Edges only steer how work is spread; any edges give the same results. So those of an equal plan
+    are used again, even where its files have changed since.
     """
     count = ranges or default_ranges(df)
     if count <= 1:
         return []
-    found = df.select(F.col(column).cast("double").alias(column)).approxQuantile(
-        column, [i / count for i in range(1, count)], 0.25 / count
-    )
-    return sorted(set(found))
+    values = df.select(F.col(column).cast("double").alias(column))
+    key = (df.sparkSession.sparkContext.applicationId, values.semanticHash(), count)
+    if key not in _EDGES:
+        if len(_EDGES) >= _REMEMBERED:
+            _EDGES.clear()
+        _EDGES[key] = sorted(set(values.approxQuantile(column, [i / count for i in range(1, count)], 0.25 / count)))
+    return _EDGES[key]
 
 
 def with_range(df: DataFrame, column: str, edges: Sequence[float], output: str) -> DataFrame:

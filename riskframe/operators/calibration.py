@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.prefix import (
+    default_ranges,
     ordered_quantiles,
     quantile_columns,
     running,
@@ -106,11 +107,46 @@ def _pool(blocks: pd.DataFrame) -> list[list]:
     return pooled
 
 
-def isotonic_fit(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+#: Denominator of the rates at which an isotonic map is cut into classes.
+_RATE = 1_000_000_000
+
+
+def _class_cuts(pooled: DataFrame, keys: Sequence[str], classes: int) -> DataFrame:
+    """Per key the running row counts at which its isotonic map first reaches each of about ``classes - 1`` rates.
+
+    A map reaches the rate r where cumulated positives minus r times cumulated rows is least, over all
+    block starts. Inside a range pooled blocks rise, so there the least is at the first block that
+    reaches r, or at the range's end: every (range, rate) offers two points at most, and a grouped minimum
+    in integers finds the place, the earliest on ties.
+    """
+    rate = F.floor(F.col("pos") * F.lit(_RATE) / F.col("n")).cast("long")
+    asked = pooled.groupBy(*keys).agg(F.percentile_approx(rate, [i / classes for i in range(1, classes)], 1000).alias("_r"))
+    asked = settle(asked.select(*keys, F.array_distinct("_r").alias("_rates")))
+    inside = Window.partitionBy(*keys, "_range").orderBy("low")
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    placed = pooled.join(asked, list(keys)).withColumns(
+        {"_bn": F.lag("n").over(inside), "_bp": F.lag("pos").over(inside), "_last": F.lead("n").over(inside).isNull()}
+    )
+    reached = lambda r, n, pos: r.cast("decimal(38,0)") * n <= pos * F.lit(_RATE).cast("decimal(38,0)")
+    first = F.filter("_rates", lambda r: reached(r, wide("n"), wide("pos")) & ~F.coalesce(reached(r, wide("_bn"), wide("_bp")), F.lit(False)))
+    never = F.filter("_rates", lambda r: F.col("_last") & ~reached(r, wide("n"), wide("pos")))
+    points = F.concat(
+        F.transform(first, lambda r: F.struct(r.alias("rate"), F.col("before_n").alias("at"), F.col("before_pos").alias("p"))),
+        F.transform(never, lambda r: F.struct(r.alias("rate"), (F.col("before_n") + F.col("n")).alias("at"), (F.col("before_pos") + F.col("pos")).alias("p"))),
+    )
+    offered = placed.select(*keys, F.explode(points).alias("o")).select(*keys, "o.*")
+    gap = wide("p") * F.lit(_RATE).cast("decimal(38,0)") - wide("rate") * wide("at")
+    cuts = offered.groupBy(*keys, "rate").agg(F.min(F.struct(gap.alias("gap"), F.col("at"))).alias("m"))
+    return settle(cuts.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list("m.at"))).alias("_cuts")))
+
+
+def isotonic_fit(df: DataFrame, keys: Sequence[str], score: str, label: str, classes: int | None = None) -> DataFrame:
     """Isotonic map of every key at once: its blocks as rows (keys, block, low, high, isotonic, next_low, next_isotonic).
 
-    Neighbours may be pooled in any order, so the written score levels are pooled inside
-    (key, range) first and only the blocks left there meet per key.
+    Neighbouring levels whose rates do not rise are pooled, in integers, twice. First inside (key, score
+    range). Then inside (key, class): the map is cut where it reaches certain rates, found by
+    ``_class_cuts`` before the map is known, and no block crosses such a cut. Both are spread over as
+    many tasks as the session shuffles into, so no key ends in one task, however many levels remain.
     """
     keys = list(keys)
     levels = settle(score_levels(df, keys, score, label))
@@ -118,20 +154,34 @@ def isotonic_fit(df: DataFrame, keys: Sequence[str], score: str, label: str) ->
     typed = ranged.select(*keys, "_range", F.col(score).cast("double").alias("low"), F.col(score).cast("double").alias("high"), "n", "pos")
     kinds = ", ".join(f"`{k}` {typed.schema[k].dataType.simpleString()}" for k in keys)
 
-    def inside(part: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_pool(part.sort_values("low")), columns=["low", "high", "n", "pos"])
-        return out.assign(**{k: part[k].iloc[0] for k in keys})
-
-    def across(part: pd.DataFrame) -> pd.DataFrame:
+    def pool(part: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(_pool(part.sort_values("low")), columns=["low", "high", "n", "pos"])
-        out = out.assign(**{k: part[k].iloc[0] for k in keys}, block=range(1, len(out) + 1), isotonic=out["pos"] / out["n"])
-        return out.assign(next_low=out["low"].shift(-1), next_isotonic=out["isotonic"].shift(-1)).drop(columns=["n", "pos"])
-
-    pooled = typed.groupBy(*keys, "_range").applyInPandas(inside, f"low double, high double, n bigint, pos bigint, {kinds}")
-    fitted = pooled.groupBy(*keys).applyInPandas(
-        across, f"low double, high double, {kinds}, block bigint, isotonic double, next_low double, next_isotonic double"
+        own = [c for c in part.columns if c in keys or c in ("_range", "_class")]
+        return out.assign(**{k: part[k].iloc[0] for k in own})
+
+    schema = f"low double, high double, n bigint, pos bigint, {kinds}"
+    pooled = settle(running(typed.groupBy(*keys, "_range").applyInPandas(pool, f"{schema}, _range double"), keys, "low", "_range", sums=["n", "pos"]))
+    cuts = _class_cuts(pooled, keys, classes or max(2, default_ranges(df)))
+    place = F.size(F.filter("_cuts", lambda at: at <= F.col("before_n"))).alias("_class")
+    cut = pooled.join(cuts, keys).select(*keys, "low", "high", "n", "pos", place)
+    blocks = settle(cut.groupBy(*keys, "_class").applyInPandas(pool, f"{schema}, _class int"))
+
+    along = Window.partitionBy(*keys).orderBy("_class")  # one row per class
+    each = blocks.groupBy(*keys, "_class").agg(F.count("*").alias("_n"), F.min(F.struct("low", (F.col("pos") / F.col("n")).alias("isotonic"))).alias("_first"))
+    each = each.select(*keys, "_class", F.lead("_first").over(along).alias("_after"), (F.sum("_n").over(along) - F.col("_n")).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_class").orderBy("low")
+    fitted = blocks.withColumn("isotonic", F.col("pos") / F.col("n")).join(each, [*keys, "_class"])
+    return settle(
+        fitted.select(
+            *keys,
+            (F.col("_offset") + F.row_number().over(inside)).alias("block"),
+            "low",
+            "high",
+            "isotonic",
+            F.coalesce(F.lead("low").over(inside), F.col("_after.low")).alias("next_low"),
+            F.coalesce(F.lead("isotonic").over(inside), F.col("_after.isotonic")).alias("next_isotonic"),
+        )
     )
-    return settle(fitted.select(*keys, "block", "low", "high", "isotonic", "next_low", "next_isotonic"))
 
 
 def isotonic_apply(df: DataFrame, keys: Sequence[str], score: str, fitted: DataFrame, output: str = "isotonic") -> DataFrame:

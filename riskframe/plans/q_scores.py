@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.functions import scalars as X
+from riskframe.functions.prefix import settle
 from riskframe.operators import calibration as C
 from riskframe.operators import decisions as D
 from riskframe.operators import metrics as M
-from riskframe.plans.canon import LEDGER, LEDGER_BOTH, LEDGER_VALIDATION, SHOP, TX, ledger, shop, stored, tx
+from riskframe.operators.splits import calibration_threshold_boundaries
+from riskframe.plans.canon import LEDGER, LEDGER_BOTH, LEDGER_VALIDATION, MODELS, SEEDS, SHOP, TX, ledger, shop, stored, tx
 from riskframe.plans.registry import query
 
 K = ["fold", "seed", "model"]
@@ -440,7 +442,23 @@ def _(spark, d):
     return rounded(out.select("fold", "id", "raw", "isotonic"))
 
 
-@query("c02_isotonic_cells")
+def iso_sql(source, name="im"):
+    """Isotonic rate of every level of every cell: the largest, over starts, of the least mean up to any end."""
+    return f"""{name}_l AS MATERIALIZED (SELECT {KS}, raw AS x, sum(label)::BIGINT AS pos, count(*) AS n, row_number() OVER (PARTITION BY {KS} ORDER BY raw) AS i
+  FROM {source} GROUP BY {KS}, raw),
+{name}_c AS MATERIALIZED (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM {name}_l WINDOW w AS (PARTITION BY {KS} ORDER BY i)),
+{name}_a AS (SELECT a.fold, a.seed, a.model, a.i AS j, b.i AS k, (b.cp - a.cp + a.pos)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS m
+  FROM {name}_c a JOIN {name}_c b ON a.fold = b.fold AND a.seed = b.seed AND a.model = b.model AND b.i >= a.i),
+{name}_m AS (SELECT {KS}, k AS i, min(m) OVER (PARTITION BY {KS}, j ORDER BY k DESC) AS m FROM {name}_a),
+{name} AS MATERIALIZED (SELECT {KS}, x, isotonic, lead(x) OVER w AS nx, lead(isotonic) OVER w AS ni, min(x) OVER (PARTITION BY {KS}) AS x0
+  FROM (SELECT {KS}, i, max(m) AS isotonic FROM {name}_m GROUP BY {KS}, i) JOIN {name}_l USING ({KS}, i) WINDOW w AS (PARTITION BY {KS} ORDER BY i))"""
+
+
+@query(
+    "c02_isotonic_cells",
+    f"""WITH {LEDGER_VALIDATION}, {iso_sql('led_validation')}
+SELECT {KS}, id, raw, round(isotonic, 6) AS isotonic FROM led_validation l JOIN im USING ({KS}) WHERE raw = x""",
+)
 def _(spark, d):
     """Every (fold, seed, model) cell, each with its own map."""
     rows = ledger(spark, d, "validation")
@@ -568,20 +586,75 @@ def _(spark, d):
     return rounded(C.spearman(a.join(b, ["fold", "seed", "id"]), ["fold", "seed"], "x", "y"))
 
 
-METHODS = {"Uncalibrated": "raw", "Platt": "platt", "Stepped": "ps"}
+METHODS = {"Uncalibrated": "raw", "Platt": "fitted", "Isotonic": "isotonic"}
+NEWTON = 16
+
+
+def _fitted_sides(spark, d):
+    """Threshold and test rows of every cell with its own fitted maps.
+
+    The validation window is cut in time: maps are fitted on the first part, thresholds chosen on the second.
+    """
+    rows = ledger(spark, d, "validation")
+    one = rows.where((F.col("seed") == SEEDS[0]) & (F.col("model") == next(iter(MODELS))))  # times and labels are those of every cell
+    cut = calibration_threshold_boundaries(one, "time", "label", ["fold"]).select("fold", "last_time")
+    split = rows.join(settle(cut), "fold")
+    first = split.where(F.col("time") <= F.col("last_time"))
+    platt, iso = C.platt_fit_cells(first, K, "raw", "label"), C.isotonic_fit(first, K, "raw", "label")
+    sides = []
+    for name, side in (("threshold", split.where(F.col("time") > F.col("last_time"))), ("test", ledger(spark, d))):
+        build = lambda side=side: C.isotonic_apply(
+            C.platt_apply_cells(side.select(*K, "id", "label", "raw"), K, "raw", platt, "fitted"), K, "raw", iso
+        )
+        sides.append(stored(spark, d, f"fitted_{name}", build))
+    return sides
 
 
 def _branches(spark, d):
-    """Long validation and test rows by method, and the result grid, evaluated once and written."""
+    """Long threshold and test rows by method, and the result grid, evaluated once and written."""
     sides = []
-    for split in ("validation", "test"):
-        rows = _coarse(ledger(spark, d, split)).select(*K, "id", "label", "raw", "platt", "ps")
+    for rows in _fitted_sides(spark, d):
         entries = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("score")) for m, c in METHODS.items()])
         sides.append(rows.withColumn("_m", F.explode(entries)).select(*K, "id", "label", "raw", "_m.method", "_m.score"))
-    grid = lambda: C.evaluate_branch(*sides, [*K, "method"], "score", "raw", "label", tie_methods=["Stepped"])
+    grid = lambda: C.evaluate_branch(*sides, [*K, "method"], "score", "raw", "label")
     return sides[0], sides[1], stored(spark, d, "branches", grid)
 
 
+def platt_sql(source, name="pm"):
+    """Logistic maps of all cells by Newton steps on score levels, one table a step."""
+    clip = "greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw))"
+    steps = [f"""{name}_l AS MATERIALIZED (SELECT {KS}, ln({clip} / (1 - {clip})) AS z, label::DOUBLE AS y, count(*)::DOUBLE AS w FROM {source} GROUP BY ALL),
+{name}_0 AS (SELECT DISTINCT {KS}, 0::DOUBLE AS slope, 0::DOUBLE AS intercept FROM {name}_l)"""]
+    for i in range(NEWTON):
+        steps.append(f"""{name}_{i + 1} AS MATERIALIZED (
+  WITH p AS (SELECT *, 1 / (1 + exp(-(slope * z + intercept))) AS p FROM {name}_l JOIN {name}_{i} USING ({KS})),
+  s AS (SELECT {KS}, slope, intercept, sum(w * (p - y)) AS g0, sum(w * (p - y) * z) AS g1, sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * z) AS h01,
+    sum(w * p * (1 - p) * z * z) AS h11 FROM p GROUP BY {KS}, slope, intercept),
+  f AS (SELECT *, slope - coalesce((h00 * g1 - h01 * g0) / nullif(h00 * h11 - h01 * h01, 0), 0) AS free FROM s)
+  SELECT {KS}, greatest({C.LEAST_SLOPE}::DOUBLE, free) AS slope, CASE WHEN free >= {C.LEAST_SLOPE}::DOUBLE
+    THEN intercept - coalesce((h11 * g0 - h01 * g1) / nullif(h00 * h11 - h01 * h01, 0), 0)
+    ELSE intercept - coalesce((g0 + h01 * ({C.LEAST_SLOPE}::DOUBLE - slope)) / nullif(h00, 0), 0) END AS intercept FROM f)""")
+    return ",\n".join(steps)
+
+
+def fitted_sql():
+    """CTEs v1 and t1: threshold and test rows with the score columns of ``METHODS``."""
+    clip = "greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw))"
+    side = f"""SELECT l.*, 1 / (1 + exp(-(slope * ln({clip} / (1 - {clip})) + intercept))) AS fitted,
+  CASE WHEN x IS NULL THEN f.first WHEN raw = x OR nx IS NULL OR ni = isotonic THEN isotonic ELSE isotonic + (ni - isotonic) / (nx - x) * (raw - x) END AS isotonic
+FROM {{source}} l JOIN pm_{NEWTON} USING ({KS}) JOIN iso_first f USING ({KS})
+  ASOF LEFT JOIN im ON l.fold = im.fold AND l.seed = im.seed AND l.model = im.model AND l.raw >= im.x"""
+    return f"""{LEDGER_BOTH}, vg AS (SELECT fold, time, count(*) AS n, sum(label) AS pos FROM led_validation WHERE seed = {SEEDS[0]} AND model = '{next(iter(MODELS))}' GROUP BY ALL),
+vc AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cum, sum(pos) OVER w AS cpos, sum(n) OVER (PARTITION BY fold) AS total,
+    sum(pos) OVER (PARTITION BY fold) AS tpos, count(*) OVER (PARTITION BY fold) AS k FROM vg WINDOW w AS (PARTITION BY fold ORDER BY time)),
+cut AS (SELECT fold, time AS last_time FROM vc WHERE i < k AND cpos > 0 AND cum - cpos > 0 AND tpos - cpos > 0 AND total - tpos - (cum - cpos) > 0
+  QUALIFY row_number() OVER (PARTITION BY fold ORDER BY abs(cum - total / 2), i) = 1),
+vfirst AS MATERIALIZED (SELECT l.* FROM led_validation l JOIN cut USING (fold) WHERE time <= last_time),
+vlast AS (SELECT l.* FROM led_validation l JOIN cut USING (fold) WHERE time > last_time),
+{platt_sql('vfirst')}, {iso_sql('vfirst')}, iso_first AS (SELECT {KS}, isotonic AS first FROM im WHERE x = x0),
+v1 AS MATERIALIZED ({side.format(source='vlast')}), t1 AS MATERIALIZED ({side.format(source='ledger')})"""
+
+
 def _branch_sql():
     """One CTE per method; the metric columns follow the branch table."""
     ctes, union = [], []
@@ -606,7 +679,7 @@ def _branch_sql():
 {t}_ti AS (SELECT {KS}, {TIES} FROM {t}_cv GROUP BY {KS})""")
         tie = (
             "ti.unique_outputs, ti.tied_rows, ti.tie_fraction, ti.largest_tie"
-            if m == "Stepped"
+            if m == "Isotonic"
             else "NULL::BIGINT AS unique_outputs, NULL::BIGINT AS tied_rows, NULL::DOUBLE AS tie_fraction, NULL::BIGINT AS largest_tie"
         )
         kept = {k: v for k, v in rates_sql(100).items() if k in ("precision", "recall", "f1", "alert_rate")}
@@ -621,8 +694,7 @@ FROM {t}_cf cf JOIN (SELECT {KS}, threshold, cost, alerts::DOUBLE / rows AS valr
   JOIN {t}_bp bp USING ({KS}) JOIN {t}_pv pv USING ({KS}) JOIN {t}_ptm ptm USING ({KS}) JOIN {t}_ap ap USING ({KS}) JOIN {t}_rap rap USING ({KS})
   JOIN {t}_q q USING ({KS}) JOIN {t}_ub_v_e uv USING ({KS}) JOIN {t}_qv qv USING ({KS}) JOIN {t}_ub_t_e ut USING ({KS}) JOIN {t}_qt qt USING ({KS})
   JOIN {t}_ti ti USING ({KS})""")
-    return f"""{LEDGER_BOTH}, v1 AS (SELECT *, round(raw, 1) AS ps FROM led_validation),
-t1 AS (SELECT *, round(raw, 1) AS ps FROM ledger), {", ".join(ctes)}, br AS ({" UNION ALL BY NAME ".join(union)})"""
+    return f"""{fitted_sql()}, {", ".join(ctes)}, br AS ({" UNION ALL BY NAME ".join(union)})"""
 
 
 BRANCHES = _branch_sql()
@@ -633,9 +705,9 @@ BRANCH_DOUBLES = (
 ).split()
 
 
-@query("c17_evaluate_branch", f"WITH {BRANCHES} SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in BRANCH_DOUBLES)}) FROM br")
+@query("c17_evaluate_branch", f"WITH {BRANCHES} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in BRANCH_DOUBLES)}) FROM br")
 def _(spark, d):
-    return rounded(_branches(spark, d)[2], 9)
+    return rounded(_branches(spark, d)[2])
 
 
 def _compare_sql():
@@ -670,7 +742,7 @@ def _(spark, d):
     return rounded(C.compare_decisions(val, test, results, K, "score", "id", "Uncalibrated"))
 
 
-PAIRS = [("Platt", "Uncalibrated"), ("Stepped", "Uncalibrated"), ("Stepped", "Platt")]
+PAIRS = [("Platt", "Uncalibrated"), ("Isotonic", "Uncalibrated"), ("Isotonic", "Platt")]
 RELIABILITY = {
     "brier_improvement": "test_brier",
     "ece_uniform_improvement": "test_ece_uniform",

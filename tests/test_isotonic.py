@@ -1,5 +1,6 @@
 """Isotonic maps per cell against the max-min formula and the one-cell model of Spark."""
 
+import math
 import random
 from collections import defaultdict
 from fractions import Fraction
@@ -48,6 +49,24 @@ def test_every_cell_matches_brute_force(spark):
             assert all(r["isotonic"] == pytest.approx(float(want[r["raw"]])) for r in found if (r["model"], r["fold"]) == (c, k))
 
 
+@pytest.mark.parametrize("classes", [2, 3, 40])
+def test_classes_do_not_change_the_map(spark, classes):
+    rng = random.Random(classes)
+    rise = {"noise": lambda x: 0.5, "wave": lambda x: 0.5 + 0.4 * math.sin(9 * x), "rise": lambda x: x * x, "fall": lambda x: 1 - x, "ones": lambda x: 1}
+    rows = [(c, x, int(rng.random() < f(x))) for c, f in rise.items() for x in (round(rng.random(), 3) for _ in range(700))]
+    rows += [("alternate", k / 100, k % 2) for k in range(100)] + [("one", 0.5, 1)]
+    df = spark.createDataFrame(rows, "model string, raw double, label int")
+    fitted = C.isotonic_fit(df, ["model"], "raw", "label", classes=classes).collect()
+    for c in {r[0] for r in rows}:
+        want = brute([(x, y) for m, x, y in rows if m == c])
+        blocks = sorted((r for r in fitted if r["model"] == c), key=lambda r: r["block"])
+        assert [r["block"] for r in blocks] == list(range(1, len(blocks) + 1))
+        assert sorted(set(want.values())) == [pytest.approx(r["isotonic"]) for r in blocks]
+        for r, after in zip(blocks, blocks[1:] + [None]):
+            assert {v for x, v in want.items() if r["low"] <= x <= r["high"]} == {want[r["low"]]} and float(want[r["low"]]) == pytest.approx(r["isotonic"])
+            assert (r["next_low"], r["next_isotonic"]) == ((after["low"], after["isotonic"]) if after else (None, None))
+
+
 def test_unseen_scores_follow_the_one_cell_model(spark):
     rng = random.Random(6)
     rows = [(1, x, int(rng.random() < x)) for x in (round(rng.uniform(0.2, 0.8), 2) for _ in range(200))]

@@ -6,30 +6,33 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import bootstrap as B
 from riskframe.operators import metrics as M
+from riskframe.operators import replicates as R
 from riskframe.plans.canon import LEDGER, PLATT, SEEDS, ledger, stored
 from riskframe.plans.q_scores import AP, KS, LEDGER_METRICS, STAGES, K, curve_sql, rounded
 from riskframe.plans.registry import query
 
-REPS, SEED = 40, 71
+#: Draws of the queries whose SQL twin copies every row, and of the interval queries that report (``..._1000``).
+REPS, MANY, SEED = 40, 1_000, 71
 E = [*K, "block_length", "replicate_id"]
 CONTRASTS = [("history", "P0", "PH"), ("windows", "PH", "PHW"), ("pairs", "PH", "PP"), ("history_windows", "P0", "PHW"), ("history_pairs", "P0", "PP")]
 METRICS = ["delta_ap", "delta_tp", "delta_recall", "cost_reduction"]
 
 
-def draws_sql(lengths=("L",), name="dr"):
+def draws_sql(lengths=("L",), name="dr", reps=REPS):
     return f"""tg AS (SELECT fold, time, row_number() OVER (PARTITION BY fold ORDER BY time) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS groups
   FROM (SELECT DISTINCT fold, time FROM ledger)),
 hd AS (SELECT DISTINCT fold, groups, unnest([{", ".join(lengths)}])::INTEGER AS block_length FROM (SELECT fold, groups,
     greatest(2, round_even(groups ** (1 / 3::DOUBLE), 0)::INTEGER) AS L FROM tg)),
-bl AS (SELECT fold, groups, block_length, rep AS replicate_id, blk FROM hd, (SELECT unnest(range(1, {REPS} + 1)) AS rep), (SELECT unnest(range(0, 4000)) AS blk)
-  WHERE blk < ceil(groups / block_length::DOUBLE) AND block_length <= groups),
+bl AS (SELECT fold, groups, block_length, rep AS replicate_id, unnest(range(0, ceil(groups / block_length::DOUBLE)::BIGINT)) AS blk
+  FROM hd, (SELECT unnest(range(1, {reps} + 1)) AS rep) WHERE block_length <= groups),
 {name} AS (SELECT fold, block_length, replicate_id::INTEGER AS replicate_id, (blk * block_length + o)::INTEGER AS draw,
     (('0x' || substr(sha256(concat_ws('|', '{SEED}', fold, block_length, replicate_id, blk)), 1, 8))::BIGINT % (groups - block_length + 1) + o)::INTEGER AS pos
-  FROM bl, (SELECT unnest(range(0, 400)) AS o) WHERE o < block_length AND blk * block_length + o < groups),
+  FROM (SELECT *, unnest(range(0, block_length)) AS o FROM bl) WHERE blk * block_length + o < groups),
 mu AS (SELECT fold, block_length, replicate_id, pos, count(*) AS mult FROM {name} GROUP BY ALL)"""
 
 
 DRAWS = f"{LEDGER}, {draws_sql()}"
+DRAWS_MANY = f"{LEDGER}, {draws_sql(reps=MANY)}"
 RK = f"{KS}, block_length, replicate_id"
 
 
@@ -48,24 +51,24 @@ def reps_sql(score="raw", source="ledger", name="rt", keys=KS, q=(3, 100)):
 {name} AS (SELECT * FROM {name}_t JOIN {name}_a USING ({r}))"""
 
 
-def _draws(spark, d, lengths=("default",)):
+def _draws(spark, d, lengths=("default",), reps=REPS):
     rows = ledger(spark, d)
     positions = B.time_positions(rows)
-    return rows, positions, B.moving_blocks(positions, ["fold"], REPS, SEED, lengths)
+    return rows, positions, B.moving_blocks(positions, ["fold"], reps, SEED, lengths)
 
 
-def _world(spark, d, lengths=("default",), where="true"):
-    rows, positions, draws = _draws(spark, d, lengths)
-    mult = stored(spark, d, "mult_" + "_".join(map(str, lengths)), lambda: B.multiplicities(draws, ["fold"]))
+def _world(spark, d, lengths=("default",), where="true", reps=REPS):
+    rows, positions, draws = _draws(spark, d, lengths, reps)
+    mult = stored(spark, d, f"mult_{reps}_" + "_".join(map(str, lengths)), lambda: B.multiplicities(draws, ["fold"]))
     return B.with_position(rows.where(where), positions, ["fold"]), mult
 
 
-def _table(spark, d, lengths=("default",)):
+def _table(spark, d, lengths=("default",), reps=REPS):
     def build():
-        rows, mult = _world(spark, d, lengths)
-        return B.replicate_table(rows, mult, ["fold"], K, "raw", "label", "id")
+        rows, mult = _world(spark, d, lengths, reps=reps)
+        return R.vector_replicates(rows, mult, ["fold"], K, "raw", "label", "id")
 
-    return stored(spark, d, "replicates_" + "_".join(map(str, lengths)), build)
+    return stored(spark, d, f"replicates_{reps}_" + "_".join(map(str, lengths)), build)
 
 
 @query("b02_moving_blocks", f"WITH {DRAWS} SELECT * FROM dr")
@@ -137,8 +140,8 @@ PAIRED = f"""pc AS (SELECT a.fold, a.seed, a.block_length, a.replicate_id, c.id
 PAIR_KEYS = ["fold", "seed", "block_length", "replicate_id"]
 
 
-def _paired(spark, d, lengths=("default",)):
-    return B.paired_components(_table(spark, d, lengths), PAIR_KEYS, CONTRASTS)
+def _paired(spark, d, lengths=("default",), reps=REPS):
+    return B.paired_components(_table(spark, d, lengths, reps), PAIR_KEYS, CONTRASTS)
 
 
 @query(
@@ -168,8 +171,8 @@ fm AS (SELECT block_length, replicate_id, contrast, {", ".join(
 SEED_KEYS = ["fold", "block_length", "replicate_id", "contrast"]
 
 
-def _seed_means(spark, d, lengths=("default",)):
-    return B.seed_mean(_paired(spark, d, lengths), SEED_KEYS, len(SEEDS))
+def _seed_means(spark, d, lengths=("default",), reps=REPS):
+    return B.seed_mean(_paired(spark, d, lengths, reps), SEED_KEYS, len(SEEDS))
 
 
 def _fold_means(spark, d, lengths=("default",)):
@@ -207,15 +210,24 @@ def long_sql(source, keys, metrics, name="lg"):
     return f"{name} AS ({' UNION ALL '.join(f'SELECT {keys}, {chr(39)}{m}{chr(39)} AS metric, {m}::DOUBLE AS value FROM {source}' for m in metrics)})"
 
 
-@query(
-    "b12_interval_summary",
-    f"WITH {DRAWS}, {reps_sql()}, {PAIRED}, {MEANS}, {long_sql('sm', 'fold, contrast', METRICS)}, {interval_sql('lg', 'fold, contrast, metric')} SELECT * FROM iv",
-)
-def _(spark, d):
-    long = B.melt(_seed_means(spark, d), SEED_KEYS, METRICS)
+def _effect_intervals(spark, d, reps):
+    long = B.melt(_seed_means(spark, d, reps=reps), SEED_KEYS, METRICS)
     return rounded(B.interval_summary(long, ["fold", "contrast", "metric"]))
 
 
+EFFECTS = f"{reps_sql()}, {PAIRED}, {MEANS}, {long_sql('sm', 'fold, contrast', METRICS)}, {interval_sql('lg', 'fold, contrast, metric')} SELECT * FROM iv"
+
+
+@query("b12_interval_summary", f"WITH {DRAWS}, {EFFECTS}")
+def _(spark, d):
+    return _effect_intervals(spark, d, REPS)
+
+
+@query("b12_interval_summary_1000", f"WITH {DRAWS_MANY}, {EFFECTS}")
+def _(spark, d):
+    return _effect_intervals(spark, d, MANY)
+
+
 FACTOR = {"P0": "B0", "PH": "B0H", "PP": "B1", "PHW": "B1H"}
 FACTOR_CASE = "CASE model " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FACTOR.items()) + " END"
 CELLS = ["B0", "B0H", "B1", "B1H", "H0", "H1", "D"]
@@ -228,8 +240,8 @@ def factorial_sql(source="rt", name="fs", value="tp"):
     avg((B1H - B1) - (B0H - B0)) AS D FROM {name}_w GROUP BY ALL)"""
 
 
-def _factorial(spark, d, lengths=("default",), metric="tp"):
-    rows = _table(spark, d, lengths)
+def _factorial(spark, d, lengths=("default",), metric="tp", reps=REPS):
+    rows = _table(spark, d, lengths, reps)
     mapping = F.create_map(*[F.lit(x) for kv in FACTOR.items() for x in kv])
     return B.factorial_summary(rows.withColumn("cell", mapping[F.col("model")]), ["fold", "block_length", "replicate_id"], len(SEEDS), metric)
 
@@ -253,7 +265,16 @@ SELECT iv.*, CASE WHEN metric = 'D' THEN wide.lower END AS wide_lower, CASE WHEN
 FROM iv JOIN wide USING (fold, block_length, metric)""".replace("SELECT iv.*, CASE WHEN metric", "SELECT iv.*, CASE WHEN iv.metric").replace("CASE WHEN metric = 'D' THEN wide.upper", "CASE WHEN iv.metric = 'D' THEN wide.upper"),
 )
 def _(spark, d):
-    long = B.melt(_factorial(spark, d, LENGTHS), ["fold", "block_length", "replicate_id"], CELLS)
+    return _order_intervals(spark, d, REPS)
+
+
+@query("b14_bootstrap_orders_1000")
+def _(spark, d):
+    return _order_intervals(spark, d, MANY)
+
+
+def _order_intervals(spark, d, reps):
+    long = B.melt(_factorial(spark, d, LENGTHS, reps=reps), ["fold", "block_length", "replicate_id"], CELLS)
     keys = ["fold", "block_length", "metric"]
     wide = B.interval_summary(long, keys, confidence=0.9875).select(
         *keys, *[F.when(F.col("metric") == "D", F.col(c)).alias(f"wide_{c}") for c in ("lower", "upper")]
@@ -270,9 +291,18 @@ lg AS (SELECT fold, 'delta_ap' AS metric, 'A' AS family, a1 AS value FROM fam UN
 {interval_sql('lg', 'fold, metric, family')} SELECT * FROM iv""",
 )
 def _(spark, d):
+    return _family_intervals(spark, d, REPS)
+
+
+@query("b15_family_difference_1000")
+def _(spark, d):
+    return _family_intervals(spark, d, MANY)
+
+
+def _family_intervals(spark, d, reps):
     keys = ["fold", "block_length", "replicate_id"]
-    a = _paired(spark, d).where("contrast = 'history' AND seed = 42")
-    b = _seed_means(spark, d).where("contrast = 'history_windows'")
+    a = _paired(spark, d, reps=reps).where("contrast = 'history' AND seed = 42")
+    b = _seed_means(spark, d, reps=reps).where("contrast = 'history_windows'")
     long = B.family_difference(a, b, keys, ["delta_ap", "delta_tp"])
     return rounded(B.interval_summary(long, ["fold", "metric", "family"]))
 
@@ -288,10 +318,19 @@ SELECT fold, seed, processing, round(avg(value), 6) AS mean, round(quantile_cont
 FROM lg GROUP BY ALL""",
 )
 def _(spark, d):
-    rows, mult = _world(spark, d, where="model IN ('P0', 'PH')")
+    return _stage_intervals(spark, d, REPS)
+
+
+@query("b16_stage_processing_effects_1000")
+def _(spark, d):
+    return _stage_intervals(spark, d, MANY)
+
+
+def _stage_intervals(spark, d, reps):
+    rows, mult = _world(spark, d, where="model IN ('P0', 'PH')", reps=reps)
     long = M.melt_stages(rows)
     keys = [*K, "stage"]
-    ap = B.positive_level_ap(long, mult, ["fold"], keys, "score", "label")
+    ap = stored(spark, d, f"stages_{reps}", lambda: R.vector_replicates(long, mult, ["fold"], keys, "score", "label").drop("n", "positives"))
     base = ap.where("model = 'P0'").drop("model").withColumnRenamed("ap", "_a")
     effect = ap.where("model = 'PH'").drop("model").join(base, ["fold", "seed", "stage", "block_length", "replicate_id"])
     effect = effect.withColumn("delta", F.col("ap") - F.col("_a"))
@@ -318,7 +357,16 @@ def _(spark, d):
 {interval_sql('lg', 'fold, block_length, contrast, metric')} SELECT * FROM iv""",
 )
 def _(spark, d):
-    long = B.melt(_seed_means(spark, d, ("half", "default", "double")), SEED_KEYS, METRICS)
+    return _block_intervals(spark, d, REPS)
+
+
+@query("b18_block_sensitivity_1000")
+def _(spark, d):
+    return _block_intervals(spark, d, MANY)
+
+
+def _block_intervals(spark, d, reps):
+    long = B.melt(_seed_means(spark, d, ("half", "default", "double"), reps), SEED_KEYS, METRICS)
     return rounded(B.interval_summary(long, ["fold", "block_length", "contrast", "metric"]))
 
 
@@ -375,6 +423,17 @@ def _(spark, d):
     return rounded(out).select(*K, "metric", "max_difference", "draws", "valid")
 
 
+@query("b22_version_paired_intervals_1000")
+def _(spark, d):
+    """The stored AP over all levels, and one over positive levels alone, at the reporting number of draws."""
+    rows, mult = _world(spark, d, reps=MANY)
+    merged = rows.join(B.positive_levels(rows, K, "raw", "label"), [*K, "raw"], "left")
+    merged = merged.withColumn("_level", F.coalesce("_level", F.lit(-1.0)))  # below every positive
+    new = R.vector_replicates(merged, mult, ["fold"], K, "_level", "label").select(*E, "ap")
+    out = B.version_paired_intervals(_table(spark, d, reps=MANY).select(*E, "ap"), new, E, ["ap"], K)
+    return rounded(out).select(*K, "metric", "max_difference", "draws", "valid")
+
+
 @query(
     "b23_observed_effects",
     f"""WITH {LEDGER}, {LEDGER_METRICS} SELECT a.fold, a.seed, round((b.tp - a.tp)::DOUBLE / a.positives, 6) AS delta_recall,

@@ -1,11 +1,14 @@
 """Weighted kernels against the literally duplicated population."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from riskframe.operators import bootstrap as B
 from riskframe.operators import decisions as D
 from riskframe.operators import metrics as M
+from riskframe.operators import replicates as R
 
 Y = [0, 1, 0, 1, 1, 0, 0, 1, 0, 0]
 S = [0.95, 0.7, 0.7, 0.7, 0.7, 0.45, 0.45, 0.2, 0.2, 0.05]
@@ -37,11 +40,34 @@ def test_weighted_kernels_equal_expanded_rows(world):
         assert (table[k]["tp"], table[k]["alerts"], table[k]["n"]) == (top[k]["tp"], top[k]["alerts"], top[k]["rows"])
 
 
+@pytest.mark.parametrize("width, rows_a_range", [(2, 1), (2, 1_000), (128, 3)])
+def test_replicate_vectors_equal_expanded_rows(world, spark, monkeypatch, width, rows_a_range):
+    monkeypatch.setattr(R, "RANGE_ROWS", rows_a_range)
+    rows, mult = world
+    rng = random.Random(width)
+    more = [(2, "w", i, int(rng.random() < 0.3), rng.choice([0.1, 0.4, 0.4, 0.8, rng.random()]), rng.randrange(4)) for i in range(120)]
+    rows = rows.unionByName(spark.createDataFrame(more, rows.schema))
+    mult = mult.unionByName(mult.withColumn("fold", F.lit(2)))
+    expanded = B.occurrence_rows(rows, mult, ["fold"]).withColumn("copy", F.col("id") * 100 + F.col("occurrence"))
+    keys = [*KEYS, "replicate_id"]
+    ap = {(r["fold"], r["replicate_id"]): r["ap"] for r in M.average_precision(expanded, keys, "raw", "label").collect()}
+    for q in (0.05, 0.3, 1):
+        top = {(r["fold"], r["replicate_id"]): r for r in D.capacity_profile(expanded, keys, "raw", "label", [q], "copy").collect()}
+        found = R.vector_replicates(rows, mult, ["fold"], KEYS, "raw", "label", "id", q, width).collect()
+        assert len(found) == len(top) == 6
+        for r in found:
+            k = (r["fold"], r["replicate_id"])
+            assert r["ap"] == pytest.approx(ap[k])
+            assert (r["n"], r["positives"], r["alerts"], r["tp"]) == (top[k]["rows"], top[k]["positives"], top[k]["alerts"], top[k]["tp"])
+
+
 def test_replicates_without_positives_are_kept_as_null(world):
     rows, mult = world
     none = rows.withColumn("label", F.when(F.col("pos") == 2, 0).otherwise(F.col("label")))
     out = {r["replicate_id"]: r["ap"] for r in B.positive_level_ap(none, mult, ["fold"], KEYS, "raw", "label").collect()}
     assert len(out) == 3 and out[3] is None
+    out = {r["replicate_id"]: r["ap"] for r in R.vector_replicates(none, mult, ["fold"], KEYS, "raw", "label").collect()}
+    assert len(out) == 3 and out[3] is None
 
 
 def test_blocks_are_contiguous_legal_and_cut_to_length(spark):

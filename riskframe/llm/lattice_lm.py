@@ -14,11 +14,12 @@ with c the token's training count, N all of them, V the distinct ones and D esti
 met once and twice, n1 / (n1 + 2 n2). P sums to at most one over all tokens. A vocabulary whose scores are log probabilities is used as it is; the scores of a merge
 vocabulary are ranks and become Zipf weights.
 
-Two passes over the texts. The first counts words inside each task before the shuffle. Tokens that
-make up at least one ``HEAVY``-th of the training tokens, so at most ``HEAVY`` of them, are sent to all
-tasks; the second pass sums their scores, and writes the other words of a text as (128-bit hash,
-count, piece probability). These rare words, none of them hot, meet their counts in one join and return
-as one row per text.
+Two passes over the texts. The first counts words inside each task before the shuffle; every distinct
+training word then gets its piece probability once, in the written table of counts. Words that make up
+at least one ``HEAVY``-th of the training tokens, so at most ``HEAVY`` of them and of at most ``LONG``
+bytes each, are sent to all tasks. The second pass sums their scores, and writes the other words of a
+text with how often it has them. These rare words, none of them hot, meet their counts in one join,
+those never met in training are weighed there, and all return as one row per text.
 
 Texts are read whole; A-Z become lower case; null counts as empty, whose only token is the end. A text
 without id is scored but never learned from. Without any training text P is P_pieces alone. Repeated
@@ -27,13 +28,13 @@ ids are rows like others. An empty table gives an empty result. Columns other th
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -42,11 +43,13 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import stored
 
 SPACE = "▁"
-#: Tokens that are sent to every task at most.
+#: Words that are sent to every task at most, and bytes of each.
 HEAVY = 65_536
-#: Distinct words that a counting task, and a scoring task, hold at most before they start afresh (a single text may add more).
+LONG = 256
+#: Distinct words that a counting task holds at most before it starts afresh (a single text may add more).
 COUNTED = 300_000
-REMEMBERED = 300_000
+#: Texts that are scored together.
+TEXTS = 1_000
 #: Offset of Zipf's law on ranks.
 OFFSET = 2.7
 LN10 = math.log(10.0)
@@ -57,10 +60,6 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_key(word: bytes) -> bytes:
-    return hashlib.sha256(word).digest()[:16]
-
-
 def piece_log_weights(scores: np.ndarray) -> np.ndarray:
     """Natural log probabilities of pieces from the scores of a vocabulary file."""
     if abs(np.exp(scores).sum() - 1) < 0.05:
@@ -106,6 +105,10 @@ class PieceLattice:
             forward.append(log_sum(arcs))
         return self.inside + forward[-1]
 
+    def log10(self, words: pa.Array) -> pa.Array:
+        """log10 of the piece probability of each word; that of the end of a text for null."""
+        return pa.array([(self.end if w is None else self.word(w.decode("utf-8"))) / LN10 for w in words.to_pylist()], pa.float64())
+
 
 @lru_cache(maxsize=4)
 def lattice(path: str) -> PieceLattice:
@@ -122,8 +125,8 @@ def lattice(path: str) -> PieceLattice:
     return PieceLattice(dict(zip(map(sp.id_to_piece, plain), weights[1:-256].tolist())), weights[-256:].tolist(), float(weights[0]))
 
 
-def token_frequencies(docs: DataFrame, learn: Column, text_column: str = "text") -> DataFrame:
-    """key (of a word; null: the end of a text) and n over the rows that ``learn`` admits."""
+def token_frequencies(docs: DataFrame, path: str, learn: Column, text_column: str = "text") -> DataFrame:
+    """word (null: the end of a text), n and pieces (log10 of its piece probability) over the rows that ``learn`` admits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -140,55 +143,29 @@ def token_frequencies(docs: DataFrame, learn: Column, text_column: str = "text")
                     seen.clear()
         yield partial()
 
-    words = docs.where(learn).select(F.col(text_column).alias("text")).mapInArrow(count, "word binary, n long")
-    return words.groupBy("word").agg(F.sum("n").alias("n")).select(F.substring(F.unhex(F.sha2("word", 256)), 1, 16).alias("key"), "n")
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, lattice(path).log10(batch.column("word"))], ["word", "n", "pieces"])
 
+    words = docs.where(learn).select(F.col(text_column).alias("text")).mapInArrow(count, "word binary, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(weigh, "word binary, n long, pieces double")
 
-class Scores:
-    """Per distinct word met by a task: base and model score where its count is known here, else its piece probability."""
 
-    def __init__(self, path: str, known: dict[bytes, int], n: int, v: int, discount: float):
-        self.lattice, self.known, self.n, self.v, self.discount = lattice(path), known, n, v, discount
-        self.clear()
+class Model:
+    """P and the base score of a token from its count and its piece probability, log10, as columns."""
 
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.keys: list[bytes] = []
-        self.table = np.zeros((1024, 4))  # base, score, pieces, whether the count is known here
+    def __init__(self, n: int, v: int, discount: float):
+        self.n, self.v, self.discount = n, v, discount
 
-    def base(self, c: int) -> float:
-        return math.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
+    def base(self, c: Column) -> Column:
+        return F.log10((c + 0.1) / F.lit(self.n + 0.1 * (self.v + 1)))
 
-    def model(self, c: int, pieces: float) -> float:
-        """log10 of P, given the log10 of P_pieces."""
+    def score(self, c: Column, pieces: Column) -> Column:
         if not self.n:
             return pieces
-        arcs = [LN10 * pieces + math.log(self.discount * self.v / self.n)]
-        if c:
-            arcs.append(math.log((c - self.discount) / self.n))
-        return log_sum(arcs) / LN10
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.at) > REMEMBERED:
-            self.clear()
-        for w in words:
-            if w in self.at:
-                continue
-            place, key = len(self.at), word_key(w)
-            if place == len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            pieces = self.lattice.word(w.decode("utf-8")) / LN10
-            c = self.known.get(key)
-            self.table[place] = (0, 0, pieces, 0) if c is None else (self.base(c), self.model(c, pieces), pieces, 1)
-            self.at[w] = place
-            self.keys.append(key)
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self.learn(words)
-            return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        back, whole = pieces + math.log10(self.discount * self.v / self.n), F.log10((c - self.discount) / F.lit(float(self.n)))
+        high, low = F.greatest(back, whole), F.least(back, whole)
+        return F.when(c > 0, high + F.log10(1 + F.pow(F.lit(10.0), low - high))).otherwise(back)
 
 
 def score_texts(docs: DataFrame, path: str, learn: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -197,72 +174,77 @@ def score_texts(docs: DataFrame, path: str, learn: Column, id_column: str = "doc
     ``learn`` says by columns of ``docs`` which rows may be counted; null is no.
     """
     spark = docs.sparkSession
-    counts = stored(token_frequencies(docs, learn, text_column), "lattice-counts")
+    counts = stored(token_frequencies(docs, path, learn, text_column), "lattice-counts")
     n, v, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    discount = (once + 1) / (once + 2 * twice + 2)
-    many = counts.where(F.col("key").isNotNull() & (F.col("n") * HEAVY >= n)).collect()
-    ends = counts.where("key IS NULL").select("n").first()
-    ends = ends[0] if ends else 0
-    known = spark.sparkContext.broadcast({bytes(r["key"]): r["n"] for r in many})
+    model = Model(n, v, (once + 1) / (once + 2 * twice + 2))
+    figures = [model.base(F.col("n")).alias("base"), model.score(F.col("n"), F.col("pieces")).alias("score"), "pieces", (F.col("n") > 0).cast("double").alias("known")]
+    # The end of a text without any training text: unseen, weighed by its piece probability.
+    end = counts.where("word IS NULL").unionByName(spark.createDataFrame([(0, lattice(path).end / LN10)], "n long, pieces double"), allowMissingColumns=True)
+    ends = np.array(end.orderBy(F.desc("n")).select(*figures).first(), np.float64)
+    often = counts.where(F.col("word").isNotNull() & (F.octet_length("word") <= LONG) & (F.col("n") * HEAVY >= n))
+    many = often.select("word", *figures).collect()
+    known = spark.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(many)}, np.array([[*r[1:]] for r in many] + [[0.0] * 4])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scores(path, known.value, n, v, discount)
-        end = np.array([s.base(ends), s.model(ends, s.lattice.end / LN10), s.lattice.end / LN10, float(ends > 0)])
+        places, table = known.value
         row_id = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            sums, tokens, rare = [], [], []
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+            sums, tokens, ends_at, words, times = [], [], [0], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                places = s.places(tokens_of(text or b""))
-                held = s.table[places]
-                sums.append(held.sum(axis=0) + end)
-                tokens.append(len(places) + 1)
-                other, often = np.unique(places[held[:, 3] == 0], return_counts=True)
-                rare.append([{"key": s.keys[p], "n": m, "pieces": s.table[p, 2]} for p, m in zip(other.tolist(), often.tolist())])
-            base, model, pieces, seen = np.array(sums).reshape(-1, 4).T
+                found = tokens_of(text or b"")
+                held = np.fromiter((places.get(w, -1) for w in found), np.int64, len(found))
+                rare = Counter(found[i] for i in np.flatnonzero(held < 0).tolist())
+                words.extend(rare)
+                times.extend(rare.values())
+                ends_at.append(len(words))
+                sums.append(table[held].sum(axis=0) + ends)
+                tokens.append(len(found) + 1)
+            base, total, pieces, seen = np.array(sums).reshape(-1, 4).T
             columns = {
                 "doc_id": batch.column("doc_id"),
-                "row_id": pa.array(range(row_id, row_id + batch.num_rows), pa.int64()),
+                "row_id": pa.array(np.arange(row_id, row_id + batch.num_rows)),
                 "n_tokens": pa.array(tokens, pa.int64()),
                 "n_known": pa.array(seen.astype(np.int64)),
                 "base_score": pa.array(base),
-                "score": pa.array(model),
+                "score": pa.array(total),
                 "lattice_score": pa.array(pieces),
-                "rare": pa.array(rare, pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64()), ("pieces", pa.float64())]))),
+                "words": pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(words, pa.binary())),
+                "times": pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(times, pa.int64())),
             }
             row_id += batch.num_rows
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = (
         "doc_id long, row_id long, n_tokens long, n_known long, base_score double, score double, lattice_score double,"
-        " rare array<struct<key: binary, n: bigint, pieces: double>>"
+        " words array<binary>, times array<bigint>"
     )
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     rows = stored(texts.mapInArrow(score, schema), "lattice-rows")
 
-    words = rows.select("row_id", F.inline("rare")).join(counts.select("key", F.col("n").alias("c")), "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    base = F.log10((c + 0.1) / F.lit(n + 0.1 * (v + 1)))
-    pieces = F.col("pieces")
-    if n:
-        back, whole = pieces + math.log10(discount * v / n), F.log10((c - discount) / F.lit(float(n)))
-        high = F.greatest(back, whole)
-        model = F.when(c > 0, high + F.log10(1 + F.pow(F.lit(10.0), F.least(back, whole) - high))).otherwise(back)
-    else:
-        model = pieces
-    often = F.col("n")
-    per_row = words.groupBy("row_id").agg(
-        F.sum(F.when(c > 0, often).otherwise(0)).alias("more_known"), F.sum(base * often).alias("more_base"), F.sum(model * often).alias("more_score")
+    @F.pandas_udf("double")
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for words in batches:
+            yield lattice(path).log10(pa.array(words, pa.binary())).to_pandas()
+
+    rare = rows.select("row_id", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row_id", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    met = rare.join(counts, "word", "left").withColumn("pieces", F.when(F.col("n").isNull(), weigh(F.when(F.col("n").isNull(), F.col("word")))).otherwise(F.col("pieces")))
+    c, times, pieces = F.coalesce("n", F.lit(0)), F.col("times"), F.col("pieces")
+    per_row = met.groupBy("row_id").agg(
+        F.sum(F.when(c > 0, times).otherwise(0)).alias("more_known"),
+        F.sum(model.base(c) * times).alias("more_base"),
+        F.sum(model.score(c, pieces) * times).alias("more_score"),
+        F.sum(pieces * times).alias("more_pieces"),
     )
 
     def both(column: str, more: str) -> Column:
         return (F.col(column) + F.coalesce(F.col(more), F.lit(0))).alias(column)
 
-    return rows.drop("rare").join(per_row, "row_id", "left").select(
+    return rows.drop("words", "times").join(per_row, "row_id", "left").select(
         "doc_id",
         "n_tokens",
         both("n_known", "more_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         both("base_score", "more_base"),
         both("score", "more_score"),
-        "lattice_score",
+        both("lattice_score", "more_pieces"),
     )

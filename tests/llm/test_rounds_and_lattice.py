@@ -190,7 +190,8 @@ def brute_scores(rows, path):
 def test_scores_match_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(lattice_lm, "HEAVY", heavy)
     monkeypatch.setattr(lattice_lm, "COUNTED", 5)
-    monkeypatch.setattr(lattice_lm, "REMEMBERED", 5)
+    monkeypatch.setattr(lattice_lm, "LONG", 5)
+    monkeypatch.setattr(lattice_lm, "TEXTS", 7)
     rng = random.Random(6)
     words = "the The river over ein Fluß 水の x9f8 straße of".split()
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(9)))) for i in range(60)]

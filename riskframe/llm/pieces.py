@@ -9,9 +9,13 @@ vocabulary with such pieces is handled too: its texts stay one segment.)
 Segments that a worker has not met go through the merges together, as flat arrays of symbol ids and
 pair ranks. Each round takes the leftmost best pair of every segment (one segmented minimum over rank
 and place), merges all of these at once, looks up the two new pairs beside each merge, and drops the
-consumed symbols and the finished segments. One merge per segment and round is what makes it exact:
-a merged pair may open a better one than the next best. Long segments are cut before the rounds
-between characters that no piece holds side by side.
+consumed symbols and the finished segments. One merge per segment and round is exact whatever the
+vocabulary: a merged pair may open a better one than the next best. Long segments are cut before the
+rounds between characters that no piece holds side by side. What stays long merges all leftmost
+pairs of its best piece in one round where no pair with that piece ranks better than the piece itself, which
+the model knows of every piece beforehand; so a run of a million letters takes few rounds. Long segments whose
+rounds have cost ``PATIENCE`` looks at every symbol, made of pieces that must go one by one, are finished
+from a queue of their pairs, best and leftmost first.
 
 Whole texts are encoded, of any length. Null texts count as empty; an empty text is its end id only.
 Ids are deterministic functions of the text; rows need no order, and a lost task is simply run again.
@@ -20,9 +24,10 @@ Ids are deterministic functions of the text; rows need no order, and a lost task
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +40,9 @@ REMEMBERED = 400_000
 #: Characters of texts that are encoded together, and of new segments that share merge rounds.
 GROUP_CHARS = 4_000_000
 ROUND_CHARS = 1_000_000
+#: Characters of a segment from which it is cut, and takes all merges of one piece in a round.
+LONG = 64
+PATIENCE = 64
 #: Rank of a pair that forms no piece; ranks stand above the places in one sortable number.
 _NONE = np.int64(1) << 22
 _PLACES = np.int64(1) << 40
@@ -69,7 +77,15 @@ class PieceModel:
                 a = a if a is not None or k > 1 else None
                 if a is not None and b is not None:
                     left.append(a), right.append(b), made.append(i), rank.append(order[sp.get_score(i)])
-        self._table(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int64), np.array(rank, np.int64))
+        left, right, made, rank = (np.array(x, np.int64) for x in (left, right, made, rank))
+        self._table(left, right, made, rank)
+        # Pieces that may be merged everywhere at once: a rank of their own, better than that of every pair they are part of.
+        own, opened = np.full(size, _NONE), np.full(size, _NONE)
+        own[made] = rank
+        np.minimum.at(opened, left, rank)
+        np.minimum.at(opened, right, rank)
+        shared = np.bincount(np.array(list(order[sp.get_score(i)] for i in plain), np.int64), minlength=len(order)) > 1
+        self.everywhere = (opened > own) & ~shared[np.minimum(own, len(order) - 1)]
         top = max((ord(c) for c in self.ids if len(c) == 1), default=0) + 1
         self.symbol = np.full(top, size, np.int64)
         for c, i in self.ids.items():
@@ -123,7 +139,7 @@ class PieceModel:
         """Ids of each segment (spaces already ``\\u2581``)."""
         cuts, parts = [], []
         for s in segments:
-            if len(s) > 64:
+            if len(s) > LONG:
                 own, start = [], 0
                 for k in range(1, len(s)):
                     if s[k - 1 : k + 1] not in self.inside:
@@ -134,14 +150,18 @@ class PieceModel:
             else:
                 parts.append(s)
                 cuts.append(1)
-        merged = self._rounds(parts)
+        long = [k for k, p in enumerate(parts) if len(p) > LONG]
+        merged = self._rounds(["" if len(p) > LONG else p for p in parts] if long else parts)
+        for k, ids in zip(long, self._rounds([parts[k] for k in long], many=True)):
+            merged[k] = ids
         out, at = [], 0
         for n in cuts:
             out.append(merged[at] if n == 1 else [i for ids in merged[at : at + n] for i in ids])
             at += n
         return out
 
-    def _rounds(self, parts: list[str]) -> list[list[int]]:
+    def _rounds(self, parts: list[str], many: bool = False) -> list[list[int]]:
+        """Ids of each part. many: merge all leftmost pairs of a part's best piece in a round, where the piece allows it."""
         flat = "".join(parts)
         if not flat:
             return [[] for _ in parts]
@@ -154,7 +174,14 @@ class PieceModel:
         last = np.r_[owner[1:] != owner[:-1], True]
         rank, made = self.pairs(symbol, np.r_[symbol[1:], self.size])
         rank[last] = _NONE
+        looks = PATIENCE * len(owner)
         while True:
+            if many:
+                looks -= len(owner)
+                if looks < 0:
+                    for row in np.split(np.arange(len(owner)), np.flatnonzero(owner[1:] != owner[:-1]) + 1):
+                        final[place[row]] = self._queue(symbol[row].tolist())
+                    break
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.minimum.reduceat(rank * _PLACES + np.arange(len(rank)), starts)
             alive = best < _NONE * _PLACES
@@ -165,12 +192,18 @@ class PieceModel:
                 owner, place, symbol, rank, made = owner[keep], place[keep], symbol[keep], rank[keep], made[keep]
                 continue
             at = best % _PLACES
+            if many:
+                again = np.flatnonzero((rank == np.repeat(best // _PLACES, np.diff(np.r_[starts, len(owner)]))) & self.everywhere[made])
+                # Of pairs that overlap in a row, every second one from the left.
+                row = np.flatnonzero(np.r_[True, np.diff(again) > 1])
+                again = again[(np.arange(len(again)) - np.repeat(row, np.diff(np.r_[row, len(again)]))) % 2 == 0]
+                at = np.union1d(at, again)
             symbol[at] = made[at]
             final[place[at]] = made[at]
             final[place[at + 1]] = -1
             keep = np.ones(len(owner), bool)
             keep[at + 1] = False
-            at = at - np.arange(len(at))  # places after the compaction: one symbol went per earlier segment
+            at = at - np.arange(len(at))  # places after the compaction: one symbol went per earlier merge
             owner, place, symbol, rank, made = owner[keep], place[keep], symbol[keep], rank[keep], made[keep]
             same = np.r_[owner[1:] == owner[:-1], False]
             renew = np.unique(np.r_[at, at[at > 0] - 1])
@@ -195,6 +228,38 @@ class PieceModel:
             start = end
         return out
 
+    @cached_property
+    def _pairs(self) -> dict[int, tuple[int, int]]:
+        used = np.flatnonzero(self.slots >= 0)
+        return dict(zip(self.slots[used].tolist(), zip(self.rank[used].tolist(), self.made[used].tolist())))
+
+    def _queue(self, symbol: list[int]) -> list[int]:
+        """The symbols after all merges, each at the place of its first; -1 where one was merged away."""
+        pairs, width, end = self._pairs, self.size + 1, len(symbol)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < end:
+                key = symbol[i] * width + symbol[after[i]]
+                if key in pairs:
+                    rank, made = pairs[key]
+                    heapq.heappush(queue, (rank, i, key, made))
+
+        for i in range(end):
+            offer(i)
+        while queue:
+            _, i, key, made = heapq.heappop(queue)
+            j = after[i]
+            if symbol[i] < 0 or j >= end or symbol[i] * width + symbol[j] != key:
+                continue  # one of the two has been merged since
+            symbol[i], symbol[j], after[i] = made, -1, after[j]
+            if after[i] < end:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return symbol
+
     def _bytes(self, char: str) -> list[int]:
         if self.bytes:
             return [self.bytes[b] for b in char.encode("utf-8")]

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+from riskframe.llm import html_text
 from riskframe.llm.html_text import content_lines, extract_pages, main_text, smooth
 from riskframe.llm.pieces import decode_documents, encode_decimals, encode_documents, model, token_digests
 from riskframe.llm.queries import piece_model
@@ -124,3 +126,45 @@ def test_pages_of_rows(spark):
     assert len(rows) == 5 and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert [r["text"].count("\n") for r in rows if r["page_id"] == 3] == [19_999]
     assert extract_pages(pages.where("false")).count() == 0
+
+
+LONG_P = "<p>" + "A long sentence of the article, with many plain words in it. " * 3 + "</p>"
+LINE = ("A long sentence of the article, with many plain words in it. " * 3).strip()
+
+
+def test_clusters_choose_the_region(monkeypatch):
+    links = "".join(f"<div><a href='/{i}'>Topic {i}</a> <a href='/x{i}'>more</a></div>" for i in range(9))
+    page = f"<body><div id='top'>{links}</div><div id='story'><h2>Head</h2>{LONG_P * 3}<div>end.</div></div><div id='low'>{links}</div></body>"
+    right = "\n".join(["Head", LINE, LINE, LINE, "end."])
+    assert html_text.main_text(page) == right
+    monkeypatch.setattr(html_text, "clusters", lambda ratios: (list(range(len(ratios))), 0.0))
+    assert html_text.main_text(page) != right and "Topic 3" in html_text.main_text(page)
+
+
+def test_marks_on_wrappers_and_compounds():
+    three = "\n".join([LINE] * 3)
+    for open_, close in (('<div class="content has-sidebar">', "</div>"), ("<form>", "</form>"), ('<div class="search">', "</div>"), ('<div class="no-ads"><form id="aspnet">', "</form></div>")):
+        assert html_text.main_text(f"<body><nav>Menu</nav>{open_}{LONG_P * 3}{close}<footer>Foot</footer></body>") == three
+    kept = f'<p class="social-security">{LINE}</p><div id="search-algorithms">{LONG_P}</div>'
+    gone = '<div class="ad-slot">Buy now</div><div class="ad-partner">Buy now</div><div class="ad">Buy it</div><form>Name</form><section class="comments">' + LONG_P * 2 + "</section>"
+    assert html_text.main_text(f"<article>{LONG_P}{kept}{gone}</article>") == three
+    assert html_text.main_text(f"<div><div>{LONG_P * 2}</div><div class='comments'>{LONG_P * 9}</div></div>") == "\n".join([LINE] * 2)
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    n, start = 100_000, time.time()
+    assert html_text.main_text("<div>x" * n).count("x") >= 0.9 * n  # the innermost element with nine tenths of the text
+    assert time.time() - start < 20
+    for page in ("<b>" * n + "<p>x</p>" * n, "<div>" * n + "<li>x</li>" * n, "<div>" * n + "</p>" * n):
+        html_text.main_text(page)
+    assert time.time() - start < 60
+
+
+def test_a_million_letters_in_few_rounds():
+    path = piece_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng, start = random.Random(3), time.time()
+    texts = ["a" * 1_000_000, "aab" * 50_000, "-" * 99_999, "0" * 12_345, "".join(rng.choice("ab") for _ in range(20_000)), "".join(rng.choice("etaoin") for _ in range(3_000))]
+    for text, found in zip(texts, encode_decimals(path, texts)):
+        assert found == " ".join(map(str, [*sp.encode(text, num_threads=1), sp.eos_id()]))
+    assert time.time() - start < 60

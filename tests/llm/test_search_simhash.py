@@ -10,19 +10,20 @@ import xxhash
 
 from riskframe.llm import simhash
 from riskframe.llm.graph import components
-from riskframe.llm.maxscore import Shard, top_k
+from riskframe.llm.maxscore import START, Shard, first_bounds, quantised, top_k
 
 
 def brute_top(rows, k=20, every=20):
-    v = {}
+    v, held = {}, []
     for i, e in rows:
         if i is None or e is None or any(x is None or not math.isfinite(x) for x in e):
             continue
         q = [math.floor(64 * x) for x in e]
+        held.append((i, q))
         v[i] = min(v.get(i, q), q)
     out = []
     for q in (i for i in v if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)
+        scored = sorted((-sum(a * b for a, b in zip(v[q], c)), i) for i, c in held if i != q)
         out += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -30,7 +31,7 @@ def brute_top(rows, k=20, every=20):
 def test_top_k_matches_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1.0, -0.25, 0.0, 0.25, 0.5]) for _ in range(6)]) for i in range(300)]
-    rows += [(400, None), (420, [1.0, None]), (440, [float("nan"), 1.0]), (460, [float("inf")]), (480, []), (500, [0.5]), (None, [1.0]), (17, [0.0] * 6), (520, [0.25] * 9)]
+    rows += [(400, None), (420, [1.0, None]), (440, [float("nan"), 1.0]), (460, [float("inf")]), (480, []), (500, [0.5]), (None, [1.0]), (17, [0.0] * 6), (17, [0.5] * 6), (40, [0.5] * 6), (40, [0.5] * 6), (520, [0.25] * 9)]
     docs = spark.createDataFrame([(i, e, 1, 2) for i, e in rows], "vec_id long, embedding array<float>, shard int, score int")
     found = [tuple(r) for r in top_k(docs).collect()]
     assert sorted(found) == brute_top(rows)
@@ -68,6 +69,22 @@ def test_runs_prune_and_stay_exact(monkeypatch):
         assert list(zip((-scores).tolist(), ids.tolist())) == want
 
 
+def test_the_registered_table_prunes(spark):
+    rows = quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()
+    ids, matrix = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows], float)
+    longest = sorted(rows, key=lambda r: -sum(x * x for x in r["v"]))[:START]
+    asked = spark.createDataFrame([r for r in rows if r["vec_id"] % 20 == 0], "vec_id long, v array<bigint>")
+    bounds = {r["vec_id"]: r["floor"] for r in first_bounds(asked, longest, 20).collect()}
+    shard = Shard(ids, matrix)
+    for own in range(0, 2000, 20):
+        exact = matrix @ matrix[ids == own][0]
+        want = sorted((-s, i) for i, s in zip(ids.tolist(), exact.tolist()) if i != own)[:20]
+        assert bounds[own] <= -want[-1][0]
+        found, scores = shard.top(own, matrix[ids == own][0], 20, bounds[own])
+        assert list(zip((-scores).tolist(), found.tolist())) == want
+    assert shard.seen < 0.8 * shard.held
+
+
 def brute_fingerprint(text):
     words = [w.decode() for w in (text or "").encode().translate(simhash._LOWER).split()]
     if not words:

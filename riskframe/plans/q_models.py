@@ -10,6 +10,7 @@ from riskframe.operators import calibration as C
 from riskframe.operators import decisions as D
 from riskframe.operators import effects as R
 from riskframe.operators import encode as N
+from riskframe.operators import grouped as G
 from riskframe.operators import history as H
 from riskframe.operators import joins as J
 from riskframe.operators import metrics as M
@@ -165,6 +166,110 @@ def _(spark, d):
     return rounded(_each_fold(spark, d, fit), 4)
 
 
+# Schemes of the logistic grid, fitted together on every fold: one column (which SQL can fit too), and several.
+ONE_COLUMN = {
+    "amount": {"numeric": ["amount_cents"]},
+    "amount_weighted": {"numeric": ["amount_cents"], "positive_weight": 3.0},
+    "hour": {"numeric": ["hour_of_day"]},
+}
+LOGISTIC = {**ONE_COLUMN, **SCHEMES}
+CELL = ["fold", "model"]
+
+
+def _logistic(spark, d, name, schemes):
+    """Rows of every (fold, scheme) as (cell, split, id, label, x, y, w), and the fitted cells."""
+    rows = stored(spark, d, f"{name}_rows", lambda: G.scheme_rows(_featured(spark, d), schemes, "label", ["fold", "split", "id", "label"]))
+    return rows, stored(spark, d, f"{name}_cells", lambda: G.fit_logistic_cells(rows.where("split = 'train'"), CELL))
+
+
+def newton_sql(penalty=1e-4, steps=12):
+    """Penalised weighted logistic models of one column, all cells at once, one table a Newton step."""
+    column = {"amount": "amount_cents::DOUBLE", "amount_weighted": "amount_cents::DOUBLE", "hour": "((step - 1) % 24)::DOUBLE"}
+    rows = " UNION ALL ".join(
+        f"SELECT fold, '{m}' AS model, {column[m]} AS x, label::DOUBLE AS y, CASE WHEN label = 1 THEN {s.get('positive_weight', 1.0)}::DOUBLE ELSE 1 END AS w FROM tr" for m, s in ONE_COLUMN.items()
+    )
+    out = [f"""tr AS (SELECT fold, step, amount_cents, label FROM tx JOIN bounds ON split = 'train' AND step BETWEEN start_time AND end_time),
+nr AS MATERIALIZED ({rows}),
+sc AS MATERIALIZED (SELECT fold, model, sum(w) AS sw, sum(w * x) / sum(w) AS mu, sum(w) - sum(w * w) / sum(w) AS df FROM nr GROUP BY ALL),
+sd AS MATERIALIZED (SELECT fold, model, any_value(sw) AS sw, any_value(mu) AS mu, sqrt(sum(w * (x - mu) * (x - mu)) / any_value(df)) AS sigma FROM nr JOIN sc USING (fold, model) GROUP BY fold, model),
+nz AS MATERIALIZED (SELECT fold, model, (x - mu) / sigma AS z, y, sum(w) AS w, any_value(sw) AS sw FROM nr JOIN sd USING (fold, model) GROUP BY fold, model, z, y),
+nw_0 AS (SELECT fold, model, 0::DOUBLE AS a, 0::DOUBLE AS b FROM sd)"""]
+    for i in range(steps):
+        out.append(f"""nw_{i + 1} AS MATERIALIZED (WITH p AS (SELECT *, 1 / (1 + exp(-(a + b * z))) AS p FROM nz JOIN nw_{i} USING (fold, model)),
+  s AS (SELECT fold, model, a, b, sum(w * (p - y)) / any_value(sw) AS g0, sum(w * (p - y) * z) / any_value(sw) + {penalty}::DOUBLE * b AS g1, sum(w * p * (1 - p)) / any_value(sw) AS h00,
+    sum(w * p * (1 - p) * z) / any_value(sw) AS h01, sum(w * p * (1 - p) * z * z) / any_value(sw) + {penalty}::DOUBLE AS h11 FROM p GROUP BY fold, model, a, b)
+  SELECT fold, model, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM s)""")
+    return ",\n".join(out)
+
+
+@query(
+    "m02_logistic_cells",
+    f"""WITH {TX}, {BOUNDS}, {newton_sql()} SELECT fold, model, round(a - b * mu / sigma, 6) AS intercept, round(1000 * b / sigma, 6) AS per_thousand, 1 AS converged FROM nw_12 JOIN sd USING (fold, model)""",
+)
+def _(spark, d):
+    """Coefficients of the one-column cells, out of the fit that serves all of them."""
+    cells = _logistic(spark, d, "logistic", LOGISTIC)[1].where(F.col("model").isin(*ONE_COLUMN))
+    slope = F.round(1000 * F.col("coefficients")[0], 6).alias("per_thousand")
+    return cells.select(*CELL, F.round("intercept", 6).alias("intercept"), slope, F.col("converged").cast("int").alias("converged"))
+
+
+@query(
+    "m02_score_equations",
+    f"""WITH {TX}, {BOUNDS} SELECT fold, model, count(*) AS rows, CAST(sum(CASE WHEN label = 1 THEN pw ELSE 1 END) AS BIGINT) AS weight, CAST(sum(label * pw) AS BIGINT) AS positive_weight,
+  CAST(sum(label * pw) AS BIGINT) AS expected_weight, 1 AS converged FROM tx JOIN bounds ON split = 'train' AND step BETWEEN start_time AND end_time,
+  (VALUES {", ".join(f"('{m}', {s.get('positive_weight', 1.0)}::DOUBLE)" for m, s in LOGISTIC.items())}) v(model, pw) GROUP BY fold, model""",
+)
+def _(spark, d):
+    """A fitted cell expects as much weight on positives as there is in its training rows."""
+    rows, cells = _logistic(spark, d, "logistic", LOGISTIC)
+    scored = G.score_cells(rows.where("split = 'train'"), CELL, cells).join(cells.select(*CELL, "converged"), CELL)
+    whole = lambda e: F.round(F.sum(e)).cast("bigint")
+    return scored.groupBy(*CELL).agg(
+        F.count("*").alias("rows"), whole(F.col("w")).alias("weight"), whole(F.col("w") * F.col("y")).alias("positive_weight"),
+        whole(F.col("w") * F.col("raw")).alias("expected_weight"), F.max(F.col("converged").cast("int")).alias("converged"),
+    )
+
+
+@query("m03_score_cells")
+def _(spark, d):
+    """Probability and margin of every later row under every logistic cell."""
+    rows, cells = _logistic(spark, d, "logistic", LOGISTIC)
+    later = G.score_cells(rows.where("split <> 'train'"), CELL, cells)
+    return rounded(G.score_cells(later, CELL, cells, "margin", margin=True).select(*CELL, "split", "id", "raw", "margin"))
+
+
+@query("m04_logistic_grid")
+def _(spark, d):
+    """The grid report over all logistic cells, fitted together."""
+    rows, cells = _logistic(spark, d, "logistic", LOGISTIC)
+    later = G.score_cells(rows.where("split <> 'train'"), CELL, cells)
+    graded = later.select("fold", "split", "model", F.lit(0).alias("seed"), "id", "label", "raw")
+    return rounded(_report(stored(spark, d, "logistic_graded", lambda: graded)), 4)
+
+
+# History by rows (none, the last hour, the last day) and context by columns (without, with): six conditions.
+_HISTORY = {"0": [], "1": ["count_1", "mean_1"], "2": ["count_1", "mean_1", "count_24", "mean_24"]}
+SIX_CELLS = {
+    c + h: {"numeric": ["amount_cents", *columns, *context]} for c, context in (("A", []), ("B", ["hour_of_day", "recency"])) for h, columns in _HISTORY.items()
+}
+
+
+@query("r17_interaction_fitted")
+def _(spark, d):
+    """The interaction of history and context on models that were fitted and scored under all six conditions of every fold."""
+
+    def featured():
+        rows = H.range_history_exact(tx(spark, d), windows=(1, 24))
+        return S.apply_boundaries(rows, folds(tx(spark, d))).drop("type")
+
+    rows = stored(spark, d, "featured_six", featured)
+    long = stored(spark, d, "six_rows", lambda: G.scheme_rows(rows, SIX_CELLS, "label", ["fold", "split", "id", "label"]))
+    cells = stored(spark, d, "six_cells", lambda: G.fit_logistic_cells(long.where("split = 'train'"), CELL))
+    test = stored(spark, d, "six_scored", lambda: G.score_cells(long.where("split = 'test'"), CELL, cells).select(*CELL, "id", "label", "raw"))
+    found = D.capacity_profile(test, CELL, "raw", "label", [0.03], "id").withColumnRenamed("model", "cell")
+    return rounded(R.interaction_contrasts(found, ["fold"]))
+
+
 def _margins(train, test):
     model = Z.fit_logistic(train, ["amount_cents", "hour_of_day"], [], "label").model
     return Z.score(model, Z.score(model, test, "probability_score"), "margin", margin=True)
@@ -201,7 +306,10 @@ def _(spark, d):
 
 def _grid(spark, d):
     """Fit, calibrate on validation, choose thresholds there, report on test, for each cell."""
-    rows = _graded(spark, d)
+    return _report(_graded(spark, d))
+
+
+def _report(rows):
     fitted = C.platt_fit_cells(rows.where("split = 'validation'"), K, "raw", "label")
     calibrated = C.platt_apply_cells(rows, K, "raw", fitted)
     val, test = (calibrated.where(F.col("split") == s) for s in ("validation", "test"))

@@ -59,12 +59,20 @@ def keep_one(
     keep: str = "min",
     content_hash: Callable[[Column], Column] = md5_128,
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, whole, exactly one per distinct text (repeated rows fold into one)."""
+    """The rows of ``docs`` that stay, whole, exactly one per distinct text (repeated rows fold into one).
+
+    Rows of equal text and id are told apart by their other columns; those that hold maps by their JSON.
+    """
     best = {"min": F.min, "max": F.max}[keep]
     text, key = text_of(text_column), F.col(f"`{id_column}`")
     null_last = key.isNull() if keep == "min" else key.isNotNull()
     fields = {c: F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_column}
     row = F.struct(null_last.alias("n"), key.alias("k"), *fields.values(), F.col(f"`{text_column}`").isNotNull().alias("t"))
-    kept = docs.groupBy(content_hash(text).alias("content"), text.alias("body")).agg(best(row).alias("row"))
+    maps = {c for c in fields if "map<" in docs.schema[c].dataType.simpleString()}
+    chosen = best(row)
+    if maps:
+        by = F.struct(null_last, key, *(F.to_json(F.struct(f"`{c}`")) if c in maps else F.col(f"`{c}`") for c in fields), F.col(f"`{text_column}`").isNotNull())
+        chosen = {"min": F.min_by, "max": F.max_by}[keep](row, by)
+    kept = docs.groupBy(content_hash(text).alias("content"), text.alias("body")).agg(chosen.alias("row"))
     body = F.when(F.col("row.t"), F.col("body"))
     return kept.select(*[(body if c == text_column else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])

@@ -163,3 +163,11 @@ def test_shards_of_awkward_rows(spark):
     assert [r["size"] for r in rows if r["doc_id"] == 3] == [8]
     same = docs.select("doc_id", F.lit("all the same").alias("text"), "lang", "source", "n_chars")
     assert {r["shard"] for r in shard_documents(same, shards=4).collect()} == {0}
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_kept_rows_may_hold_maps(spark, keep):
+    rows = [(1, "a", {"k": 1}), (2, "a", {"k": 2}), (2, "a", None), (None, "a", {"z": 0}), (None, None, None), (3, "", {"e": 5})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")
+    kept = {(r["doc_id"], r["text"]) for r in keep_one(docs, keep=keep).collect()}
+    assert kept == {(1 if keep == "min" else 2, "a"), (3, "")}

@@ -8,7 +8,9 @@ from riskframe.functions.scalars import hash_draw
 from riskframe.plans.canon import table
 from riskframe.plans.q_scores import listed, rates_sql, rounded
 from riskframe.plans.registry import query
+from riskframe.session import scratch_path
 from riskframe.streaming import operators as X
+from riskframe.streaming.learner import replay_online
 from riskframe.streaming.replay import replay
 
 
@@ -55,6 +57,33 @@ def _(spark, d):
     return rounded(X.report(_delayed(spark, d)).withColumn("start", F.unix_seconds("start")))
 
 
+RATE, PERIOD = 0.5, 86_400
+# Labels of nine rows in ten arrive 1 to 48 hours after the row.
+LEARNER = f"""{SCORED}, fe AS (SELECT id, epoch(date_trunc('second', ts))::BIGINT // {PERIOD} AS period, (epoch(date_trunc('second', ts))::BIGINT + 3600 * (1 + id % 48)) // {PERIOD} AS arrives,
+    id % 10 <> 0 AS labelled, label::DOUBLE AS y, ln(1 + amount_cents / 100::DOUBLE) / 5 AS x1, (hour % 24) / 24::DOUBLE AS x2 FROM sc),
+pe AS (SELECT period, row_number() OVER (ORDER BY period) AS k FROM (SELECT period FROM fe UNION SELECT arrives FROM fe WHERE labelled)),
+w AS (SELECT 1::BIGINT AS k, 0::DOUBLE AS b, 0::DOUBLE AS b1, 0::DOUBLE AS b2
+  UNION ALL SELECT w.k + 1, any_value(w.b) - {RATE} * coalesce(avg(1 / (1 + exp(-(w.b + w.b1 * x1 + w.b2 * x2))) - y), 0),
+    any_value(w.b1) - {RATE} * coalesce(avg((1 / (1 + exp(-(w.b + w.b1 * x1 + w.b2 * x2))) - y) * x1), 0),
+    any_value(w.b2) - {RATE} * coalesce(avg((1 / (1 + exp(-(w.b + w.b1 * x1 + w.b2 * x2))) - y) * x2), 0)
+  FROM w JOIN pe ON pe.k = w.k LEFT JOIN fe ON fe.arrives = pe.period AND labelled GROUP BY w.k)"""
+
+
+@query(
+    "x03_online_learner",
+    f"""WITH RECURSIVE {LEARNER} SELECT id, fe.period, round(1 / (1 + exp(-(b + b1 * x1 + b2 * x2))), 6) AS raw FROM fe JOIN pe ON pe.period = fe.period JOIN w ON w.k = pe.k""",
+)
+def _(spark, d):
+    """Every row scored by the model that the labels of earlier days have made."""
+    rows = _scored(spark, d)
+    hour = F.floor(F.unix_seconds("ts") / 3600)
+    asked = rows.select("id", "ts", (F.ln(1 + F.col("amount_cents") / 100) / 5).alias("x1"), (hour % 24 / 24).alias("x2"))
+    delay = F.make_dt_interval(F.lit(0), (1 + F.col("id") % 48).cast("int"))
+    labels = rows.where("id % 10 <> 0").select("id", (F.col("ts") + delay).alias("label_ts"), "label")
+    learner = replay_online(spark, scratch_path(spark, "learner"), (asked, "ts"), (labels, "label_ts"), ["x1", "x2"], "id", "label", PERIOD, RATE)
+    return rounded(learner.scored().select("id", "period", "raw"))
+
+
 @query(
     "x02_drift_monitor",
     f"""WITH RECURSIVE {SCORED}, b AS (SELECT entity % 8 AS key, epoch(ts)::BIGINT // 21600 * 21600 AS start, count(*) AS rows,

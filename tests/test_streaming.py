@@ -1,5 +1,13 @@
-"""State of the streaming operators ends with what it is needed for."""
+"""State of the streaming operators ends with what it is needed for; the online learner equals a sequential one."""
 
+import math
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskframe.streaming.learner import OnlineLearner, replay_online
 from riskframe.streaming import operators as X
 from riskframe.streaming.replay import run_available
 
@@ -35,3 +43,49 @@ def test_drift_state_of_idle_keys_is_dropped(spark, tmp_path):
     batches = [[(1, day(0), 5, 1.0), (2, day(0), 5, 1.0)], [(2, day(20), 5, 2.0)], [(2, day(40), 5, 2.0)], [(2, day(60), 5, 2.0)]]
     out, state = drive(spark, str(tmp_path), batches, "key bigint, start timestamp, rows bigint, cost double", lambda s: X.drift_monitor(s, idle_days=10))
     assert len(out) == 5 and [list(r["key"])[0] for r in state] == [2]
+
+
+def sequential(rows, labels, period, rate):
+    """Rows (id, time, x) and labels (id, time, y): every row's score, period by period."""
+    x, w, out = {i: v for i, _, v in rows}, [0.0] * 3, {}
+    prob = lambda v: 1 / (1 + math.exp(-(w[0] + w[1] * v[0] + w[2] * v[1])))
+    for p in sorted({t // period for _, t, _ in [*rows, *labels]}):
+        out.update({i: prob(v) for i, t, v in rows if t // period == p})
+        due = [(prob(x[i]) - y, x[i]) for i, t, y in labels if t // period == p]
+        if due:
+            mean = [sum(e * f for e, f in zip((d for d, _ in due), fs)) / len(due) for fs in zip(*[(1.0, *v) for _, v in due])]
+            w = [a - rate * g for a, g in zip(w, mean)]
+    return out
+
+
+def test_online_learner_equals_a_sequential_one(spark, tmp_path):
+    rng, day = random.Random(4), 86_400
+    start = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp())
+    rows = [(i, start + rng.randrange(6 * day), (rng.random(), rng.gauss(0, 1))) for i in range(300)]
+    labels = [(i, t + rng.randrange(3 * day), int(v[1] > 0)) for i, t, v in rows if i % 7]
+    at = lambda t: datetime.fromtimestamp(t, timezone.utc)
+    scores = spark.createDataFrame([(i, at(t), *v) for i, t, v in rows], "id long, ts timestamp, a double, b double")
+    arrived = spark.createDataFrame([(i, at(t), y) for i, t, y in labels], "id long, label_ts timestamp, label int")
+    want = sequential(rows, labels, day, 0.8)
+    for slices in (1, 3):
+        learner = replay_online(spark, str(tmp_path / f"s{slices}"), (scores, "ts"), (arrived, "label_ts"), ["a", "b"], "id", "label", day, 0.8, slices)
+        found = {r["id"]: r["raw"] for r in learner.scored().collect()}
+        assert len(found) == 300 and all(found[i] == pytest.approx(want[i]) for i in want)
+    assert len({round(v, 3) for v in want.values()}) > 50
+
+
+def test_a_batch_that_runs_again_changes_nothing_and_late_rows_count(spark, tmp_path):
+    row = lambda i, day, y: (i, datetime(2024, 1, 1) + timedelta(days=day), [float(i)], y)
+    schema = "id long, at timestamp, x array<double>, y double"
+    batches = [[row(1, 0, None), row(2, 1, None), row(1, 1, 1.0)], [row(3, 4, None), row(2, 4, 0.0)], [row(4, 0, None), row(5, 5, None), row(3, 5, 1.0)]]
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    results = []
+    for name, order in (("once", [0, 1, 2]), ("again", [0, 1, 1, 2, 2])):
+        learner = OnlineLearner(spark, str(tmp_path / name), 1, 86_400, 0.5)
+        for b in order:
+            learner(frames[b], b)
+        learner.finish(99)
+        results.append(sorted((r["id"], r["raw"]) for r in learner.scored().collect()))
+    assert results[0] == results[1] and [i for i, _ in results[0]] == [1, 2, 3, 4, 5]
+    late = dict(results[0])[4]
+    assert late != 0.5  # scored by the model of its arrival

@@ -194,12 +194,7 @@ def aligned_history(
     identity: str = "id", entity: str = "merchant", time: str = "step", window: int = 7, tolerance: float = 1e-12,
 ) -> DataFrame:
     """Features agree, and every used-history row is legal: same entity, earlier, inside the window; none is missing."""
-    gap = F.lit(0.0)
-    for f in features:
-        gap = F.greatest(gap, F.abs(F.col(f"_a_{f}") - F.col(f"_b_{f}")))
-    a = reference.select(identity, *[F.col(f).cast("double").alias(f"_a_{f}") for f in features])
-    b = candidate.select(identity, *[F.col(f).cast("double").alias(f"_b_{f}") for f in features])
-    far = a.join(b, identity, "full").agg(_count(~F.coalesce(gap <= tolerance, F.lit(False))).alias("v")).select(F.lit("features_close").alias("check"), F.col("v").alias("violations"))
+    far = close_features(reference, candidate, features, identity, tolerance)
     facts = rows.select(F.col(identity).alias("used_id"), F.col(entity).alias("_ue"), F.col(time).alias("_ut"))
     owners = rows.select(identity, F.col(entity).alias("_e"), F.col(time).alias("_t"))
     used = provenance.select(identity, "used_id").join(facts, "used_id", "left").join(owners, identity, "left")
@@ -210,6 +205,36 @@ def aligned_history(
     return far.unionByName(illegal).unionByName(gaps)
 
 
+def aligned_sets(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Used-history sets of every row against the legal ones: (check, violations) without a pair being listed.
+
+    Both sides hold (keys, used, id_sum, id_xor), the expected one with ``rows`` that share it. A row whose set is
+    larger than legal, or of legal size but with other ids, or that the expected side does not know, used what it
+    must not; what a smaller set lacks is counted in ids. A smaller set with foreign ids counts as incomplete.
+    """
+    right = found.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("used", "id_sum", "id_xor")])
+    both = expected.select(*keys, "rows", "used", "id_sum", "id_xor").join(right, list(keys), "full")
+    rows, used, seen = F.coalesce("rows", F.lit(1)), F.coalesce("used", F.lit(0)), F.coalesce("_used", F.lit(0))
+    same = F.coalesce(F.col("id_sum"), F.lit(0)).eqNullSafe(F.coalesce(F.col("_id_sum"), F.lit(0))) & F.coalesce("id_xor", F.lit(0)).eqNullSafe(F.coalesce("_id_xor", F.lit(0)))
+    foreign = (seen > used) | ((seen == used) & ~same)
+    total = both.agg(
+        F.coalesce(F.sum(F.when(foreign, rows)), F.lit(0)).alias("history_legal"),
+        F.coalesce(F.sum(F.when(seen < used, rows * (used - seen))), F.lit(0)).alias("history_complete"),
+    )
+    return stacked(total, "check", "violations").withColumn("violations", F.col("violations").cast("bigint"))
+
+
+def close_features(reference: DataFrame, candidate: DataFrame, features: Sequence[str], identity: str = "id", tolerance: float = 1e-12) -> DataFrame:
+    """Rows whose features differ between two builds, or that only one of them has: (check, violations)."""
+    gap = F.lit(0.0)
+    for f in features:
+        gap = F.greatest(gap, F.abs(F.col(f"_a_{f}") - F.col(f"_b_{f}")))
+    a = reference.select(identity, *[F.col(f).cast("double").alias(f"_a_{f}") for f in features])
+    b = candidate.select(identity, *[F.col(f).cast("double").alias(f"_b_{f}") for f in features])
+    far = a.join(b, identity, "full").agg(_count(~F.coalesce(gap <= tolerance, F.lit(False))).alias("v"))
+    return far.select(F.lit("features_close").alias("check"), F.col("v").alias("violations"))
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), portable: bool = False) -> DataFrame:
     """Order-free fingerprint: row count and the sum of row hashes.
 

@@ -409,14 +409,16 @@ def merchant_history(
 
 
 def history_provenance(
-    df: DataFrame, entity: str = "merchant", time: str = "step", identity: str = "id", window: int = 7
+    df: DataFrame, entity: str = "merchant", time: str = "step", identity: str = "id", window: int = 7, asked: DataFrame | None = None
 ) -> DataFrame:
-    """Long table of the earlier row ids each row's window used: (id, used_id, used_time).
+    """Long table of the earlier row ids each row's window used: (id, used_id, used_time), of the ids in ``asked`` if given.
 
-    Every (row, used row) combination is the output itself. Times are cut into ranges of the
-    window width, so a row meets only its own range and the one before.
+    Every (row, used row) combination is the output itself, so it is a listing for the ids in question;
+    whole tables are checked by ``history_sets``. Times are cut into ranges of the window width, so a row
+    meets only its own range and the one before.
     """
-    left = df.select(F.col(identity), F.col(entity), F.col(time)).withColumn(
+    wanted = df if asked is None else df.join(asked.select(identity).distinct(), identity, "left_semi")
+    left = wanted.select(F.col(identity), F.col(entity), F.col(time)).withColumn(
         "_range", F.explode(F.array(time_range(F.col(time), window), time_range(F.col(time), window) - 1))
     )
     right = df.select(
@@ -428,6 +430,36 @@ def history_provenance(
     return met.where((gap >= 1) & (gap <= window)).select(identity, entity, time, "used_id", "used_time")
 
 
+def history_sets(
+    df: DataFrame, entity: str = "merchant", time: str = "step", identity: str = "id", window: int = 7, used: DataFrame | None = None, span: int | None = None
+) -> DataFrame:
+    """(entity, time, rows, used, id_sum, id_xor): which ids the window before each time holds, without listing them.
+
+    A set of ids is told by its size and by the sum and the xor of the ids' hashes, which add up over the
+    steps of a window; one row a step is all that is windowed. ``used`` are the rows that the window
+    draws on, those of ``df`` if not given. The rows of a step share its history.
+    """
+    h = F.xxhash64(identity)
+    source = (used if used is not None else df).groupBy(entity, time).agg(
+        F.count("*").alias("_n"), F.sum(h.cast("decimal(38,0)")).alias("_s"), F.bit_xor(h).alias("_x")
+    )
+    steps = df.groupBy(entity, time).agg(F.count("*").alias("rows")).join(source, [entity, time], "full")
+    length = span or max(4 * window, 256)
+    copied = steps.withColumn("_home", time_range(F.col(time), length)).withColumn(
+        "_range", F.explode(F.sequence("_home", time_range(F.col(time) + F.lit(window), length)))
+    )
+    frame = Window.partitionBy(entity, "_range").orderBy(time).rangeBetween(-window, -1)
+    sums = {"used": F.coalesce(F.sum("_n").over(frame), F.lit(0)), "id_sum": F.sum("_s").over(frame), "id_xor": F.bit_xor("_x").over(frame)}
+    seen = copied.withColumns(sums).where((F.col("_range") == F.col("_home")) & F.col("rows").isNotNull())
+    return seen.select(entity, time, "rows", *sums)
+
+
+def listed_sets(provenance: DataFrame, identity: str = "id", used: str = "used_id") -> DataFrame:
+    """(id, used, id_sum, id_xor) of a listing, to hold against ``history_sets``."""
+    h = F.xxhash64(used)
+    return provenance.groupBy(identity).agg(F.count("*").alias("used"), F.sum(h.cast("decimal(38,0)")).alias("id_sum"), F.bit_xor(h).alias("id_xor"))
+
+
 def provenance_summary(df, entity="merchant", time="step", identity="id", window=7, span=None):
     """Number of used rows and exact id bounds per row, without listing them."""
     buckets = df.groupBy(entity, time).agg(

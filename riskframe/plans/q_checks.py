@@ -264,9 +264,10 @@ SELECT 'history_complete', (SELECT count(*) FROM shop a JOIN shop b ON a.merchan
 def _(spark, d):
     rows = shop(spark, d)
     features = H.merchant_history(rows, windows=(7,))
-    listed = H.history_provenance(rows).where(F.col("used_time") % 100 != 0)
     again = H.merchant_history(rows, windows=(7,), span=50)
-    return V.aligned_history(rows, features, again, listed, ["h7_count", "h7_mean", "h7_std"])
+    lacking = H.history_sets(rows, used=rows.where(F.col("step") % 100 != 0), span=50)
+    sets = V.aligned_sets(H.history_sets(rows), lacking, ["merchant", "step"])
+    return V.close_features(features, again, ["h7_count", "h7_mean", "h7_std"]).unionByName(sets)
 
 
 @query(

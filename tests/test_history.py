@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe.operators import checks as V
 from riskframe.operators import history as H
 
 SCHEMA = "id bigint, step int, recipient string, origin string, amount_cents bigint, label int"
@@ -102,3 +103,25 @@ def test_merchant_modes(spark):
     assert H.merchant_history(df, mode="H0").columns == df.columns
     with pytest.raises(ValueError):
         H.merchant_history(df, mode="XX")
+
+
+def test_history_sets_find_what_a_listing_would(spark):
+    rng = random.Random(12)
+    rows = spark.createDataFrame([(f"r{i}", rng.choice("ab"), rng.randrange(40)) for i in range(300)], "id string, merchant string, step int")
+    listed = H.history_provenance(rows).cache()
+    owners = rows.select("id", "merchant", "step")
+    legal = owners.join(H.history_sets(rows, span=9).drop("rows"), ["merchant", "step"]).withColumn("rows", F.lit(1))
+
+    def violations(listing):
+        found = owners.select("id").join(H.listed_sets(listing), "id", "left")
+        return {r["check"]: r["violations"] for r in V.aligned_sets(legal, found, ["id"]).collect()}
+
+    assert violations(listed) == {"history_legal": 0, "history_complete": 0}
+    lost = listed.where("used_id <> 'r17'")
+    assert violations(lost) == {"history_legal": 0, "history_complete": listed.count() - lost.count()} and lost.count() < listed.count()
+    other = listed.withColumn("used_id", F.when(F.col("id") == "r5", F.concat("used_id", F.lit("x"))).otherwise(F.col("used_id")))
+    assert violations(other)["history_legal"] == 1
+    more = listed.unionByName(rows.where("id = 'r9'").select("id", "merchant", "step", F.lit("r9").alias("used_id"), F.col("step").alias("used_time")))
+    assert violations(more) == {"history_legal": 1, "history_complete": 0}
+    asked = H.history_provenance(rows, asked=rows.where("id IN ('r1', 'r2')"))
+    assert asked.exceptAll(listed).count() == 0 and asked.count() == listed.where("id IN ('r1', 'r2')").count()

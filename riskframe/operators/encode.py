@@ -105,6 +105,81 @@ def encode_transform(df: DataFrame, rules: Sequence[dict], keep: Sequence[str] =
     return df.select(*keep, *out)
 
 
+# ---- rules as a table --------------------------------------------------------------------------
+
+
+def encoding_rules(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """The rules of ``encode_fit`` as rows (feature, kind, value, median, index), however many values a category has.
+
+    Kinds: ``num`` (median of the training rows fills gaps), ``missing`` (a flag), ``cat`` (one row a kept
+    value). ``index`` counts from 0: numeric outputs by feature, then values by feature and value.
+    """
+    parts = []
+    if numeric:
+        long = train.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], list(numeric), "feature", "value")
+        # Counts of values stand for the rows from here on.
+        levels = settle(long.groupBy("feature", F.when(~F.isnan("value"), F.col("value")).alias("value")).agg(F.count("*").alias("n")))
+        if levels.where(F.abs("value") == float("inf")).limit(1).count():
+            raise ValueError("infinite numeric input")
+        seen = levels.groupBy("feature").agg(
+            F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("gone"), F.count("value").alias("k")
+        )
+        medians = quantile_columns(levels, ["feature"], "value", {"median": 0.5}, weight="n")
+        rules = seen.join(medians, "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+        varies = (F.col("lo") < F.col("hi")) | ((F.col("gone") > 0) & ((F.col("median") != F.col("lo")) | (F.col("median") != F.col("hi"))))
+        kinds = F.array_compact(F.array(F.when(varies, F.lit("num")), F.when((F.col("gone") > 0) & (F.col("k") > 0), F.lit("missing"))))
+        parts.append(rules.select("feature", F.explode(kinds).alias("kind"), F.lit(None).cast("string").alias("value"), "median"))
+    if categorical:
+        long = train.select(*[_category(c).alias(c) for c in categorical]).unpivot([], list(categorical), "feature", "value")
+        words = settle(long.distinct())
+        kept = words.groupBy("feature").agg(F.count("*").alias("_k")).where(F.col("_k") > 1)
+        parts.append(words.join(kept, "feature").select("feature", F.lit("cat").alias("kind"), "value", F.lit(None).cast("double").alias("median")))
+    rules = parts[0]
+    for p in parts[1:]:
+        rules = rules.unionByName(p)
+    order = F.concat_ws("|", F.when(F.col("kind") == "cat", F.lit("1")).otherwise(F.lit("0")), "feature")
+    placed = rules.withColumns({"_all": F.lit(1), "_range": F.concat_ws("|", order, F.substring(F.coalesce("value", "kind"), 1, 2))})
+    ranked = rank_within(placed.withColumn("_order", F.concat_ws("|", order, F.coalesce("value", "kind"))), ["_all"], ["_order"], "_range")
+    return settle(ranked.select("feature", "kind", "value", "median", (F.col("tie_rank") - 1).alias("index")))
+
+
+def encode_entries(df: DataFrame, rules: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Entries (keep, index, value) of the encoded rows that are not zero; unknown categories have none.
+
+    Rows meet the rules by a join, which broadcasts a small table and shuffles a large one.
+    """
+    entry = lambda kind, feature, word, value: F.struct(F.lit(feature).alias("feature"), F.lit(kind).alias("kind"), word.alias("value"), value.alias("x"))
+    none, entries = F.lit(None).cast("string"), []
+    for c in numeric:
+        value = F.col(c).cast("double")
+        value = F.when(~F.isnan(value), value)
+        entries += [entry("num", c, none, value), entry("missing", c, none, value.isNull().cast("double"))]
+    entries += [entry("cat", c, _category(c), F.lit(1.0)) for c in categorical]
+    long = df.select(*keep, F.explode(F.array(*entries)).alias("_e")).select(*keep, "_e.*")
+    held = rules.select(F.col("feature").alias("_f"), F.col("kind").alias("_k"), F.col("value").alias("_v"), "median", "index")
+    same = (F.col("feature") == F.col("_f")) & (F.col("kind") == F.col("_k")) & F.col("value").eqNullSafe(F.col("_v"))
+    met = long.join(held, same).select(*keep, "index", F.coalesce("x", "median").cast("float").alias("value"))
+    return met.where(F.col("value") != 0)
+
+
+def sparse_rows(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One sparse row per (keep): its indices, rising, and values."""
+    pairs = F.array_sort(F.collect_list(F.struct("index", "value")))
+    return entries.groupBy(*keep).agg(pairs.alias("_p")).select(*keep, F.col("_p.index").alias("indices"), F.col("_p.value").alias("values"))
+
+
+def shared_rules(sets: dict[str, DataFrame]) -> DataFrame:
+    """Features of several rule tables: in how many, and under how many different rules (feature, sets, rules)."""
+    out = None
+    for name, rules in sets.items():
+        # The index depends on what else a set holds; a rule is what a feature's own rows say.
+        row = F.xxhash64("kind", F.coalesce("value", F.lit("~")), F.coalesce("median", F.lit(0.0)))
+        told = rules.groupBy("feature").agg(F.sum(row.cast("decimal(38,0)")).alias("rule"), F.lit(name).alias("name"))
+        out = told if out is None else out.unionByName(told)
+    found = out.groupBy("feature").agg(F.countDistinct("name").alias("sets"), F.countDistinct("rule").alias("rules"))
+    return found.where(F.col("sets") > 1)
+
+
 def rules_table(spark, rules: Sequence[dict], name: str):
     """Rules as rows (feature_set, column, rule), for storing and comparing."""
     import json

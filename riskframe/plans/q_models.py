@@ -85,6 +85,58 @@ def _(spark, d):
     return out.select("id", "split", *[F.round(F.col(f"`{c}`").cast("double"), 3).alias(c) for c in out.columns[2:]])
 
 
+def rules_sql(numeric=("amount", "hour", "constant"), categorical=("kind", "band"), where="split = 'train'", name="ru"):
+    """Rules as rows, worked out from the training rows."""
+    numbers = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM en WHERE {where}" for c in numeric)
+    words = " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(nullif({c}, ''), '__MISSING__') AS v FROM en WHERE {where}" for c in categorical) or "SELECT '' AS feature, '' AS v WHERE false"
+    return f"""{name}_n AS (SELECT feature, min(v) AS lo, max(v) AS hi, count(*) - count(v) AS gone, count(v) AS k, coalesce(quantile_cont(v, 0.5), 0) AS median FROM ({numbers}) GROUP BY feature),
+{name}_w AS (SELECT DISTINCT feature, v FROM ({words})),
+{name}_r AS (SELECT feature, 'num' AS kind, NULL::VARCHAR AS value, median FROM {name}_n WHERE lo < hi OR (gone > 0 AND (median <> lo OR median <> hi))
+  UNION ALL SELECT feature, 'missing', NULL, median FROM {name}_n WHERE gone > 0 AND k > 0
+  UNION ALL SELECT feature, 'cat', v, NULL FROM {name}_w WHERE feature IN (SELECT feature FROM {name}_w GROUP BY feature HAVING count(*) > 1)),
+{name} AS (SELECT *, row_number() OVER (ORDER BY kind = 'cat', feature, coalesce(value, kind)) - 1 AS index FROM {name}_r)"""
+
+
+@query("n03_encoding_rules", f"WITH {ENC}, {rules_sql()} SELECT feature, kind, value, round(median, 6) AS median, index FROM ru")
+def _(spark, d):
+    train = encodable(spark, d).where("split = 'train'")
+    return rounded(N.encoding_rules(train, ["amount", "hour", "constant"], ["kind", "band"]))
+
+
+LONG_ROWS = " UNION ALL ".join(
+    [f"SELECT id, split, '{c}' AS feature, 'num' AS kind, NULL::VARCHAR AS value, {c} AS x FROM en UNION ALL SELECT id, split, '{c}', 'missing', NULL, ({c} IS NULL)::INTEGER::DOUBLE FROM en" for c in ("amount", "hour", "constant")]
+    + [f"SELECT id, split, '{c}', 'cat', coalesce(nullif({c}, ''), '__MISSING__'), 1::DOUBLE FROM en" for c in ("kind", "band")]
+)
+
+
+@query(
+    "n03_encode_entries",
+    f"""WITH {ENC}, {rules_sql()}, lo AS ({LONG_ROWS})
+SELECT id, split, index, round(CAST(CAST(coalesce(x, median) AS FLOAT) AS DOUBLE), 3) AS value FROM lo JOIN ru ON lo.feature = ru.feature AND lo.kind = ru.kind AND lo.value IS NOT DISTINCT FROM ru.value
+WHERE coalesce(x, median) <> 0""",
+)
+def _(spark, d):
+    rows = encodable(spark, d)
+    columns = (["amount", "hour", "constant"], ["kind", "band"])
+    rules = N.encoding_rules(rows.where("split = 'train'"), *columns)
+    return N.encode_entries(rows, rules, *columns, ["id", "split"]).withColumn("value", F.round(F.col("value").cast("double"), 3))
+
+
+@query(
+    "n06_shared_rules",
+    f"""WITH {ENC}, {rules_sql(("hour",), ("kind",), name="ra")}, {rules_sql(("amount",), (), "split = 'train' AND id % 2 = 0", "rb")}, {rules_sql(("hour", "amount"), ("kind", "band"), name="rc")},
+t AS (SELECT feature, 'short' AS name, string_agg(concat_ws('|', kind, coalesce(value, '~'), coalesce(median, 0)), ';' ORDER BY kind, value) AS rule FROM (FROM ra UNION ALL FROM rb) GROUP BY feature
+  UNION ALL SELECT feature, 'long', string_agg(concat_ws('|', kind, coalesce(value, '~'), coalesce(median, 0)), ';' ORDER BY kind, value) FROM rc GROUP BY feature)
+SELECT feature, count(DISTINCT name) AS sets, count(DISTINCT rule) AS rules FROM t GROUP BY feature HAVING count(DISTINCT name) > 1""",
+)
+def _(spark, d):
+    """A set that learned one column from other rows than the rest breaks the common rule."""
+    rows = encodable(spark, d)
+    train, early = rows.where("split = 'train'"), rows.where("split = 'train' AND id % 2 = 0")
+    short = N.encoding_rules(train, ["hour"], ["kind"]).unionByName(N.encoding_rules(early, ["amount"], []))
+    return N.shared_rules({"short": short, "long": N.encoding_rules(train, ["hour", "amount"], ["kind", "band"])})
+
+
 @query(
     "n04_linear_encode",
     f"""WITH {ENC}, {MED}, f AS (SELECT en.*, coalesce(amount, m) AS a, CAST(amount IS NULL AS INTEGER)::DOUBLE AS g FROM en, md),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Columns that must never enter a model.
 FORBIDDEN = frozenset({"id", "source_row_id", "origin", "recipient", "label", "type_label", "step", "time", "fold", "split"})
@@ -58,3 +59,26 @@ def feature_group(df: DataFrame, name: str, keep: Sequence[str] = (), sets: dict
     """Project to a named set, with ``keep`` columns (ids, label) carried in front."""
     columns = (sets or feature_sets())[name]
     return df.select(*keep, *leakage_guard(columns, df.columns))
+
+
+def label_dependence(
+    rows: DataFrame, build: Callable[[DataFrame], DataFrame], columns: Sequence[str], times: Sequence[int], label: str = "label", time: str = "step", identity: str = "id"
+) -> DataFrame:
+    """Do features of a time know labels of that time or later? (feature, at, rows, changed, rejected)
+
+    ``build`` makes the features of ``rows``. For every time asked, it makes them again with all labels from
+    that time on turned round; features of rows up to that time must not move. ``changed`` counts those that do.
+    Features may draw on earlier labels as they like. ``identity`` must be unique.
+    """
+    def valued(df: DataFrame, at: int) -> DataFrame:
+        hashed = [F.xxhash64(F.col(c)).alias(c) for c in columns]
+        return build(df).where(F.col(time) <= at).select(identity, *hashed).unpivot([identity], list(columns), "feature", "value")
+
+    out = None
+    for at in times:
+        turned = rows.withColumn(label, F.when(F.col(time) >= at, 1 - F.col(label)).otherwise(F.col(label)))
+        both = valued(rows, at).join(valued(turned, at).withColumnRenamed("value", "again"), [identity, "feature"], "full")
+        moved = (~F.col("value").eqNullSafe(F.col("again"))).cast("bigint")
+        found = both.groupBy("feature").agg(F.lit(at).alias("at"), F.count("*").alias("rows"), F.sum(moved).alias("changed"))
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rejected", (F.col("changed") > 0).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.prefix import quantile_columns, running, time_range
+from riskframe.functions.prefix import settle, quantile_columns, running, time_range
 from riskframe.functions.scalars import composition, safe_divide
 from riskframe.operators.history import available, time_buckets
 
@@ -267,7 +267,7 @@ def feature_distribution(placed: DataFrame, features: Sequence[str], keys: Seque
     """
     keys = [*keys, "feature"]
     long = _melted(placed, keys[:-1], features)
-    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    counts = settle(long.groupBy(*keys, "value").agg(F.count("*").alias("n")))
     v, n = F.col("value"), F.col("n")
     some = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
     out = counts.groupBy(*keys).agg(
@@ -286,7 +286,7 @@ def feature_distribution(placed: DataFrame, features: Sequence[str], keys: Seque
             "missing_rate": safe_divide(F.col("missing"), F.col("rows")),
         }
     ).drop("_n", "_s", "_q")
-    return out.join(quantile_columns(long, keys, "value", {"median": 0.5, "p90": 0.9, "p99": 0.99}), keys, "left")
+    return out.join(quantile_columns(counts, keys, "value", {"median": 0.5, "p90": 0.9, "p99": 0.99}, weight="n"), keys, "left")
 
 
 def partition_profile(placed: DataFrame, cents: str, category: str, values: Sequence[str], keys: Sequence[str] = ("fold", "split"), label: str = "label") -> DataFrame:

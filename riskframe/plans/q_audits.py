@@ -220,7 +220,8 @@ SELECT fold, split, feature, count(*) AS rows, count(*) - count(v) AS missing, c
 )
 def _(spark, d):
     rows = tx(spark, d)
-    features = H.range_history_exact(rows, windows=(240,)).select("id", "step", "pair_240", "count_240")
+    pairs = H.past_count(rows, ["recipient", "origin"], "step", 240).withColumnRenamed("count_240", "pair_240")
+    features = H.past_count(pairs, ["recipient"], "step", 240).select("id", "step", "pair_240", "count_240")
     return rounded(A.feature_distribution(S.apply_boundaries(features, folds(rows)), ["pair_240", "count_240"]))
 
 

@@ -14,6 +14,7 @@ from riskframe.operators import splits as S
 from riskframe.plans.canon import BOUNDS, CARD, LEDGER, MODELS, SEEDS, SHOP, TX, folds, ledger, shop, table, tx
 from riskframe.plans.q_audits import PLACED, placed
 from riskframe.plans.q_bootstrap import CONTRASTS, DRAWS, REPS, _paired, _world
+from riskframe.plans.q_history import _exact_sql, _history
 from riskframe.plans.q_effects import SCENARIO, metrics_grid, scenarios
 from riskframe.plans.q_scores import K, KS, LEDGER_METRICS, slots, rounded
 from riskframe.plans.registry import query
@@ -440,6 +441,44 @@ def _(spark, d):
     return P.feature_group(H.range_history_exact(tx(spark, d)), "frequency", ["id", "label"])
 
 
+_SETS = P.feature_sets()
+
+
+@query(
+    "p04_all_sets",
+    f"""WITH ex AS ({_exact_sql((1, 6, 24), "zero")}), su AS (SELECT {", ".join(f"sum({c})::DOUBLE AS {c}" for c in _SETS["full_with_pair"])} FROM ex)
+{" UNION ALL ".join(f"SELECT '{name}' AS name, '{c}' AS feature, round({c}, 2) AS total FROM su" for name, columns in _SETS.items() for c in columns)}""",
+)
+def _(spark, d):
+    """Every named set, projected and summed."""
+    rows, sums = _history(spark, d, H.range_history_exact), []
+    for name, columns in _SETS.items():
+        part = P.feature_group(rows, name).agg(*[F.sum(c).cast("double").alias(c) for c in columns])
+        sums.append(part.unpivot([], columns, "feature", "total").withColumn("name", F.lit(name)))
+    return J.union_frames(sums).withColumn("total", F.round("total", 2))
+
+
+@query(
+    "p06_label_dependence",
+    f"""WITH {TX}, c("at") AS (VALUES (60), (360)), s AS (SELECT step, avg(label) AS r, count(*) AS n FROM tx GROUP BY step)
+SELECT feature, "at", (SELECT count(*) FROM tx WHERE step <= "at") AS rows, CASE feature WHEN 'same_step_rate' THEN coalesce((SELECT n FROM s WHERE step = "at" AND r <> 0.5), 0)
+  WHEN 'own_label' THEN (SELECT count(*) FROM tx WHERE step = "at") ELSE 0 END AS changed,
+  CAST(feature IN ('same_step_rate', 'own_label') AND EXISTS (SELECT 1 FROM s WHERE step = "at" AND (feature = 'own_label' OR r <> 0.5)) AS INTEGER) AS rejected
+FROM c, (VALUES ('count_24'), ('mean_24'), ('ratio_24'), ('recency'), ('past_rate'), ('same_step_rate'), ('own_label')) f(feature)""",
+)
+def _(spark, d):
+    """Past features, one of them of past labels, and two planted ones: the rate of the same step, and the row's own label."""
+
+    def build(rows):
+        featured = H.range_history_exact(rows, windows=(24,))
+        rates = rows.groupBy("step").agg(F.avg("label").alias("same_step_rate"))
+        past = H.past_mean(rows.withColumn("_y", F.col("label") * 100), ["recipient"], "step", "_y", 24).select("id", F.col("mean_24").alias("past_rate"))
+        return featured.join(rates, "step").join(past, "id").withColumn("own_label", F.col("label") * 2)
+
+    features = ["count_24", "mean_24", "ratio_24", "recency", "past_rate", "same_step_rate", "own_label"]
+    return P.label_dependence(tx(spark, d), build, features, [60, 360])
+
+
 @query(
     "p06_leakage_guard",
     f"""WITH {TX} SELECT column_name AS name, CASE WHEN column_name IN ('id', 'origin', 'recipient', 'label', 'step') THEN 1 ELSE 0 END AS rejected, n AS rows

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskframe.functions.prefix import settle
 from riskframe.functions.scalars import exact_cents
 from riskframe.operators.checks import require_columns
 
@@ -89,9 +90,16 @@ def write_features(df: DataFrame, path: str, time: str, partitions: int | None =
     ranged.sortWithinPartitions(time).write.mode("overwrite").parquet(path, compression="zstd")
 
 
+#: Rows of one grid cell that one file of a ledger should hold.
+FILE_ROWS = 5_000_000
+
+
 def write_ledger(df: DataFrame, path: str, by: Sequence[str] = ("fold", "seed", "model")) -> None:
-    """Prediction ledger partitioned by its grid; rows are spread by id too, so no grid cell becomes one task."""
-    spread = df.repartition(*by, F.pmod(F.xxhash64("id"), F.lit(8)))
+    """Prediction ledger partitioned by its grid; a cell is dealt out by id over as many tasks as its rows ask for."""
+    cells = settle(df.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(FILE_ROWS)).alias("_files")))
+    counted = df.join(cells.select(*[F.col(b).alias(f"_{b}") for b in by], "_files"), [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    dealt = counted.withColumn("_file", F.pmod(F.xxhash64("id"), "_files"))
+    spread = dealt.repartition(*by, "_file").select(*df.columns)
     spread.write.mode("overwrite").partitionBy(*by).parquet(path, compression="zstd")
 
 

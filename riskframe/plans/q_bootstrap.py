@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.operators import bootstrap as B
+from riskframe.operators import joins as J
 from riskframe.operators import metrics as M
 from riskframe.operators import replicates as R
-from riskframe.plans.canon import LEDGER, PLATT, SEEDS, ledger, stored
+from riskframe.plans.canon import LEDGER, MODELS, SEEDS, _ledger_sql, build_ledger, ledger, stored
 from riskframe.plans.q_scores import AP, KS, LEDGER_METRICS, STAGES, K, curve_sql, rounded
 from riskframe.plans.registry import query
 
@@ -254,6 +255,27 @@ def _(spark, d):
     return rounded(_factorial(spark, d))
 
 
+THIRD = _ledger_sql("test", MODELS, "third", "purchase")
+
+
+@query(
+    "b13_cross_family",
+    f"""WITH {LEDGER}, {THIRD}, {draws_sql()}, {reps_sql()}, {factorial_sql()}, {reps_sql(source='third', name='ro')}, {factorial_sql('ro', 'fo')}
+SELECT fold, block_length, replicate_id, round(fs.H0 - fo.H0, 6) AS H0, round(fs.H1 - fo.H1, 6) AS H1, round(fs.D - fo.D, 6) AS D FROM fs JOIN fo USING (fold, block_length, replicate_id)""",
+)
+def _(spark, d):
+    """History effects on one target minus those on another, on the same draws."""
+    _, mult = _world(spark, d)
+    other = stored(spark, d, "ledger_purchase", lambda: build_ledger(spark, d, "test", MODELS, "purchase"), "id")
+    build = lambda: R.vector_replicates(B.with_position(other, B.time_positions(other), ["fold"]), mult, ["fold"], K, "raw", "label", "id")
+    mapping = F.create_map(*[F.lit(x) for kv in FACTOR.items() for x in kv])
+    second = stored(spark, d, "replicates_purchase", build).withColumn("cell", mapping[F.col("model")])
+    keys = ["fold", "block_length", "replicate_id"]
+    families = {"error": _factorial(spark, d), "purchase": B.factorial_summary(second, keys, len(SEEDS), "tp")}
+    summary = J.union_frames([table.withColumn("family", F.lit(name)) for name, table in families.items()])
+    return rounded(B.cross_family(summary, keys, "family", "error", "purchase", ("H0", "H1", "D")))
+
+
 LENGTHS = (7, 3, 14)
 
 

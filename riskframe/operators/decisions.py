@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.prefix import hash_range, rank_rows, rank_within, settle, value_edges, with_range
@@ -246,17 +246,33 @@ def priority_trials(
 
     A row's priority depends on the trial, the ``shared`` columns and its id, never on the model,
     so all models meet the same order.
+
+    A trial's last place is found by counts: tied rows are counted by ranges of their hash inside each task,
+    so only (key, trial, range) sums are shuffled; the range that the budget ends in is known from their
+    running counts, and the rows of that one range, a few in a thousand, are ranked.
     """
     keys = list(keys)
     profile = settle(capacity_profile(df, keys, score, label, qs))
-    cut = profile.where(F.col("split_tie") == 1).select(*keys, "q", F.col("boundary_score").alias(score), "remaining")
-    members = df.join(cut, [*keys, score]).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("trial"), *[F.col(c) for c in shared], F.col(identity)), 256)
-    ranged = members.withColumn("_digest", digest).withColumn("_hash_range", hash_range(F.col("_digest")))
-    ranked = rank_within(ranged, [*keys, "q", "trial"], ["_digest", identity], "_hash_range")
-    caught = ranked.where(F.col("tie_rank") <= F.col("remaining")).groupBy(*keys, "q", "trial").agg(
-        F.sum(F.col(label).cast("bigint")).alias("_t")
-    )
+    cut = settle(profile.where(F.col("split_tie") == 1).select(*keys, "q", F.col("boundary_score").alias(score), "remaining"))
+    own = F.concat_ws("|", *[F.col(c) for c in shared], F.col(identity))
+    digest = lambda trial: F.sha2(F.concat_ws("|", F.lit(seed), trial, F.col("_own")), 256)
+    members = df.withColumn("_own", own).join(cut, [*keys, score])
+    group = [*keys, "q", "trial"]
+
+    places = F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: F.struct(t.alias("trial"), hash_range(digest(t)).alias("_bin")))
+    counted = members.select(*keys, "q", "remaining", F.col(label).cast("bigint").alias("_y"), F.explode(places).alias("_t")).select("*", "_t.trial", "_t._bin")
+    bins = counted.groupBy(*group, "remaining", "_bin").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
+    before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumns({"_bn": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_bp": F.coalesce(F.sum("_p").over(before), F.lit(0))})
+    ends = settle(placed.where((F.col("_bn") < F.col("remaining")) & (F.col("remaining") <= F.col("_bn") + F.col("_n"))))
+
+    edges = ends.groupBy(*keys, "q").agg(F.collect_list(F.struct("trial", "_bin", (F.col("remaining") - F.col("_bn")).alias("room"))).alias("_edges"))
+    here = F.filter("_edges", lambda e: hash_range(digest(e["trial"])) == e["_bin"])
+    last = members.join(settle(edges), [*keys, "q"]).select(*keys, "q", identity, label, "_own", F.explode(here).alias("_e")).select("*", "_e.trial", "_e.room")
+    last = last.withColumn("_digest", digest(F.col("trial"))).withColumn("_next", F.substring("_digest", 4, 3))
+    ranked = rank_within(last, group, ["_digest", identity], "_next")
+    taken = ranked.where(F.col("tie_rank") <= F.col("room")).groupBy(*group).agg(F.sum(F.col(label).cast("bigint")).alias("_l"))
+    caught = ends.join(taken, group, "left").select(*group, (F.col("_bp") + F.coalesce("_l", F.lit(0))).alias("_t"))
     whole = profile.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     tie = F.when(F.col("split_tie") == 1, F.coalesce("_t", F.lit(0))).otherwise(F.col("tie_positives"))
     return whole.join(caught, [*keys, "q", "trial"], "left").select(

@@ -466,7 +466,31 @@ def _(spark, d):
     return rounded(out.select(*K, "id", "raw", "isotonic"))
 
 
-@query("c01_platt")
+NEWTON = 16
+
+
+def platt_sql(source, name="pm"):
+    """Logistic maps of all cells by Newton steps on score levels, one table a step."""
+    clip = "greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw))"
+    steps = [f"""{name}_l AS MATERIALIZED (SELECT {KS}, ln({clip} / (1 - {clip})) AS z, label::DOUBLE AS y, count(*)::DOUBLE AS w FROM {source} GROUP BY ALL),
+{name}_0 AS (SELECT DISTINCT {KS}, 0::DOUBLE AS slope, 0::DOUBLE AS intercept FROM {name}_l)"""]
+    for i in range(NEWTON):
+        steps.append(f"""{name}_{i + 1} AS MATERIALIZED (
+  WITH p AS (SELECT *, 1 / (1 + exp(-(slope * z + intercept))) AS p FROM {name}_l JOIN {name}_{i} USING ({KS})),
+  s AS (SELECT {KS}, slope, intercept, sum(w * (p - y)) AS g0, sum(w * (p - y) * z) AS g1, sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * z) AS h01,
+    sum(w * p * (1 - p) * z * z) AS h11 FROM p GROUP BY {KS}, slope, intercept),
+  f AS (SELECT *, slope - coalesce((h00 * g1 - h01 * g0) / nullif(h00 * h11 - h01 * h01, 0), 0) AS free FROM s)
+  SELECT {KS}, greatest({C.LEAST_SLOPE}::DOUBLE, free) AS slope, CASE WHEN free >= {C.LEAST_SLOPE}::DOUBLE
+    THEN intercept - coalesce((h11 * g0 - h01 * g1) / nullif(h00 * h11 - h01 * h01, 0), 0)
+    ELSE intercept - coalesce((g0 + h01 * ({C.LEAST_SLOPE}::DOUBLE - slope)) / nullif(h00, 0), 0) END AS intercept FROM f)""")
+    return ",\n".join(steps)
+
+
+@query(
+    "c01_platt",
+    f"""WITH {LEDGER_BOTH}, {platt_sql('led_validation')} SELECT {KS}, id, raw, round(1 / (1 + exp(-(slope * ln(clipped / (1 - clipped)) + intercept))), 4) AS fitted
+FROM ledger JOIN pm_{NEWTON} USING ({KS})""",
+)
 def _(spark, d):
     """Each cell is calibrated on its own fold's validation window."""
     fitted = C.platt_fit_cells(ledger(spark, d, "validation"), K, "raw", "label")
@@ -587,7 +611,6 @@ def _(spark, d):
 
 
 METHODS = {"Uncalibrated": "raw", "Platt": "fitted", "Isotonic": "isotonic"}
-NEWTON = 16
 
 
 def _fitted_sides(spark, d):
@@ -620,23 +643,6 @@ def _branches(spark, d):
     return sides[0], sides[1], stored(spark, d, "branches", grid)
 
 
-def platt_sql(source, name="pm"):
-    """Logistic maps of all cells by Newton steps on score levels, one table a step."""
-    clip = "greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw))"
-    steps = [f"""{name}_l AS MATERIALIZED (SELECT {KS}, ln({clip} / (1 - {clip})) AS z, label::DOUBLE AS y, count(*)::DOUBLE AS w FROM {source} GROUP BY ALL),
-{name}_0 AS (SELECT DISTINCT {KS}, 0::DOUBLE AS slope, 0::DOUBLE AS intercept FROM {name}_l)"""]
-    for i in range(NEWTON):
-        steps.append(f"""{name}_{i + 1} AS MATERIALIZED (
-  WITH p AS (SELECT *, 1 / (1 + exp(-(slope * z + intercept))) AS p FROM {name}_l JOIN {name}_{i} USING ({KS})),
-  s AS (SELECT {KS}, slope, intercept, sum(w * (p - y)) AS g0, sum(w * (p - y) * z) AS g1, sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * z) AS h01,
-    sum(w * p * (1 - p) * z * z) AS h11 FROM p GROUP BY {KS}, slope, intercept),
-  f AS (SELECT *, slope - coalesce((h00 * g1 - h01 * g0) / nullif(h00 * h11 - h01 * h01, 0), 0) AS free FROM s)
-  SELECT {KS}, greatest({C.LEAST_SLOPE}::DOUBLE, free) AS slope, CASE WHEN free >= {C.LEAST_SLOPE}::DOUBLE
-    THEN intercept - coalesce((h11 * g0 - h01 * g1) / nullif(h00 * h11 - h01 * h01, 0), 0)
-    ELSE intercept - coalesce((g0 + h01 * ({C.LEAST_SLOPE}::DOUBLE - slope)) / nullif(h00, 0), 0) END AS intercept FROM f)""")
-    return ",\n".join(steps)
-
-
 def fitted_sql():
     """CTEs v1 and t1: threshold and test rows with the score columns of ``METHODS``."""
     clip = "greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, raw))"

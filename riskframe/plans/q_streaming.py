@@ -11,7 +11,7 @@ from riskframe.plans.registry import query
 from riskframe.session import scratch_path
 from riskframe.streaming import operators as X
 from riskframe.streaming.learner import replay_online
-from riskframe.streaming.replay import replay
+from riskframe.streaming.replay import BY_KEY, replay
 
 
 def _scored(spark, d):
@@ -119,7 +119,8 @@ SELECT DISTINCT entity, hour, coalesce(hour - prev, -1) AS recency, {", ".join(o
 def _(spark, d):
     rows = _scored(spark, d).select("ts", "entity", "origin", "amount_cents")
     partials = X.two_stage(
-        spark, rows, "ts", lambda s: X.history_buckets(s, "entity", "origin", "ts", "amount_cents", shards=2), X.streaming_history, "history"
+        spark, rows, "ts", lambda s: X.history_buckets(s, "entity", "origin", "ts", "amount_cents", shards=2), X.streaming_history, "history",
+        store=BY_KEY,
     )
     return rounded(X.combine_shards(partials))
 

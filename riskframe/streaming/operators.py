@@ -10,10 +10,14 @@ the rows it removes.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import attrgetter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskframe.session import scratch_path
@@ -148,70 +152,117 @@ def _partial_schema(windows: Sequence[int]) -> str:
     return ", ".join(fields)
 
 
-HISTORY_STATE = "hours array<bigint>, n array<bigint>, s array<bigint>, ss array<string>, mx array<bigint>, others array<bigint>, seen array<bigint>, last_hour bigint"
+class HistoryState(StatefulProcessor):
+    """Partial history of one (entity, shard), in state that a batch reads and writes by key.
+
+    ``hours``: sums of each step with rows, and ``fresh``, the number of counterparties last seen in it, so that
+    distinct counts are sums over steps and never a walk over counterparties. ``latest``: last step of a
+    counterparty. ``members``: counterparties of a step, read once, when the step leaves the widest window.
+    ``last``: last step with rows, which recency needs for ever. A timer per step lets an idle entity forget it.
+    """
+
+    HOUR_MS = 3_600_000
+
+    def __init__(self, windows: Sequence[int]):
+        self.windows, self.reach = tuple(windows), max(windows)
+        self.row = Row(*(c.split()[0] for c in _partial_schema(windows).split(", ")))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hours = handle.getMapState("hours", "hour bigint", "n bigint, s bigint, ss string, mx bigint, fresh bigint")
+        self.latest = handle.getMapState("latest", "other bigint", "hour bigint")
+        self.members = handle.getMapState("members", "hour bigint", "others binary")
+        self.last = handle.getValueState("last", "hour bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Steps by number as [n, s, ss, mx, fresh]; only those inside the widest window are ever held.
+        held = {k[0]: [v[0], v[1], int(v[2]), v[3], v[4]] for k, v in self.hours.iterator()}
+        before = {h: v[4] for h, v in held.items()}
+        was = self.last.get()
+        last = was[0] if was else None
+        joined: dict[int, np.ndarray] = {}
+        seen: dict[int, int | None] = {}  # counterparties this batch touched, with their last step
+        known: dict[int, int | None] = {}  # and what state held for them
+
+        def last_seen(other: int) -> int | None:
+            if other not in seen:
+                at = self.latest.getValue((other,)) if before else None
+                seen[other] = known[other] = None if at is None else at[0]
+            return seen[other]
+
+        out = []
+        by_hour = attrgetter("hour")
+        for hour, group in groupby(sorted(rows, key=by_hour), by_hour):
+            for old in [h for h in held if h < hour - self.reach]:
+                fresh = held.pop(old)[4]
+                for other in self._others(old, joined) if fresh else ():
+                    if last_seen(other) == old:
+                        seen[other] = None
+            record = [*key, hour, last]
+            for w in self.windows:
+                inside = [v for h, v in held.items() if h >= hour - w]
+                record += [sum(v[0] for v in inside), sum(v[1] for v in inside), str(sum(v[2] for v in inside))]
+                record += [max((v[3] for v in inside), default=None), sum(v[4] for v in inside)]
+            out.append(self.row(*record))
+            mine = [r for r in group if r.n > 0]
+            if mine:
+                others = np.array([r.other for r in mine if r.other is not None], np.int64)
+                for other in others.tolist():
+                    at = last_seen(other)
+                    if at in held:
+                        held[at][4] -= 1
+                    seen[other] = hour
+                joined[hour], last = others, hour
+                held[hour] = [sum(r.n for r in mine), sum(r.s for r in mine), sum(int(r.ss) for r in mine), max(r.mx for r in mine), len(others)]
+
+        for hour in before.keys() - held.keys():
+            self._remove(hour)
+        for hour, (n, s, ss, mx, fresh) in held.items():
+            if hour in joined or before[hour] != fresh:
+                self.hours.updateValue((hour,), (n, s, str(ss), mx, fresh))
+            if hour in joined:
+                self.members.updateValue((hour,), (joined[hour].tobytes(),))
+                self.handle.registerTimer((hour + self.reach + 1) * self.HOUR_MS)
+        for other, hour in seen.items():
+            if hour is not None and hour != known[other]:
+                self.latest.updateValue((other,), (hour,))
+            elif hour is None and known[other] is not None:
+                self.latest.removeKey((other,))
+        if last is not None and (last,) != was:
+            self.last.update((last,))
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """No later row can reach back to the step of this timer."""
+        hour = expiredTimerInfo.getExpiryTimeInMs() // self.HOUR_MS - self.reach - 1
+        if self.hours.containsKey((hour,)):
+            for other in self._others(hour, {}):
+                at = self.latest.getValue((other,))
+                if at is not None and at[0] == hour:
+                    self.latest.removeKey((other,))
+            self._remove(hour)
+        return iter(())
+
+    def _others(self, hour: int, joined: dict[int, np.ndarray]) -> list[int]:
+        """Counterparties of a step, of this batch or an earlier one."""
+        return (joined.pop(hour) if hour in joined else np.frombuffer(self.members.getValue((hour,))[0], np.int64)).tolist()
+
+    def _remove(self, hour: int) -> None:
+        self.hours.removeKey((hour,))
+        self.members.removeKey((hour,))
+
+    def close(self) -> None:
+        pass
 
 
 def streaming_history(buckets: DataFrame, windows: Sequence[int] = (1, 6, 24)) -> DataFrame:
     """Partial history per (entity, shard, step): emit from strictly earlier steps, then update.
 
-    State holds one bucket per step and the last step of each ``other`` inside the widest window. When
-    the watermark has passed an entity's last step by the widest window, a timer clears both and
-    leaves the last step alone, which recency still needs.
+    A batch reads and writes the steps and counterparties it meets (``HistoryState``), never the whole
+    state of an entity. Run it with ``run_available(..., store=BY_KEY)``: state variables need that store.
     """
-    reach = max(windows)
-    hour_ms = 3_600_000
-    columns = [c.split()[0] for c in _partial_schema(windows).split(", ")]
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entity, shard = key
-        if state.hasTimedOut:
-            state.update(([], [], [], [], [], [], [], state.get[-1]))
-            return
-        if state.exists:
-            hours, n, s, ss, mx, others, seen, last = state.get
-            sums = {h: (a, b, int(c), d) for h, a, b, c, d in zip(hours, n, s, ss, mx)}
-            latest = dict(zip(others, seen))
-        else:
-            sums, latest, last = {}, {}, None
-        rows = pd.concat(list(frames))
-        out = []
-        for hour, group in rows.groupby("hour", sort=True):
-            hour = int(hour)
-            sums = {h: v for h, v in sums.items() if h >= hour - reach}
-            latest = {o: h for o, h in latest.items() if h >= hour - reach}
-            record = [entity, shard, hour, last]
-            for w in windows:
-                inside = [v for h, v in sums.items() if h >= hour - w]
-                top = [v[3] for v in inside if v[3] is not None]
-                record += [
-                    sum(v[0] for v in inside), sum(v[1] for v in inside), str(sum(v[2] for v in inside)), max(top) if top else None,
-                    sum(1 for h in latest.values() if h >= hour - w),
-                ]
-            out.append(record)
-            mine = group[group["n"] > 0]
-            if len(mine):
-                sums[hour] = (int(mine["n"].sum()), int(mine["s"].sum()), sum(int(x) for x in mine["ss"]), int(mine["mx"].max()))
-                latest.update({int(o): hour for o in mine["other"]})
-                last = hour
-        kept = sorted(sums.items())
-        state.update(
-            (
-                [h for h, _ in kept], [v[0] for _, v in kept], [v[1] for _, v in kept], [str(v[2]) for _, v in kept], [v[3] for _, v in kept],
-                list(latest), list(latest.values()), last,
-            )
-        )
-        over = (int(rows["hour"].max()) + reach + 1) * hour_ms
-        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + hour_ms))
-        frame = pd.DataFrame(out, columns=columns)
-        for c in columns:
-            if not c.startswith("ss_"):
-                frame[c] = frame[c].astype("Int64")
-        yield frame
-
     timed = buckets.withColumn("at", F.timestamp_seconds(F.col("hour") * 3600)).withWatermark("at", BUCKET_DELAY)
-    return timed.groupBy("entity", "shard").applyInPandasWithState(
-        step, _partial_schema(windows), HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return timed.groupBy("entity", "shard").transformWithState(HistoryState(windows), _partial_schema(windows), "Append", "EventTime")
 
 
 def combine_shards(partials: DataFrame, windows: Sequence[int] = (1, 6, 24)) -> DataFrame:
@@ -243,12 +294,12 @@ def combine_shards(partials: DataFrame, windows: Sequence[int] = (1, 6, 24)) ->
 
 
 def two_stage(
-    spark: SparkSession, rows: DataFrame, time: str, first, second, name: str, slices: int = 2
+    spark: SparkSession, rows: DataFrame, time: str, first, second, name: str, slices: int = 2, store: str | None = None
 ) -> DataFrame:
     """Run ``first`` (native buckets) and ``second`` (state on closed buckets) as two queries over a replay.
 
     The bucket table between them is an ordinary append-only table; each query has its own
-    checkpoint and can be restarted alone.
+    checkpoint and can be restarted alone. ``store`` names the state store of the second.
     """
     base = scratch_path(spark, name)
     low, high = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
@@ -262,5 +313,5 @@ def two_stage(
         schema = source.schema
         run_available(source, f"{base}/buckets", f"{base}/checkpoint-buckets")
         state = second(spark.readStream.schema(schema).parquet(f"{base}/buckets"))
-        run_available(state, f"{base}/out", f"{base}/checkpoint-state")
+        run_available(state, f"{base}/out", f"{base}/checkpoint-state", store=store)
     return spark.read.parquet(f"{base}/out")

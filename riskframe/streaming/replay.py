@@ -16,12 +16,28 @@ END_OF_STREAM = "2100-01-01 00:00:00"
 HEARTBEATS = 2
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there and stop; a later call goes on from the same checkpoint."""
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+# Fixed value: the provider that keeps state by key on disk, which state variables and timers need.
+BY_KEY = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", store: str | None = None) -> None:
+    """Process what is there and stop; a later call goes on from the same checkpoint.
+
+    ``store`` names a state store for this query alone; a query takes the setting over when it starts.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    try:
+        if store:
+            conf.set(STATE_STORE, store)
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        if store:
+            conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
     query.awaitTermination()
 
 

@@ -9,31 +9,67 @@ from pyspark.sql import functions as F
 
 from riskframe.streaming.learner import OnlineLearner, replay_online
 from riskframe.streaming import operators as X
-from riskframe.streaming.replay import run_available
+from riskframe.streaming.replay import BY_KEY, run_available
 
 BUCKET = "hour bigint, entity bigint, shard int, other bigint, n bigint, s bigint, ss string, mx bigint"
 
 
-def drive(spark, base, batches, schema, operator):
+def drive(spark, base, batches, schema, operator, store=None, variables=()):
     for rows in batches:
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/in")
-        run_available(operator(spark.readStream.schema(schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+        run_available(operator(spark.readStream.schema(schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint", store=store)
     out = spark.read.parquet(f"{base}/out").collect()
-    state = spark.read.format("statestore").load(f"{base}/checkpoint").collect()
-    return out, state
+    read = lambda **named: spark.read.format("statestore").options(**named).load(f"{base}/checkpoint").collect()
+    return out, {v: read(stateVarName=v) for v in variables} if variables else read()
+
+
+def drive_history(spark, base, batches):
+    """Rows, and state by variable as {entity: {map key or None: first field of the value}}."""
+    out, state = drive(spark, base, batches, BUCKET, X.streaming_history, BY_KEY, ("hours", "latest", "members", "last"))
+    told = {}
+    for name, rows in state.items():
+        told[name] = {}
+        for r in rows:
+            r = r.asDict()
+            value = r["value"] if "value" in r else r["user_map_value"]
+            told[name].setdefault(r["key"][0], {})[r["user_map_key"][0] if "user_map_key" in r else None] = value[0]
+    return out, told
 
 
 def test_history_state_shrinks_after_the_window(spark, tmp_path):
     start = 480_000  # hours since 1970
     row = lambda hour, entity, other: (start + hour, entity, 0, other, 1, 500, "250000", 500)
     batches = [[row(0, 1, 7), row(2, 1, 8), row(3, 2, 7)], [row(h, 2, 9) for h in (60, 90)], [row(200, 2, 7)], [row(201, 1, 7), row(201, 2, 7)]]
-    out, state = drive(spark, str(tmp_path / "whole"), batches, BUCKET, X.streaming_history)
+    out, state = drive_history(spark, str(tmp_path / "whole"), batches)
     since = lambda h: None if h is None else h - start
     told = {(r["entity"], since(r["hour"])): (since(r["last_hour"]), r["n_24"], r["distinct_24"]) for r in out}
     assert told[(1, 2)] == (0, 1, 1) and told[(1, 201)] == (2, 0, 0) and told[(2, 201)] == (200, 1, 1)
-    out, state = drive(spark, str(tmp_path / "part"), batches[:3], BUCKET, X.streaming_history)
-    kept = {r["key"]["entity"] if "entity" in r["key"].asDict() else list(r["key"])[0]: str(r["value"]) for r in state}
-    assert "hours=[]" in kept[1].replace(" ", "") and f"last_hour={start + 2}" in kept[1] and str(start + 200) in kept[2]
+    out, state = drive_history(spark, str(tmp_path / "part"), batches[:3])
+    assert 1 not in state["hours"] and 1 not in state["latest"] and 1 not in state["members"]
+    assert state["last"] == {1: {None: start + 2}, 2: {None: start + 200}}
+    assert list(state["hours"][2]) == list(state["members"][2]) == [start + 200] and state["latest"][2] == {7: start + 200}
+
+
+def test_history_of_a_hot_entity_equals_recounting_and_holds_its_window_only(spark, tmp_path):
+    rng, start = random.Random(9), 480_000
+    # One entity, 120 steps, counterparties that come back and ones that never do.
+    steps = {h: {rng.randrange(40) if rng.random() < 0.5 else 1_000 + 50 * h + k: rng.randrange(1, 900) for k in range(rng.randrange(1, 50))} for h in range(120) if h % 7}
+    rows = [(start + h, 5, 0, o, 1, c, str(c * c), c) for h, by in steps.items() for o, c in by.items()]
+    marks = [(start + h, 5, 0, None, 0, 0, "0", None) for h in range(0, 120, 7)]
+    whole = sorted(rows + marks, key=lambda r: r[0])
+    cut = lambda a, b: [r for r in whole if a <= r[0] - start < b]
+    for name, bounds in (("one", [0, 120]), ("many", [0, 10, 11, 50, 90, 120])):
+        out, state = drive_history(spark, str(tmp_path / name), [cut(a, b) for a, b in zip(bounds, bounds[1:])])
+        assert len(out) == 120
+        for r in out:
+            hour = r["hour"] - start
+            for w in (1, 6, 24):
+                inside = [(o, c) for h in range(max(0, hour - w), hour) for o, c in steps.get(h, {}).items()]
+                want = (len(inside), sum(c for _, c in inside), str(sum(c * c for _, c in inside)), max((c for _, c in inside), default=None), len({o for o, _ in inside}))
+                assert tuple(r[f"{f}_{w}"] for f in ("n", "s", "ss", "mx", "distinct")) == want
+        live = {o: start + h for h in range(119 - 24, 120) for o in steps.get(h, {})}
+        assert state["latest"][5] == live and min(state["hours"][5]) >= start + 119 - 24
+        assert sum(state["hours"][5].values()) == sum(len(by) for h, by in steps.items() if h >= 119 - 24)
 
 
 def test_drift_state_of_idle_keys_is_dropped(spark, tmp_path):

@@ -12,37 +12,56 @@ the next level until one per source is left. No chunk grows with its source. A c
 long to short texts, so that long ones trade with their like and the last one is mostly short.
 
 Null sources form a source of their own, ordered last. Null texts and texts without a word have
-size 0 and take nothing. Rows that agree in id, source and size are decided together. An empty table
-gives an empty result; other columns are not read.
+size 0 and take nothing. Repeated rows, also such without id, are decided one by one; those that agree
+in every column are numbered, since nothing else tells them apart. All columns are read for that, map
+columns as JSON. Sources are ranked and their caps summed in ranges, not in one window over all sources.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.prefix import running
 from riskframe.llm.common import stored, text_of, word_count
 
 CHUNK = 64
 SEED = 20_260
 
-#: One trade. acc: the undecided document (null before the first) and the decided ones; e: the next.
-_TRADE = """
-aggregate(items, named_struct('doc_id', cast(null as bigint), 'size', cast(null as bigint), 'm', cast(null as bigint), 'w', cast(null as double), 'p', cast(null as double), 'done', cast(array() as array<struct<doc_id:bigint,size:bigint,m:bigint,up:int>>)),
+#: A row of the table: what it agrees in with others, and its number among those that agree in all.
+_UNIT = "struct<doc_id:bigint,size:bigint,row:bigint,i:bigint>"
+#: One trade. acc: the undecided row (null before the first) and the decided ones; e: the next.
+_TRADE = f"""
+aggregate(items, named_struct('unit', cast(null as {_UNIT}), 'w', cast(null as double), 'p', cast(null as double), 'done', cast(array() as array<struct<unit:{_UNIT},up:int>>)),
   (acc, e) -> CASE
-    WHEN acc.w IS NULL THEN named_struct('doc_id', e.doc_id, 'size', e.size, 'm', e.m, 'w', e.w, 'p', e.p, 'done', acc.done)
+    WHEN acc.w IS NULL THEN named_struct('unit', e.unit, 'w', e.w, 'p', e.p, 'done', acc.done)
     WHEN e.u * (least((1 - acc.p) * acc.w, e.p * e.w) + least(acc.p * acc.w, (1 - e.p) * e.w)) < least(acc.p * acc.w, (1 - e.p) * e.w) THEN
       CASE WHEN (1 - acc.p) * acc.w <= e.p * e.w
-        THEN named_struct('doc_id', e.doc_id, 'size', e.size, 'm', e.m, 'w', e.w, 'p', greatest(0D, e.p - (1 - acc.p) * acc.w / e.w), 'done', concat(acc.done, array(named_struct('doc_id', acc.doc_id, 'size', acc.size, 'm', acc.m, 'up', 1))))
-        ELSE named_struct('doc_id', acc.doc_id, 'size', acc.size, 'm', acc.m, 'w', acc.w, 'p', least(1D, acc.p + e.p * e.w / acc.w), 'done', concat(acc.done, array(named_struct('doc_id', e.doc_id, 'size', e.size, 'm', e.m, 'up', 0)))) END
+        THEN named_struct('unit', e.unit, 'w', e.w, 'p', greatest(0D, e.p - (1 - acc.p) * acc.w / e.w), 'done', concat(acc.done, array(named_struct('unit', acc.unit, 'up', 1))))
+        ELSE named_struct('unit', acc.unit, 'w', acc.w, 'p', least(1D, acc.p + e.p * e.w / acc.w), 'done', concat(acc.done, array(named_struct('unit', e.unit, 'up', 0)))) END
     ELSE
       CASE WHEN acc.p * acc.w <= (1 - e.p) * e.w
-        THEN named_struct('doc_id', e.doc_id, 'size', e.size, 'm', e.m, 'w', e.w, 'p', least(1D, e.p + acc.p * acc.w / e.w), 'done', concat(acc.done, array(named_struct('doc_id', acc.doc_id, 'size', acc.size, 'm', acc.m, 'up', 0))))
-        ELSE named_struct('doc_id', acc.doc_id, 'size', acc.size, 'm', acc.m, 'w', acc.w, 'p', greatest(0D, acc.p - (1 - e.p) * e.w / acc.w), 'done', concat(acc.done, array(named_struct('doc_id', e.doc_id, 'size', e.size, 'm', e.m, 'up', 1)))) END
+        THEN named_struct('unit', e.unit, 'w', e.w, 'p', least(1D, e.p + acc.p * acc.w / e.w), 'done', concat(acc.done, array(named_struct('unit', acc.unit, 'up', 0))))
+        ELSE named_struct('unit', acc.unit, 'w', acc.w, 'p', greatest(0D, acc.p - (1 - e.p) * e.w / acc.w), 'done', concat(acc.done, array(named_struct('unit', e.unit, 'up', 1)))) END
   END)
 """
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of a whole row; columns that hold maps by their JSON."""
+    names = [f"`{c}`" for c in docs.columns]
+    held = {f"`{f.name}`" for f in docs.schema.fields if "map<" in f.dataType.simpleString()}
+    return F.xxhash64(*[F.to_json(F.struct(c)) if c in held else F.col(c) for c in names])
+
+
+def _along(table: DataFrame, order: Column, sums: list[str]) -> DataFrame:
+    """``table`` with the sums of all earlier rows along ``order`` (``before_<c>``), worked out in ranges of it."""
+    ordered = table.withColumn("_order", order)
+    ranged = stored(ordered.repartitionByRange(F.col("_order")).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    return running(ranged, [], "_order", "_range", sums=sums).drop("_order", "_range")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """source, source_size, target of a table (source, source_size) with one row per source.
 
@@ -52,22 +71,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     part by weight would still reach its own.
     """
     n = len(weights)
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % n + 1).cast("int"))
-    ranked = ranked.withColumn("w", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    every = Window.partitionBy()
-    before = Window.orderBy(F.col("most") / F.col("w"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    filled = ranked.select(
-        "*",
-        (F.sum("source_size").over(every) * F.lit(float(share))).alias("budget"),
-        F.coalesce(F.sum("most").over(before), F.lit(0.0)).alias("most_before"),
-        (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))).alias("w_left"),
-    )
-    level = (F.col("budget") - F.col("most_before")) / F.col("w_left")
+    placed = _along(sizes.withColumn("one", F.lit(1)), F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))), ["one"])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("before_one") % n + 1).cast("int"))
+    ranked = placed.select("source", "source_size", F.col("before_one").alias("rank"), weight.alias("w"), (F.col("source_size") * F.lit(float(cap))).alias("most"))
+    filled = _along(ranked, F.struct(F.col("most") / F.col("w"), "rank"), ["most", "w"])
+    total, all_w = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    budget = float(total * share)
+    level = (F.lit(budget) - F.col("before_most")) / (F.lit(all_w) - F.col("before_w"))
     filled = filled.withColumn("capped", F.col("most") <= F.col("w") * level)
-    rest = (F.col("budget") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("most"))).over(every), F.lit(0.0))) / F.sum(
-        F.when(~F.col("capped"), F.col("w"))
-    ).over(every)
+    spent, free = filled.agg(F.sum(F.when(F.col("capped"), F.col("most"))), F.sum(F.when(~F.col("capped"), F.col("w")))).first()
+    rest = F.lit((budget - (spent or 0.0)) / free if free else 0.0)
     return filled.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("w") * rest).alias("target"))
 
 
@@ -81,52 +94,58 @@ def mix_sources(
     cap: float = 2.0,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken (= copies x size)."""
-    units = stored(
-        docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).alias("source"), word_count(text_of(text_column)).alias("size"))
-        .groupBy("doc_id", "source", "size")
-        .agg(F.count("*").alias("m")),
-        "mix-units",
-    )
+    """One row per row of ``docs``: doc_id, source, size, row (hash of all columns), source_size, target, copies, taken (= copies x size)."""
+    size = word_count(text_of(text_column))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).alias("source"), size.alias("size"), row_hash(docs).alias("row"))
+    units = stored(rows.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("m")), "mix-units")
     sources = stored(
         source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, share, cap), "mix-sources"
     )
     s = sources.select(F.col("source").alias("s"), "source_size", "target")
-    placed = units.join(s, units["source"].eqNullSafe(s["s"])).drop("s")
-    placed = placed.withColumn("x", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    placed = placed.withColumn("base", F.floor("x").cast("int")).withColumn("p", F.col("x") - F.col("base"))
-    whole = placed.where("p = 0").select("source", "doc_id", "size", "m", F.lit(0).alias("up"))
-    left = placed.where("p > 0").select("source", "doc_id", "size", "m", (F.col("size") * F.col("m")).cast("double").alias("w"), "p")
+    single = units.select("source", "doc_id", "size", "row", F.explode(F.expr("sequence(1L, m)")).alias("i"))
+    placed = single.join(s, single["source"].eqNullSafe(s["s"])).drop("s")
+    x = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    placed = placed.withColumn("p", x - F.floor(x)).select("source", F.struct("doc_id", "size", "row", "i").alias("unit"), F.col("size").cast("double").alias("w"), "p")
+    whole = placed.where("p = 0").select("source", "unit", F.lit(0).alias("up"))
+    left = placed.where("p > 0")
     decided, level = [whole], 0
     while True:
-        tag = F.xxhash64("doc_id", "size", F.lit(seed), F.lit(level))
+        tag = F.xxhash64("unit", F.lit(seed), F.lit(level))
         counts = left.groupBy("source").agg(F.count("*").alias("n"))
         c = counts.select(F.col("source").alias("s"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
         dealt = left.join(c, left["source"].eqNullSafe(c["s"])).drop("s").withColumn("tag", tag)
         dealt = dealt.withColumn("u", F.pmod(F.xxhash64("tag", F.lit(seed + 1)), F.lit(1 << 53)) / F.lit(float(1 << 53)))
-        item = F.struct("w", "tag", "doc_id", "size", "m", "p", "u")
+        item = F.struct("w", "tag", "unit", "p", "u")
         folded = dealt.groupBy("source", F.pmod("tag", "chunks").alias("chunk")).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
         folded = stored(folded.select("source", F.expr(_TRADE).alias("r")), f"mix-level{level}")
-        decided.append(folded.select("source", F.explode("r.done").alias("d")).select("source", "d.doc_id", "d.size", "d.m", "d.up"))
-        left = folded.select("source", "r.doc_id", "r.size", "r.m", "r.w", "r.p")
+        decided.append(folded.select("source", F.explode("r.done").alias("d")).select("source", "d.unit", "d.up"))
+        left = folded.select("source", "r.unit", "r.w", "r.p")
         most = left.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         if (most or 0) <= 1:
             break
         level += 1
-    last = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed), F.lit("last")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    decided.append(left.select("source", "doc_id", "size", "m", (last < F.col("p")).cast("int").alias("up")))
+    last = F.pmod(F.xxhash64("unit", F.lit(seed), F.lit("last")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    decided.append(left.select("source", "unit", (last < F.col("p")).cast("int").alias("up")))
     every = decided[0]
     for d in decided[1:]:
         every = every.unionByName(d)
-    x = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    every = every.select("source", "unit.doc_id", "unit.size", "unit.row", "up")
     out = every.join(s, every["source"].eqNullSafe(s["s"])).withColumn("copies", (F.floor(x) + F.col("up")).cast("int"))
-    out = out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.explode(F.expr("sequence(1L, m)")).alias("i"))
-    return out.drop("i")
+    return out.select("doc_id", "source", "size", "row", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def taken_documents(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as ``mixed`` takes them, with the columns of ``docs``."""
-    m = mixed.where("copies > 0").select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "size", "copies")]).distinct()
-    same = docs[id_column].eqNullSafe(m["_mix_doc_id"]) & docs[source_column].eqNullSafe(m["_mix_source"])
-    joined = docs.join(m, same & (word_count(text_of(text_column)) == m["_mix_size"]))
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
+    """The rows of ``docs`` as often as ``mixed`` takes them, with the columns of ``docs``.
+
+    Rows that agree in every column are one row here, taken as often as all of them.
+    """
+    keys = ("doc_id", "source", "size", "row")
+    taken = stored(mixed.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "mix-taken")
+    m = taken.select(*[F.col(c).alias(f"_mix_{c}") for c in (*keys, "copies", "rows")])
+    whole = docs.withColumn("_mix_own", row_hash(docs))
+    same = whole[id_column].eqNullSafe(m["_mix_doc_id"]) & whole[source_column].eqNullSafe(m["_mix_source"]) & (whole["_mix_own"] == m["_mix_row"])
+    same = same & (word_count(text_of(text_column)) == m["_mix_size"])
+    joined = whole.join(m.where("_mix_rows = 1"), same)
+    if not m.where("_mix_rows > 1").isEmpty():
+        joined = joined.unionByName(whole.join(m.where("_mix_rows > 1"), same).dropDuplicates([f"_mix_{c}" for c in keys]))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")).drop("_mix_copy")

@@ -126,11 +126,33 @@ def test_mix_on_awkward_rows(spark):
     assert all(r["taken"] == 0 for r in rows if r["size"] == 0)
     out = taken_documents(docs, mixed)
     assert out.columns == docs.columns
-    copies = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in rows}
     want = Counter()
-    for r in docs.collect():
-        want[(r["doc_id"], r["text"])] += copies[(r["doc_id"], r["source"], words(r["text"]))]
-    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == +want
+    for r in rows:
+        want[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+    found = out.collect()
+    assert Counter((r["doc_id"], r["source"], words(r["text"])) for r in found) == +want
+    assert {(r["doc_id"], r["text"]) for r in found} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+
+
+def test_mix_decides_repeated_rows_one_by_one(spark):
+    rows = [(None, "a b c d e", "x", {"k": 1})] * 50 + [(None, "f g h i j", "x", {"k": n}) for n in range(10)]
+    rows += [(i, "w " * (1 + i % 7), "x", None) for i in range(60)] + [(900, "z " * 12, None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, meta map<string,int>")
+    mixed = mix_sources(docs)
+    got = mixed.collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert len({r["copies"] for r in got if r["doc_id"] is None}) == 2
+    for source, longest in (("x", 7), (None, 12)):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= longest
+    out = taken_documents(docs, mixed)
+    assert out.columns == docs.columns
+    want = Counter()
+    for r in got:
+        want[(r["doc_id"], r["size"])] += r["copies"]
+    assert Counter((r["doc_id"], words(r["text"])) for r in out.collect()) == +want
+    by_map = Counter(tuple((r["meta"] or {}).values()) for r in out.where("text LIKE 'f%'").collect())
+    assert by_map and all(n <= 2 and k for k, n in by_map.items())
 
 
 def test_shards_are_even_and_groups_stay_whole(spark):

@@ -146,17 +146,20 @@ def feature_availability(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def leakage_audit(features: DataFrame, granularities: dict[str, Sequence[str]], time: str, identity: str) -> DataFrame:
-    """Structural checks of entity history as (check, prefix, violations)."""
+    """Structural checks of entity history as (check, prefix, violations).
+
+    ``first_row_count_zero`` counts rows: an entity may have several at its first time, and each must have count 0.
+    """
     out = None
     for prefix, columns in granularities.items():
         valid = features.where(available(columns))
         state = [f"{prefix}_{c}" for c in ("count", "mean", "std", "recency", "has_history", "has_std")]
         packed = F.struct(*state)
         cells = valid.groupBy(*columns, time).agg(
-            F.min(packed).alias("_lo"), F.max(packed).alias("_hi"), F.max(f"{prefix}_count").alias("_c")
+            F.min(packed).alias("_lo"), F.max(packed).alias("_hi"), F.sum((~F.col(f"{prefix}_count").eqNullSafe(0)).cast("bigint")).alias("_c")
         )
         same = cells.agg(F.sum((~F.col("_lo").eqNullSafe(F.col("_hi"))).cast("bigint")).alias("v"))
-        first = cells.groupBy(*columns).agg(F.min_by("_c", time).alias("_first")).agg(F.sum((F.col("_first") != 0).cast("bigint")).alias("v"))
+        first = cells.groupBy(*columns).agg(F.min_by("_c", time).alias("_first")).agg(F.sum("_first").alias("v"))
         strict = valid.agg(F.sum(((F.col(f"{prefix}_has_history") == 1) & ~F.coalesce(F.col(f"{prefix}_recency") > 0, F.lit(False))).cast("bigint")).alias("v"))
         core = F.lit(False)
         for c in ("count", "mean", "std", "ratio", "recency"):

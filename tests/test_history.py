@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe.operators import audits as A
 from riskframe.operators import checks as V
 from riskframe.operators import history as H
 
@@ -125,3 +126,11 @@ def test_history_sets_find_what_a_listing_would(spark):
     assert violations(more) == {"history_legal": 1, "history_complete": 0}
     asked = H.history_provenance(rows, asked=rows.where("id IN ('r1', 'r2')"))
     assert asked.exceptAll(listed).count() == 0 and asked.count() == listed.where("id IN ('r1', 'r2')").count()
+
+
+def test_leakage_audit_counts_every_leaking_row_of_a_first_time(spark):
+    rows = spark.createDataFrame([(i, 5 if i < 4 else 9, "c", 100, 0) for i in range(6)], "id int, t int, card1 string, amount_cents bigint, label int")
+    good = H.build_entity_features(rows, {"card": ["card1"]}, category=None)
+    leaky = good.withColumn("card_count", F.col("card_count") + (F.col("id") < 3).cast("int"))
+    found = {f: [r["violations"] for r in A.leakage_audit(t, {"card": ["card1"]}, "t", "id").where("check = 'first_row_count_zero'").collect()] for f, t in (("good", good), ("leaky", leaky))}
+    assert found == {"good": [0], "leaky": [3]}

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,15 @@ def test_replicate_vectors_equal_expanded_rows(world, spark, monkeypatch, width,
             assert (r["n"], r["positives"], r["alerts"], r["tp"]) == (top[k]["rows"], top[k]["positives"], top[k]["alerts"], top[k]["tp"])
 
 
+@pytest.mark.parametrize("times, cells", [(3, 60), (500, 60)])
+def test_weighted_sums_by_matrix_product_and_by_rows(times, cells):
+    rng = np.random.default_rng(times)
+    group, place = np.sort(np.r_[np.arange(20), rng.integers(0, 20, cells - 20)]), rng.integers(0, times, cells)
+    values, m = rng.integers(0, 9, cells).astype(float), rng.integers(0, 4, (times, 5))
+    found = R._product(group, place, values, m.astype(float))
+    assert found.tolist() == [[sum(int(v) * int(m[t, c]) for g, t, v in zip(group, place, values) if g == k) for c in range(5)] for k in range(20)]
+
+
 def test_replicates_without_positives_are_kept_as_null(world):
     rows, mult = world
     none = rows.withColumn("label", F.when(F.col("pos") == 2, 0).otherwise(F.col("label")))

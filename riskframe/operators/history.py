@@ -58,11 +58,15 @@ def range_windows(
     columns: Sequence[str] = ("n", "s", "ss", "mx"),
     span: int | None = None,
     previous: bool = False,
+    pairs: DataFrame | None = None,
+    other: Sequence[str] = (),
 ) -> DataFrame:
     """Window totals ``<c>_<w>`` over [t-w, t-1] for every bucket.
 
     With ``previous`` the last strictly earlier time is added as ``prev_time`` from the same sorted
     pass; only where it lies outside the copied buckets is it taken from the earlier ranges' maxima.
+    With ``pairs``, one row per (entity, other, time), the distinct ``other`` values in the window are added as
+    ``distinct_<w>``: the pairs that the buckets count as ``c``, less the repeats of ``window_repeats``.
     """
     if not windows or any(int(w) != w or w < 1 for w in windows):
         raise ValueError("windows must be positive integers")
@@ -71,17 +75,26 @@ def range_windows(
     length = span or max(4 * width, 256)
     home = time_range(F.col(time), length)
     reach = time_range(F.col(time) + F.lit(width), length)
-    copied = buckets.select(*entity, time, *columns, F.explode(F.sequence(home, reach)).alias("_range"))
+    columns = [*columns, "c"] if pairs is not None else list(columns)
+    copied = buckets.select(*entity, time, *columns, F.explode(F.sequence(home, reach)).alias("_range"), F.col(time).alias("_own"))
+    if pairs is not None:
+        copied = copied.unionByName(window_repeats(pairs, entity, other, time, windows, length), allowMissingColumns=True)
     base = Window.partitionBy(*entity, "_range").orderBy(time)
     out = {}
     for w in windows:
         frame = base.rangeBetween(-w, -1)
+        if pairs is not None:
+            repeats = F.sum(f"_r{w}").over(base.rangeBetween(Window.unboundedPreceding, 0))
+            out[f"distinct_{w}"] = (F.coalesce(F.sum("c").over(frame), F.lit(0)) - F.coalesce(repeats, F.lit(0))).cast("bigint")
         for c in columns:
+            if c == "c":
+                continue
             value = F.max(c).over(frame) if c == "mx" else F.sum(c).over(frame)
             out[f"{c}_{w}"] = F.coalesce(value, F.lit(0)) if c == "n" else value
     if previous:
-        out["_lag"] = F.lag(time).over(base)
-    made = copied.select(*entity, time, "_range", *[v.alias(k) for k, v in out.items()]).where(F.col("_range") == home)
+        out["_lag"] = F.max("_own").over(base.rangeBetween(Window.unboundedPreceding, -1))
+    made = copied.select(*entity, time, "_range", "_own", *[v.alias(k) for k, v in out.items()])
+    made = made.where((F.col("_range") == home) & F.col("_own").isNotNull()).drop("_own")
     if not previous:
         return made.drop("_range")
     last = buckets.groupBy(*entity, home.alias("_range")).agg(F.max(time).alias("_last"))
@@ -99,6 +112,37 @@ def previous_time(buckets: DataFrame, entity: Sequence[str], time: str, span: in
     ).drop("_t", "_range")
 
 
+def _next_sighting(seen: DataFrame, entity: Sequence[str], other: Sequence[str], time: str, span: int, reach: int) -> DataFrame:
+    """Sightings (entity, other, time) with the value's next one as ``_next`` where it is at most ``reach`` later.
+
+    Each range also gets the sightings that close behind it, so a pair with a long history is worked on range by range.
+    """
+    wide = max(span, reach)
+    place = time_range(F.col(time), wide)
+    near = F.col(time) - place * F.lit(wide) < F.lit(reach)
+    seen = seen.withColumn("_back", F.explode(F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    following = Window.partitionBy(*entity, *other, place - F.col("_back")).orderBy(time)
+    return seen.withColumn("_next", F.lead(time).over(following)).where(F.col("_back") == 0).drop("_back")
+
+
+def window_repeats(pairs: DataFrame, entity: Sequence[str], other: Sequence[str], time: str, windows: Sequence[int], length: int) -> DataFrame:
+    """Marks (entity, _range, time, _r<w>) whose running sum in a range is the number of repeats in the window there.
+
+    Of a value seen k times in a window k - 1 sightings repeat an earlier one: where it is seen at t and next at u < t+w,
+    the window holds both for times u+1 .. t+w. Only such neighbours give marks, so values that seldom return cost
+    nothing here. Both marks of a stretch go to every range it reaches into.
+    """
+    seen = _next_sighting(pairs.select(*entity, *other, time), entity, other, time, length, max(windows))
+    t, nxt = F.col(time).cast("bigint"), F.col("_next").cast("bigint")
+    stretches = [F.struct((nxt + 1).alias("start"), (t + F.lit(w)).alias("stop"), F.lit(w).alias("w")) for w in windows]
+    held = seen.where(nxt - t < F.lit(max(windows))).select(*entity, F.explode(F.array(*stretches)).alias("e")).where("e.start <= e.stop")
+    placed = held.select(*entity, "e.*", F.explode(F.sequence(time_range(F.col("e.start"), length), time_range(F.col("e.stop"), length))).alias("_range"))
+    marks = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("stop") + 1).alias("at"), F.lit(-1).alias("d")))
+    moved = placed.select(*entity, "_range", "w", F.explode(marks).alias("m"))
+    at = F.col("m.at").cast(pairs.schema[time].dataType).alias(time)
+    return moved.groupBy(*entity, "_range", at).agg(*[F.sum(F.when(F.col("w") == w, F.col("m.d"))).alias(f"_r{w}") for w in windows])
+
+
 def window_distinct(
     pairs: DataFrame,
     entity: Sequence[str],
@@ -120,25 +164,17 @@ def window_distinct(
     """
     entity, other = list(entity), list(other)
     seen = pairs.select(*entity, *other, time) if unique else pairs.select(*entity, *other, time).distinct()
-    # A value's next sighting matters within the longest window only: each range also gets the sightings
-    # that close behind it, so a pair with a long history is worked on range by range.
-    reach = max(windows)
-    wide = max(span, reach)
-    place = time_range(F.col(time), wide)
-    near = F.col(time) - place * F.lit(wide) < F.lit(reach)
-    seen = seen.withColumn("_back", F.explode(F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    following = Window.partitionBy(*entity, *other, place - F.col("_back")).orderBy(time)
+    stretch = _next_sighting(seen, entity, other, time, span, max(windows))
     t, nxt = F.col(time).cast("bigint"), F.col("_next").cast("bigint")
     zero, one, minus = F.lit(0), F.lit(1), F.lit(-1)
     marks = [F.struct((t + 1).alias("at"), *[one.alias(f"d{w}") for w in windows])]
     for w in windows:
         end = F.least(t + F.lit(w), F.coalesce(nxt, t + F.lit(w))) + 1
         marks.append(F.struct(end.alias("at"), *[(minus if v == w else zero).alias(f"d{v}") for v in windows]))
-    stretch = seen.withColumn("_next", F.lead(time).over(following)).where(F.col("_back") == 0)
     moves = stretch.select(*entity, F.explode(F.array(*marks)).alias("m")).select(
         *entity, "m.at", F.lit(0).alias("ask"), *[F.col(f"m.d{w}").alias(f"d{w}") for w in windows]
     )
-    asked = asks if asks is not None else seen.where(F.col("_back") == 0)
+    asked = asks if asks is not None else seen
     asked = asked.select(*entity, t.alias("at"), F.lit(1).alias("ask"), *[zero.alias(f"d{w}") for w in windows])
     deltas = (
         moves.unionByName(asked)
@@ -216,7 +252,7 @@ def _summarise(totals: DataFrame, keys: Sequence[str], windows: Sequence[int]) -
     made = {}
     for w in windows:
         made.update(_statistics(w))
-    return totals.select(*keys, "prev_time", *[f"n_{w}" for w in windows], *[v.alias(k) for k, v in made.items()])
+    return totals.select(*keys, "prev_time", *[f"{c}_{w}" for c in ("n", "distinct") for w in windows], *[v.alias(k) for k, v in made.items()])
 
 
 def _history_table(df, entity, other, time, cents, windows, span):
@@ -224,14 +260,13 @@ def _history_table(df, entity, other, time, cents, windows, span):
     entity, other = list(entity), list(other)
     pairs = time_buckets(df.where(available([*entity, *other])), [*entity, *other], time, cents)
     buckets = pairs.groupBy(*entity, time).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx")
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx"), F.count("*").alias("c")
     )
-    totals = range_windows(buckets, entity, time, windows, span=span, previous=True)
+    totals = range_windows(buckets, entity, time, windows, span=span, previous=True, pairs=pairs, other=other)
     totals = _summarise(totals, [*entity, time], windows)
-    distinct = window_distinct(pairs, entity, other, time, windows, span or 4096, unique=True, asks=buckets)
     pair_totals = range_windows(pairs.select(*entity, *other, time, F.col("n")), [*entity, *other], time, windows, ["n"], span)
     pair_totals = pair_totals.select(*entity, *other, time, *[F.col(f"n_{w}").alias(f"pair_{w}") for w in windows])
-    return pair_totals.join(totals, [*entity, time]).join(distinct, [*entity, time])
+    return pair_totals.join(totals, [*entity, time])
 
 
 def range_history_exact(
@@ -382,12 +417,10 @@ def merchant_history(
     used = sorted(set(reach.values()))
     pairs = time_buckets(df.where(available([merchant])), [merchant, customer], time, cents)
     buckets = pairs.groupBy(merchant, time).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx")
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx"), F.count("*").alias("c")
     )
-    totals = range_windows(buckets, [merchant], time, used, span=span, previous=True)
-    totals = _summarise(totals, [merchant, time], used)
-    distinct = window_distinct(pairs, [merchant], [customer], time, used, span or 4096, unique=True, asks=buckets)
-    table = totals.join(distinct, [merchant, time])
+    totals = range_windows(buckets, [merchant], time, used, span=span, previous=True, pairs=pairs, other=[customer])
+    table = _summarise(totals, [merchant, time], used)
     joined = df.join(table, [merchant, time], "left")
     amount = F.col(cents) / F.lit(100.0)
     out = {}

@@ -134,3 +134,10 @@ def test_leakage_audit_counts_every_leaking_row_of_a_first_time(spark):
     leaky = good.withColumn("card_count", F.col("card_count") + (F.col("id") < 3).cast("int"))
     found = {f: [r["violations"] for r in A.leakage_audit(t, {"card": ["card1"]}, "t", "id").where("check = 'first_row_count_zero'").collect()] for f, t in (("good", good), ("leaky", leaky))}
     assert found == {"good": [0], "leaky": [3]}
+
+
+def test_only_values_that_return_within_a_window_give_marks(spark):
+    pairs = spark.createDataFrame([("X", "a", 1), ("X", "b", 2), ("X", "a", 5), ("X", "c", 40), ("X", "b", 90)], "recipient string, origin string, step int")
+    marks = H.window_repeats(pairs, ["recipient"], ["origin"], "step", [3, 7], 256).collect()
+    # a is seen at 1 and 5: repeated in the window of 7 for times 6 to 8, never in that of 3; b and c do not return in time.
+    assert sorted((r["step"], r["_r3"], r["_r7"]) for r in marks) == [(6, None, 1), (9, None, -1)]

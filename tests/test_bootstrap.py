@@ -71,6 +71,16 @@ def test_weighted_sums_by_matrix_product_and_by_rows(times, cells):
     assert found.tolist() == [[sum(int(v) * int(m[t, c]) for g, t, v in zip(group, place, values) if g == k) for c in range(5)] for k in range(20)]
 
 
+def test_many_rows_tied_at_the_end_of_a_budget(world, spark):
+    """400 rows share one level: ranges of ids before a budget's end count whole, those past it not at all, one is walked."""
+    rows, mult = world
+    tied = spark.range(400).select(F.lit(1).alias("fold"), F.lit("m").alias("model"), "id", (F.col("id") % 3 == 0).cast("int").alias("label"), F.lit(0.9).alias("raw"), (F.col("id") % 4).cast("int").alias("pos"))
+    found = {r["replicate_id"]: r["tp"] for r in R.vector_replicates(tied, mult, ["fold"], KEYS, "raw", "label", "id", 0.3).collect()}
+    expanded = B.occurrence_rows(tied, mult, ["fold"]).withColumn("copy", F.col("id") * 100 + F.col("occurrence"))
+    top = {r["replicate_id"]: r["tp"] for r in D.capacity_profile(expanded, [*KEYS, "replicate_id"], "raw", "label", [0.3], "copy").collect()}
+    assert found == top
+
+
 def test_replicates_without_positives_are_kept_as_null(world):
     rows, mult = world
     none = rows.withColumn("label", F.when(F.col("pos") == 2, 0).otherwise(F.col("label")))

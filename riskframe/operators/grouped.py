@@ -1,9 +1,9 @@
 """Logistic models of every grid cell at once.
 
 A cell is a fold, a scheme of columns and class weights, or any other key. All of them are fitted
-together: a Newton step is one pass over the rows, where each task sums gradient and curvature of every cell
-that it meets, one small grouped sum over the tasks, and one solve a cell, a row each. The driver sees only
-whether some cell still moves, so the number of cells costs rows, not jobs.
+together: rows are packed into blocks of one cell and written once; a Newton step is one pass over the blocks, where
+each task sums gradient and curvature of every cell that it meets, one small grouped sum over the tasks, and one
+solve a cell, a row each. The driver sees only whether some cell still moves, so the number of cells costs rows, not jobs.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,30 +37,55 @@ def scheme_rows(df: DataFrame, schemes: dict[str, dict], label: str, keep: Seque
     return long.select(*keep, "_s.model", "_s.x", F.col(label).cast("double").alias("y"), "_s.w")
 
 
-def _cell_sums(rows: DataFrame, keys: Sequence[str], state: Sequence[str], kernel: Callable) -> DataFrame:
-    """(keys, s): the sums of ``kernel(x, y, w, first row)`` over all rows of each cell."""
+def _blocks(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of each Arrow batch packed by cell: (keys, x, y, w), with x row by row in one array. Written once, read by every step."""
+    keys = list(keys)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(number, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0])
+            ends = np.r_[first, len(order)]
+            held = batch.take(pa.array(order))
+            lengths = np.r_[0, np.cumsum(held["x"].value_lengths().to_numpy(zero_copy_only=False))]
+            listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+            columns = [*held.select(keys).take(pa.array(first)).columns, listed(lengths[ends], held["x"].flatten())]
+            yield pa.RecordBatch.from_arrays([*columns, listed(ends, held["y"]), listed(ends, held["w"])], names=[*keys, "x", "y", "w"])
+
+    return settle(rows.select(*keys, "x", "y", "w").mapInArrow(pack, f"{_kinds(rows, keys)}, x array<double>, y array<double>, w array<double>"))
+
+
+def _kinds(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _cell_sums(blocks: DataFrame, keys: Sequence[str], state: Sequence[str], kernel: Callable) -> DataFrame:
+    """(keys, s): the sums of ``kernel(x, y, w, block)`` over all blocks of each cell."""
     keys = list(keys)
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for key, part in batch.groupby(keys, dropna=False, sort=False):
-                found = kernel(np.stack(part["x"].to_numpy()), part["y"].to_numpy(float), part["w"].to_numpy(float), part.iloc[0])
+            for block in batch.to_dict("records"):
+                key, y = tuple(block[k] for k in keys), block["y"]
+                found = kernel(block["x"].reshape(len(y), -1), y, block["w"], block)
                 total[key] = total[key] + found if key in total else found
         if total:
             yield pd.DataFrame({**{k: [key[i] for key in total] for i, k in enumerate(keys)}, "s": list(total.values())})
 
-    parts = rows.select(*keys, "x", "y", "w", *state).mapInPandas(add, f"{kinds}, s array<double>")
+    parts = blocks.select(*keys, "x", "y", "w", *state).mapInPandas(add, f"{_kinds(blocks, keys)}, s array<double>")
     each = parts.select(*keys, F.posexplode("s").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda e: e["_v"]).alias("s"))
 
 
-def _scales(x: np.ndarray, y: np.ndarray, w: np.ndarray, _) -> np.ndarray:
+def _scales(x: np.ndarray, y: np.ndarray, w: np.ndarray, _: dict) -> np.ndarray:
     return np.concatenate([[w.sum(), (w * w).sum()], w @ x, w @ (x * x)])
 
 
-def _newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, row: pd.Series) -> np.ndarray:
+def _newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, row: dict) -> np.ndarray:
     """Loss, gradient and curvature at the cell's coefficients, on centred and scaled columns behind a column of ones."""
     z = np.column_stack([np.ones(len(x)), (x - np.asarray(row["mean"])) * np.asarray(row["inverse"])])
     margin = z @ np.asarray(row["beta"])
@@ -76,7 +102,8 @@ def fit_logistic_cells(rows: DataFrame, keys: Sequence[str], penalty: float = 1e
     moves after ``most`` steps is not converged and no basis for inference.
     """
     keys = list(keys)
-    sums = _cell_sums(rows, keys, [], _scales)
+    blocks = _blocks(rows, keys)
+    sums = _cell_sums(blocks, keys, [], _scales)
     width = F.size("s") / 2 - 1
     sw, sww = F.col("s")[0], F.col("s")[1]
     mean = F.transform(F.slice("s", F.lit(3), width.cast("int")), lambda e: e / sw)
@@ -121,7 +148,7 @@ def fit_logistic_cells(rows: DataFrame, keys: Sequence[str], penalty: float = 1e
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
     for _ in range(most):
         open_ = state.where(F.col("step") > tolerance)
-        found = _cell_sums(rows.join(open_.select(*keys, "mean", "inverse", "beta"), keys), keys, ["mean", "inverse", "beta"], _newton_sums)
+        found = _cell_sums(blocks.join(open_.select(*keys, "mean", "inverse", "beta"), keys), keys, ["mean", "inverse", "beta"], _newton_sums)
         stepped = open_.join(found, keys).select(*keys, *names, "s").mapInPandas(advance, schema)
         state = settle(stepped.unionByName(state.where(F.col("step") <= tolerance)))
         if not state.where(F.col("step") > tolerance).limit(1).count():

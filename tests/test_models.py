@@ -70,3 +70,13 @@ def test_trees_and_retry(rows):
     assert [limit for limit, _ in short.attempts] == [1, 200] and short.converged
     stuck = Z.fit_logistic(one, ["a", "b"], [], "label", limits=(1, 2))
     assert not stuck.converged and len(stuck.attempts) == 2
+
+
+def test_newton_steps_read_blocks_not_rows(rows):
+    long = G.scheme_rows(rows, SCHEMES, "label", ["fold"])
+    blocks = G._blocks(long, ["fold", "model"])
+    assert blocks.count() <= 6 * long.rdd.getNumPartitions()
+    held = {(r["fold"], r["model"]): r for r in blocks.groupBy("fold", "model").agg(F.sum(F.size("y")).alias("n"), F.sum(F.size("x")).alias("c"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, e: a + e)).alias("s")).collect()}
+    for r in long.groupBy("fold", "model").agg(F.count("*").alias("n"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, e: a + e)).alias("s")).collect():
+        mine = held[r["fold"], r["model"]]
+        assert (mine["n"], mine["c"]) == (r["n"], 3 * r["n"]) and mine["s"] == pytest.approx(r["s"], rel=1e-12)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,6 +236,28 @@ def close_features(reference: DataFrame, candidate: DataFrame, features: Sequenc
     return far.select(F.lit("features_close").alias("check"), F.col("v").alias("violations"))
 
 
+def close_shared_features(reference: DataFrame, candidate: DataFrame, features: Sequence[str], keys: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
+    """``close_features`` of builds whose rows share their features by ``keys``: (check, violations), without a join of rows.
+
+    Each build is reduced to its row count and the least and largest value of every feature per key, so rows that do
+    not share it are seen too: then, or where the builds differ, all rows of the key count; surplus rows count alone.
+    """
+    def reduced(df: DataFrame, side: str) -> DataFrame:
+        ends = [e for f in features for e in (F.min(F.col(f).cast("double")).alias(f"{side}l_{f}"), F.max(F.col(f).cast("double")).alias(f"{side}h_{f}"))]
+        whole = F.bool_and(reduce(Column.__and__, [F.col(f).isNotNull() for f in features])).alias(f"{side}known")
+        return df.groupBy(*[F.col(k).alias(f"{side}k_{k}") for k in keys]).agg(F.count("*").alias(f"{side}n"), whole, *ends)
+
+    same = reduce(Column.__and__, [F.col(f"_ak_{k}").eqNullSafe(F.col(f"_bk_{k}")) for k in keys])  # a null key is a key
+    both = reduced(reference, "_a").join(reduced(candidate, "_b"), same, "full")
+    gap = F.lit(0.0)
+    for f in features:
+        gap = F.greatest(gap, F.col(f"_ah_{f}") - F.col(f"_bl_{f}"), F.col(f"_bh_{f}") - F.col(f"_al_{f}"))
+    close = F.coalesce((gap <= tolerance) & F.col("_aknown") & F.col("_bknown"), F.lit(False))
+    a, b = F.coalesce("_an", F.lit(0)), F.coalesce("_bn", F.lit(0))
+    far = both.agg(F.coalesce(F.sum(F.when(close, F.abs(a - b)).otherwise(F.greatest(a, b))), F.lit(0)).cast("bigint").alias("v"))
+    return far.select(F.lit("features_close").alias("check"), F.col("v").alias("violations"))
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), portable: bool = False) -> DataFrame:
     """Order-free fingerprint: row count and the sum of row hashes.
 

@@ -252,7 +252,8 @@ def _summarise(totals: DataFrame, keys: Sequence[str], windows: Sequence[int]) -
     made = {}
     for w in windows:
         made.update(_statistics(w))
-    return totals.select(*keys, "prev_time", *[f"{c}_{w}" for c in ("n", "distinct") for w in windows], *[v.alias(k) for k, v in made.items()])
+    counted = [f"{c}_{w}" for c in ("n", "distinct") for w in windows if f"{c}_{w}" in totals.columns]
+    return totals.select(*keys, "prev_time", *counted, *[v.alias(k) for k, v in made.items()])
 
 
 def _history_table(df, entity, other, time, cents, windows, span):
@@ -397,7 +398,7 @@ def build_entity_features(df: DataFrame, granularities: dict[str, Sequence[str]]
 def merchant_history(
     df: DataFrame,
     merchant: str = "merchant",
-    customer: str = "customer",
+    customer: str | None = "customer",
     time: str = "step",
     cents: str = "amount_cents",
     windows: Sequence[int] = (1, 7, 30),
@@ -408,6 +409,7 @@ def merchant_history(
     """Merchant history in one of three modes.
 
     ``H0`` none, ``HS`` every window and the recency cut to ``limit`` steps, ``HL`` full.
+    Without ``customer`` there are no distinct customers, and rows are summed straight to (merchant, time).
     """
     if mode not in ("H0", "HS", "HL"):
         raise ValueError("mode must be H0, HS or HL")
@@ -415,11 +417,14 @@ def merchant_history(
         return df
     reach = {w: min(w, limit) if mode == "HS" else w for w in windows}
     used = sorted(set(reach.values()))
-    pairs = time_buckets(df.where(available([merchant])), [merchant, customer], time, cents)
-    buckets = pairs.groupBy(merchant, time).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx"), F.count("*").alias("c")
-    )
-    totals = range_windows(buckets, [merchant], time, used, span=span, previous=True, pairs=pairs, other=[customer])
+    if customer is None:
+        totals = range_windows(time_buckets(df, [merchant], time, cents), [merchant], time, used, span=span, previous=True)
+    else:
+        pairs = time_buckets(df.where(available([merchant])), [merchant, customer], time, cents)
+        buckets = pairs.groupBy(merchant, time).agg(
+            F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx"), F.count("*").alias("c")
+        )
+        totals = range_windows(buckets, [merchant], time, used, span=span, previous=True, pairs=pairs, other=[customer])
     table = _summarise(totals, [merchant, time], used)
     joined = df.join(table, [merchant, time], "left")
     amount = F.col(cents) / F.lit(100.0)
@@ -428,7 +433,8 @@ def merchant_history(
     for w, r in reach.items():
         mean = F.coalesce(f"mean_{r}", zero)
         out[f"h{w}_count"] = F.coalesce(f"n_{r}", F.lit(0)).cast("bigint")
-        out[f"h{w}_customers"] = F.coalesce(f"distinct_{r}", F.lit(0)).cast("bigint")
+        if customer is not None:
+            out[f"h{w}_customers"] = F.coalesce(f"distinct_{r}", F.lit(0)).cast("bigint")
         out[f"h{w}_mean"] = mean
         out[f"h{w}_max"] = F.coalesce(f"max_{r}", zero)
         out[f"h{w}_std"] = F.coalesce(f"std_{r}", zero)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.features import leakage_guard
 from riskframe.operators import checks as V
+from riskframe.operators import history as H
 from riskframe.operators import splits as S
 from riskframe.sources import tables as T
 
@@ -64,3 +65,22 @@ def test_guards(spark):
     df = spark.createDataFrame([(1, 0, 1, 5), (1, 1, 2, -5)], "id int, label int, step int, amount int")
     with pytest.raises(ValueError):
         V.require_integrity(df, ["id"], "label", "step", "amount")
+
+
+def test_shared_features_are_compared_by_key_and_counted_by_rows(spark):
+    kinds = "id int, k int, a double, b double"
+    base = spark.createDataFrame([(1, 1, 1.0, 2.0), (2, 1, 1.0, 2.0), (3, 2, 5.0, 0.0), (4, None, 0.0, 0.0)], kinds)
+    count = lambda other: V.close_shared_features(base, other, ["a", "b"], ["k"]).first()["violations"]
+    assert count(base) == 0
+    assert count(base.withColumn("b", F.when(F.col("k") == 1, F.col("b") + 1).otherwise(F.col("b")))) == 2
+    assert count(base.where("id <> 4")) == 1  # a key that is null counts like any other
+    assert count(base.where("id <> 2")) == 1  # one row is missing
+    assert count(base.where("k = 1 OR k IS NULL")) == 1  # a key is missing
+    assert count(base.withColumn("a", F.when(F.col("id") == 2, 9.0).otherwise(F.col("a")))) == 2  # not shared any more
+    assert count(base.withColumn("a", F.when(F.col("id") == 3, None).otherwise(F.col("a")))) == 1
+
+
+def test_history_without_customers_keeps_the_other_columns(spark):
+    rows = spark.createDataFrame([(i, i % 2, i % 3, i // 2, 100 * i) for i in range(40)], "id int, merchant int, customer int, step int, amount_cents bigint")
+    full = H.merchant_history(rows, windows=(3, 7)).drop("h3_customers", "h7_customers")
+    assert V.assert_aligned(full, H.merchant_history(rows, customer=None, windows=(3, 7)), full.columns).first()["violations"] == 0

@@ -108,3 +108,15 @@ def test_interval_counts_invalid_replicates(spark):
     assert (r["draws"], r["valid"], r["invalid"], r["crosses_zero"]) == (6, 5, 1, 0)
     assert r["lower"] == pytest.approx(1.1) and r["upper"] == pytest.approx(4.9)
     assert B.interval_summary(rows, ["k"], min_valid=6).first()["status"] == "insufficient_valid_draws"
+
+
+def test_replicates_of_counts_equal_those_of_rows(world):
+    rows, mult = world
+    rows = rows.unionByName(rows.withColumn("id", F.col("id") + 100))
+    cells = R.level_counts(rows, KEYS, ["raw"], "label")
+    assert 2 * cells.count() == rows.count()
+    ordered = lambda df: sorted(map(tuple, df.collect()))
+    plain = R.vector_replicates(rows, mult, ["fold"], KEYS, "raw", "label")
+    assert ordered(R.vector_replicates(cells, mult, ["fold"], KEYS, "raw", "label", counted=True)) == ordered(plain)
+    with pytest.raises(ValueError):
+        R.vector_replicates(cells, mult, ["fold"], KEYS, "raw", "label", "id", counted=True)

@@ -189,7 +189,7 @@ def invariance_audit(df: DataFrame, build: Callable[[DataFrame], DataFrame], ide
         "future_append": df.unionByName(later),
     }
     digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    left = base.select(identity, digest.alias("_a"))
+    left = settle(base.select(identity, digest.alias("_a")))  # built once for the three comparisons
     out = None
     for name, world in worlds.items():
         right = build(world).drop(label).where(F.col(identity) >= 0).select(identity, digest.alias("_b"))

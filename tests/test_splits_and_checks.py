@@ -84,3 +84,22 @@ def test_history_without_customers_keeps_the_other_columns(spark):
     rows = spark.createDataFrame([(i, i % 2, i % 3, i // 2, 100 * i) for i in range(40)], "id int, merchant int, customer int, step int, amount_cents bigint")
     full = H.merchant_history(rows, windows=(3, 7)).drop("h3_customers", "h7_customers")
     assert V.assert_aligned(full, H.merchant_history(rows, customer=None, windows=(3, 7)), full.columns).first()["violations"] == 0
+
+
+def test_invariance_audit_builds_its_base_once(spark):
+    from riskframe.operators import audits as A
+
+    rows = spark.createDataFrame([(i, i // 3, i % 2) for i in range(12)], "id bigint, step int, label int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def build(df):
+        def touch(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b
+
+        return df.mapInPandas(touch, df.schema)
+
+    found = A.invariance_audit(rows, build, "id", "step", "label").collect()
+    assert {(r["test"], r["rows"], r["changed_rows"]) for r in found} == {(t, 12, 0) for t in ("label_flip", "shuffle", "future_append")}
+    assert seen.value == 12 * (1 + 1 + 1 + 2)

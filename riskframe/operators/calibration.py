@@ -61,10 +61,16 @@ def platt_fit_cells(df: DataFrame, keys: Sequence[str], score: str, label: str,
 
     Newton steps on score levels: one grouped sum of the score equations per step serves all cells,
     however many. A slope that would fall below its bound stays there and the intercept follows.
+    ``label`` may be ``LEVELS``.
     """
     keys = list(keys)
     z = logit(clip_score(checked_score(F.col(score))))
-    levels = settle(df.groupBy(*keys, z.alias("_z"), F.col(label).cast("double").alias("_y")).agg(F.count("*").cast("double").alias("_w")))
+    if label == LEVELS:
+        classes = F.array(*[F.struct(F.lit(y).alias("y"), n.alias("n")) for y, n in ((1.0, F.col("pos")), (0.0, F.col("n") - F.col("pos")))])
+        told = df.select(*keys, z.alias("_z"), F.explode(classes).alias("_c")).where("_c.n > 0").groupBy(*keys, "_z", F.col("_c.y").alias("_y"))
+        levels = settle(told.agg(F.sum("_c.n").cast("double").alias("_w")))
+    else:
+        levels = settle(df.groupBy(*keys, z.alias("_z"), F.col(label).cast("double").alias("_y")).agg(F.count("*").cast("double").alias("_w")))
     fit = settle(levels.select(*keys).distinct().withColumns({"slope": F.lit(0.0), "intercept": F.lit(0.0), "_step": F.lit(1.0)}))
     p = expit(F.col("slope") * F.col("_z") + F.col("intercept"))
     z, w = F.col("_z"), F.col("_w")
@@ -184,14 +190,17 @@ def isotonic_fit(df: DataFrame, keys: Sequence[str], score: str, label: str, cla
     )
 
 
-def isotonic_apply(df: DataFrame, keys: Sequence[str], score: str, fitted: DataFrame, output: str = "isotonic") -> DataFrame:
+def isotonic_apply(
+    df: DataFrame, keys: Sequence[str], score: str, fitted: DataFrame, output: str = "isotonic", levels: DataFrame | None = None
+) -> DataFrame:
     """Calibrated score by the map of each row's key: a block's rate, linear between blocks, level beyond the ends.
 
     Null where the score is undefined or the key has no map. The block of a score is the running
-    count of block starts over written levels, so no key is worked out in one task.
+    count of block starts over written levels, so no key is worked out in one task. ``levels`` may
+    name a table that holds every (key, score) of the rows already.
     """
     keys = list(keys)
-    asked = df.where(defined(F.col(score))).select(*keys, F.col(score).cast("double").alias("_x")).distinct()
+    asked = (df if levels is None else levels).where(defined(F.col(score))).select(*keys, F.col(score).cast("double").alias("_x")).distinct()
     marks = asked.select(*keys, "_x", F.lit(0).alias("_start")).unionByName(fitted.select(*keys, F.col("low").alias("_x"), F.lit(1).alias("_start")))
     marks = settle(marks.groupBy(*keys, "_x").agg(F.sum("_start").alias("_start")))
     placed = running(with_range(marks, "_x", value_edges(marks, "_x"), "_range"), keys, "_x", "_range", sums=["_start"])
@@ -301,39 +310,44 @@ def tie_statistics(df: DataFrame, keys: Sequence[str], score: str, label: str |
     )
 
 
-def boundary_percentile(df: DataFrame, keys: Sequence[str], raw: str, selected: str) -> DataFrame:
-    """Share of rows whose raw score is at most the lowest selected one; 1 if none is selected."""
+def _times(weight: str | None) -> Column:
+    return F.col(weight) if weight else F.lit(1).cast("bigint")
+
+
+def boundary_percentile(df: DataFrame, keys: Sequence[str], raw: str, selected: str, weight: str | None = None) -> DataFrame:
+    """Share of rows whose raw score is at most the lowest selected one; 1 if none is selected. ``weight``: rows a row stands for."""
     keys = list(keys)
     low = settle(df.where(F.col(selected) == 1).groupBy(*keys).agg(F.min(raw).alias("_low")))
-    under = (F.col(raw) <= F.col("_low")).cast("double")
-    return df.join(low, keys, "left").groupBy(*keys).agg(F.coalesce(F.avg(under), F.lit(1.0)).alias("boundary_percentile"))
+    under, times = (F.col(raw) <= F.col("_low")).cast("bigint"), _times(weight)
+    share = safe_divide(F.sum(under * times), F.sum(F.when(under.isNotNull(), times)))
+    return df.join(low, keys, "left").groupBy(*keys).agg(F.coalesce(share, F.lit(1.0)).alias("boundary_percentile"))
 
 
-def jaccard(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Overlap of two decision columns, with their disagreement."""
-    both = F.sum(((F.col(a) == 1) & (F.col(b) == 1)).cast("bigint"))
-    either = F.sum(((F.col(a) == 1) | (F.col(b) == 1)).cast("bigint"))
-    differ = F.sum((F.col(a) != F.col(b)).cast("bigint"))
+def jaccard(df: DataFrame, keys: Sequence[str], a: str, b: str, weight: str | None = None) -> DataFrame:
+    """Overlap of two decision columns, with their disagreement. ``weight``: rows a row stands for."""
+    rows = lambda of: F.sum(of.cast("bigint") * _times(weight))
+    both, either = rows((F.col(a) == 1) & (F.col(b) == 1)), rows((F.col(a) == 1) | (F.col(b) == 1))
+    differ = rows(F.col(a) != F.col(b))
     return df.groupBy(*keys).agg(
         F.coalesce(safe_divide(both, either), F.lit(1.0)).alias("jaccard"),
         differ.alias("disagreements"),
-        (differ / F.count("*")).alias("disagreement_rate"),
+        (differ / F.sum(_times(weight))).alias("disagreement_rate"),
     )
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], column: str, output: str) -> DataFrame:
-    """Level table (keys, column, average ascending rank)."""
-    levels = df.groupBy(*keys, column).agg(F.count("*").alias("n"))
+def average_ranks(df: DataFrame, keys: Sequence[str], column: str, output: str, weight: str | None = None) -> DataFrame:
+    """Level table (keys, column, average ascending rank). ``weight``: rows a row stands for."""
+    levels = df.groupBy(*keys, column).agg(F.sum(_times(weight)).alias("n"))
     ranged = with_range(levels, column, value_edges(df, column), "_range")
     placed = running(ranged, keys, column, "_range", sums=["n"])
     return placed.select(*keys, column, (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias(output))
 
 
-def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Rank correlation from average ranks; only (a, b) level pairs are joined, not rows."""
+def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, weight: str | None = None) -> DataFrame:
+    """Rank correlation from average ranks. Rows are read once, into written (a, b) level pairs, which all else reads."""
     keys = list(keys)
-    pairs = df.groupBy(*keys, a, b).agg(F.count("*").alias("_w"))
-    ranked = pairs.join(average_ranks(df, keys, a, "_ra"), [*keys, a]).join(average_ranks(df, keys, b, "_rb"), [*keys, b])
+    pairs = settle(df.groupBy(*keys, a, b).agg(F.sum(_times(weight)).alias("_w")))
+    ranked = pairs.join(average_ranks(pairs, keys, a, "_ra", "_w"), [*keys, a]).join(average_ranks(pairs, keys, b, "_rb", "_w"), [*keys, b])
     w, x, y = F.col("_w"), F.col("_ra"), F.col("_rb")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
@@ -428,11 +442,14 @@ def evaluate_branch(
     """Calibration branches end to end: threshold on validation, report on test, reliability on both.
 
     The rows carry their ``method`` as one of the keys, so all methods share each pass. Each side is
-    summed to score levels once, and written; thresholds, confusion, Brier score, log loss, AP, bins,
-    quantiles and ties all read the levels. Tie fields are null for methods outside ``tie_methods``.
+    summed to (raw, score) levels once, and written; thresholds, confusion, Brier score, log loss, AP,
+    bins, quantiles and ties all read levels, and no step reads the rows again. ``label`` may be ``LEVELS``.
+    Tie fields are null for methods outside ``tie_methods``.
     """
     keys = list(keys)
-    lv, lt = (settle(score_levels(rows, keys, score, label)) for rows in (validation, test))
+    test = test.withColumn(raw, checked_score(F.col(raw)))
+    rv, rt = (settle(score_levels(rows, [*keys, raw], score, label)) for rows in (validation, test))
+    lv, lt = (settle(score_levels(levels, keys, score, LEVELS)) for levels in (rv, rt))
     chosen = settle(optimize_threshold(lv, keys, score, LEVELS, fn_cost, fp_cost, max_alert_rate=capacity))
     decided = apply_threshold(lt, score, chosen, keys)
     hit, pos, neg = F.col("alert") == 1, F.col("pos"), F.col("n") - F.col("pos")
@@ -449,12 +466,12 @@ def evaluate_branch(
     parts = [
         chosen.select(*keys, "threshold", safe_divide(F.col("alerts"), F.col("rows")).alias("validation_alert_rate"), F.col("cost").alias("validation_cost")),
         operating_points(lv, keys, score, LEVELS).groupBy(*keys).agg(F.count("*").alias("threshold_candidates")),
-        boundary_percentile(apply_threshold(validation, score, chosen, keys), keys, raw, "alert"),
+        boundary_percentile(apply_threshold(rv, score, chosen, keys), keys, raw, "alert", "n"),
         probability_metrics(lv, keys, score, LEVELS, ap=False).select(*keys, F.col("brier").alias("val_brier"), F.col("log_loss").alias("val_log_loss")),
         probability_metrics(lt, keys, score, LEVELS).select(
             *keys, F.col("brier").alias("test_brier"), F.col("log_loss").alias("test_log_loss"), F.col("ap").alias("calibrated_ap")
         ),
-        average_precision(test, keys, raw, label).select(*keys, F.col("ap").alias("raw_ap")),
+        average_precision(rt, keys, raw, LEVELS).select(*keys, F.col("ap").alias("raw_ap")),
         quantile_columns(lt, keys, score, {"score_p99": 0.99, "score_p999": 0.999}, weight="n"),
         ties.select(*keys, *[F.when(F.col("method").isin(*tie_methods), F.col(c)).alias(c) for c in fields]),
     ]
@@ -467,24 +484,32 @@ def evaluate_branch(
 
 
 def compare_decisions(
-    validation: DataFrame, test: DataFrame, results: DataFrame, keys: Sequence[str], score: str, identity: str, baseline: str
+    validation: DataFrame, test: DataFrame, results: DataFrame, keys: Sequence[str], scores: dict[str, str], baseline: str, weight: str | None = None
 ) -> DataFrame:
     """Each method against the uncalibrated one: rank correlation, overlap and metric changes.
 
-    ``validation`` and ``test`` are long by ``method``; ``results`` holds one row per (keys, method).
+    ``validation`` and ``test`` hold the score of each method in the column that ``scores`` names, so two decisions
+    on a row meet without a join by id; ``weight`` names the rows that a row stands for. ``results`` holds one row per (keys, method).
     """
     keys = list(keys)
     both = [*keys, "method"]
+    cut = {m: f"_cut_{i}" for i, m in enumerate(scores)}
+    cuts = settle(results.groupBy(*keys).agg(*[F.max(F.when(F.col("method") == m, F.col("threshold"))).alias(c) for m, c in cut.items()]))
+    alert = lambda m: (defined(F.col(scores[m])) & (F.col(scores[m]) >= F.col(cut[m]))).cast("int")
+    old = [F.col(cut[baseline]).alias("_old"), alert(baseline).alias("_a"), F.col(scores[baseline]).alias("_sa")]
+    pairs = F.array(*[
+        F.struct(F.lit(m).alias("method"), F.col(cut[m]).alias("_new"), alert(m).alias("_b"), F.col(scores[m]).alias("_sb"), *old)
+        for m in scores if m != baseline
+    ])
     out = None
     for name, rows in (("validation", validation), ("test", test)):
-        decided = apply_threshold(rows, score, results, both)
-        old = decided.where(F.col("method") == baseline).select(*keys, identity, F.col("alert").alias("_a"), F.col(score).alias("_sa"))
-        new = decided.where(F.col("method") != baseline).select(*both, identity, F.col("alert").alias("_b"), F.col(score).alias("_sb"))
-        paired = new.join(old, [*keys, identity])
-        side = jaccard(paired, both, "_a", "_b")
+        met = rows.join(cuts, keys).select(*keys, _times(weight).alias("_n"), F.explode(pairs).alias("_p")).select(*keys, "_n", "_p.*")
+        met = met.where(F.col("_old").isNotNull() & F.col("_new").isNotNull())
+        met = settle(met.groupBy(*both, "_a", "_b", "_sa", "_sb").agg(F.sum("_n").alias("_n")))
+        side = jaccard(met, both, "_a", "_b", "_n")
         side = side.select(*both, *[F.col(c).alias(f"{name}_{c}") for c in ("jaccard", "disagreements", "disagreement_rate")])
         if name == "validation":
-            side = side.join(spearman(paired, both, "_sa", "_sb"), both)
+            side = side.join(spearman(met, both, "_sa", "_sb", "_n"), both)
         out = side if out is None else out.join(side, both)
     fields = ("recall", "fp", "fn", "business_cost", "alert_rate", "calibrated_ap")
     base = results.where(F.col("method") == baseline).select(*keys, *[F.col(c).alias(f"_old_{c}") for c in fields])

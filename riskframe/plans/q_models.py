@@ -6,6 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.functions.features import feature_sets
+from riskframe.functions.prefix import default_ranges
+from riskframe.functions.scalars import hour_of_day
 from riskframe.operators import calibration as C
 from riskframe.operators import decisions as D
 from riskframe.operators import effects as R
@@ -194,9 +196,9 @@ def _graded(spark, d):
     return stored(spark, d, "graded", lambda: Z.run_grid(_featured(spark, d), SCHEMES, SEEDS, "label", "id", _trees, range(1, FOLDS[0] + 1)))
 
 
-def _each_fold(spark, d, fit):
+def _each_fold(rows, fit):
     """``fit(train, test)`` of every fold, in one table."""
-    rows, out = _featured(spark, d), []
+    out = []
     for fold in range(1, FOLDS[0] + 1):
         train, test = (rows.where((F.col("fold") == fold) & (F.col("split") == s)) for s in ("train", "test"))
         out.append(fit(train, test).withColumn("fold", F.lit(fold)))
@@ -206,7 +208,7 @@ def _each_fold(spark, d, fit):
 @query("m01_fit_gbt")
 def _(spark, d):
     fit = lambda train, test: Z.score(_trees(train, "label", 42, **SCHEMES["history"]), test).select("id", "raw")
-    return rounded(_each_fold(spark, d, fit), 6)
+    return rounded(_each_fold(_featured(spark, d), fit), 6)
 
 
 @query("m02_fit_logistic")
@@ -215,7 +217,7 @@ def _(spark, d):
         found = Z.fit_logistic(train, NUMERIC, [], "label", 2.0)
         return Z.score(found.model, test).select("id", "raw", F.lit(int(found.converged)).alias("converged"), F.lit(len(found.attempts)).alias("attempts"))
 
-    return rounded(_each_fold(spark, d, fit), 4)
+    return rounded(_each_fold(_featured(spark, d), fit), 4)
 
 
 # Schemes of the logistic grid, fitted together on every fold: one column (which SQL can fit too), and several.
@@ -322,14 +324,27 @@ def _(spark, d):
     return rounded(R.interaction_contrasts(found, ["fold"]))
 
 
-def _margins(train, test):
-    model = Z.fit_logistic(train, ["amount_cents", "hour_of_day"], [], "label").model
-    return Z.score(model, Z.score(model, test, "probability_score"), "margin", margin=True)
+PLAIN = ["amount_cents", "hour_of_day"]
+
+
+def _margins(spark, d):
+    """Probability and margin of every test row; the models take no history, so none is built."""
+
+    def build():
+        rows = tx(spark, d).select("id", "step", "amount_cents", hour_of_day(F.col("step")).alias("hour_of_day"), "label")
+        dealt = rows.repartition(default_ranges(rows), "id")  # a small file is read by few tasks, but a fit should use them all
+        return S.apply_boundaries(dealt, folds(tx(spark, d))).select("fold", "split", "id", "label", *PLAIN)
+
+    def margins(train, test):
+        model = Z.fit_logistic(train, PLAIN, [], "label").model
+        return Z.score(model, Z.score(model, test, "probability_score"), "margin", margin=True)
+
+    return _each_fold(stored(spark, d, "plain", build), margins)
 
 
 @query("m03_score_margin")
 def _(spark, d):
-    return rounded(_each_fold(spark, d, lambda train, test: _margins(train, test).select("id", "probability_score", "margin")), 4)
+    return rounded(_margins(spark, d).select("id", "probability_score", "margin", "fold"), 4)
 
 
 @query(
@@ -340,7 +355,7 @@ def _(spark, d):
     """The margin of every scored row is the logit of its probability."""
     gap = F.abs(F.ln(F.col("probability_score") / (1 - F.col("probability_score"))) - F.col("margin"))
     agrees = (gap <= 1e-6 * (1 + F.abs(F.col("margin")))).cast("int").alias("agrees")
-    return _each_fold(spark, d, lambda train, test: _margins(train, test).select("id", agrees))
+    return _margins(spark, d).select("id", agrees, "fold")
 
 
 @query(
@@ -403,7 +418,7 @@ def _importance(train, _):
 
 @query("m07_importance_rank")
 def _(spark, d):
-    return rounded(_each_fold(spark, d, _importance), 4)
+    return rounded(_each_fold(_featured(spark, d), _importance), 4)
 
 
 @query(
@@ -412,7 +427,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Shares add up to one, and a rank is one more than the number of larger gains."""
-    found = _each_fold(spark, d, _importance)
+    found = _each_fold(_featured(spark, d), _importance)
     larger = found.select(F.col("fold").alias("_f"), F.col("gain").alias("_g"))
     ranked = found.join(larger, (F.col("_f") == F.col("fold")) & (F.col("_g") > F.col("gain")), "left")
     ranked = ranked.groupBy("fold", "feature", "share", "gain_rank").agg(F.count("_g").alias("above"))

@@ -80,3 +80,12 @@ def test_newton_steps_read_blocks_not_rows(rows):
     for r in long.groupBy("fold", "model").agg(F.count("*").alias("n"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, e: a + e)).alias("s")).collect():
         mine = held[r["fold"], r["model"]]
         assert (mine["n"], mine["c"]) == (r["n"], 3 * r["n"]) and mine["s"] == pytest.approx(r["s"], rel=1e-12)
+
+
+def test_margins_build_no_history(spark):
+    import __spark_entry__ as entry
+    from riskframe.plans import canon
+
+    canon._STORED.clear()
+    assert entry.queries()["m03_margin_is_logit"](spark, "/root/testdata/sf0.001").where("agrees <> 1").count() == 0
+    assert "featured" not in {name for _, _, name in canon._STORED}

@@ -16,6 +16,10 @@ from riskframe.operators.encode import tree_pipeline
 from riskframe.session import shared_dir
 
 
+#: From this depth on a row's walk down a tree costs more than remembering its node.
+DEEP = 8
+
+
 def _weighted(df: DataFrame, label: str, positive_weight: float) -> DataFrame:
     return df.withColumns(
         {"_y": F.col(label).cast("double"), "_w": F.when(F.col(label) == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0))}
@@ -26,14 +30,18 @@ def fit_gbt(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, seed: int = 42, positive_weight: float = 1.0,
     trees: int = 20, depth: int = 5, step: float = 0.1, subsample: float = 0.8,
 ) -> PipelineModel:
-    """Weighted boosted trees behind the tree encoding. Long boosting chains are cut by checkpoints."""
+    """Weighted boosted trees behind the tree encoding. Long boosting chains are cut by checkpoints.
+
+    The node of a row is remembered only in deep trees: in shallow ones each level would write and
+    cache a table of all rows to save a walk of a few steps. The trees are the same.
+    """
     leakage_guard([*numeric, *categorical], df.columns)
     shared_dir(df.sparkSession)
     encoder = tree_pipeline(numeric, categorical).fit(df)
     matrix = _weighted(encoder.transform(df), label, positive_weight).select("features", "_y", "_w")
     tree = GBTClassifier(
         labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed, checkpointInterval=10,
-        cacheNodeIds=True,
+        cacheNodeIds=depth > DEEP,
     ).fit(matrix)
     return PipelineModel([*encoder.stages, tree])
 
@@ -85,24 +93,28 @@ def run_grid(
 ) -> DataFrame:
     """Fit on train, score validation and test, for each (fold, scheme, seed): one long ledger.
 
-    The loop is over grid cells only; every cell is a set of Spark jobs.
+    The loop is over grid cells only; every cell is a set of Spark jobs. Only columns that some scheme names
+    are kept in memory. All models of a fold score a row together, in one read of it.
     """
+    named = list(dict.fromkeys(c for options in schemes.values() for kind in ("numeric", "categorical") for c in options.get(kind, ())))
     out = None
     for fold in folds:
         part = placed.where(F.col("fold") == fold)
-        train = part.where(F.col("split") == "train").persist()
-        later = part.where(F.col("split") != "train")
+        train = part.where(F.col("split") == "train").select(label, *named).persist()
+        scored, cells = part.where(F.col("split") != "train").select("split", identity, label, *named), []
         try:
             for name, options in schemes.items():
                 for seed in seeds:
-                    model = fit(train, label=label, seed=seed, **options)
-                    rows = score(model, later).select(
-                        F.lit(fold).alias("fold"), "split", F.lit(name).alias("model"), F.lit(seed).alias("seed"), F.col(identity).alias("id"),
-                        F.col(label).alias("label"), "raw",
-                    )
-                    out = rows if out is None else out.unionByName(rows)
+                    column = f"_raw_{len(cells)}"
+                    scored = score(fit(train, label=label, seed=seed, **options), scored, column)
+                    cells.append(F.struct(F.lit(name).alias("model"), F.lit(seed).alias("seed"), F.col(column).alias("raw")))
         finally:
             train.unpersist()
+        long = scored.withColumn("_c", F.explode(F.array(*cells)))
+        rows = long.select(
+            F.lit(fold).alias("fold"), "split", "_c.model", "_c.seed", F.col(identity).alias("id"), F.col(label).alias("label"), "_c.raw"
+        )
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

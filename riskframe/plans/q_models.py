@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.functions.features import feature_sets
-from riskframe.functions.prefix import default_ranges
+from riskframe.functions.prefix import default_ranges, settle
 from riskframe.functions.scalars import hour_of_day
 from riskframe.operators import calibration as C
 from riskframe.operators import decisions as D
@@ -377,11 +377,13 @@ def _grid(spark, d):
 
 
 def _report(rows):
-    fitted = C.platt_fit_cells(rows.where("split = 'validation'"), K, "raw", "label")
-    calibrated = C.platt_apply_cells(rows, K, "raw", fitted)
+    """The rows are read once, into score levels: maps, thresholds and report are those of levels."""
+    levels = settle(M.score_levels(rows, [*K, "split"], "raw", "label"))
+    fitted = C.platt_fit_cells(levels.where("split = 'validation'"), K, "raw", M.LEVELS)
+    calibrated = settle(C.platt_apply_cells(levels, K, "raw", fitted))
     val, test = (calibrated.where(F.col("split") == s) for s in ("validation", "test"))
-    cuts = D.threshold_grid(val, K, "platt", "label", CAPS, COSTS)
-    return R.scenario_results(test, cuts, K, "platt", "label")
+    cuts = D.threshold_grid(val, K, "platt", M.LEVELS, CAPS, COSTS)
+    return R.scenario_results(test, cuts, K, "platt", M.LEVELS)
 
 
 @query("m04_run_grid")

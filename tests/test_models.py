@@ -82,6 +82,23 @@ def test_newton_steps_read_blocks_not_rows(rows):
         assert (mine["n"], mine["c"]) == (r["n"], 3 * r["n"]) and mine["s"] == pytest.approx(r["s"], rel=1e-12)
 
 
+def test_a_fold_scores_its_rows_in_one_read(rows, spark, tmp_path):
+    placed = rows.withColumn("split", F.when(F.col("c") < 3, "train").otherwise("test")).withColumn("id", F.monotonically_increasing_id())
+    placed.write.parquet(str(tmp_path / "placed"))
+    placed = spark.read.parquet(str(tmp_path / "placed"))
+    fit = lambda df, label, seed, **options: Z.fit_gbt(df, label=label, seed=seed, trees=2, depth=2, **options)
+    schemes = {"two": {"numeric": ["a", "b"], "categorical": []}, "three": {"numeric": ["a", "b", "c"], "categorical": [], "positive_weight": 3.0}}
+    out = Z.run_grid(placed, schemes, (1, 2), "label", "id", fit, (1, 2))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    found = {tuple(r[c] for c in ("fold", "model", "seed", "id")): r["raw"] for r in out.collect()}
+    later = placed.where("split = 'test'")
+    assert len(found) == 4 * later.count()
+    for fold in (1, 2):
+        train = placed.where((F.col("fold") == fold) & (F.col("split") == "train"))
+        for r in Z.score(fit(train, "label", 2, **schemes["three"]), later.where(F.col("fold") == fold)).collect():
+            assert found[fold, "three", 2, r["id"]] == pytest.approx(r["raw"])
+
+
 def test_margins_build_no_history(spark):
     import __spark_entry__ as entry
     from riskframe.plans import canon

@@ -159,9 +159,14 @@ class HistoryState(StatefulProcessor):
     distinct counts are sums over steps and never a walk over counterparties. ``latest``: last step of a
     counterparty. ``members``: counterparties of a step, read once, when the step leaves the widest window.
     ``last``: last step with rows, which recency needs for ever. A timer per step lets an idle entity forget it.
+
+    A state call costs far more than the bytes it brings. Where the steps held are few and small beside the counterparties
+    of the batch, their members are read, one call a step, and tell the last step of each; else each is asked for.
     """
 
     HOUR_MS = 3_600_000
+    #: Bytes of step members that may be read in place of one call for a counterparty.
+    BYTES_A_CALL = 512
 
     def __init__(self, windows: Sequence[int]):
         self.windows, self.reach = tuple(windows), max(windows)
@@ -180,17 +185,31 @@ class HistoryState(StatefulProcessor):
         before = {h: v[4] for h, v in held.items()}
         was = self.last.get()
         last = was[0] if was else None
+        rows = list(rows)
         joined: dict[int, np.ndarray] = {}
         seen: dict[int, int | None] = {}  # counterparties this batch touched, with their last step
         known: dict[int, int | None] = {}  # and what state held for them
+        told: dict[int, int] | None = {}  # last step of every counterparty in state, where it was cheaper to read
+        due = sorted(h for h, fresh in before.items() if fresh)
+        touched = len({r.other for r in rows if r.n > 0 and r.other is not None})
+        if len(due) <= touched and 8 * sum(held[h][0] for h in due) <= self.BYTES_A_CALL * touched:
+            for h in due:
+                joined[h] = np.frombuffer(self.members.getValue((h,))[0], np.int64)
+                told.update(dict.fromkeys(joined[h].tolist(), h))
+        elif due:
+            told = None
 
         def last_seen(other: int) -> int | None:
             if other not in seen:
-                at = self.latest.getValue((other,)) if before else None
-                seen[other] = known[other] = None if at is None else at[0]
+                if told is not None:
+                    at = told.get(other)
+                else:
+                    found = self.latest.getValue((other,))
+                    at = None if found is None else found[0]
+                seen[other] = known[other] = at
             return seen[other]
 
-        out = []
+        out, added = [], set()  # steps of this batch
         by_hour = attrgetter("hour")
         for hour, group in groupby(sorted(rows, key=by_hour), by_hour):
             for old in [h for h in held if h < hour - self.reach]:
@@ -213,14 +232,16 @@ class HistoryState(StatefulProcessor):
                         held[at][4] -= 1
                     seen[other] = hour
                 joined[hour], last = others, hour
+                added.add(hour)
                 held[hour] = [sum(r.n for r in mine), sum(r.s for r in mine), sum(int(r.ss) for r in mine), max(r.mx for r in mine), len(others)]
 
         for hour in before.keys() - held.keys():
             self._remove(hour)
+            self.handle.deleteTimer((hour + self.reach + 1) * self.HOUR_MS)
         for hour, (n, s, ss, mx, fresh) in held.items():
-            if hour in joined or before[hour] != fresh:
+            if hour in added or before[hour] != fresh:
                 self.hours.updateValue((hour,), (n, s, str(ss), mx, fresh))
-            if hour in joined:
+            if hour in added:
                 self.members.updateValue((hour,), (joined[hour].tobytes(),))
                 self.handle.registerTimer((hour + self.reach + 1) * self.HOUR_MS)
         for other, hour in seen.items():
@@ -235,8 +256,9 @@ class HistoryState(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """No later row can reach back to the step of this timer."""
         hour = expiredTimerInfo.getExpiryTimeInMs() // self.HOUR_MS - self.reach - 1
-        if self.hours.containsKey((hour,)):
-            for other in self._others(hour, {}):
+        held = self.hours.getValue((hour,))
+        if held is not None:
+            for other in self._others(hour, {}) if held[4] else ():
                 at = self.latest.getValue((other,))
                 if at is not None and at[0] == hour:
                     self.latest.removeKey((other,))
@@ -244,7 +266,7 @@ class HistoryState(StatefulProcessor):
         return iter(())
 
     def _others(self, hour: int, joined: dict[int, np.ndarray]) -> list[int]:
-        """Counterparties of a step, of this batch or an earlier one."""
+        """Counterparties of a step, of this batch or an earlier one; read once."""
         return (joined.pop(hour) if hour in joined else np.frombuffer(self.members.getValue((hour,))[0], np.int64)).tolist()
 
     def _remove(self, hour: int) -> None:
@@ -299,7 +321,8 @@ def two_stage(
     """Run ``first`` (native buckets) and ``second`` (state on closed buckets) as two queries over a replay.
 
     The bucket table between them is an ordinary append-only table; each query has its own
-    checkpoint and can be restarted alone. ``store`` names the state store of the second.
+    checkpoint and can be restarted alone. ``store`` names the state store of both: the first holds
+    every bucket of a slice until the watermark closes it, which memory alone need not have room for.
     """
     base = scratch_path(spark, name)
     low, high = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
@@ -311,7 +334,7 @@ def two_stage(
         part.write.mode("append").parquet(f"{base}/in")
         source = first(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
         schema = source.schema
-        run_available(source, f"{base}/buckets", f"{base}/checkpoint-buckets")
+        run_available(source, f"{base}/buckets", f"{base}/checkpoint-buckets", store=store)
         state = second(spark.readStream.schema(schema).parquet(f"{base}/buckets"))
         run_available(state, f"{base}/out", f"{base}/checkpoint-state", store=store)
     return spark.read.parquet(f"{base}/out")

@@ -125,3 +125,67 @@ def test_a_batch_that_runs_again_changes_nothing_and_late_rows_count(spark, tmp_
     assert results[0] == results[1] and [i for i, _ in results[0]] == [1, 2, 3, 4, 5]
     late = dict(results[0])[4]
     assert late != 0.5  # scored by the model of its arrival
+
+
+class CountedMap(dict):
+    """A state map that counts its calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+class CountedHandle:
+    def __init__(self):
+        self.maps, self.timers, self.value = {}, set(), None
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, CountedMap())
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+@pytest.mark.parametrize("cheap", [512, 0])
+def test_a_batch_asks_by_step_not_by_counterparty(cheap):
+    from pyspark.sql import Row
+
+    handle, state = CountedHandle(), X.HistoryState((1, 6, 24))
+    state.BYTES_A_CALL = cheap
+    state.init(handle)
+    row = lambda hour, other: Row(hour=hour, other=other, n=1, s=5, ss="25", mx=5)
+    list(state.handleInputRows((1, 0), [row(h, o) for h in (90, 100) for o in range(h, h + 20)], None))
+    out = list(state.handleInputRows((1, 0), [row(h, o) for h in (110, 120) for o in range(h - 5, h + 20)], None))
+    # Seen in 90: 90-109, in 100: 100-119, in 110: 105-129; 90 has left the window of 120.
+    assert [(r["n_24"], r["distinct_24"]) for r in out] == [(40, 30), (45, 30)]
+    assert {o: h for (o,), (h,) in handle.maps["latest"].items()} == {
+        o: 100 if o < 105 else 110 if o < 115 else 120 for o in range(100, 140)
+    }
+    assert handle.timers == {(h + 25) * 3_600_000 for h in (100, 110, 120)}
+    assert (handle.maps["latest"].calls == 0) == (cheap > 0)
+    assert handle.maps["members"].calls <= 2 or not cheap

@@ -7,6 +7,8 @@ Rows are first summed into (entity, time) buckets with map-side combine, so a ho
 from its rows to its distinct times. Bounded windows are then taken inside (entity, time range)
 groups, each bucket being copied into the following ranges its window reaches; unbounded history
 uses two-level running sums. Either way one entity is spread over many tasks, with exact results.
+Merchant history is for entities whose rows seldom share a time, where buckets save nothing: its rows move once, into such
+groups, and get their windows there.
 """
 
 from __future__ import annotations
@@ -409,24 +411,32 @@ def merchant_history(
     """Merchant history in one of three modes.
 
     ``H0`` none, ``HS`` every window and the recency cut to ``limit`` steps, ``HL`` full.
-    Without ``customer`` there are no distinct customers, and rows are summed straight to (merchant, time).
+    Without ``customer`` there are no distinct customers; a row without one counts, but not as a customer. Rows are shuffled
+    once, to the (merchant, time range) groups where all is worked out; ``HL`` shuffles one line a group more, for the recency.
     """
     if mode not in ("H0", "HS", "HL"):
         raise ValueError("mode must be H0, HS or HL")
     if mode == "H0":
         return df
+    if not windows or any(int(w) != w or w < 1 for w in windows):
+        raise ValueError("windows must be positive integers")
     reach = {w: min(w, limit) if mode == "HS" else w for w in windows}
     used = sorted(set(reach.values()))
-    if customer is None:
-        totals = range_windows(time_buckets(df, [merchant], time, cents), [merchant], time, used, span=span, previous=True)
+    length = span or max(4 * used[-1], 256)
+    others = [c for c in df.columns if c not in (merchant, customer, time, cents)]
+    seen = [customer] if customer is not None else []
+    rows = gathered(df, merchant, time, used[-1], length, [cents, *seen], others)
+    told = _row_windows(rows, merchant, customer, time, cents, used)
+    gap = F.col(time) - F.col("_lag")
+    if mode == "HS":
+        gap = F.when(gap <= limit, gap)
     else:
-        pairs = time_buckets(df.where(available([merchant])), [merchant, customer], time, cents)
-        buckets = pairs.groupBy(merchant, time).agg(
-            F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").cast(SQUARE).alias("ss"), F.max("mx").alias("mx"), F.count("*").alias("c")
-        )
-        totals = range_windows(buckets, [merchant], time, used, span=span, previous=True, pairs=pairs, other=[customer])
-    table = _summarise(totals, [merchant, time], used)
-    joined = df.join(table, [merchant, time], "left")
+        told = told.join(_last_before(rows, merchant, time), [merchant, "_range"], "left")
+        gap = F.coalesce(gap, F.col(time) - F.col("_earlier"))
+    made = {"_gap": gap}
+    for w in used:
+        made.update({f"n_{w}": F.col(f"n_{w}"), **_statistics(w)} | ({f"distinct_{w}": F.col(f"distinct_{w}")} if seen else {}))
+    joined = told.select(*df.columns, *[v.alias(k) for k, v in made.items()])
     amount = F.col(cents) / F.lit(100.0)
     out = {}
     zero = F.lit(0.0)
@@ -439,14 +449,88 @@ def merchant_history(
         out[f"h{w}_max"] = F.coalesce(f"max_{r}", zero)
         out[f"h{w}_std"] = F.coalesce(f"std_{r}", zero)
         out[f"h{w}_ratio"] = ratio_or_zero(amount, mean)
-    gap = F.col(time) - F.col("prev_time")
-    if mode == "HS":
-        gap = F.when(gap <= limit, gap)
-    out["recency"] = F.coalesce(gap, F.lit(-1)).cast("int")
-    out["recency_available"] = F.coalesce(gap.isNotNull().cast("int"), F.lit(0))
+    out["recency"] = F.coalesce("_gap", F.lit(-1)).cast("int")
+    out["recency_available"] = F.col("_gap").isNotNull().cast("int")
     return joined.select(*df.columns, *[v.alias(k) for k, v in out.items()])
 
 
+def gathered(df: DataFrame, entity: str, time: str, width: int, length: int, columns: Sequence[str], others: Sequence[str] = ()) -> DataFrame:
+    """The rows in (entity, _range) groups, shuffled once and only here: what follows works inside the groups.
+
+    A group holds the rows of a range of ``length`` times (``_own``) and copies of the earlier ones that a window of
+    ``width`` reaches; ``others`` are null in copies. A row without a time has a null range.
+    """
+    home, last = time_range(F.col(time), length), time_range(F.col(time) + F.lit(width), length)
+    placed = df.select(entity, time, *columns, *others, F.explode_outer(F.sequence(home, last)).alias("_range"), home.alias("_home"))
+    own = F.col("_range").eqNullSafe(F.col("_home"))
+    placed = placed.select(entity, "_range", time, *columns, *[F.when(own, F.col(c)).alias(c) for c in others], own.alias("_own"))
+    return placed.repartition(entity, "_range")
+
+
+def _row_windows(rows, entity, other, time, cents, windows):
+    """The own rows of ``gathered`` groups with the totals of their windows; ``_lag`` is the step before within the group.
+
+    Sums of a window are differences of two running sums, exact in integers, so a row is added once a window however many
+    rows the window holds. With ``other``, ``distinct_<w>`` counts the last row of each value and step, less the repeats:
+    marks as in ``window_repeats``, put beside the rows, since all neighbours of a value that a window can hold lie in its group.
+    """
+    kind, base = rows.schema[time].dataType, available([entity, time])
+    own = F.col("_own")
+    rows = rows.withColumn("_at", F.col(time))
+    if other is not None:
+        rows = rows.withColumn("_next", F.lead(time).over(Window.partitionBy(entity, "_range", other).orderBy(time)))
+        gap = F.col("_next") - F.col(time)
+        ends = [(a, w, d) for w in windows if w > 1 for a, d in ((F.col("_next") + 1, 1), (F.col(time) + F.lit(w + 1), -1))]
+        entry = lambda a, w, d: F.struct(a.cast(kind).alias("at"), F.lit(w).alias("w"), F.lit(d).alias("d"))
+        entries = F.array(entry(F.col(time), 0, 0))
+        if ends:
+            returns = base & F.col(other).isNotNull() & (gap > 0) & (gap < F.lit(max(windows)))
+            marks = F.filter(F.array(*[entry(*e) for e in ends]), lambda m: gap < m["w"])
+            entries = F.when(returns, F.concat(entries, marks)).otherwise(entries)
+        rows = rows.withColumn("_e", F.explode(entries)).withColumn("_at", F.col("_e.at"))
+        own = own & (F.col("_e.w") == 0)
+        base = base & (F.col("_e.w") == 0)
+    wide = F.col(cents).cast("decimal(19,0)")
+    sums = {"n": F.lit(1), "s": F.col(cents), "ss": (wide * wide).cast(SQUARE)}
+    if other is not None:
+        sums["c"] = F.when(F.col(other).isNotNull() & ~F.coalesce(gap == 0, F.lit(False)), F.lit(1))
+    values = {f"_{k}": F.when(base, v) for k, v in (sums | {"seen": F.col(time)}).items()}
+    if other is not None:
+        values |= {f"_r{w}": F.when(F.col("_e.w") == w, F.col("_e.d")) for w in windows}
+    order = Window.partitionBy(entity, "_range").orderBy("_at")
+    until = lambda back: order.rangeBetween(Window.unboundedPreceding, -back)
+    out = {"_lag": F.max("_seen").over(until(1))}
+    for back in (1, *[w + 1 for w in windows]):
+        out |= {f"_{k}_{back}": F.coalesce(F.sum(f"_{k}").over(until(back)), F.lit(0)) for k in sums}
+    for w in windows:
+        out[f"mx_{w}"] = F.max("_s").over(order.rangeBetween(-w, -1))
+        if other is not None:
+            out[f"_r{w}"] = F.coalesce(F.sum(f"_r{w}").over(until(0)), F.lit(0))
+    kept = [c for c in rows.columns if c not in ("_next", "_e", "_at", "_own", "_range")]
+    run = rows.select(*kept, "_range", "_at", own.alias("_own"), *[v.alias(k) for k, v in values.items()])
+    run = run.select(*kept, "_range", "_own", *[v.alias(k) for k, v in out.items()]).where("_own")
+    inside = lambda k, w: F.col(f"_{k}_1") - F.col(f"_{k}_{w + 1}")
+    made = {}
+    for w in windows:
+        made |= {f"n_{w}": inside("n", w), f"s_{w}": inside("s", w), f"ss_{w}": inside("ss", w).cast(SQUARE), f"mx_{w}": F.col(f"mx_{w}")}
+        if other is not None:
+            made[f"distinct_{w}"] = inside("c", w) - F.col(f"_r{w}")
+    return run.select(*kept, "_range", "_lag", *[v.alias(k) for k, v in made.items()])
+
+
+def _last_before(rows, entity, time):
+    """(entity, _range, _earlier): the last time of the entity's earlier ranges.
+
+    The hash names every column and the entity is a maximum, so that neither fewer columns nor fewer rows are asked of
+    ``rows`` than elsewhere and Spark reads its one shuffle again instead of making a second one.
+    """
+    ends = rows.groupBy(entity, "_range").agg(
+        F.max(entity).alias("_entity"), F.max(F.when(F.col("_own"), F.col(time))).alias("_last"), F.bit_xor(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])).alias("_whole")
+    )
+    before = Window.partitionBy("_entity").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.where(F.col("_whole").isNotNull()).select(F.col("_entity").alias(entity), "_range", F.max("_last").over(before).alias("_earlier"))
+
+
 def history_provenance(
     df: DataFrame, entity: str = "merchant", time: str = "step", identity: str = "id", window: int = 7, asked: DataFrame | None = None
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.operators import history as H
-from riskframe.plans.canon import CARD, SHOP, TX, card, shop, tx
+from riskframe.plans.canon import CARD, PAYMENT, SHOP, TX, card, shop, shop_id, shop_parts, tx
 from riskframe.plans.registry import query
 
 R24 = "OVER (PARTITION BY recipient ORDER BY step RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING)"
@@ -197,9 +197,9 @@ SELECT id, {", ".join(outs)}, coalesce(step - prev, -1) AS recency, CAST(prev IS
 
 
 def _shop(spark, d, mode):
-    out = H.merchant_history(shop(spark, d), mode=mode)
+    out = H.merchant_history(shop_parts(spark, d).drop("label"), mode=mode)
     out = _rounded(out, *[f"h{w}_{c}" for c in ("mean", "std", "ratio") for w in (1, 7, 30)])
-    return out.drop("step", "merchant", "customer", "amount_cents", "label")
+    return out.select(shop_id().alias("id"), *out.columns).drop(*PAYMENT, "step", "merchant", "customer", "amount_cents")
 
 
 @query("f14_merchant_history", _shop_sql("HL"))

@@ -141,3 +141,56 @@ def test_only_values_that_return_within_a_window_give_marks(spark):
     marks = H.window_repeats(pairs, ["recipient"], ["origin"], "step", [3, 7], 256).collect()
     # a is seen at 1 and 5: repeated in the window of 7 for times 6 to 8, never in that of 3; b and c do not return in time.
     assert sorted((r["step"], r["_r3"], r["_r7"]) for r in marks) == [(6, None, 1), (9, None, -1)]
+
+
+def brute_merchant(rows, windows, limit):
+    """``merchant_history`` by hand: (count, customers, mean, max, std) of each window, and the recency."""
+    out = {}
+    for i, step, merchant, customer, cents in rows:
+        past = [r for r in rows if merchant is not None and step is not None and r[2] == merchant and r[1] is not None and r[1] < step]
+        record = {"recency": step - max(r[1] for r in past) if past else -1}
+        record["recency"] = record["recency"] if limit is None or record["recency"] <= limit else -1
+        for w in windows:
+            inside = [r for r in past if r[1] >= step - min(w, limit or w)]
+            money = [r[4] / 100 for r in inside]
+            record[f"h{w}_count"] = len(inside)
+            record[f"h{w}_customers"] = len({r[3] for r in inside if r[3] is not None})
+            record[f"h{w}_mean"] = sum(money) / len(money) if money else 0.0
+            record[f"h{w}_max"] = max(money, default=0.0)
+            record[f"h{w}_std"] = statistics.stdev(money) if len(money) > 1 else 0.0
+        record["recency_available"] = int(record["recency"] >= 0)
+        out[i] = record
+    return out
+
+
+@pytest.mark.parametrize("mode,limit", [("HL", None)])
+def test_merchant_history_of_hot_lone_and_unknown_keys_by_brute_force(spark, mode, limit):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([*range(-20, 60), 400]), rng.choice(["M", "M", "N", "O"]), rng.choice("abcdef"), rng.randint(1, 10**7)) for i in range(300)]
+    rows += [(300 + i, s, m, c, 700) for i, (s, m, c) in enumerate([(5, "M", None), (6, "M", None), (6, None, "a"), (7, None, "a"), (None, "M", "a"), (None, None, None)])]
+    df = spark.createDataFrame(rows, "id bigint, step int, merchant string, customer string, amount_cents bigint")
+    expected = brute_merchant(rows, (1, 7, 30), limit)
+    for span in (None, 9):
+        out = H.merchant_history(df, mode=mode, span=span).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            for name, value in expected[r["id"]].items():
+                assert r[name] == pytest.approx(value, abs=1e-9), (span, r["id"], name)
+
+
+def shuffles(df):
+    """Shuffles that a query writes, and those it reads again, in the plan that ran."""
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = [line for line in ran.split("\n") if "Exchange hashpartitioning" in line]
+    return len([line for line in lines if "Reused" not in line]), len([line for line in lines if "Reused" in line])
+
+
+def test_merchant_history_shuffles_its_rows_once(spark, tmp_path):
+    rows = [(i, i % 500, f"m{i % 7}", f"c{i % 11}", 100 + i) for i in range(2000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "id bigint, step int, merchant string, customer string, amount_cents bigint").write.parquet(path)
+    df = spark.read.parquet(path)
+    # Besides the rows, HL moves one line a (merchant, range), by merchant and, where it is not broadcast, back.
+    written, again = shuffles(H.merchant_history(df, mode="HL"))
+    assert written <= 3 and again == 1

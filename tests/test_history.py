@@ -163,7 +163,7 @@ def brute_merchant(rows, windows, limit):
     return out
 
 
-@pytest.mark.parametrize("mode,limit", [("HL", None)])
+@pytest.mark.parametrize("mode,limit", [("HL", None), ("HS", 7)])
 def test_merchant_history_of_hot_lone_and_unknown_keys_by_brute_force(spark, mode, limit):
     rng = random.Random(8)
     rows = [(i, rng.choice([*range(-20, 60), 400]), rng.choice(["M", "M", "N", "O"]), rng.choice("abcdef"), rng.randint(1, 10**7)) for i in range(300)]
@@ -192,5 +192,6 @@ def test_merchant_history_shuffles_its_rows_once(spark, tmp_path):
     spark.createDataFrame(rows, "id bigint, step int, merchant string, customer string, amount_cents bigint").write.parquet(path)
     df = spark.read.parquet(path)
     # Besides the rows, HL moves one line a (merchant, range), by merchant and, where it is not broadcast, back.
+    assert shuffles(H.merchant_history(df, mode="HS")) == (1, 0)
     written, again = shuffles(H.merchant_history(df, mode="HL"))
     assert written <= 3 and again == 1

@@ -215,13 +215,31 @@ def aligned_sets(expected: DataFrame, found: DataFrame, keys: Sequence[str]) ->
     """
     right = found.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("used", "id_sum", "id_xor")])
     both = expected.select(*keys, "rows", "used", "id_sum", "id_xor").join(right, list(keys), "full")
-    rows, used, seen = F.coalesce("rows", F.lit(1)), F.coalesce("used", F.lit(0)), F.coalesce("_used", F.lit(0))
-    same = F.coalesce(F.col("id_sum"), F.lit(0)).eqNullSafe(F.coalesce(F.col("_id_sum"), F.lit(0))) & F.coalesce("id_xor", F.lit(0)).eqNullSafe(F.coalesce("_id_xor", F.lit(0)))
-    foreign = (seen > used) | ((seen == used) & ~same)
-    total = both.agg(
+    total = both.agg(*_set_violations(F.coalesce("rows", F.lit(1)), "", "_"))
+    return stacked(total, "check", "violations").withColumn("violations", F.col("violations").cast("bigint"))
+
+
+def _set_violations(rows: Column, expected: str, found: str) -> list[Column]:
+    """The two sums of ``aligned_sets`` over lines that hold both sides, told by the prefix of their columns."""
+    used, seen = F.coalesce(f"{expected}used", F.lit(0)), F.coalesce(f"{found}used", F.lit(0))
+    same = [F.coalesce(f"{expected}{c}", F.lit(0)).eqNullSafe(F.coalesce(f"{found}{c}", F.lit(0))) for c in ("id_sum", "id_xor")]
+    foreign = (seen > used) | ((seen == used) & ~(same[0] & same[1]))
+    return [
         F.coalesce(F.sum(F.when(foreign, rows)), F.lit(0)).alias("history_legal"),
         F.coalesce(F.sum(F.when(seen < used, rows * (used - seen))), F.lit(0)).alias("history_complete"),
-    )
+    ]
+
+
+def aligned_builds(both: DataFrame, features: Sequence[str] = ("count", "mean", "std"), tolerance: float = 1e-12) -> DataFrame:
+    """``close_shared_features`` and ``aligned_sets`` of the two ``history_builds`` in one pass: (check, violations).
+
+    The first build is the reference and holds the legal sets. A step that only one build has counts with all its rows.
+    """
+    gaps = [g for f in features for g in (F.col(f"a_hi_{f}") - F.col(f"b_lo_{f}"), F.col(f"b_hi_{f}") - F.col(f"a_lo_{f}"))]
+    close = F.coalesce((F.greatest(*gaps) <= tolerance) & F.col("a_known") & F.col("b_known"), F.lit(False))
+    a, b = F.coalesce("a_rows", F.lit(0)), F.coalesce("b_rows", F.lit(0))
+    far = F.coalesce(F.sum(F.when(close, F.abs(a - b)).otherwise(F.greatest(a, b))), F.lit(0)).alias("features_close")
+    total = both.agg(far, *_set_violations(F.greatest(a, b), "a_", "b_"))
     return stacked(total, "check", "violations").withColumn("violations", F.col("violations").cast("bigint"))
 
 

@@ -13,6 +13,7 @@ groups, and get their windows there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -426,7 +427,7 @@ def merchant_history(
     others = [c for c in df.columns if c not in (merchant, customer, time, cents)]
     seen = [customer] if customer is not None else []
     rows = gathered(df, merchant, time, used[-1], length, [cents, *seen], others)
-    told = _row_windows(rows, merchant, customer, time, cents, used)
+    told = _row_windows(rows, [merchant, "_range"], customer, time, cents, used)
     gap = F.col(time) - F.col("_lag")
     if mode == "HS":
         gap = F.when(gap <= limit, gap)
@@ -467,18 +468,19 @@ def gathered(df: DataFrame, entity: str, time: str, width: int, length: int, col
     return placed.repartition(entity, "_range")
 
 
-def _row_windows(rows, entity, other, time, cents, windows):
-    """The own rows of ``gathered`` groups with the totals of their windows; ``_lag`` is the step before within the group.
+def _row_windows(rows, keys, other, time, cents, windows, sums=None, xors=None):
+    """The own rows of ``gathered`` groups, or of finer ones by ``keys``, with the totals of their windows; ``_lag`` is the step before in the group.
 
     Sums of a window are differences of two running sums, exact in integers, so a row is added once a window however many
     rows the window holds. With ``other``, ``distinct_<w>`` counts the last row of each value and step, less the repeats:
     marks as in ``window_repeats``, put beside the rows, since all neighbours of a value that a window can hold lie in its group.
+    ``sums`` and ``xors`` name further values that are added up, or combined by xor, over the windows.
     """
-    kind, base = rows.schema[time].dataType, available([entity, time])
+    kind, base = rows.schema[time].dataType, available([keys[0], time])
     own = F.col("_own")
     rows = rows.withColumn("_at", F.col(time))
     if other is not None:
-        rows = rows.withColumn("_next", F.lead(time).over(Window.partitionBy(entity, "_range", other).orderBy(time)))
+        rows = rows.withColumn("_next", F.lead(time).over(Window.partitionBy(*keys, other).orderBy(time)))
         gap = F.col("_next") - F.col(time)
         ends = [(a, w, d) for w in windows if w > 1 for a, d in ((F.col("_next") + 1, 1), (F.col(time) + F.lit(w + 1), -1))]
         entry = lambda a, w, d: F.struct(a.cast(kind).alias("at"), F.lit(w).alias("w"), F.lit(d).alias("d"))
@@ -491,31 +493,35 @@ def _row_windows(rows, entity, other, time, cents, windows):
         own = own & (F.col("_e.w") == 0)
         base = base & (F.col("_e.w") == 0)
     wide = F.col(cents).cast("decimal(19,0)")
-    sums = {"n": F.lit(1), "s": F.col(cents), "ss": (wide * wide).cast(SQUARE)}
+    sums = {"n": F.lit(1), "s": F.col(cents), "ss": (wide * wide).cast(SQUARE), **(sums or {})}
+    xors = xors or {}
     if other is not None:
         sums["c"] = F.when(F.col(other).isNotNull() & ~F.coalesce(gap == 0, F.lit(False)), F.lit(1))
-    values = {f"_{k}": F.when(base, v) for k, v in (sums | {"seen": F.col(time)}).items()}
+    values = {f"_{k}": F.when(base, v) for k, v in (sums | xors | {"seen": F.col(time)}).items()}
     if other is not None:
         values |= {f"_r{w}": F.when(F.col("_e.w") == w, F.col("_e.d")) for w in windows}
-    order = Window.partitionBy(entity, "_range").orderBy("_at")
+    order = Window.partitionBy(*keys).orderBy("_at")
     until = lambda back: order.rangeBetween(Window.unboundedPreceding, -back)
     out = {"_lag": F.max("_seen").over(until(1))}
     for back in (1, *[w + 1 for w in windows]):
         out |= {f"_{k}_{back}": F.coalesce(F.sum(f"_{k}").over(until(back)), F.lit(0)) for k in sums}
+        out |= {f"_{k}_{back}": F.coalesce(F.bit_xor(f"_{k}").over(until(back)), F.lit(0)) for k in xors}
     for w in windows:
         out[f"mx_{w}"] = F.max("_s").over(order.rangeBetween(-w, -1))
         if other is not None:
             out[f"_r{w}"] = F.coalesce(F.sum(f"_r{w}").over(until(0)), F.lit(0))
-    kept = [c for c in rows.columns if c not in ("_next", "_e", "_at", "_own", "_range")]
-    run = rows.select(*kept, "_range", "_at", own.alias("_own"), *[v.alias(k) for k, v in values.items()])
-    run = run.select(*kept, "_range", "_own", *[v.alias(k) for k, v in out.items()]).where("_own")
+    kept = [c for c in rows.columns if c not in ("_next", "_e", "_at", "_own")]
+    run = rows.select(*kept, "_at", own.alias("_own"), *[v.alias(k) for k, v in values.items()])
+    run = run.select(*kept, "_own", *[v.alias(k) for k, v in out.items()]).where("_own")
     inside = lambda k, w: F.col(f"_{k}_1") - F.col(f"_{k}_{w + 1}")
     made = {}
     for w in windows:
-        made |= {f"n_{w}": inside("n", w), f"s_{w}": inside("s", w), f"ss_{w}": inside("ss", w).cast(SQUARE), f"mx_{w}": F.col(f"mx_{w}")}
+        made |= {f"{k}_{w}": inside(k, w) for k in sums if k != "c"}
+        made |= {f"ss_{w}": inside("ss", w).cast(SQUARE), f"mx_{w}": F.col(f"mx_{w}")}
+        made |= {f"{k}_{w}": F.col(f"_{k}_1").bitwiseXOR(F.col(f"_{k}_{w + 1}")) for k in xors}
         if other is not None:
             made[f"distinct_{w}"] = inside("c", w) - F.col(f"_r{w}")
-    return run.select(*kept, "_range", "_lag", *[v.alias(k) for k, v in made.items()])
+    return run.select(*kept, "_lag", *[v.alias(k) for k, v in made.items()])
 
 
 def _last_before(rows, entity, time):
@@ -531,6 +537,55 @@ def _last_before(rows, entity, time):
     return ends.where(F.col("_whole").isNotNull()).select(F.col("_entity").alias(entity), "_range", F.max("_last").over(before).alias("_earlier"))
 
 
+def history_builds(
+    df: DataFrame,
+    spans: Sequence[int | None] = (None, 50),
+    used: Column | None = None,
+    merchant: str = "merchant",
+    time: str = "step",
+    cents: str = "amount_cents",
+    identity: str = "id",
+    window: int = 7,
+) -> DataFrame:
+    """Two builds of the history of ``merchant_history``, cut by either span, side by side: one line a (merchant, step).
+
+    ``a_`` and ``b_`` are the builds: ``rows``, whether all features are ``known``, the ends ``lo_`` and ``hi_`` of ``count``,
+    ``mean`` and ``std`` over the step's rows, and the ids that the window held, as ``used``, ``id_sum`` and ``id_xor`` of
+    ``history_sets``; the second build takes these from the rows where ``used`` holds. A build that has no row of a step
+    leaves nulls. Every row goes to both builds, each with windows in its own ranges. The spans divide the range that rows
+    are gathered by, so both builds, and the lines that compare them, come from one shuffle of the rows.
+    """
+    lengths = [s or max(4 * window, 256) for s in spans]
+    drawn = F.coalesce(used, F.lit(False)) if used is not None else F.lit(True)
+    source = df.where(available([merchant, time])).select(merchant, time, cents, F.xxhash64(identity).alias("_id"), drawn.alias("_used"))
+    rows = gathered(source, merchant, time, window, math.lcm(*lengths), [cents, "_id", "_used"])
+    at = F.col(time)
+
+    def cuts(build, length):
+        reached = F.sequence(time_range(at, length), time_range(at + F.lit(window), length))
+        return F.transform(reached, lambda r: F.struct(F.lit(build).alias("build"), r.alias("cut")))
+
+    home = F.when(F.col("_c.build") == 0, time_range(at, lengths[0])).otherwise(time_range(at, lengths[1]))
+    cut = rows.withColumn("_c", F.explode(F.concat(*[cuts(b, n) for b, n in enumerate(lengths)]))).select(
+        merchant, "_range", time, cents, "_id", (F.col("_used") | (F.col("_c.build") == 0)).alias("_used"),
+        F.col("_c.build").alias("_build"), F.col("_c.cut").alias("_cut"), (F.col("_own") & (F.col("_c.cut") == home)).alias("_own"),
+    )
+    sums = {"u": F.when(F.col("_used"), F.lit(1)), "us": F.when(F.col("_used"), F.col("_id").cast("decimal(38,0)"))}
+    told = _row_windows(cut, [merchant, "_range", "_build", "_cut"], None, time, cents, [window], sums, {"ux": F.when(F.col("_used"), F.col("_id"))})
+    features = {"count": F.col(f"n_{window}").cast("double"), "mean": F.col(f"mean_{window}"), "std": F.col(f"std_{window}")}
+    stated = told.withColumns(_statistics(window)).select(
+        merchant, "_range", time, "_build", *[v.alias(k) for k, v in features.items()], *[f"{k}_{window}" for k in ("u", "us", "ux")]
+    )
+    out = []
+    for b, side in enumerate("ab"):
+        of = lambda v, b=b: F.when(F.col("_build") == b, v)
+        known = F.col("count").isNotNull() & F.col("mean").isNotNull() & F.col("std").isNotNull()
+        out += [F.count(of(F.lit(1))).alias(f"{side}_rows"), F.bool_and(of(known)).alias(f"{side}_known")]
+        out += [end(of(F.col(c))).alias(f"{side}_{name}_{c}") for c in features for end, name in ((F.min, "lo"), (F.max, "hi"))]
+        out += [F.max(of(F.col(f"{k}_{window}"))).alias(f"{side}_{name}") for k, name in (("u", "used"), ("us", "id_sum"), ("ux", "id_xor"))]
+    return stated.groupBy(merchant, "_range", time).agg(*out).drop("_range")
+
+
 def history_provenance(
     df: DataFrame, entity: str = "merchant", time: str = "step", identity: str = "id", window: int = 7, asked: DataFrame | None = None
 ) -> DataFrame:

@@ -195,3 +195,38 @@ def test_merchant_history_shuffles_its_rows_once(spark, tmp_path):
     assert shuffles(H.merchant_history(df, mode="HS")) == (1, 0)
     written, again = shuffles(H.merchant_history(df, mode="HL"))
     assert written <= 3 and again == 1
+
+
+def test_history_builds_are_compared_whole_from_one_shuffle(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [(f"r{i}", rng.choice("aab"), rng.randrange(-30, 90), rng.randint(1, 9000)) for i in range(400)] + [("x", None, 3, 5), ("y", "a", None, 5)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "id string, merchant string, step int, amount_cents bigint").write.parquet(path)
+    df = spark.read.parquet(path)
+    count = lambda both: {r["check"]: r["violations"] for r in V.aligned_builds(both).collect()}
+    clean = {"features_close": 0, "history_legal": 0, "history_complete": 0}
+    for spans in ((None, 50), (6, 4), (9, 1)):
+        both = H.history_builds(df, spans)
+        assert count(both) == clean
+        history = H.merchant_history(df, customer=None, windows=(7,), span=spans[1]).where("merchant IS NOT NULL AND step IS NOT NULL")
+        want = {(r["merchant"], r["step"]): (r["h7_count"], r["h7_mean"], r["h7_std"]) for r in history.collect()}
+        sets = {(r["merchant"], r["step"]): (r["rows"], r["used"], r["id_sum"] or 0, r["id_xor"] or 0) for r in H.history_sets(df, span=11).where("merchant IS NOT NULL AND step IS NOT NULL").collect()}
+        found = both.collect()
+        for side in "ab":
+            assert {(r["merchant"], r["step"]): tuple(r[f"{side}_hi_{f}"] for f in ("count", "mean", "std")) for r in found} == want
+            assert {(r["merchant"], r["step"]): tuple(r[f"{side}_{f}"] for f in ("rows", "used", "id_sum", "id_xor")) for r in found} == sets
+    listed = H.history_provenance(df).where("used_time % 10 = 0").count()
+    assert listed > 0 and count(H.history_builds(df, (6, 4), used=F.col("step") % 10 != 0)) == clean | {"history_complete": listed}
+    assert shuffles(V.aligned_builds(H.history_builds(df))) == (1, 0)
+
+    both = H.history_builds(df).cache()
+    line = both.where("a_used > 0 AND a_rows > 1").first()
+    here = (F.col("merchant") == line["merchant"]) & (F.col("step") == line["step"])
+    put = lambda c, v: both.withColumn(c, F.when(here, v).otherwise(F.col(c)))
+    assert count(put("b_hi_mean", F.col("b_hi_mean") + 1e-6)) == clean | {"features_close": line["a_rows"]}
+    assert count(put("b_rows", F.col("b_rows") + 1)) == clean | {"features_close": 1}
+    assert count(put("b_known", F.lit(False)))["features_close"] == line["a_rows"]
+    assert count(put("b_id_xor", F.col("b_id_xor") + 1)) == clean | {"history_legal": line["a_rows"]}
+    assert count(put("b_used", F.col("b_used") + 1)) == clean | {"history_legal": line["a_rows"]}
+    lost = both.select("merchant", "step", *[F.when(~here, F.col(c)).alias(c) if c.startswith("b_") else F.col(c) for c in both.columns[2:]])
+    assert count(lost) == {"features_close": line["a_rows"], "history_legal": 0, "history_complete": line["a_rows"] * line["a_used"]}

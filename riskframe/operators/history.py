@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.prefix import running, time_range
+from riskframe.functions.prefix import default_ranges, running, time_range
 from riskframe.functions.scalars import (
     day_index,
     hour_of_day,
@@ -459,13 +459,14 @@ def gathered(df: DataFrame, entity: str, time: str, width: int, length: int, col
     """The rows in (entity, _range) groups, shuffled once and only here: what follows works inside the groups.
 
     A group holds the rows of a range of ``length`` times (``_own``) and copies of the earlier ones that a window of
-    ``width`` reaches; ``others`` are null in copies. A row without a time has a null range.
+    ``width`` reaches; ``others`` are null in copies. A row without a time has a null range. The number of parts is given:
+    adaptive execution would merge them by their few bytes, and the sorts and sums that follow would spill.
     """
     home, last = time_range(F.col(time), length), time_range(F.col(time) + F.lit(width), length)
     placed = df.select(entity, time, *columns, *others, F.explode_outer(F.sequence(home, last)).alias("_range"), home.alias("_home"))
     own = F.col("_range").eqNullSafe(F.col("_home"))
     placed = placed.select(entity, "_range", time, *columns, *[F.when(own, F.col(c)).alias(c) for c in others], own.alias("_own"))
-    return placed.repartition(entity, "_range")
+    return placed.repartition(default_ranges(df), entity, "_range")
 
 
 def _row_windows(rows, keys, other, time, cents, windows, sums=None, xors=None):
